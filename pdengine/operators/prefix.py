@@ -15,6 +15,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pdengine.staging import materialise
+
 BUCKETS = 64
 # A value is hot when it holds more than 1/HOT_FRACTION of all rows, so there
 # are fewer than HOT_FRACTION hot values however large the table is.
@@ -70,11 +72,16 @@ def prefix_counts(
     ).drop("_bucket", *[f"_low_{w}" for w in weights], *[f"_in_{w}" for w in weights])
 
 
-def value_counts(rows: DataFrame, value_col: str, name: str = "ref_count") -> DataFrame:
-    """Reference distribution of a column: distinct values with their counts."""
+def value_counts(rows: DataFrame, kinds: dict[str, str], name: str = "ref_count") -> DataFrame:
+    """Distinct values with their counts, ``(kind, value, <name>)``, for several columns in one pass."""
+    entries = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.col(c).cast("double").alias("value")) for k, c in kinds.items()
+    ])
     return (
-        rows.where(F.col(value_col).isNotNull())
-        .groupBy(F.col(value_col).alias("value"))
+        rows.select(F.explode(entries).alias("e"))
+        .select("e.*")
+        .where(F.col("value").isNotNull())
+        .groupBy("kind", "value")
         .agg(F.count(F.lit(1)).alias(name))
     )
 
@@ -82,17 +89,16 @@ def value_counts(rows: DataFrame, value_col: str, name: str = "ref_count") -> Da
 def skew_safe_lookup(
     rows: DataFrame, lookup: DataFrame, row_value: str, row_key: str, out_col: str
 ) -> DataFrame:
-    """Left join of ``lookup(value, hits, <out_col>)`` by value.
+    """Left join of ``lookup(value, hits, all_hits, <out_col>)`` by value.
 
+    ``hits`` counts the rows that will look a value up, ``all_hits`` all rows.
     Hot values (fewer than HOT_FRACTION by their definition) are broadcast.
     Their rows, and rows without a value, then take part in the shuffled join
     under a salt that matches nothing, so they spread evenly over the tasks.
     """
-    rated = lookup.withColumn(
-        "_hot", F.col("hits") * HOT_FRACTION > lookup.agg(F.sum("hits")).scalar()
-    )
-    hot = rated.where("_hot").select(F.col("value").alias("_hv"), F.col(out_col).alias("_hot_out"))
-    cold = rated.where("NOT _hot").select(
+    is_hot = F.col("hits") * HOT_FRACTION > F.col("all_hits")
+    hot = lookup.where(is_hot).select(F.col("value").alias("_hv"), F.col(out_col).alias("_hot_out"))
+    cold = lookup.where(~is_hot).select(
         F.col("value").alias("_cv"), F.lit(0).alias("_cs"), F.col(out_col).alias("_cold_out")
     )
     found = rows.join(F.broadcast(hot), F.col(row_value) == F.col("_hv"), "left")
@@ -111,33 +117,39 @@ def skew_safe_lookup(
 
 def rank_against_reference(
     rows: DataFrame,
-    value_col: str,
-    reference: DataFrame,
-    out_col: str,
+    kinds: dict[str, str],
+    references: DataFrame,
     key: str = "borrower_id",
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Share of the reference strictly below each row's value, in [0, 1].
+    """Add ``<kind>_rank``: the share of the reference strictly below the value, in [0, 1].
 
-    ``reference`` has one row per distinct value: ``(value, ref_count)``.
+    ``kinds`` names the column of each kind; ``references`` has one row per
+    distinct value, ``(kind, value, ref_count)``. All kinds are placed in one
+    pass and the small lookup is written once. Keep ``rows`` narrow: they are
+    read twice and shuffled once per kind.
     """
+    zero = F.lit(0).cast("long")
     grid = (
-        reference.select("value", "ref_count", F.lit(0).cast("long").alias("hits"))
+        references.select("kind", F.col("value").cast("double").alias("value"), "ref_count", zero.alias("hits"))
         .unionByName(
-            value_counts(rows, value_col, "hits").select(
-                "value", F.lit(0).cast("long").alias("ref_count"), "hits"
-            )
+            value_counts(rows, kinds, "hits").select("kind", "value", zero.alias("ref_count"), "hits")
         )
-        .groupBy("value")
+        .groupBy("kind", "value")
         .agg(F.sum("ref_count").alias("ref_count"), F.sum("hits").alias("hits"))
     )
-    ranked = prefix_counts(grid, "value", ["ref_count"], buckets=buckets)
+    placed = prefix_counts(grid, "value", ["ref_count", "hits"], by="kind", buckets=buckets)
     last = F.col("all_ref_count") - 1
     share = F.least(F.col("less_ref_count"), last) / F.nullif(last, F.lit(0))
-    lookup = ranked.where(F.col("hits") > 0).select(
-        "value", "hits", F.coalesce(share, F.lit(0.0)).alias(out_col)
+    lookup = materialise(
+        placed.where(F.col("hits") > 0).select(
+            "kind", "value", "hits", "all_hits", F.coalesce(share, F.lit(0.0)).alias("rank")
+        )
     )
-    return skew_safe_lookup(rows, lookup, value_col, key, out_col)
+    for kind, column in kinds.items():
+        of_kind = lookup.where(F.col("kind") == kind).withColumnRenamed("rank", f"{kind}_rank")
+        rows = skew_safe_lookup(rows, of_kind, column, key, f"{kind}_rank")
+    return rows
 
 
 def _quantile_terms(probability: float, n: Column) -> tuple[Column, Column, Column]:

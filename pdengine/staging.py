@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,20 @@ def stage_artifact(spark: SparkSession, label: str, save: Callable[[str], None])
         save(path)
         _staged[key] = path
     return _staged[key]
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate table that several later steps read, and read it back."""
+    spark = df.sparkSession
+    path = stage_path(spark, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything this application staged."""
+    app = spark.sparkContext.applicationId
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/pdengine/{app}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    for key in [k for k in _staged if k[0] == app]:
+        del _staged[key]
