@@ -522,4 +522,22 @@ ORACLES = {
         UNION ALL SELECT 'text_model', 'hashed tf-idf'
         UNION ALL SELECT 'segments', string_agg(DISTINCT segment, '|' ORDER BY segment) FROM book
         UNION ALL SELECT 'total_borrowers', CAST(count(*) AS VARCHAR) FROM book""",
+    "write_splits": WITH_BOOK + ' SELECT borrower_id, split, "default", LIMIT_BAL, rm_note FROM book',
+    "scored_book": SCORED + """ SELECT segment, exposure_at_risk, rm_note, "default", loan_vintage_month,
+        borrower_id, pd_score, split, band FROM scored""",
+    # Least-squares monotone fit as max over starts of min over ends of block means,
+    # then linear between neighbouring points and constant outside.
+    "isotonic_apply": SCORED + """,
+points AS (
+  SELECT blend AS x, sum("default") AS s, count(*) AS c, row_number() OVER (ORDER BY blend) AS i
+  FROM scored WHERE split = 'train' GROUP BY blend),
+sums AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(c) OVER (ORDER BY i) AS cc FROM points),
+blocks AS (
+  SELECT a.i AS i, b.i AS j, (b.cs - a.cs + a.s) / (b.cc - a.cc + a.c)::DOUBLE AS m FROM sums a JOIN sums b ON a.i <= b.i),
+mins AS (SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j DESC) AS m FROM blocks),
+fit AS (SELECT j AS i, max(m) AS f FROM mins GROUP BY j),
+curve AS (SELECT x, f, lead(x) OVER (ORDER BY x) AS x2, lead(f) OVER (ORDER BY x) AS f2 FROM points JOIN fit USING (i))
+SELECT borrower_id, round(CASE WHEN blend < (SELECT min(x) FROM curve) THEN (SELECT f FROM curve ORDER BY x LIMIT 1)
+         WHEN x2 IS NULL OR blend = x THEN f ELSE f + (f2 - f) * (blend - x) / (x2 - x) END, 8) AS calibrated
+FROM scored ASOF LEFT JOIN curve ON blend >= x""",
 }

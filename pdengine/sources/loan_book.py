@@ -25,6 +25,7 @@ from pdengine.sources.note_templates import NEGATIVE, NEUTRAL, POSITIVE
 from pdengine.staging import stage
 
 _LIMIT_STEP = 50_000
+_UNITS = 10_000.0
 _DEFAULT_THRESHOLD = 1.05
 
 
@@ -46,16 +47,22 @@ def _latest_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def _hundredths(amount: Column) -> Column:
+    return F.floor(amount * 100 + 0.5)
+
+
 def _order_totals(lines: DataFrame) -> DataFrame:
-    """One row per order, pre-aggregated before the shuffle; money stays exact decimal."""
-    amount = F.col("l_extendedprice").cast("decimal(12,2)") * (
-        F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
-    )
-    paid = F.when(F.col("l_linestatus") == "F", amount)
+    """One row per order, pre-aggregated before the shuffle.
+
+    Prices and discounts have two decimals, so line amounts are whole numbers
+    of 1/10000: sums of longs are exact in any order and stay primitive.
+    """
+    amount = _hundredths(F.col("l_extendedprice")) * (100 - _hundredths(F.col("l_discount")))
+    paid = F.when(F.col("l_linestatus") == "F", amount).otherwise(0)
     returned = F.when(F.col("l_returnflag") == "R", F.lit(1))
     return lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum(amount).cast("double").alias("bill"),
-        F.coalesce(F.sum(paid).cast("double"), F.lit(0.0)).alias("paid"),
+        (F.sum(amount) / _UNITS).alias("bill"),
+        (F.sum(paid) / _UNITS).alias("paid"),
         F.count(returned).alias("returned"),
     )
 
