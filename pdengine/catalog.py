@@ -389,8 +389,8 @@ def stress_report(spark, d):
 
 def what_if_terms(spark, d):
     asked = requests.accepted(samples.what_if_requests(spark, d), requests.what_if_reasons())
-    changed = with_features(requests.what_if_terms(asked, loan_book(spark, d)))
-    return changed.select(
+    versions = requests.what_if_rows(asked, loan_book(spark, d))
+    return with_features(versions.where(F.col("stage") == "new")).select(
         "request_id", "borrower_id",
         *[F.round(c, 6).alias(c) for c in ("applied_emi", "applied_principal", "avg_util_ratio", "avg_pay_ratio")],
     )

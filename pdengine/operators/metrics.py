@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pdengine.operators.prefix import BUCKETS, prefix_counts, smallest
+from pdengine.operators.prefix import prefix_counts, smallest
 
 
 def _per_score(scored: DataFrame, score: str, label: str) -> DataFrame:
@@ -17,7 +17,7 @@ def _per_score(scored: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def ranking_metrics(scored: DataFrame, score: str, label: str, buckets: int = BUCKETS) -> DataFrame:
+def ranking_metrics(scored: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
     """One row ``(auc, gini, ks_statistic, n_rows, n_positive)``; ties count half."""
     placed = prefix_counts(_per_score(scored, score, label), "score", ["pos", "neg"], buckets=buckets)
     won = F.sum(F.col("pos") * (F.col("less_neg") + F.col("neg") / 2))
@@ -46,7 +46,7 @@ def recall_at_top(
     label: str,
     key: str = "borrower_id",
     share: float = 0.2,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Share of positives among the top ``share`` of rows, ties in key order.
 

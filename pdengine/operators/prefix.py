@@ -11,40 +11,64 @@ by a third of all rows costs one row.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pdengine.staging import materialise
 
-BUCKETS = 64
+MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+_COARSE_STEP = 64
 # A value is hot when it holds more than 1/HOT_FRACTION of all rows, so there
 # are fewer than HOT_FRACTION hot values however large the table is.
 HOT_FRACTION = 1000
 _SALTS = 1 << 20
 
 
+def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
+    """As many buckets as the session wants shuffle tasks, within limits."""
+    wanted = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, buckets) if buckets else max(MIN_BUCKETS, min(MAX_BUCKETS, wanted))
+
+
+def _cuts(order_col: str, buckets: int) -> Column:
+    """Cut values, fine ones and every 64th of them, so that a lookup scans two short lists."""
+    shares = [i / buckets for i in range(1, buckets)]
+    accuracy = max(10_000, 20 * buckets)
+    return F.struct(
+        F.percentile_approx(order_col, shares, accuracy).alias("fine"),
+        F.percentile_approx(order_col, shares[_COARSE_STEP - 1 :: _COARSE_STEP] or shares[:1], accuracy).alias("coarse"),
+    )
+
+
+def _bucket(value: Column, buckets: int) -> Column:
+    """Number of cuts below a value."""
+    fine = F.col("_cuts.fine")
+    if buckets <= 2 * _COARSE_STEP:
+        return F.size(F.filter(fine, lambda c: c < value))
+    passed = F.size(F.filter(F.col("_cuts.coarse"), lambda c: c < value)) * _COARSE_STEP
+    return passed + F.size(F.filter(F.slice(fine, passed + 1, F.lit(_COARSE_STEP)), lambda c: c < value))
+
+
 def prefix_counts(
     values: DataFrame,
     order_col: str,
     weights: list[str],
     by: str | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``less_<w>`` (weight strictly below) and ``all_<w>`` (weight of the group).
 
     ``values`` holds one row per value (and per group ``by``; groups must be
     few, such as column names).
     """
-    cuts = F.percentile_approx(order_col, [i / buckets for i in range(1, buckets)], 10000)
+    buckets = bucket_count(values, buckets)
+    cuts = _cuts(order_col, buckets)
     if by is None:
         cut = values.withColumn("_cuts", values.agg(cuts).scalar())
         group = []
     else:
         group = [by]
         cut = values.join(F.broadcast(values.groupBy(by).agg(cuts.alias("_cuts"))), by)
-    value = F.col(order_col)
-    cut = cut.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < value))).drop("_cuts")
+    cut = cut.withColumn("_bucket", _bucket(F.col(order_col), buckets)).drop("_cuts")
 
     inside = (
         Window.partitionBy(*group, "_bucket")
@@ -120,7 +144,7 @@ def rank_against_reference(
     kinds: dict[str, str],
     references: DataFrame,
     key: str = "borrower_id",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``<kind>_rank``: the share of the reference strictly below the value, in [0, 1].
 
@@ -163,7 +187,7 @@ def exact_quantiles(
     value_col: str,
     probabilities: list[float],
     by: str | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, in one array column ``quantiles``.
 
@@ -191,12 +215,8 @@ def exact_quantiles(
     return picked.select(*group, F.array(*results).alias("quantiles"))
 
 
-def smallest(rows: DataFrame, key: str, how_many: Column, buckets: int = BUCKETS) -> DataFrame:
+def smallest(rows: DataFrame, key: str, how_many: Column, buckets: int | None = None) -> DataFrame:
     """Rows with the ``how_many`` smallest values of a unique key, found by prefix counts."""
     placed = prefix_counts(rows.withColumn("_one", F.lit(1).cast("long")), key, ["_one"], buckets=buckets)
     return placed.where(F.col("less__one") < how_many).drop("_one", "less__one", "all__one")
 
-
-def bucket_count(n_values: int, per_bucket: int = 1_000_000, most: int = 2048) -> int:
-    """Buckets for a known number of distinct values."""
-    return max(8, min(most, math.ceil(n_values / per_bucket)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.functions.bands import band, blend
-from pdengine.operators.prefix import BUCKETS, exact_quantiles, rank_against_reference, value_counts
+from pdengine.operators.prefix import exact_quantiles, rank_against_reference, value_counts
 
 
 def reference_distribution(train: DataFrame, gbm_col: str, cox_col: str) -> DataFrame:
@@ -20,14 +20,14 @@ def reference_distribution(train: DataFrame, gbm_col: str, cox_col: str) -> Data
 
 def rank_and_blend(
     rows: DataFrame, references: DataFrame, gbm_col: str, cox_col: str,
-    key: str = "borrower_id", buckets: int = BUCKETS,
+    key: str = "borrower_id", buckets: int | None = None,
 ) -> DataFrame:
     """Add ``gbm_rank``, ``cox_rank`` and ``blend``; keep ``rows`` narrow, they are shuffled."""
     ranked = rank_against_reference(rows, {"gbm": gbm_col, "cox": cox_col}, references, key, buckets)
     return ranked.withColumn("blend", blend(F.col("gbm_rank"), F.col("cox_rank")))
 
 
-def band_cuts(train: DataFrame, score: str = "pd_score", buckets: int = BUCKETS) -> DataFrame:
+def band_cuts(train: DataFrame, score: str = "pd_score", buckets: int | None = None) -> DataFrame:
     """One row ``(high, elevated)``: the exact 90th and 70th percentile of train scores."""
     q = exact_quantiles(train, score, [fv.HIGH_PERCENTILE, fv.ELEVATED_PERCENTILE], buckets=buckets)
     return q.select(F.col("quantiles")[0].alias("high"), F.col("quantiles")[1].alias("elevated"))

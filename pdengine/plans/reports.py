@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pdengine import fixed_values as fv
+from pdengine.operators.paging import page
 from pdengine.operators.metrics import ranking_metrics, recall_at_top
 
 
@@ -40,8 +41,8 @@ def watchlist_page(
         raise ValueError("limit must lie in 1..500 and offset must not be negative")
     rows = watchlist(book, segment, band)
     total = rows.agg(F.count(F.lit(1))).scalar()
-    page = rows.orderBy(F.col("exposure_at_risk").desc(), "borrower_id").offset(offset).limit(limit)
-    return page.withColumn("total", total).withColumns({
+    listed = page(rows, "exposure_at_risk", "borrower_id", limit, offset)
+    return listed.withColumn("total", total).withColumns({
         "row_from": F.lit(offset + 1).cast("long"),
         "row_to": F.least(F.lit(offset + limit).cast("long"), F.col("total")),
     })

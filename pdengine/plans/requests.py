@@ -87,13 +87,8 @@ def fill_defaults(rows: DataFrame, modes: DataFrame, absent_when_null: tuple[str
     return filled.drop("_modes")
 
 
-def what_if_terms(requests: DataFrame, book: DataFrame) -> DataFrame:
-    """Loans under new terms, with ``applied_emi`` and ``applied_principal``.
-
-    A new principal replaces all six bills and an instalment all six payments.
-    A given instalment wins over rate and tenure.
-    """
-    joined = attach(requests, book, "request_id")
+def with_applied_terms(joined: DataFrame) -> DataFrame:
+    """Add ``applied_emi`` and ``applied_principal``; a given instalment wins over rate and tenure."""
     c = F.col
     principal = F.coalesce(c("new_principal"), c("BILL_AMT1"))
     from_terms = emi(
@@ -102,9 +97,23 @@ def what_if_terms(requests: DataFrame, book: DataFrame) -> DataFrame:
         F.coalesce(c("new_tenure_months"), F.lit(fv.DEFAULT_TENURE_MONTHS)),
     )
     has_terms = c("new_rate_pct").isNotNull() | c("new_tenure_months").isNotNull()
-    return (
-        joined.withColumn("applied_emi", F.coalesce(c("new_emi"), F.when(has_terms, from_terms)))
-        .withColumn("applied_principal", c("new_principal"))
-        .withColumns({b: F.coalesce(c("applied_principal"), c(b)) for b in fv.BILL_COLS})
-        .withColumns({p: F.coalesce(c("applied_emi"), c(p)) for p in fv.PAY_AMT_COLS})
+    return joined.withColumns({
+        "applied_emi": F.coalesce(c("new_emi"), F.when(has_terms, from_terms)),
+        "applied_principal": c("new_principal"),
+    })
+
+
+def what_if_rows(requests: DataFrame, book: DataFrame) -> DataFrame:
+    """Two rows per request, ``stage`` original and new, from one join with the book.
+
+    A new principal replaces all six bills and an instalment all six payments.
+    """
+    joined = with_applied_terms(attach(requests, book, "request_id"))
+    replaced = {b: F.coalesce("applied_principal", b) for b in fv.BILL_COLS}
+    replaced |= {p: F.coalesce("applied_emi", p) for p in fv.PAY_AMT_COLS}
+    versions = F.array(
+        F.struct(F.lit("original").alias("stage"), *replaced),
+        F.struct(F.lit("new").alias("stage"), *[v.alias(k) for k, v in replaced.items()]),
     )
+    others = [c for c in joined.columns if c not in replaced]
+    return joined.select(*others, F.explode(versions).alias("_version")).select(*others, "_version.*")

@@ -50,22 +50,11 @@ def stressed_scores(model: RiskModel, feature_book: DataFrame, scenario: str, ma
 
 
 def what_if(model: RiskModel, asked: DataFrame, feature_book: DataFrame) -> DataFrame:
-    """Score before and after new terms, both in one pass over old and new rows."""
+    """Score before and after new terms, both in one pass."""
     valid = requests.accepted(asked, requests.what_if_reasons())
-    changed = requests.what_if_terms(valid, feature_book)
-    columns = [
-        "request_id", "borrower_id", "applied_emi", "applied_principal",
-        *fv.RAW_NUMERIC_COLS, *fv.CATEGORICAL_FEATURES, *fv.TEXT_FEATURES,
-    ]
-    plain = requests.attach(valid, feature_book, "request_id").withColumns({
-        "applied_emi": F.lit(None).cast("double"), "applied_principal": F.lit(None).cast("double")
-    })
-    both = (
-        plain.select(*columns).withColumn("stage", F.lit("original"))
-        .unionByName(changed.select(*columns).withColumn("stage", F.lit("new")))
-    )
+    both = with_features(requests.what_if_rows(valid, feature_book))
     keep = ["borrower_id", "stage", "applied_emi", "applied_principal"]
-    scored = score_rows(model, with_features(both), "request_id", keep)
+    scored = score_rows(model, both, "request_id", keep)
 
     def at(stage: str, column: str) -> Column:
         return F.max(F.when(F.col("stage") == stage, F.col(column)))
