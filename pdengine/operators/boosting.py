@@ -34,7 +34,7 @@ def boosting_pipeline(
         GBTClassifier(
             labelCol=label, featuresCol="features", maxIter=n_trees, stepSize=learning_rate,
             maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=feature_share,
-            seed=seed, cacheNodeIds=True, checkpointInterval=10,
+            seed=seed, checkpointInterval=10,
         ),
     ])
 
