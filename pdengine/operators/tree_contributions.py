@@ -10,6 +10,7 @@ per leaf; a loan then looks its form up, and no loan needs another one's data.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
@@ -49,9 +50,17 @@ def _leaf_form(shares: list[float]) -> np.ndarray:
     return form
 
 
-def leaf_table(nodes: pd.DataFrame) -> tuple[list[dict], float]:
-    """Every leaf with its path conditions and forms, and the mean margin of the model."""
-    leaves, base = [], 0.0
+@dataclass(frozen=True)
+class ExplainedTrees:
+    """Split tests of all trees, and per leaf the features, tests and Shapley form of its path."""
+
+    tests: list[tuple]
+    leaves: list[tuple]
+    base: float
+
+
+def explained_trees(nodes: pd.DataFrame) -> ExplainedTrees:
+    tests, leaves, base = [], [], 0.0
     for _, tree in nodes.groupby("treeID"):
         rows = {r.id: r for r in tree.itertuples(index=False)}
         stack = [(0, [], 1.0)]
@@ -61,42 +70,38 @@ def leaf_table(nodes: pd.DataFrame) -> tuple[list[dict], float]:
             if node.leftChild < 0:
                 value = node.prediction * node.weight
                 base += value * reached
-                features = sorted({f for f, _, _ in path})
+                features = sorted({f for f, _, _, _ in path})
                 if len(features) > MAX_DEPTH:
                     raise ValueError(f"paths of more than {MAX_DEPTH} features are not supported")
-                shares = {f: 1.0 for f in features}
-                for f, _, share in path:
-                    shares[f] *= share
-                conditions = [[test for g, test, _ in path if g == f] for f in features]
                 if features:
-                    form = _leaf_form([shares[f] for f in features]) * value
-                    leaves.append({"features": features, "conditions": conditions, "form": form})
+                    shares = [float(np.prod([s for f, _, _, s in path if f == g])) for g in features]
+                    sides = [[(test, left) for f, test, left, _ in path if f == g] for g in features]
+                    leaves.append((features, sides, _leaf_form(shares) * value))
                 continue
-            split = node.split
-            feature = split["featureIndex"]
-            values = list(split["leftCategoriesOrThreshold"])
-            kind = ("category", frozenset(values)) if split["numCategories"] >= 0 else ("number", values[0])
-            for child, side in ((node.leftChild, True), (node.rightChild, False)):
+            feature = node.split["featureIndex"]
+            values = list(node.split["leftCategoriesOrThreshold"])
+            tests.append((feature, values if node.split["numCategories"] >= 0 else values[0]))
+            for child, left in ((node.leftChild, True), (node.rightChild, False)):
                 share = rows[child].rawCount / node.rawCount
-                stack.append((child, path + [(feature, (*kind, side), share)], reached * share))
-    return leaves, base
-
-
-def _follows(column: np.ndarray, tests: list[tuple]) -> np.ndarray:
-    result = np.ones(len(column), dtype=bool)
-    for kind, split, left in tests:
-        goes_left = np.isin(column, list(split)) if kind == "category" else column <= split
-        result &= goes_left if left else ~goes_left
-    return result
+                stack.append((child, path + [(feature, len(tests) - 1, left, share)], reached * share))
+    return ExplainedTrees(tests, leaves, base)
 
 
-def contributions_of(values: np.ndarray, leaves: list[dict]) -> np.ndarray:
+def contributions_of(values: np.ndarray, trees: ExplainedTrees) -> np.ndarray:
+    """One row of contributions per row of feature values; each split is tested once."""
+    goes_left = [
+        np.isin(values[:, f], split) if isinstance(split, list) else values[:, f] <= split
+        for f, split in trees.tests
+    ]
     out = np.zeros_like(values)
-    for leaf in leaves:
+    for features, sides, form in trees.leaves:
         pattern = np.zeros(len(values), dtype=np.int64)
-        for j, (feature, tests) in enumerate(zip(leaf["features"], leaf["conditions"])):
-            pattern |= _follows(values[:, feature], tests).astype(np.int64) << j
-        out[:, leaf["features"]] += leaf["form"][pattern]
+        for j, tests in enumerate(sides):
+            follows = np.ones(len(values), dtype=bool)
+            for test, left in tests:
+                follows &= goes_left[test] if left else ~goes_left[test]
+            pattern |= follows.astype(np.int64) << j
+        out[:, features] += form[pattern]
     return out
 
 
@@ -105,8 +110,8 @@ def with_contributions(rows: DataFrame, nodes: DataFrame, values_col: str = "fea
 
     Only the feature array goes to Python; the other columns stay in the JVM.
     """
-    leaves, base = leaf_table(collect_nodes(nodes))
-    model = rows.sparkSession.sparkContext.broadcast(leaves)
+    trees = explained_trees(collect_nodes(nodes))
+    model = rows.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("array<double>")
     def explain(values: pd.Series) -> pd.Series:
@@ -114,4 +119,4 @@ def with_contributions(rows: DataFrame, nodes: DataFrame, values_col: str = "fea
             return pd.Series([], dtype=object)
         return pd.Series(list(contributions_of(np.stack(values.to_list()).astype(float), model.value)))
 
-    return rows.withColumns({"contributions": explain(F.col(values_col)), "base_margin": F.lit(base)})
+    return rows.withColumns({"contributions": explain(F.col(values_col)), "base_margin": F.lit(trees.base)})

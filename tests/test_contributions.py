@@ -6,7 +6,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 
-from pdengine.operators.tree_contributions import contributions_of, leaf_table
+from pdengine.operators.tree_contributions import contributions_of, explained_trees
 
 
 def node(tree, number, prediction, count, left=-1, right=-1, feature=-1, split=(), categories=-1, weight=1.0):
@@ -51,9 +51,9 @@ def margin(x, known):
 def test_equals_shapley_values_and_sums_to_the_margin():
     rng = np.random.default_rng(1)
     values = np.column_stack([rng.random(30), rng.integers(0, 3, 30), rng.random(30) * 6])
-    leaves, base = leaf_table(NODES)
-    got = contributions_of(values, leaves)
-    assert np.isclose(base, margin(values[0], set()))
+    trees = explained_trees(NODES)
+    got = contributions_of(values, trees)
+    assert np.isclose(trees.base, margin(values[0], set()))
     for x, phi in zip(values, got):
         for i in range(3):
             others = [j for j in range(3) if j != i]
@@ -63,4 +63,4 @@ def test_equals_shapley_values_and_sums_to_the_margin():
                     share = factorial(size) * factorial(2 - size) / factorial(3)
                     expected += share * (margin(x, {*chosen, i}) - margin(x, set(chosen)))
             assert np.isclose(phi[i], expected)
-        assert np.isclose(phi.sum() + base, margin(x, {0, 1, 2}))
+        assert np.isclose(phi.sum() + trees.base, margin(x, {0, 1, 2}))
