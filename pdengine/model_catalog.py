@@ -13,6 +13,7 @@ from pdengine.catalog import DELINQUENCY_STEP, MEMO_EPOCH, UTILIZATION_STEP
 from pdengine.functions.wording import escape_xml
 from pdengine.operators.calibration import apply_isotonic, fit_isotonic
 from pdengine.operators.boosting import with_probability
+from pdengine.operators.lookup import attach
 from pdengine.operators.note_vectors import as_vector, vector_pipeline, with_components
 from pdengine.operators.tree_contributions import with_contributions
 from pdengine.plans import reports, scorecard, scoring
@@ -63,11 +64,14 @@ def note_vectors(spark, d):
 
 
 def note_pca(spark, d):
-    """Notes that come with a vector: each loan takes one of the given embeddings; fitted on train."""
-    vectors = table(spark, d, "embeddings").select("vec_id", as_vector("embedding").alias("note_vector"))
-    n = table(spark, d, "embeddings").agg(F.count(F.lit(1))).scalar()
-    loans = loan_book(spark, d).select("borrower_id", "split")
-    rows = loans.withColumn("vec_id", F.col("borrower_id") % n).join(vectors, "vec_id")
+    """Notes that come with a vector: each loan takes one of the given embeddings; fitted on train.
+
+    Few vectors serve many loans, so the join spreads the loans of a common vector.
+    """
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = vectors.agg(F.count(F.lit(1))).scalar()
+    loans = loan_book(spark, d).select("borrower_id", "split").withColumn("vec_id", F.col("borrower_id") % n)
+    rows = attach(loans, vectors, "borrower_id", key="vec_id").withColumn("note_vector", as_vector("embedding"))
     model = vector_pipeline().fit(rows.where(F.col("split") == "train"))
     return with_components(rows, model).select("borrower_id", *fv.TEXT_FEATURES)
 

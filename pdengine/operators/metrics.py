@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pdengine.operators.prefix import prefix_counts, smallest
+from pdengine.operators.prefix import prefix_counts
+from pdengine.staging import materialise
 
 
 def _per_score(scored: DataFrame, score: str, label: str) -> DataFrame:
@@ -57,7 +58,7 @@ def recall_at_top(
         F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
     above_n = F.col("all_n") - F.col("less_n") - F.col("n")
-    boundary = (
+    boundary = materialise(
         prefix_counts(counts, "score", ["pos", "n"], buckets=buckets)
         .withColumn("k", F.greatest(F.lit(1), F.floor(F.col("all_n") * F.lit(share))))
         .where((above_n < F.col("k")) & (F.col("k") <= above_n + F.col("n")))
@@ -69,8 +70,11 @@ def recall_at_top(
             F.col("all_pos").alias("n_positive"),
         )
     )
-    tied = scored.where(F.col(score) == boundary.select("cut").scalar()).select(key, label)
-    chosen = smallest(tied, key, boundary.select("take").scalar(), buckets)
+    # The boundary is one row: its join keeps the tied rows only.
+    tied = scored.join(F.broadcast(boundary.select("cut", "take")), F.col(score) == F.col("cut")).select(
+        key, label, "take", F.lit(1).cast("long").alias("one")
+    )
+    chosen = prefix_counts(tied, key, ["one"], buckets=buckets).where(F.col("less_one") < F.col("take"))
     hit = F.col("above_pos") + chosen.agg(F.coalesce(F.sum(label), F.lit(0))).scalar()
     return boundary.select(
         F.col("k").alias("n_top"),

@@ -214,9 +214,3 @@ def exact_quantiles(
     picked = placed.groupBy(*group).agg(*picks) if group else placed.agg(*picks)
     return picked.select(*group, F.array(*results).alias("quantiles"))
 
-
-def smallest(rows: DataFrame, key: str, how_many: Column, buckets: int | None = None) -> DataFrame:
-    """Rows with the ``how_many`` smallest values of a unique key, found by prefix counts."""
-    placed = prefix_counts(rows.withColumn("_one", F.lit(1).cast("long")), key, ["_one"], buckets=buckets)
-    return placed.where(F.col("less__one") < how_many).drop("_one", "less__one", "all__one")
-

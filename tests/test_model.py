@@ -11,7 +11,9 @@ from pdengine.plans.reports import newly_high, transition_counts
 from pdengine.plans.training import RiskModel, TrainingConfig, evaluate, train
 from pdengine.sources import store
 from pdengine.sources.loan_book import loan_book
+from pdengine.sources.samples import applications
 from pdengine.staging import stage_path
+from pdengine.streaming.applications import APPLICATION_SCHEMA, read_applications, score_stream
 from test_requests import APPLICATION
 
 
@@ -125,3 +127,17 @@ def test_bucketed_feature_book_joins_without_a_shuffle(spark, fitted, tmp_path):
     assert "Exchange" not in plan
     assert joined.count() == fitted[2].count()
     spark.sql("DROP TABLE bucketed_features")
+
+
+def test_streamed_applications_get_the_same_scores(spark, folder, fitted, tmp_path):
+    model = fitted[1]
+    table = applications(spark, folder).select(*[f.name for f in APPLICATION_SCHEMA.fields])
+    table.repartition(3).write.parquet(str(tmp_path / "in"))
+    query = score_stream(
+        read_applications(spark, str(tmp_path / "in")), model, str(tmp_path / "out"), str(tmp_path / "state")
+    )
+    query.awaitTermination(120)
+    assert query.exception() is None
+    streamed = {r.application_id: r.pd_score for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    at_once = {r.application_id: r.pd_score for r in scoring.score_applications(model, table).collect()}
+    assert streamed == at_once and streamed
