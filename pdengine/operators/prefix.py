@@ -39,13 +39,18 @@ def _cuts(order_col: str, buckets: int) -> Column:
     )
 
 
+def _cuts_below(cuts: Column, value: Column) -> Column:
+    """Place of the value among sorted cuts: its first position once it is sorted in."""
+    return F.array_position(F.sort_array(F.array_append(cuts, value)), value) - 1
+
+
 def _bucket(value: Column, buckets: int) -> Column:
     """Number of cuts below a value."""
     fine = F.col("_cuts.fine")
     if buckets <= 2 * _COARSE_STEP:
-        return F.size(F.filter(fine, lambda c: c < value))
-    passed = F.size(F.filter(F.col("_cuts.coarse"), lambda c: c < value)) * _COARSE_STEP
-    return passed + F.size(F.filter(F.slice(fine, passed + 1, F.lit(_COARSE_STEP)), lambda c: c < value))
+        return _cuts_below(fine, value)
+    passed = (_cuts_below(F.col("_cuts.coarse"), value) * _COARSE_STEP).cast("int")
+    return passed + _cuts_below(F.slice(fine, passed + 1, F.lit(_COARSE_STEP)), value)
 
 
 def prefix_counts(
