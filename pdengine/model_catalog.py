@@ -17,8 +17,9 @@ from pdengine.operators.lookup import attach
 from pdengine.operators.note_vectors import as_vector, vector_pipeline, with_components
 from pdengine.operators.tree_contributions import with_contributions
 from pdengine.plans import reports, scorecard, scoring
+from pdengine.plans.jobs import META_COLS, quality_report, training_job
 from pdengine.plans.memos import memo_records
-from pdengine.plans.training import RiskModel, TrainingConfig, train
+from pdengine.plans.training import RiskModel, TrainingConfig
 from pdengine.sources import samples, store
 from pdengine.sources.loan_book import loan_book, table
 from pdengine.staging import stage, stage_artifact
@@ -29,28 +30,24 @@ _loaded: dict[str, RiskModel] = {}
 
 
 def _folder(spark: SparkSession, d: str) -> str:
-    def build(path: str) -> None:
-        model, features, scores = train(loan_book(spark, d), QUERY_CONFIG)
-        model.save(spark, path)
-        features.write.mode("overwrite").parquet(f"{path}/features")
-        scores.write.mode("overwrite").parquet(f"{path}/scores")
-
-    return stage_artifact(spark, f"model:{d}", build)
+    return stage_artifact(
+        spark, f"training:{d}", lambda path: training_job(loan_book(spark, d), path, QUERY_CONFIG)
+    )
 
 
 def model_of(spark: SparkSession, d: str) -> RiskModel:
-    path = _folder(spark, d)
+    path = f"{_folder(spark, d)}/model"
     if path not in _loaded:
         _loaded[path] = RiskModel.load(spark, path)
     return _loaded[path]
 
 
 def feature_book(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{_folder(spark, d)}/features")
+    return spark.read.parquet(f"{_folder(spark, d)}/feature_book")
 
 
 def _meta(spark, d):
-    return loan_book(spark, d).select(*scorecard.META)
+    return loan_book(spark, d).select(*META_COLS)
 
 
 def model_scores(spark, d):
@@ -131,9 +128,7 @@ def what_if_scores(spark, d):
 def _model_stress(spark, d, scenario, magnitude):
     model = model_of(spark, d)
     after = scoring.stressed_scores(model, feature_book(spark, d), scenario, magnitude)
-    before = model_scores(spark, d).select("borrower_id", "band").join(
-        loan_book(spark, d).select("borrower_id", "exposure_at_risk"), "borrower_id"
-    )
+    before = model_scores(spark, d).select("borrower_id", "band", "exposure_at_risk")
     moved = stage(
         spark, f"model-transitions:{scenario}:{magnitude}:{d}", lambda: reports.transition_counts(before, after)
     )
@@ -149,7 +144,7 @@ def model_stress_delinquency(spark, d):
 
 
 def model_performance(spark, d):
-    return reports.performance_report(model_scores(spark, d))
+    return quality_report(model_of(spark, d), model_scores(spark, d))
 
 
 def memo_batch(spark, d):

@@ -12,6 +12,8 @@ from pdengine import fixed_values as fv
 from pdengine.functions.bands import band, blend
 from pdengine.operators.prefix import exact_quantiles, rank_against_reference, value_counts
 
+META_COLS = ["borrower_id", "segment", "exposure_at_risk", "rm_note", "default", "loan_vintage_month", "split"]
+
 
 def reference_distribution(train: DataFrame, gbm_col: str, cox_col: str) -> DataFrame:
     """Distinct train scores with their counts, ``(kind, value, ref_count)``."""

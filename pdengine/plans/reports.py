@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.operators.paging import page
@@ -200,6 +200,11 @@ def performance_report(book: DataFrame, score: str = "pd_score", label: str = "d
     return quality.unionByName(recall).unionByName(sizes).unionByName(shares)
 
 
+def threshold_rows(spark: SparkSession, high: float, elevated: float) -> DataFrame:
+    rows = [("band_threshold", "high", float(high)), ("band_threshold", "elevated", float(elevated))]
+    return spark.createDataFrame(rows, "metric string, detail string, value double")
+
+
 def settings_report(book: DataFrame, cuts: DataFrame, horizon: Column, text_model: str) -> DataFrame:
     """Configuration and book size as ``(setting, value)`` rows."""
     facts = book.agg(

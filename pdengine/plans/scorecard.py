@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine.operators.reasons import contribution, top_contributions
-from pdengine.plans.fusion import band_cuts, banded, rank_and_blend, reference_distribution
+from pdengine.plans.fusion import META_COLS, band_cuts, banded, rank_and_blend, reference_distribution
 from pdengine.sources.loan_book import loan_book
 from pdengine.staging import stage
 
@@ -21,7 +21,6 @@ GBM_BETA = {
     "avg_util_ratio": 0.8,
     "avg_pay_ratio": -0.6,
 }
-META = ["borrower_id", "segment", "exposure_at_risk", "rm_note", "default", "loan_vintage_month", "split"]
 
 
 def with_scores(features: DataFrame) -> DataFrame:
@@ -80,7 +79,7 @@ def join_scores(meta: DataFrame, fused: DataFrame) -> DataFrame:
 def scored_book(spark: SparkSession, folder: str) -> DataFrame:
     def build():
         fresh = scores(spark, folder).select("borrower_id", "pd_score")
-        joined = join_scores(loan_book(spark, folder).select(*META), fresh)
+        joined = join_scores(loan_book(spark, folder).select(*META_COLS), fresh)
         return joined.withColumn("band", banded(F.col("pd_score"), cuts(spark, folder)))
 
     return stage(spark, f"scorecard-book:{folder}", build)

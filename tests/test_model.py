@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pdengine import fixed_values as fv
 from pdengine.operators.metrics import ranking_metrics
 from pdengine.plans import scoring
+from pdengine.plans.jobs import rescore_job, training_job
+from pdengine.plans.memos import memo_records, write_memos
 from pdengine.plans.reports import newly_high, transition_counts
 from pdengine.plans.training import RiskModel, TrainingConfig, evaluate, train
 from pdengine.sources import store
@@ -141,3 +143,28 @@ def test_streamed_applications_get_the_same_scores(spark, folder, fitted, tmp_pa
     streamed = {r.application_id: r.pd_score for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     at_once = {r.application_id: r.pd_score for r in scoring.score_applications(model, table).collect()}
     assert streamed == at_once and streamed
+
+
+def test_training_and_rescore_jobs(spark, folder, tmp_path):
+    path = str(tmp_path / "job")
+    training_job(loan_book(spark, folder), path, TrainingConfig(n_trees=2, min_leaf=5))
+    assert store.read_book(spark, f"{path}/scored_book").columns != []
+    metrics = {r.metric for r in spark.read.json(f"{path}/metrics_report").collect()}
+    assert {"auc", "gini", "ks_statistic", "recall_at_top_20pct", "band_threshold", "feature_importance"} <= metrics
+    row = rescore_job(spark, path, str(tmp_path / "again"), 1.5).first()
+    assert (row.scored_at, row.n_scored) == (1.5, loan_book(spark, folder).count())
+    before = store.read_book(spark, f"{path}/scored_book", ["borrower_id", "pd_score"])
+    after = store.read_book(spark, str(tmp_path / "again"), ["borrower_id", "pd_score"])
+    assert before.exceptAll(after).count() == 0
+
+
+def test_memos_are_written_as_records(spark, folder, fitted, tmp_path):
+    book, model, features, _, _ = fitted
+    details = scoring.loan_details(model, features.where("borrower_id < 20"), book)
+    write_memos(memo_records(details, 1_700_000_000), str(tmp_path / "memos"))
+    memos = spark.read.json(str(tmp_path / "memos"))
+    assert memos.count() == details.count() > 0
+    first = memos.first()
+    assert first.memo_id == f"{first.borrower_id}_1700000000"
+    assert first.generated_at == "2023-11-14 22:13:20 UTC"
+    assert len(first.reason_codes) == fv.TOP_REASONS
