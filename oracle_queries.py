@@ -132,7 +132,7 @@ binned AS (
   SELECT f.*, len(list_filter(e[2:-2], lambda x: x < LIMIT_BAL)) AS limit_bin FROM features f, edges),
 book AS (
   SELECT *, b AS borrower_id, {_segment_case()} AS segment,
-    round(LIMIT_BAL * (0.3::DOUBLE + greatest(0::DOUBLE, least(1.5::DOUBLE, avg_util_ratio))), 2) AS exposure_at_risk,
+    round_even(LIMIT_BAL * (0.3::DOUBLE + greatest(0::DOUBLE, least(1.5::DOUBLE, avg_util_ratio))) * 100, 0) / 100 AS exposure_at_risk,
     {_note_case()} AS rm_note,
     CASE {" ".join(f"WHEN PAY_{k} > 0 THEN {k}" for k in K)} ELSE 6 END AS duration,
     "default" AS event,
@@ -405,8 +405,8 @@ ORACLES = {
     "recommended_action": SCORED + f" SELECT borrower_id, band, {ACTION} AS recommended_action FROM scored",
     "emi": WITH_BOOK + """, t AS (SELECT borrower_id, BILL_AMT1 AS principal, (b % 25)::DOUBLE AS rate_pct,
         1 + b % 360 AS tenure_months, (b % 25)::DOUBLE / 100 / 12 AS r FROM book)
-        SELECT borrower_id, principal, rate_pct, tenure_months, round(CASE WHEN r = 0 THEN principal / tenure_months
-          ELSE principal * r * pow(1 + r, tenure_months) / (pow(1 + r, tenure_months) - 1) END, 6) AS emi FROM t""",
+        SELECT borrower_id, principal, rate_pct, tenure_months, round_even(1e6 * CASE WHEN r = 0 THEN principal / tenure_months
+          ELSE principal * r * pow(1 + r, tenure_months) / (pow(1 + r, tenure_months) - 1) END, 0) / 1e6 AS emi FROM t""",
     "new_loan_rows": "WITH " + APPLICATIONS + f""" SELECT application_id, loan_amount AS LIMIT_BAL, age AS AGE,
         {", ".join(f"{CODE} AS PAY_{k}" for k in K)},
         {", ".join(f"credit_utilization_pct / 100 * loan_amount AS BILL_AMT{k}" for k in K)},
@@ -504,9 +504,10 @@ ORACLES = {
         UNION ALL SELECT 'newly_high_exposure', 'ALL', newly_high_exposure FROM newly
         UNION ALL SELECT 'total_exposure', 'ALL', total_exposure FROM newly)
         SELECT 'utilization_shock' AS scenario, {UTILIZATION_STEP}::DOUBLE AS magnitude, * FROM items""",
-    "what_if_terms": WHAT_IF + """ SELECT b AS request_id, b AS borrower_id, round(applied_emi, 6) AS applied_emi,
-        round(new_principal, 6) AS applied_principal, round(avg_util_ratio, 6) AS avg_util_ratio,
-        round(avg_pay_ratio, 6) AS avg_pay_ratio FROM changed""",
+    "what_if_terms": WHAT_IF + """ SELECT b AS request_id, b AS borrower_id, round_even(applied_emi * 1e6, 0) / 1e6 AS applied_emi,
+        round_even(new_principal * 1e6, 0) / 1e6 AS applied_principal,
+        round_even(avg_util_ratio * 1e6, 0) / 1e6 AS avg_util_ratio,
+        round_even(avg_pay_ratio * 1e6, 0) / 1e6 AS avg_pay_ratio FROM changed""",
     "performance_report": METRICS + """ SELECT 'auc' AS metric, '' AS detail, round(auc, 8) AS value FROM auc
         UNION ALL SELECT 'gini', '', round(2 * auc - 1, 8) FROM auc
         UNION ALL SELECT 'ks_statistic', '', round(ks, 8) FROM auc

@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.functions.bands import action
-from pdengine.functions.features import duration, exposure_at_risk, pay_ratio, recode_categories, with_features
+from pdengine.functions.features import (
+    duration,
+    exposure_at_risk,
+    pay_ratio,
+    recode_categories,
+    round_to,
+    with_features,
+)
 from pdengine.functions.finance import emi
 from pdengine.functions.hashing import hash_uniform
 from pdengine.functions.wording import escape_xml, memo_summary, reason_text
@@ -98,7 +105,7 @@ def emi_query(spark, d):
         (1 + b % 360).cast("int").alias("tenure_months"),
     )
     level = emi(F.col("principal"), F.col("rate_pct"), F.col("tenure_months"))
-    return terms.withColumn("emi", F.round(level, 6))
+    return terms.withColumn("emi", round_to(level, 6))
 
 
 def _valid_applications(spark, d):
@@ -392,7 +399,7 @@ def what_if_terms(spark, d):
     versions = requests.what_if_rows(asked, loan_book(spark, d))
     return with_features(versions.where(F.col("stage") == "new")).select(
         "request_id", "borrower_id",
-        *[F.round(c, 6).alias(c) for c in ("applied_emi", "applied_principal", "avg_util_ratio", "avg_pay_ratio")],
+        *[round_to(F.col(c), 6).alias(c) for c in ("applied_emi", "applied_principal", "avg_util_ratio", "avg_pay_ratio")],
     )
 
 

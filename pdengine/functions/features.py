@@ -20,6 +20,12 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
+def round_to(value: Column, digits: int) -> Column:
+    """Scale, round ties to even, scale back: the usual rounding of numeric libraries, in plain doubles."""
+    scale = F.lit(float(10**digits))
+    return F.rint(value * scale) / scale
+
+
 def safe_ratio(top: Column, bottom: Column) -> Column:
     return top / F.nullif(bottom, F.lit(0.0))
 
@@ -66,7 +72,7 @@ def with_features(accounts: DataFrame, mode: str = "serve") -> DataFrame:
 
 def exposure_at_risk() -> Column:
     used = clip(F.col("avg_util_ratio"), *fv.EXPOSURE_UTILIZATION_CLIP)
-    return F.round(F.col("LIMIT_BAL") * (F.lit(fv.EXPOSURE_BASE) + used), 2)
+    return round_to(F.col("LIMIT_BAL") * (F.lit(fv.EXPOSURE_BASE) + used), 2)
 
 
 def duration() -> Column:
