@@ -1,4 +1,7 @@
-"""Plain-language sentences: reason codes and memo text, as column expressions."""
+"""Plain-language sentences: reason codes and memo text, as column expressions.
+
+The wordings are fixed values: reports and readers rely on the exact text.
+"""
 
 from __future__ import annotations
 
