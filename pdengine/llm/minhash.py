@@ -209,19 +209,31 @@ def _rest(apart: DataFrame, sets: DataFrame, alike: Column, percent: int) -> Dat
     Sizes, sketches and full sets are compared inside the join, so only links leave it.
     Members meet in classes of nearly equal size, and only in the first bucket they share.
     """
-    full = apart.join(sets, "doc_id")
-    one, two = (full.select("key", *[F.col(c).alias(f"{c}{i}") for c in full.columns if c != "key"]) for i in "12")
-    classes = [F.floor(F.log(F.col(f"n_shingles{i}").cast("double")) / math.log(100 / percent) + 1e-9) for i in "12"]
-    one = one.withColumn("class", F.explode(F.array(classes[0], classes[0] + 1)))
-    two = two.withColumn("class", classes[1])
+    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        one, two = (rows.select("key", *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "key"]) for i in "12")
+        classes = [F.floor(F.log(F.col(f"n_shingles{i}").cast("double")) / math.log(100 / percent) + 1e-9) for i in "12"]
+        return one.withColumn("class", F.explode(F.array(classes[0], classes[0] + 1))), two.withColumn("class", classes[1])
+
     sizes = F.col("n_shingles1"), F.col("n_shingles2")
     ordered = (sizes[0] < sizes[1]) | ((sizes[0] == sizes[1]) & (F.col("doc_id1") < F.col("doc_id2")))
+    cheap = (F.col("comp1") != F.col("comp2")) & ordered & alike
+    # members without any possible partner in their bucket go before sets, which are large, are attached
+    one, two = sides(apart)
+    keys = ["key", "class"]
+    met = (F.col("key") == F.col("k")) & (F.col("class") == F.col("c")) & cheap
+    renamed = lambda df: df.withColumnsRenamed({"key": "k", "class": "c"})
+    lively = (
+        one.join(renamed(two), met, "left_semi").select("key", F.col("doc_id1").alias("doc_id"))
+        .union(two.join(renamed(one), met, "left_semi").select("key", F.col("doc_id2").alias("doc_id")))
+        .distinct()
+    )
+    full = staged(apart.join(lively, ["key", "doc_id"], "left_semi")).join(sets, "doc_id")
+    one, two = sides(full)
     first = F.element_at(F.array_intersect("bands1", "bands2"), 1) == F.col("key")
     same = F.size(F.array_intersect("s1", "s2"))
     linked = same * (100 + percent) >= (sizes[0] + sizes[1]) * percent
-    cheap = (F.col("comp1") != F.col("comp2")) & ordered & alike
     return (
-        one.join(two, ["key", "class"])
+        one.join(two, keys)
         .where(F.when(cheap, F.when(first, linked)))  # in this order, the dear test last
         .select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"))
         .distinct()

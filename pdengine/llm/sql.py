@@ -42,4 +42,108 @@ FROM sizes n LEFT JOIN least_reached l ON l.a = n.doc_id
 """
 
 
-NEAR_DUPLICATES = near_duplicates(3, 85)
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def common_lines(min_docs: int, min_points: int) -> str:
+    return f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+    SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM split
+),
+keyed AS (SELECT *, translate(trim(line, {_BLANK}), '{UPPER}', '{LOWER}') AS k FROM lines),
+common AS (
+    SELECT k FROM keyed WHERE length(k) >= {min_points} GROUP BY k HAVING count(DISTINCT doc_id) >= {min_docs}
+)
+SELECT y.doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+FROM keyed y LEFT JOIN common c ON c.k = y.k GROUP BY y.doc_id
+"""
+
+
+def _time(share: str, knots) -> str:
+    pieces = list(zip(knots, knots[1:], strict=False))
+    areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in pieces]
+    total, done, cases = sum(areas), 0.0, []
+    for ((t0, w0), (t1, w1)), area in zip(pieces, areas, strict=True):
+        need, slope = f"({share} * {total}::DOUBLE - {done}::DOUBLE)", (w1 - w0) / (t1 - t0)
+        done += area
+        time = f"({t0}::DOUBLE + 2 * {need} / ({w0}::DOUBLE + sqrt({w0 * w0}::DOUBLE + {2 * slope}::DOUBLE * {need})))"
+        cases.append(f"WHEN {share} * {total}::DOUBLE <= {done}::DOUBLE THEN {time}")
+    last = cases.pop().split(" THEN ", 1)[1]
+    out = f"(CASE {' '.join(cases)} ELSE {last} END)" if cases else last
+    return f"least(greatest({out}, 0.0::DOUBLE), 1.0::DOUBLE)"
+
+
+def mixing(budget: float, most: float, weights, schedules) -> str:
+    def time(seen: str, words: str) -> str:
+        cases = " ".join(f"WHEN kind = {k} THEN {_time(f'(({seen}) / target)', s)}" for k, s in enumerate(schedules))
+        return f"CASE WHEN {words} > 0 THEN CASE {cases} END END"
+
+    return f"""
+WITH sizes AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents
+),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} AS kind
+    FROM sizes GROUP BY source
+),
+weighed AS (
+    SELECT *, ({list(map(float, weights))}::DOUBLE[])[kind + 1] AS w, {most}::DOUBLE * source_size AS cap FROM sources
+),
+filling AS (
+    SELECT *, sum(cap) OVER o - cap AS capped, sum(w) OVER () - (sum(w) OVER o - w) AS open, sum(source_size) OVER () AS total
+    FROM weighed WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+),
+level AS (SELECT max(({budget}::DOUBLE * total - capped) / open) AS v FROM filling WHERE total > 0),
+targets AS (SELECT source, source_size, kind, coalesce(least(cap, v * w), 0.0::DOUBLE) AS target FROM weighed CROSS JOIN level),
+placed AS (
+    SELECT s.*, t.source_size, t.kind, t.target, CAST(floor(t.target) AS BIGINT) AS goal,
+           CAST(sum(size) OVER (PARTITION BY s.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS seen
+    FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+),
+used AS (
+    SELECT *, greatest(least(size, goal - seen), 0) AS once, greatest(least(size, goal - (seen + source_size)), 0) AS twice FROM placed
+)
+SELECT doc_id, size, source_size, target, CAST(once + twice AS BIGINT) AS taken,
+       {time('seen', 'once')} AS position, {time('seen + source_size', 'twice')} AS again
+FROM used
+"""
+
+
+_VECTORS = """
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+"""
+
+
+def nearest(every: int, k: int) -> str:
+    return f"""
+WITH usable AS ({_VECTORS}),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % {every} = 0
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= {k}
+"""
+
+
+def near_vectors(least: float) -> str:
+    return f"""
+WITH RECURSIVE usable AS ({_VECTORS}),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= {least}
+),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_reached AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least_reached l ON l.a = e.vec_id
+"""

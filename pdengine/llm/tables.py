@@ -10,15 +10,27 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pdengine.staging import materialise as staged
+from pdengine.staging import materialise
 
 __all__ = ["ascii_lower", "attach", "slices", "spread", "staged"]
 
 #: A key is hot when it holds more than this share of the rows; fewer than 1/share keys can be.
 HOT_SHARE = 1e-3
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back; the shuffle files of its making go at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialise(df)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character left alone.
 
@@ -54,7 +66,7 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], size: str, out:
     lost = functools.reduce(operator.or_, [F.col(k).isNull() for k in keys])
     found = rows.join(F.broadcast(hot), same("_h"), "left").withColumn(
         "_s",
-        F.when(F.col("_hot").isNotNull() | lost, 1 + F.floor(F.rand(7) * (1 << 20))).otherwise(0).cast("int"),
+        F.when(F.col("_hot").isNotNull() | lost, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).otherwise(0).cast("int"),
     )
     joined = found.join(cold, same("_k") & (F.col("_s") == F.col("_z")), "left")
     kept = [c for c in rows.columns if c not in out]
