@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine.llm import (
-    embedding_dedup, licenses, line_dedup, minhash, mixing, neighbours, quality, sentencepiece, sql, token_counts,
+    embedding_dedup, licenses, line_dedup, minhash, mixing, neighbours, quality, sentencepiece, sql, suffixes,
+    token_counts,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,7 @@ VOCABULARIES = "/opt/tokenizers"
 WORD_BPE, PIECE_BPE = f"{VOCABULARIES}/word_bpe_49k.json", f"{VOCABULARIES}/piece_bpe_32k.model"
 QUERY_EVERY, NEIGHBOURS, SAME = 50, 5, 0.98
 MIN_DOCS, MIN_POINTS = 10, 1
+REPEAT_BYTES = 200
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +34,10 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, folder, "documents"), REPEAT_BYTES).drop("kept")
+
+
 def op4_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings")
     return neighbours.search(vectors.where(F.col("vec_id") % QUERY_EVERY == 0), vectors, NEIGHBOURS)
@@ -68,6 +74,7 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_nearest_vectors": op4_nearest_vectors,
     "op5_mix_sources": op5_mix_sources,
     "op6_sentencepiece": op6_sentencepiece,
