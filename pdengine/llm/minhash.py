@@ -185,7 +185,7 @@ def near_duplicates(
         found = staged(_confirmed(pairs.distinct(), sets, percent))
         links = found if links is None else links.union(found)
     labels = staged(components(links))
-    links = links.union(staged(_rest(_apart(members, "", labels).drop("lo", "hi"), sets.join(placing, "doc_id"), alike, percent)))
+    links = links.union(staged(_rest(_apart(members, "", labels).drop("lo", "hi"), placing, sets, alike, percent)))
 
     labels = components(links)
     final = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -203,37 +203,37 @@ def near_duplicates(
     )
 
 
-def _rest(apart: DataFrame, sets: DataFrame, alike: Column, percent: int) -> DataFrame:
+def _rest(apart: DataFrame, placing: DataFrame, sets: DataFrame, alike: Column, percent: int) -> DataFrame:
     """Links between members of one bucket that lie in different components.
 
-    Sizes, sketches and full sets are compared inside the join, so only links leave it.
-    Members meet in classes of nearly equal size, and only in the first bucket they share.
+    Members meet in classes of nearly equal size, a pair only in the first
+    bucket it shares. Sizes and sketches say which members have a possible
+    partner at all; only to these are the full sets, which are large, attached.
+    Sets are compared inside the join, so nothing but links leaves it.
     """
-    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        one, two = (rows.select("key", *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "key"]) for i in "12")
-        classes = [F.floor(F.log(F.col(f"n_shingles{i}").cast("double")) / math.log(100 / percent) + 1e-9) for i in "12"]
-        return one.withColumn("class", F.explode(F.array(classes[0], classes[0] + 1))), two.withColumn("class", classes[1])
+    rows = apart.join(placing, "doc_id")
+    one, two = (rows.select("key", *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "key"]) for i in "12")
+    classes = [F.floor(F.log(F.col(f"n_shingles{i}").cast("double")) / math.log(100 / percent) + 1e-9) for i in "12"]
+    one = one.withColumn("class", F.explode(F.array(classes[0], classes[0] + 1)))
+    two = two.withColumn("class", classes[1])
 
     sizes = F.col("n_shingles1"), F.col("n_shingles2")
     ordered = (sizes[0] < sizes[1]) | ((sizes[0] == sizes[1]) & (F.col("doc_id1") < F.col("doc_id2")))
     cheap = (F.col("comp1") != F.col("comp2")) & ordered & alike
-    # members without any possible partner in their bucket go before sets, which are large, are attached
-    one, two = sides(apart)
-    keys = ["key", "class"]
-    met = (F.col("key") == F.col("k")) & (F.col("class") == F.col("c")) & cheap
-    renamed = lambda df: df.withColumnsRenamed({"key": "k", "class": "c"})
-    lively = (
-        one.join(renamed(two), met, "left_semi").select("key", F.col("doc_id1").alias("doc_id"))
-        .union(two.join(renamed(one), met, "left_semi").select("key", F.col("doc_id2").alias("doc_id")))
-        .distinct()
-    )
-    full = staged(apart.join(lively, ["key", "doc_id"], "left_semi")).join(sets, "doc_id")
-    one, two = sides(full)
     first = F.element_at(F.array_intersect("bands1", "bands2"), 1) == F.col("key")
+    met = (F.col("key") == F.col("k")) & (F.col("class") == F.col("c")) & F.when(cheap, first)
+    renamed = {"key": "k", "class": "c"}
+    some_one = staged(one.join(two.withColumnsRenamed(renamed), met, "left_semi"))
+    some_two = staged(two.join(one.withColumnsRenamed(renamed), met, "left_semi"))
+
+    full = [
+        df.join(sets.select(F.col("doc_id").alias(f"doc_id{i}"), F.col("s").alias(f"s{i}")), f"doc_id{i}")
+        for i, df in (("1", some_one), ("2", some_two))
+    ]
     same = F.size(F.array_intersect("s1", "s2"))
     linked = same * (100 + percent) >= (sizes[0] + sizes[1]) * percent
     return (
-        one.join(two, keys)
+        full[0].join(full[1], ["key", "class"])
         .where(F.when(cheap, F.when(first, linked)))  # in this order, the dear test last
         .select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"))
         .distinct()

@@ -44,7 +44,8 @@ def training_time(share: Column, knots: tuple[tuple[float, float], ...]) -> Colu
         need = share * total - done
         slope = (w1 - w0) / (t1 - t0)
         # slope/2 x^2 + w0 x = need, in the form that has no cancellation
-        parts.append((done + area, t0 + 2 * need / (w0 + F.sqrt(w0 * w0 + 2 * slope * need))))
+        step = F.try_divide(2 * need, w0 + F.sqrt(w0 * w0 + 2 * slope * need))
+        parts.append((done + area, t0 + F.coalesce(step, F.lit(0.0))))
         done += area
     out = parts[-1][1]
     for upto, time in reversed(parts[:-1]):
