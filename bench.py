@@ -36,13 +36,14 @@ QUERIES = {
     "reason_text": catalog.reason_text_query,
     "memo_records": catalog.memo_records_query,
     "escape_text": catalog.escape_text,
-    "train_30_trees": model_catalog.model_scores,
+    "train_model": model_catalog.model_scores,
     "rescore_book": model_catalog.rescore_book,
     "score_applications": model_catalog.score_applications,
     "what_if_scores": model_catalog.what_if_scores,
     "model_stress_delinquency": model_catalog.model_stress_delinquency,
     "shap_contributions": model_catalog.shap_contributions,
     "loan_detail": model_catalog.loan_detail,
+    "model_performance": model_catalog.model_performance,
 }
 
 
@@ -56,12 +57,14 @@ def main() -> None:
         query(spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
+    quality = {r.metric: round(r.value, 4) for r in model_catalog.model_performance(spark, folder).where("detail = ''").collect()}
     print(json.dumps({
         "metric": "headline query total",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
         "sf": Path(folder).name.removeprefix("sf"),
+        "quality": quality,
     }))
     spark.stop()
 

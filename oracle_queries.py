@@ -309,25 +309,25 @@ def _all_reasons() -> str:
 
 APPLICATIONS = f"""
 applications AS (
-  SELECT b AS application_id, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * 40 AS DOUBLE) AS loan_amount, 15 + (b * 31) % 90 AS age,
-    (b * 7) % 400 AS tenure_months,
+  SELECT b AS application_id, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * 40 AS DOUBLE) AS loan_amount, CASE WHEN b % 11 > 0 THEN 15 + (b * 31) % 90 END AS age,
+    CASE WHEN b % 13 > 0 THEN (b * 7) % 400 END AS tenure_months,
     CAST(abs(CAST(c_acctbal AS DECIMAL(12,2))) * (1 + b % 7)::INTEGER AS DOUBLE) AS existing_emi, ((b * 13) % 320)::DOUBLE AS credit_utilization_pct,
-    ['clean','minor_delay','moderate_delay','severe_delinquency','unknown'][b % 5 + 1] AS repayment_history,
+    CASE WHEN b % 17 > 0 THEN ['clean','minor_delay','moderate_delay','severe_delinquency','unknown'][b % 5 + 1] END AS repayment_history,
     CASE b % 4 WHEN 0 THEN '' WHEN 1 THEN 'SME' WHEN 2 THEN 'Agri' ELSE c_mktsegment END AS segment,
     CASE WHEN b % 6 > 0 THEN {_list(NEUTRAL)}[b % {len(NEUTRAL)} + 1] END AS rm_note
   FROM (SELECT c_custkey AS b, * FROM customer)),
 checked AS (
   SELECT *, [CASE WHEN loan_amount > 0 THEN NULL ELSE 'loan_amount' END,
-             CASE WHEN age BETWEEN 18 AND 100 THEN NULL ELSE 'age' END,
-             CASE WHEN tenure_months BETWEEN 1 AND 360 THEN NULL ELSE 'tenure_months' END,
+             CASE WHEN coalesce(age BETWEEN 18 AND 100, true) THEN NULL ELSE 'age' END,
+             CASE WHEN coalesce(tenure_months BETWEEN 1 AND 360, true) THEN NULL ELSE 'tenure_months' END,
              CASE WHEN existing_emi >= 0 THEN NULL ELSE 'existing_emi' END,
              CASE WHEN credit_utilization_pct BETWEEN 0 AND 300 THEN NULL ELSE 'credit_utilization_pct' END,
-             CASE WHEN repayment_history IN ('clean','minor_delay','moderate_delay','severe_delinquency')
+             CASE WHEN coalesce(repayment_history, 'clean') IN ('clean','minor_delay','moderate_delay','severe_delinquency')
                   THEN NULL ELSE 'repayment_history' END] AS problems
   FROM applications),
 fine AS (SELECT * FROM checked WHERE len(list_filter(problems, lambda p: p IS NOT NULL)) = 0)"""
 
-CODE = "CASE repayment_history WHEN 'clean' THEN -1.0::DOUBLE WHEN 'minor_delay' THEN 1 WHEN 'moderate_delay' THEN 2 ELSE 4 END"
+CODE = "CASE coalesce(repayment_history, 'clean') WHEN 'clean' THEN -1.0::DOUBLE WHEN 'minor_delay' THEN 1 WHEN 'moderate_delay' THEN 2 ELSE 4 END"
 
 MODES = ", ".join(
     f"(SELECT {c} FROM book GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}" for c in fv.CATEGORICAL_FEATURES
@@ -407,7 +407,7 @@ ORACLES = {
         1 + b % 360 AS tenure_months, (b % 25)::DOUBLE / 100 / 12 AS r FROM book)
         SELECT borrower_id, principal, rate_pct, tenure_months, round_even(1e6 * CASE WHEN r = 0 THEN principal / tenure_months
           ELSE principal * r * pow(1 + r, tenure_months) / (pow(1 + r, tenure_months) - 1) END, 0) / 1e6 AS emi FROM t""",
-    "new_loan_rows": "WITH " + APPLICATIONS + f""" SELECT application_id, loan_amount AS LIMIT_BAL, age AS AGE,
+    "new_loan_rows": "WITH " + APPLICATIONS + f""" SELECT application_id, loan_amount AS LIMIT_BAL, coalesce(age, 35) AS AGE,
         {", ".join(f"{CODE} AS PAY_{k}" for k in K)},
         {", ".join(f"credit_utilization_pct / 100 * loan_amount AS BILL_AMT{k}" for k in K)},
         {", ".join(f"existing_emi AS PAY_AMT{k}" for k in K)},
@@ -485,6 +485,18 @@ ORACLES = {
           FROM scored WHERE segment = 'SME'), n AS (SELECT count(*) AS total FROM w)
         SELECT w.*, total, 21 AS row_from, least(70, total) AS row_to FROM w, n
         ORDER BY exposure_at_risk DESC, borrower_id LIMIT 50 OFFSET 20""",
+    "watchlist_deep_page": SCORED + """, w AS (SELECT borrower_id, segment,
+          CASE WHEN borrower_id % 7 > 0 THEN exposure_at_risk END AS exposure_at_risk FROM scored)
+        SELECT * FROM w ORDER BY exposure_at_risk DESC NULLS LAST, borrower_id
+        LIMIT 60 OFFSET (SELECT greatest(count(exposure_at_risk) - 30, 0) FROM w)""",
+    "what_if_rejects": WITH_BOOK + """, asked AS (
+          SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 90 END AS rate,
+            CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 400 END AS tenure,
+            CASE WHEN c_custkey % 5 > 0 THEN c_acctbal END AS principal FROM customer)
+        SELECT request_id, 'new_rate_pct' AS reason FROM asked WHERE rate NOT BETWEEN 0 AND 60
+        UNION ALL SELECT request_id, 'new_tenure_months' FROM asked WHERE tenure NOT BETWEEN 1 AND 360
+        UNION ALL SELECT request_id, 'new_principal' FROM asked WHERE NOT principal > 0
+        UNION ALL SELECT request_id, 'borrower_id' FROM asked WHERE request_id NOT IN (SELECT b FROM book)""",
     "top_risk": EXPLAINED + """ SELECT borrower_id, pd_score, band, array_to_string(reasons, ' | ') AS reasons,
         act AS recommended_action FROM memos ORDER BY pd_score DESC, borrower_id LIMIT 10""",
     "note_sample": WITH_BOOK + f""" SELECT borrower_id, delinquency_trend, months_delinquent, rm_note FROM book

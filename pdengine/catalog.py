@@ -19,7 +19,9 @@ from pdengine.functions.hashing import hash_uniform
 from pdengine.functions.wording import escape_xml, memo_summary, reason_text
 from pdengine.operators import lookup
 from pdengine.operators.binning import with_quantile_bin
+from pdengine.operators.cox import CoxModel
 from pdengine.operators.metrics import ranking_metrics, recall_at_top
+from pdengine.operators.paging import page
 from pdengine.operators.prefix import exact_quantiles
 from pdengine.operators.reasons import contribution, reason_codes
 from pdengine.operators.scaling import column_stats, zscore
@@ -227,7 +229,10 @@ def rank_reference(spark, d):
 
 
 def cox_risk(spark, d):
-    return scorecard.with_scores(loan_book(spark, d)).select("borrower_id", "frozen_cox")
+    """Risk at the horizon of a hazard model with the scorecard's coefficients."""
+    beta = scorecard.COX_BETA
+    model = CoxModel(list(beta), list(beta.values()), [1.0, 6.0], [scorecard.BASE_HAZARD / 2, scorecard.BASE_HAZARD])
+    return loan_book(spark, d).select("borrower_id", F.round(model.risk(), 6).alias("frozen_cox"))
 
 
 def default_rate_by_split(spark, d):
@@ -324,6 +329,19 @@ def watchlist_page(spark, d):
     return reports.watchlist_page(scorecard.scored_book(spark, d), segment="SME", limit=50, offset=20)
 
 
+def watchlist_deep_page(spark, d):
+    """A page by counted positions, across the border to loans without a value."""
+    rows = scorecard.scored_book(spark, d).select(
+        "borrower_id", "segment", F.when(F.col("borrower_id") % 7 > 0, F.col("exposure_at_risk")).alias("exposure_at_risk")
+    )
+    valued = rows.agg(F.count("exposure_at_risk").alias("n")).first()["n"]
+    return page(rows, "exposure_at_risk", "borrower_id", 60, max(valued - 30, 0), shallow=0)
+
+
+def what_if_rejects(spark, d):
+    return requests.what_if_rejects(samples.unchecked_what_ifs(spark, d), loan_book(spark, d))
+
+
 def top_risk(spark, d):
     """The reasons are worked out for the n loans only."""
     top = reports.top_risk(scorecard.scored_book(spark, d), 10)
@@ -463,6 +481,8 @@ CHECKED = {
     "limit_qcut": limit_qcut,
     "reason_topk": reason_topk,
     "watchlist_page": watchlist_page,
+    "watchlist_deep_page": watchlist_deep_page,
+    "what_if_rejects": what_if_rejects,
     "top_risk": top_risk,
     "note_sample": note_sample,
     "union_splits": union_splits,

@@ -85,7 +85,39 @@ ACTIONS = {
     "Watch": "Include in standard quarterly monitoring; no immediate action required.",
 }
 
-METRICS_NOTE = (
-    "Ranking metrics are reported instead of accuracy because default is a rare event. "
-    "The out-of-time split uses a generated vintage month."
+# Sentences of reason codes; {names} are filled per loan.
+REASON_SENTENCES = {
+    "status_late": "Repayment status in {cycle} shows a {count}-month delay",
+    "status_on_time": "Repayment status in {cycle} was on time",
+    "months_delinquent": "{count} of the last 6 billing cycles were delinquent",
+    "no_delinquency": "No delinquency recorded in the observed window",
+    "max_delinquency": "Worst delinquency reached {count} month(s) overdue",
+    "trend_worse": "Repayment status has worsened by {size} point(s) over the last 6 cycles",
+    "trend_better": "Repayment status has improved by {size} point(s) over the last 6 cycles",
+    "utilization_high": "Average credit utilization is elevated at {percent} of limit",
+    "utilization_fair": "Average credit utilization is moderate at {percent} of limit",
+    "utilization_now": "Most recent billing cycle utilization at {percent} of limit",
+    "pays_little": "Payments covering only {percent} of the billed amount on average",
+    "pays_well": "Payments consistently covering {percent} of the billed amount",
+    "bill_up": "Outstanding bill has grown by Rs {amount} over the observed window",
+    "bill_down": "Outstanding bill has declined by Rs {amount} over the observed window",
+    "limit": "Sanctioned credit limit of {rupees}",
+    "age": "Borrower age {count}",
+    "segment": "Exposure is on {segment} product line, which carries a different baseline risk",
+    "profile": "Demographic profile factor ({name} category {category})",
+    "note_higher": 'RM note content pushed the score higher: "{note}"',
+    "note_lower": 'RM note content pushed the score lower: "{note}"',
+    "bill": "Outstanding bill in {cycle} was {rupees}",
+    "payment": "Payment made in {cycle} was {rupees}",
+    "other": "{label} = {any}",
+}
+CYCLE_PHRASES = {"latest": "the most recent billing cycle", "earlier": "{cycle} billing cycles ago"}
+MEMO_SENTENCE = (
+    "Borrower {borrower} ({segment} segment, exposure at risk Rs {exposure}) is currently scored {score}/100, "
+    "placing the account in the {band} band. This is primarily driven by: {drivers}. {action}"
 )
+
+# What an application that leaves a field out is taken to say.
+DEFAULT_AGE = 35
+DEFAULT_TENURE = 12
+DEFAULT_HISTORY = "clean"

@@ -10,8 +10,10 @@ def blend(gbm_rank: Column, cox_rank: Column) -> Column:
 
 
 def band(score: Column, high_cut: Column, elevated_cut: Column) -> Column:
+    """An unscored loan has no band."""
     return (
-        F.when(score >= high_cut, F.lit("High"))
+        F.when(score.isNull(), F.lit(None))
+        .when(score >= high_cut, F.lit("High"))
         .when(score >= elevated_cut, F.lit("Elevated"))
         .otherwise(F.lit("Watch"))
     )

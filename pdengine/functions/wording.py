@@ -1,10 +1,13 @@
 """Plain-language sentences: reason codes and memo text, as column expressions.
 
-The wordings are fixed values: reports and readers rely on the exact text.
+The wordings are fixed values: reports and readers rely on the exact text,
+which stands whole in ``fixed_values``.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from pdengine import fixed_values as fv
@@ -28,10 +31,16 @@ def _count(value: Column) -> Column:
     return value.cast("long").cast("string")
 
 
+def filled(sentence: str, **parts: Column) -> Column:
+    """A whole sentence with its ``{names}`` filled by columns."""
+    pieces = re.split(r"\{(\w+)\}", sentence)
+    columns = [parts[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces) if i % 2 or p]
+    return F.concat(*columns) if len(columns) > 1 else columns[0]
+
+
 def cycle_phrase(cycle: Column) -> Column:
-    return F.when(cycle == "1", F.lit("the most recent billing cycle")).otherwise(
-        F.concat(cycle, F.lit(" billing cycles ago"))
-    )
+    earlier = filled(fv.CYCLE_PHRASES["earlier"], cycle=cycle)
+    return F.when(cycle == "1", F.lit(fv.CYCLE_PHRASES["latest"])).otherwise(earlier)
 
 
 def reason_text(
@@ -42,92 +51,49 @@ def reason_text(
     ``value`` holds numeric features, ``category`` the text of categorical
     ones; the sign of the contribution chooses between paired wordings.
     """
-    raises = contribution > 0
-    cycle = cycle_phrase(F.right(feature, F.lit(1)))
-    rupees = F.concat(F.lit("Rs "), whole(value))
-
-    def say(*parts):
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
     segment = F.coalesce(
         *[F.when(category == name, F.lit(phrase)) for name, phrase in fv.SEGMENT_PHRASES.items()],
         category,
     )
+    parts = {
+        "cycle": cycle_phrase(F.right(feature, F.lit(1))),
+        "count": _count(value),
+        "size": _count(F.abs(value)),
+        "percent": percent(value),
+        "amount": whole(F.abs(value)),
+        "rupees": F.concat(F.lit("Rs "), whole(value)),
+        "segment": segment,
+        "category": category,
+        "name": F.lower(feature),
+        "note": F.coalesce(note, F.lit("")),
+        "label": F.replace(feature, F.lit("_"), F.lit(" ")),
+        "any": F.coalesce(category, value.cast("string")),
+    }
+
+    def say(name: str) -> Column:
+        return filled(fv.REASON_SENTENCES[name], **parts)
+
+    def either(rule: Column, yes: str, no: str) -> Column:
+        return F.when(rule, say(yes)).otherwise(say(no))
+
+    raises = contribution > 0
     return (
-        F.when(
-            feature.isin(fv.PAY_COLS),
-            F.when(
-                value > 0,
-                say("Repayment status in ", cycle, " shows a ", _count(value), "-month delay"),
-            ).otherwise(say("Repayment status in ", cycle, " was on time")),
-        )
-        .when(
-            feature == "months_delinquent",
-            say(_count(value), " of the last 6 billing cycles were delinquent"),
-        )
-        .when(
-            feature == "max_delinquency",
-            F.when(value <= 0, F.lit("No delinquency recorded in the observed window")).otherwise(
-                say("Worst delinquency reached ", _count(value), " month(s) overdue")
-            ),
-        )
-        .when(
-            feature == "delinquency_trend",
-            say(
-                "Repayment status has ",
-                F.when(value > 0, F.lit("worsened")).otherwise(F.lit("improved")),
-                " by ", _count(F.abs(value)), " point(s) over the last 6 cycles",
-            ),
-        )
-        .when(
-            feature == "avg_util_ratio",
-            say(
-                "Average credit utilization is ",
-                F.when(raises, F.lit("elevated")).otherwise(F.lit("moderate")),
-                " at ", percent(value), " of limit",
-            ),
-        )
-        .when(
-            feature == "util_ratio_1",
-            say("Most recent billing cycle utilization at ", percent(value), " of limit"),
-        )
-        .when(
-            feature == "avg_pay_ratio",
-            F.when(
-                raises, say("Payments covering only ", percent(value), " of the billed amount on average")
-            ).otherwise(say("Payments consistently covering ", percent(value), " of the billed amount")),
-        )
-        .when(
-            feature == "bill_trend",
-            say(
-                "Outstanding bill has ",
-                F.when(value > 0, F.lit("grown")).otherwise(F.lit("declined")),
-                " by Rs ", whole(F.abs(value)), " over the observed window",
-            ),
-        )
-        .when(feature == "LIMIT_BAL", say("Sanctioned credit limit of ", rupees))
-        .when(feature == "AGE", say("Borrower age ", _count(value)))
-        .when(
-            feature == "segment",
-            say("Exposure is on ", segment, " product line, which carries a different baseline risk"),
-        )
-        .when(
-            feature.isin("SEX", "EDUCATION", "MARRIAGE"),
-            say("Demographic profile factor (", F.lower(feature), " category ", category, ")"),
-        )
-        .when(
-            feature.startswith("nlp_emb_"),
-            say(
-                "RM note content pushed the score ",
-                F.when(raises, F.lit("higher")).otherwise(F.lit("lower")),
-                ': "', F.coalesce(note, F.lit("")), '"',
-            ),
-        )
-        .when(feature.startswith("BILL_AMT"), say("Outstanding bill in ", cycle, " was ", rupees))
-        .when(feature.startswith("PAY_AMT"), say("Payment made in ", cycle, " was ", rupees))
-        .otherwise(
-            say(F.replace(feature, F.lit("_"), F.lit(" ")), " = ", F.coalesce(category, value.cast("string")))
-        )
+        F.when(feature.isin(fv.PAY_COLS), either(value > 0, "status_late", "status_on_time"))
+        .when(feature == "months_delinquent", say("months_delinquent"))
+        .when(feature == "max_delinquency", either(value <= 0, "no_delinquency", "max_delinquency"))
+        .when(feature == "delinquency_trend", either(value > 0, "trend_worse", "trend_better"))
+        .when(feature == "avg_util_ratio", either(raises, "utilization_high", "utilization_fair"))
+        .when(feature == "util_ratio_1", say("utilization_now"))
+        .when(feature == "avg_pay_ratio", either(raises, "pays_little", "pays_well"))
+        .when(feature == "bill_trend", either(value > 0, "bill_up", "bill_down"))
+        .when(feature == "LIMIT_BAL", say("limit"))
+        .when(feature == "AGE", say("age"))
+        .when(feature == "segment", say("segment"))
+        .when(feature.isin("SEX", "EDUCATION", "MARRIAGE"), say("profile"))
+        .when(feature.startswith("nlp_emb_"), either(raises, "note_higher", "note_lower"))
+        .when(feature.startswith("BILL_AMT"), say("bill"))
+        .when(feature.startswith("PAY_AMT"), say("payment"))
+        .otherwise(say("other"))
     )
 
 
@@ -145,11 +111,9 @@ def memo_summary(
             F.slice(reasons, 1, fv.MEMO_REASONS), lambda r: lower_first(F.rtrim(r["text"], F.lit(".")))
         ),
     )
-    return F.concat(
-        F.lit("Borrower "), borrower.cast("string"),
-        F.lit(" ("), segment, F.lit(" segment, exposure at risk Rs "), whole(exposure),
-        F.lit(") is currently scored "), _plain(score), F.lit("/100, placing the account in the "),
-        band, F.lit(" band. This is primarily driven by: "), drivers, F.lit(". "), action(band),
+    return filled(
+        fv.MEMO_SENTENCE, borrower=borrower.cast("string"), segment=segment, exposure=whole(exposure),
+        score=_plain(score), band=band, drivers=drivers, action=action(band),
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.catalog import DELINQUENCY_STEP, MEMO_EPOCH, UTILIZATION_STEP
-from pdengine.functions.wording import escape_xml
 from pdengine.operators.calibration import apply_isotonic, fit_isotonic
 from pdengine.operators.boosting import with_probability
 from pdengine.operators.lookup import attach
@@ -22,11 +21,9 @@ from pdengine.plans.memos import memo_records
 from pdengine.plans.training import RiskModel, TrainingConfig
 from pdengine.sources import samples, store
 from pdengine.sources.loan_book import loan_book, table
-from pdengine.staging import stage, stage_artifact
+from pdengine.staging import stage, stage_artifact, staged_object
 
-# Fewer trees than the default of 300, so that a small check stays quick.
-QUERY_CONFIG = TrainingConfig(n_trees=30)
-_loaded: dict[str, RiskModel] = {}
+QUERY_CONFIG = TrainingConfig()
 
 
 def _folder(spark: SparkSession, d: str) -> str:
@@ -37,9 +34,7 @@ def _folder(spark: SparkSession, d: str) -> str:
 
 def model_of(spark: SparkSession, d: str) -> RiskModel:
     path = f"{_folder(spark, d)}/model"
-    if path not in _loaded:
-        _loaded[path] = RiskModel.load(spark, path)
-    return _loaded[path]
+    return staged_object(spark, path, lambda: RiskModel.load(spark, path))
 
 
 def feature_book(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +50,7 @@ def model_scores(spark, d):
 
 
 def note_vectors(spark, d):
-    """Length of the note vector and its first two components, per loan."""
+    """The components of each loan's note."""
     model = model_of(spark, d)
     return with_components(loan_book(spark, d).select("borrower_id", "rm_note"), model.text)
 
@@ -112,13 +107,22 @@ def rescore_book(spark, d):
     return scoring.rescore_book(model_of(spark, d), feature_book(spark, d), _meta(spark, d))
 
 
+def _worded(answers: DataFrame) -> DataFrame:
+    return answers.withColumn("reason_codes", F.concat_ws(" | ", F.transform("reason_codes", lambda r: r["text"])))
+
+
 def score_applications(spark, d):
-    return scoring.score_applications(model_of(spark, d), samples.applications(spark, d))
+    return _worded(scoring.score_applications(model_of(spark, d), samples.applications(spark, d)))
 
 
 def loan_detail(spark, d):
-    details = scoring.loan_details(model_of(spark, d), feature_book(spark, d), loan_book(spark, d))
-    return details.withColumn("reason_codes", F.concat_ws(" | ", F.transform("reason_codes", lambda r: r["text"])))
+    return _worded(scoring.loan_details(model_of(spark, d), feature_book(spark, d)))
+
+
+def loan_detail_requested(spark, d):
+    """Details of the loans asked for; only these go through the trees."""
+    asked = samples.requested_ids(spark, d)
+    return _worded(scoring.loan_details(model_of(spark, d), feature_book(spark, d), asked))
 
 
 def what_if_scores(spark, d):
@@ -148,10 +152,7 @@ def model_performance(spark, d):
 
 
 def memo_batch(spark, d):
-    details = scoring.loan_details(model_of(spark, d), feature_book(spark, d), loan_book(spark, d))
-    return memo_records(details, MEMO_EPOCH).select(
-        "memo_id", "borrower_id", "band", "summary", escape_xml(F.col("summary")).alias("summary_xml"), "generated_at"
-    )
+    return _worded(memo_records(scoring.loan_details(model_of(spark, d), feature_book(spark, d)), MEMO_EPOCH))
 
 
 def write_splits(spark, d):
@@ -182,6 +183,7 @@ MODELLED = {
     "rescore_book": rescore_book,
     "score_applications": score_applications,
     "loan_detail": loan_detail,
+    "loan_detail_requested": loan_detail_requested,
     "what_if_scores": what_if_scores,
     "model_stress_utilization": model_stress_utilization,
     "model_stress_delinquency": model_stress_delinquency,

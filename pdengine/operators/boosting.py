@@ -12,6 +12,8 @@ from pdengine import fixed_values as fv
 
 INDEX_COLS = [f"{c}_index" for c in fv.CATEGORICAL_FEATURES]
 # Order of the assembled vector; the names are the model features in that order.
+MAX_BINS = 255
+ROWS_PER_TASK = 20_000
 VECTOR_COLS = fv.NUMERIC_FEATURES + INDEX_COLS + fv.TEXT_FEATURES
 
 
@@ -34,11 +36,21 @@ def boosting_pipeline(
         GBTClassifier(
             labelCol=label, featuresCol="features", maxIter=n_trees, stepSize=learning_rate,
             maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=feature_share,
-            seed=seed, checkpointInterval=10,
+            seed=seed, checkpointInterval=20, maxBins=MAX_BINS, cacheNodeIds=True, maxMemoryInMB=1024,
         ),
     ])
 
 
+def tree_input(rows: DataFrame, label: str = "default") -> DataFrame:
+    """Columns that the trees are fitted on, in as many partitions as the rows are worth.
+
+    Each level of each tree is a job over all partitions, so a few thousand
+    rows per task cost more in scheduling than in work.
+    """
+    needed = rows.select(label, *fv.NUMERIC_FEATURES, *[F.col(c).cast("string").alias(c) for c in fv.CATEGORICAL_FEATURES], *fv.TEXT_FEATURES)
+    return needed.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK)))
+
+
 def with_probability(rows: DataFrame, model: PipelineModel) -> DataFrame:
     """Add ``gbm_proba`` and ``gbm_margin``."""
     text_categories = {c: F.col(c).cast("string") for c in fv.CATEGORICAL_FEATURES}

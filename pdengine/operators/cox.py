@@ -13,7 +13,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_DURATIONS = 10_000
-_EXACT_TIES = 20_000
 _TAIL = 10_000
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(16)
 
@@ -66,12 +65,10 @@ def _tie_slopes(a: float, at_risk: float, tied: float) -> np.ndarray:
 def tied_sums(at_risk: float, tied: float, n: int) -> np.ndarray:
     """Sums of the tie terms over a = 0, 1/n, ..., (n-1)/n.
 
-    Above a size the smooth part is integrated (with the Euler-Maclaurin end
+    All but the last terms are integrated (with the Euler-Maclaurin end
     corrections), so the work does not grow with the number of tied events.
     """
-    if n <= _EXACT_TIES:
-        return _tie_terms(np.arange(n) / n, at_risk, tied).sum(axis=1)
-    head = n - _TAIL
+    head = max(n - _TAIL, 0)
     sums = _tie_terms(np.arange(head, n) / n, at_risk, tied).sum(axis=1)
     end = head / n
     left, integral = 0.0, np.zeros(6)

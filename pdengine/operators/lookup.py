@@ -9,12 +9,19 @@ from pdengine.operators.prefix import skew_safe_lookup
 
 def found(book: DataFrame, ids: DataFrame, key: str = "borrower_id") -> DataFrame:
     """Loans named in ``ids``."""
-    return book.join(ids.select(key), key, "left_semi")
+    return book.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def missing(ids: DataFrame, book: DataFrame, key: str = "borrower_id") -> DataFrame:
-    """Requested ids that are not in the book."""
-    return ids.join(book.select(key), key, "left_anti")
+    """Requests whose loan is not in the book.
+
+    Ids are made distinct before the join; those named by very many requests are broadcast.
+    """
+    named = ids.groupBy(key).agg(F.count(F.lit(1)).alias("hits")).join(book.select(key), key, "left_anti")
+    lookup = named.select(
+        F.col(key).alias("value"), "hits", F.lit(True).alias("_absent"), ids.agg(F.count(F.lit(1))).scalar().alias("all_hits")
+    )
+    return skew_safe_lookup(ids, lookup, key, ids.columns[0], "_absent").where("_absent").select(*ids.columns)
 
 
 def attach(requests: DataFrame, book: DataFrame, request_id: str, key: str = "borrower_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Ranking quality of a score: AUC, Gini, KS and recall in the top share.
 
 All of them are sums over distinct scores, so rows are first merged per score.
+Rows without a score take no part; ``n_unscored`` counts them.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from pdengine.staging import materialise
 
 
 def _per_score(scored: DataFrame, score: str, label: str) -> DataFrame:
-    return scored.groupBy(F.col(score).alias("score")).agg(
+    return scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum(1 - F.col(label).cast("long")).alias("neg"),
     )
 
 
 def ranking_metrics(scored: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
-    """One row ``(auc, gini, ks_statistic, n_rows, n_positive)``; ties count half."""
+    """One row ``(auc, gini, ks_statistic, n_rows, n_positive, n_unscored)``; ties count half."""
     placed = prefix_counts(_per_score(scored, score, label), "score", ["pos", "neg"], buckets=buckets)
     won = F.sum(F.col("pos") * (F.col("less_neg") + F.col("neg") / 2))
     gap = F.abs(
@@ -38,6 +39,7 @@ def ranking_metrics(scored: DataFrame, score: str, label: str, buckets: int | No
         "ks_statistic",
         (F.col("n_positive") + F.col("n_negative")).alias("n_rows"),
         "n_positive",
+        scored.agg(F.count(F.when(F.col(score).isNull(), 1))).scalar().alias("n_unscored"),
     )
 
 
@@ -54,6 +56,7 @@ def recall_at_top(
     Rows above the boundary score count whole. Of the rows tied on it, which
     may be very many, the first by key are found with prefix counts again.
     """
+    scored = scored.where(F.col(score).isNotNull())
     counts = scored.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
     )

@@ -13,9 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pdengine.staging import materialise
-
-MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+MIN_BUCKETS = 16
 _COARSE_STEP = 64
 # A value is hot when it holds more than 1/HOT_FRACTION of all rows, so there
 # are fewer than HOT_FRACTION hot values however large the table is.
@@ -24,9 +22,9 @@ _SALTS = 1 << 20
 
 
 def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
-    """As many buckets as the session wants shuffle tasks, within limits."""
+    """As many buckets as the session wants shuffle tasks."""
     wanted = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, buckets) if buckets else max(MIN_BUCKETS, min(MAX_BUCKETS, wanted))
+    return max(2, buckets) if buckets else max(MIN_BUCKETS, wanted)
 
 
 def _cuts(order_col: str, buckets: int) -> Column:
@@ -144,43 +142,6 @@ def skew_safe_lookup(
     )
 
 
-def rank_against_reference(
-    rows: DataFrame,
-    kinds: dict[str, str],
-    references: DataFrame,
-    key: str = "borrower_id",
-    buckets: int | None = None,
-) -> DataFrame:
-    """Add ``<kind>_rank``: the share of the reference strictly below the value, in [0, 1].
-
-    ``kinds`` names the column of each kind; ``references`` has one row per
-    distinct value, ``(kind, value, ref_count)``. All kinds are placed in one
-    pass and the small lookup is written once. Keep ``rows`` narrow: they are
-    read twice and shuffled once per kind.
-    """
-    zero = F.lit(0).cast("long")
-    grid = (
-        references.select("kind", F.col("value").cast("double").alias("value"), "ref_count", zero.alias("hits"))
-        .unionByName(
-            value_counts(rows, kinds, "hits").select("kind", "value", zero.alias("ref_count"), "hits")
-        )
-        .groupBy("kind", "value")
-        .agg(F.sum("ref_count").alias("ref_count"), F.sum("hits").alias("hits"))
-    )
-    placed = prefix_counts(grid, "value", ["ref_count", "hits"], by="kind", buckets=buckets)
-    last = F.col("all_ref_count") - 1
-    share = F.least(F.col("less_ref_count"), last) / F.nullif(last, F.lit(0))
-    lookup = materialise(
-        placed.where(F.col("hits") > 0).select(
-            "kind", "value", "hits", "all_hits", F.coalesce(share, F.lit(0.0)).alias("rank")
-        )
-    )
-    for kind, column in kinds.items():
-        of_kind = lookup.where(F.col("kind") == kind).withColumnRenamed("rank", f"{kind}_rank")
-        rows = skew_safe_lookup(rows, of_kind, column, key, f"{kind}_rank")
-    return rows
-
-
 def _quantile_terms(probability: float, n: Column) -> tuple[Column, Column, Column]:
     position = F.lit(float(probability)) * (n - 1)
     low = F.floor(position)

@@ -3,9 +3,9 @@
 With features outside a coalition averaged by how the training rows split, the
 value of a leaf factors over the distinct features of its path: a feature in
 the coalition gives 1 or 0 (does the loan follow the path?), one outside gives
-the share of rows that did. A path of depth d has at most d features, so the
-Shapley values of a leaf take only 2^d different forms. They are tabulated once
-per leaf; a loan then looks its form up, and no loan needs another one's data.
+the share of rows that did. A path of d features has at most 2^d forms of
+Shapley values; those of short paths are tabulated once per leaf, those of long
+ones are worked out for the patterns that occur.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-MAX_DEPTH = 8
+# Paths of so many features have the weights of all their patterns tabulated once; longer ones on demand.
+TABLED = 8
+# The nodes are broadcast; this is the limit of what is sent to every executor.
 MAX_NODES = 2_000_000
 
 
@@ -29,27 +31,27 @@ def collect_nodes(nodes: DataFrame) -> pd.DataFrame:
     return table
 
 
-def _leaf_form(shares: list[float]) -> np.ndarray:
-    """Shapley weights of one leaf, ``[pattern of followed features, feature]``."""
+def _forms(follows: np.ndarray, shares: list[float]) -> np.ndarray:
+    """Shapley weights of one leaf, a row per pattern of followed features."""
     m = len(shares)
-    form = np.zeros((2**m, m))
-    for pattern in range(2**m):
-        follows = [(pattern >> j) & 1 for j in range(m)]
-        for i in range(m):
-            others = [j for j in range(m) if j != i]
-            # Polynomial in the coalition size: multiply one feature at a time.
-            by_size = np.zeros(m)
-            by_size[0] = 1.0
-            for j in others:
-                by_size[1:] = by_size[1:] * shares[j] + by_size[:-1] * follows[j]
-                by_size[0] *= shares[j]
-            weight = sum(
-                factorial(s) * factorial(m - s - 1) / factorial(m) * by_size[s] for s in range(m)
-            )
-            form[pattern, i] = weight * (follows[i] - shares[i])
+    form = np.zeros((len(follows), m))
+    for i in range(m):
+        # Polynomial in the coalition size: multiply one feature at a time.
+        by_size = np.zeros((len(follows), m))
+        by_size[:, 0] = 1.0
+        for j in range(m):
+            if j != i:
+                by_size[:, 1:] = by_size[:, 1:] * shares[j] + by_size[:, :-1] * follows[:, j : j + 1]
+                by_size[:, 0] *= shares[j]
+        sizes = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+        form[:, i] = (by_size @ sizes) * (follows[:, i] - shares[i])
     return form
 
 
+def _patterns(codes: np.ndarray, m: int) -> np.ndarray:
+    return (codes[:, None] >> np.arange(m)) & 1
+
+
 @dataclass(frozen=True)
 class ExplainedTrees:
     """Split tests of all trees, and per leaf the features, tests and Shapley form of its path."""
@@ -71,12 +73,12 @@ def explained_trees(nodes: pd.DataFrame) -> ExplainedTrees:
                 value = node.prediction * node.weight
                 base += value * reached
                 features = sorted({f for f, _, _, _ in path})
-                if len(features) > MAX_DEPTH:
-                    raise ValueError(f"paths of more than {MAX_DEPTH} features are not supported")
                 if features:
                     shares = [float(np.prod([s for f, _, _, s in path if f == g])) for g in features]
                     sides = [[(test, left) for f, test, left, _ in path if f == g] for g in features]
-                    leaves.append((features, sides, _leaf_form(shares) * value))
+                    m = len(features)
+                    table = _forms(_patterns(np.arange(2**m), m), shares) * value if m <= TABLED else None
+                    leaves.append((features, sides, table, shares, value))
                 continue
             feature = node.split["featureIndex"]
             values = list(node.split["leftCategoriesOrThreshold"])
@@ -94,14 +96,18 @@ def contributions_of(values: np.ndarray, trees: ExplainedTrees) -> np.ndarray:
         for f, split in trees.tests
     ]
     out = np.zeros_like(values)
-    for features, sides, form in trees.leaves:
+    for features, sides, table, shares, value in trees.leaves:
         pattern = np.zeros(len(values), dtype=np.int64)
         for j, tests in enumerate(sides):
             follows = np.ones(len(values), dtype=bool)
             for test, left in tests:
                 follows &= goes_left[test] if left else ~goes_left[test]
             pattern |= follows.astype(np.int64) << j
-        out[:, features] += form[pattern]
+        if table is not None:
+            out[:, features] += table[pattern]
+        else:  # a long path: only the patterns that occur, by the same polynomial
+            seen, which = np.unique(pattern, return_inverse=True)
+            out[:, features] += (_forms(_patterns(seen, len(features)), shares) * value)[which]
     return out
 
 

@@ -10,22 +10,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.functions.bands import band, blend
-from pdengine.operators.prefix import exact_quantiles, rank_against_reference, value_counts
+from pdengine.operators.placed_reference import PlacedReference, place, rank_against_placed
+from pdengine.operators.prefix import exact_quantiles, value_counts
 
 META_COLS = ["borrower_id", "segment", "exposure_at_risk", "rm_note", "default", "loan_vintage_month", "split"]
 
 
-def reference_distribution(train: DataFrame, gbm_col: str, cox_col: str) -> DataFrame:
-    """Distinct train scores with their counts, ``(kind, value, ref_count)``."""
-    return value_counts(train, {"gbm": gbm_col, "cox": cox_col})
+def reference_distribution(train: DataFrame, gbm_col: str, cox_col: str, buckets: int | None = None) -> PlacedReference:
+    """The train scores, placed for lookups."""
+    return place(value_counts(train, {"gbm": gbm_col, "cox": cox_col}), buckets)
 
 
 def rank_and_blend(
-    rows: DataFrame, references: DataFrame, gbm_col: str, cox_col: str,
-    key: str = "borrower_id", buckets: int | None = None,
+    rows: DataFrame, references: PlacedReference, gbm_col: str, cox_col: str, key: str = "borrower_id"
 ) -> DataFrame:
     """Add ``gbm_rank``, ``cox_rank`` and ``blend``; keep ``rows`` narrow, they are shuffled."""
-    ranked = rank_against_reference(rows, {"gbm": gbm_col, "cox": cox_col}, references, key, buckets)
+    ranked = rank_against_placed(rows, {"gbm": gbm_col, "cox": cox_col}, references, key)
     return ranked.withColumn("blend", blend(F.col("gbm_rank"), F.col("cox_rank")))
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pdengine import fixed_values as fv
 from pdengine.plans import reports, scoring
 from pdengine.plans.fusion import META_COLS
 from pdengine.plans.training import RiskModel, TrainingConfig, train
 from pdengine.sources import store
 
+REPORT_NOTE = "Quality is measured on loans of later vintages than those the model was fitted on; unscored loans take no part."
+
 
 def quality_report(model: RiskModel, scored: DataFrame) -> DataFrame:
     """Out-of-time quality, thresholds and what drives the model, as report rows."""
@@ -37,7 +38,7 @@ def training_job(book: DataFrame, path: str, config: TrainingConfig = TrainingCo
     store.write_scored_book(written, f"{path}/scored_book")
     rows = quality_report(model, written)
     rows.coalesce(1).write.mode("overwrite").json(f"{path}/metrics_report")
-    store.write_document(spark, {"note": fv.METRICS_NOTE}, f"{path}/metrics_note")
+    store.write_document(spark, {"note": REPORT_NOTE}, f"{path}/metrics_note")
     return model
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.functions.finance import emi
-from pdengine.operators.lookup import attach
+from pdengine.operators.lookup import attach, missing
 
 
 def _needed(name: str, rule: Column) -> Column:
@@ -23,11 +23,11 @@ def application_reasons() -> Column:
     c = F.col
     return F.array_compact(F.array(
         _needed("loan_amount", c("loan_amount") > 0),
-        _needed("age", c("age").between(18, 100)),
-        _needed("tenure_months", c("tenure_months").between(1, 360)),
+        _optional("age", c("age").between(18, 100)),
+        _optional("tenure_months", c("tenure_months").between(1, 360)),
         _needed("existing_emi", c("existing_emi") >= 0),
         _needed("credit_utilization_pct", c("credit_utilization_pct").between(0, 300)),
-        _needed("repayment_history", c("repayment_history").isin(list(fv.REPAYMENT_CODES))),
+        _optional("repayment_history", c("repayment_history").isin(list(fv.REPAYMENT_CODES))),
     ))
 
 
@@ -50,18 +50,27 @@ def rejects(requests: DataFrame, reasons: Column, key: str) -> DataFrame:
     return requests.select(key, F.explode(reasons).alias("reason"))
 
 
+def what_if_rejects(asked: DataFrame, book: DataFrame) -> DataFrame:
+    """``(request_id, reason)`` of what-ifs that get no answer; an unknown loan is named ``borrower_id``."""
+    unknown = missing(asked, book).select("request_id", F.lit("borrower_id").alias("reason"))
+    return rejects(asked, what_if_reasons(), "request_id").unionByName(unknown)
+
+
 def repayment_code(history: Column) -> Column:
     return F.coalesce(*[F.when(history == h, F.lit(code)) for h, code in fv.REPAYMENT_CODES.items()])
 
 
 def new_loan_rows(applications: DataFrame) -> DataFrame:
-    """Applications as six identical cycles; tenure and income are not model inputs."""
-    status = repayment_code(F.col("repayment_history"))
+    """Applications as six identical cycles; tenure and income are not model inputs.
+
+    Age and history that were left out take their defaults.
+    """
+    status = repayment_code(F.coalesce("repayment_history", F.lit(fv.DEFAULT_HISTORY)))
     bill = F.col("credit_utilization_pct") / 100 * F.col("loan_amount")
     return applications.select(
         "application_id",
         F.col("loan_amount").cast("double").alias("LIMIT_BAL"),
-        F.col("age").alias("AGE"),
+        F.coalesce("age", F.lit(fv.DEFAULT_AGE)).alias("AGE"),
         *[status.alias(c) for c in fv.PAY_COLS],
         *[bill.alias(c) for c in fv.BILL_COLS],
         *[F.col("existing_emi").cast("double").alias(c) for c in fv.PAY_AMT_COLS],

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pdengine.operators.placed_reference import PlacedReference
 from pdengine.operators.reasons import contribution, top_contributions
 from pdengine.plans.fusion import META_COLS, band_cuts, banded, rank_and_blend, reference_distribution
 from pdengine.sources.loan_book import loan_book
-from pdengine.staging import stage
+from pdengine.staging import stage, stage_artifact
 
 BASE_HAZARD = 0.3
 COX_BETA = {"months_delinquent": 0.25, "delinquency_trend": 0.15}
@@ -34,7 +35,7 @@ def with_scores(features: DataFrame) -> DataFrame:
     })
 
 
-def fuse(scores: DataFrame, references: DataFrame) -> DataFrame:
+def fuse(scores: DataFrame, references: PlacedReference) -> DataFrame:
     fused = rank_and_blend(scores, references, "frozen_gbm", "frozen_cox")
     return fused.withColumn("pd_score", F.round(100 * F.col("blend"), 4))
 
@@ -46,12 +47,13 @@ def raw_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def references(spark: SparkSession, folder: str) -> DataFrame:
+def references(spark: SparkSession, folder: str) -> PlacedReference:
     def build():
         train = raw_scores(spark, folder).where(F.col("split") == "train")
         return reference_distribution(train, "frozen_gbm", "frozen_cox")
 
-    return stage(spark, f"scorecard-references:{folder}", build)
+    path = stage_artifact(spark, f"scorecard-references:{folder}", lambda p: build().save(p))
+    return PlacedReference.load(spark, path)
 
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:

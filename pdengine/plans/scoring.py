@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.functions.bands import action
-from pdengine.functions.features import with_features
+from pdengine.functions.features import exposure_at_risk, with_features
 from pdengine.operators.boosting import with_probability
+from pdengine.operators.lookup import found
 from pdengine.operators.note_vectors import with_components
 from pdengine.operators.reasons import contribution, reason_codes, top_contributions
 from pdengine.operators.tree_contributions import with_contributions
@@ -17,11 +18,23 @@ from pdengine.plans.training import RiskModel, fuse
 from pdengine.staging import materialise
 
 
-def score_rows(model: RiskModel, features: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
-    """Score feature rows. Raw scores are written once, narrow; only those are ranked."""
-    wanted = [key, *(keep or []), "gbm_proba", "cox_risk"]
-    raw = materialise(model.raw_scores(features).select(*wanted))
-    return fuse(model, raw, key)
+def score_rows(
+    model: RiskModel, features: DataFrame, key: str, keep: list[str] | None = None, reasons: bool = False
+) -> DataFrame:
+    """Score feature rows, with ``keep`` columns and, if asked, ``reason_codes``.
+
+    The trees run once per row. Raw scores are written once; only key and
+    scores are ranked, what else was kept is joined to them on the key.
+    """
+    raw = model.raw_scores(features)
+    wide = [*(keep or []), *(["reason_codes"] if reasons else [])]
+    if reasons:
+        raw = with_reasons(model, raw)
+    raw = materialise(raw.select(key, *wide, "gbm_proba", "cox_risk"))
+    if not reasons:
+        return fuse(model, raw, key)
+    scored = fuse(model, raw.select(key, "gbm_proba", "cox_risk"), key)
+    return raw.select(key, *wide).join(scored, key)
 
 
 def rescore_book(model: RiskModel, feature_book: DataFrame, meta: DataFrame) -> DataFrame:
@@ -38,9 +51,11 @@ def application_features(model: RiskModel, applications: DataFrame) -> DataFrame
 
 
 def score_applications(model: RiskModel, applications: DataFrame) -> DataFrame:
+    """Score, band, action and reasons of each valid application; ``requests.rejects`` names the others."""
     features = application_features(model, applications)
-    return score_rows(model, features, "application_id").select(
-        "application_id", "pd_score", "band", action(F.col("band")).alias("recommended_action")
+    return score_rows(model, features, "application_id", reasons=True).select(
+        "application_id", F.round("pd_score", 1).alias("pd_score"), "band",
+        action(F.col("band")).alias("recommended_action"), "reason_codes",
     )
 
 
@@ -50,7 +65,7 @@ def stressed_scores(model: RiskModel, feature_book: DataFrame, scenario: str, ma
 
 
 def what_if(model: RiskModel, asked: DataFrame, feature_book: DataFrame) -> DataFrame:
-    """Score before and after new terms, both in one pass."""
+    """Score before and after new terms, both in one pass; ``requests.what_if_rejects`` names those without answer."""
     valid = requests.accepted(asked, requests.what_if_reasons())
     both = with_features(requests.what_if_rows(valid, feature_book))
     keep = ["borrower_id", "stage", "applied_emi", "applied_principal"]
@@ -59,7 +74,7 @@ def what_if(model: RiskModel, asked: DataFrame, feature_book: DataFrame) -> Data
     def at(stage: str, column: str) -> Column:
         return F.max(F.when(F.col("stage") == stage, F.col(column)))
 
-    return scored.groupBy("request_id", "borrower_id").agg(
+    answers = scored.groupBy("request_id", "borrower_id").agg(
         at("original", "pd_score").alias("original_pd_score"),
         at("original", "band").alias("original_band"),
         at("new", "pd_score").alias("new_pd_score"),
@@ -67,12 +82,12 @@ def what_if(model: RiskModel, asked: DataFrame, feature_book: DataFrame) -> Data
         at("new", "applied_emi").alias("applied_emi"),
         at("new", "applied_principal").alias("applied_principal"),
     ).withColumn("delta", F.col("new_pd_score") - F.col("original_pd_score"))
+    return answers.withColumns({c: F.round(c, 1) for c in ("original_pd_score", "new_pd_score", "delta")})
 
 
-def explain_rows(model: RiskModel, features: DataFrame, k: int = fv.TOP_REASONS) -> DataFrame:
-    """Add ``contributions``, ``base_margin`` and ``reason_codes`` to model rows."""
-    spark = features.sparkSession
-    explained = with_contributions(with_probability(features, model.trees), model.nodes(spark))
+def with_reasons(model: RiskModel, scored: DataFrame, k: int = fv.TOP_REASONS) -> DataFrame:
+    """Add ``contributions``, ``base_margin`` and ``reason_codes`` to rows that hold ``feature_values``."""
+    explained = with_contributions(scored, model.nodes(scored.sparkSession))
     terms = []
     for i, name in enumerate(fv.MODEL_FEATURES):
         amount = F.col("contributions")[i]
@@ -84,13 +99,18 @@ def explain_rows(model: RiskModel, features: DataFrame, k: int = fv.TOP_REASONS)
     return top.withColumn("reason_codes", reason_codes(F.col("top"), F.col("rm_note")))
 
 
-def loan_details(model: RiskModel, feature_book: DataFrame, meta: DataFrame) -> DataFrame:
-    """PD, band, note, reasons and action of every loan in ``feature_book``."""
-    scores = score_rows(model, feature_book, "borrower_id").select("borrower_id", "pd_score", "band")
-    reasons = explain_rows(model, feature_book).select("borrower_id", "rm_note", "reason_codes")
-    return (
-        meta.select("borrower_id", "segment", "exposure_at_risk")
-        .join(scores, "borrower_id")
-        .join(reasons, "borrower_id")
-        .withColumn("recommended_action", action(F.col("band")))
+def explain_rows(model: RiskModel, features: DataFrame, k: int = fv.TOP_REASONS) -> DataFrame:
+    """Reasons of model rows."""
+    return with_reasons(model, with_probability(features, model.trees), k)
+
+
+def loan_details(model: RiskModel, feature_book: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """PD, band, note, reasons and action of the loans in ``ids``, or of all; one pass over the trees."""
+    rows = feature_book if ids is None else found(feature_book, ids)
+    rows = rows.withColumn("exposure_at_risk", exposure_at_risk())
+    scored = score_rows(model, rows, "borrower_id", ["segment", "exposure_at_risk", "rm_note"], reasons=True)
+    return scored.select(
+        "borrower_id", "segment", F.round("exposure_at_risk", 2).alias("exposure_at_risk"),
+        F.round("pd_score", 1).alias("pd_score"), "band", "rm_note", "reason_codes",
+        action(F.col("band")).alias("recommended_action"),
     )

@@ -21,5 +21,8 @@ def shock(book: DataFrame, scenario: str, magnitude: float) -> DataFrame:
         moved = {c: F.col(c) * factor for c in fv.BILL_COLS}
     else:
         worst = F.lit(float(fv.MAX_PAY_STATUS))
-        moved = {c: F.least(F.col(c) + F.lit(float(magnitude)), worst) for c in fv.PAY_COLS}
+        # least alone would turn a missing status into the worst one
+        moved = {
+            c: F.when(F.col(c).isNotNull(), F.least(F.col(c) + F.lit(float(magnitude)), worst)) for c in fv.PAY_COLS
+        }
     return with_features(book.withColumns(moved), "serve")

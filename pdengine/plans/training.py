@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.functions.bands import band
-from pdengine.operators.boosting import boosting_pipeline, feature_importance, tree_nodes, with_probability
+from pdengine.operators.boosting import boosting_pipeline, feature_importance, tree_input, tree_nodes, with_probability
 from pdengine.operators.calibration import apply_isotonic, fit_isotonic
 from pdengine.operators.cox import CoxModel, fit_cox
 from pdengine.operators.note_vectors import NOTE_DIMS, note_pipeline, with_components
+from pdengine.operators.placed_reference import PlacedReference
 from pdengine.operators.scaling import column_stats, zscore
 from pdengine.plans import reports
 from pdengine.plans.fusion import band_cuts, rank_and_blend, reference_distribution
@@ -32,6 +33,7 @@ class TrainingConfig:
     seed: int = 42
     cox_penalizer: float = 0.1
     note_dims: int = NOTE_DIMS
+    label: str = "default"
 
 
 @dataclass
@@ -43,7 +45,7 @@ class RiskModel:
     cox: CoxModel
     cox_stats: dict[str, float]
     isotonic: IsotonicRegressionModel
-    references: DataFrame
+    references: PlacedReference
     modes: DataFrame
     high_cut: float
     elevated_cut: float
@@ -58,7 +60,7 @@ class RiskModel:
         self.text.write().overwrite().save(f"{path}/text")
         self.trees.write().overwrite().save(f"{path}/trees")
         self.isotonic.write().overwrite().save(f"{path}/isotonic")
-        self.references.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/references")
+        self.references.save(f"{path}/references")
         self.modes.write.mode("overwrite").parquet(f"{path}/modes")
         write_document(spark, self.config(), f"{path}/config")
         self.path = path
@@ -86,7 +88,7 @@ class RiskModel:
             CoxModel(**config["cox"]),
             config["cox_scaler"],
             IsotonicRegressionModel.load(f"{path}/isotonic"),
-            spark.read.parquet(f"{path}/references"),
+            PlacedReference.load(spark, f"{path}/references"),
             spark.read.parquet(f"{path}/modes"),
             config["band_thresholds"]["high"],
             config["band_thresholds"]["elevated"],
@@ -128,7 +130,7 @@ def train(book: DataFrame, config: TrainingConfig = TrainingConfig()) -> tuple[R
 
     trees = boosting_pipeline(
         config.n_trees, config.learning_rate, config.max_depth, config.min_leaf, config.feature_share, config.seed
-    ).fit(train_rows.withColumns({c: F.col(c).cast("string") for c in fv.CATEGORICAL_FEATURES}))
+    ).fit(tree_input(train_rows, config.label))
 
     stats = {k: float(v) for k, v in column_stats(train_rows, fv.COX_COVARIATES).first().asDict().items()}
     z_names = [f"z_{c}" for c in fv.COX_COVARIATES]
@@ -141,7 +143,7 @@ def train(book: DataFrame, config: TrainingConfig = TrainingConfig()) -> tuple[R
     raw = materialise(
         model.raw_scores(features).select("borrower_id", "split", "default", "gbm_proba", "cox_risk")
     )
-    model.references = materialise(reference_distribution(raw.where(in_train), "gbm_proba", "cox_risk"))
+    model.references = reference_distribution(raw.where(in_train), "gbm_proba", "cox_risk")
     model.modes = materialise(category_modes(book))
     blended = materialise(rank_and_blend(raw, model.references, "gbm_proba", "cox_risk"))
     model.isotonic = fit_isotonic(blended.where(in_train), "blend", "default")

@@ -1,56 +1,49 @@
-"""Sentences of generated officer notes; ``{n}`` and ``{pct}`` are filled per borrower."""
+"""Sentences of generated officer notes; ``{n}`` and ``{pct}`` are filled per borrower.
 
-NEGATIVE = [
-    "Account shows {n} late cycles and the borrower asked for more time.",
-    "Monthly takings are down about {pct}% against last year.",
-    "Customer asked whether two instalments could be deferred.",
-    "The standing instruction failed again for want of funds.",
-    "Income has become irregular and private borrowing is growing.",
-    "The shop was nearly empty during the visit and stock looked old.",
-    "A private lender is now being used to pay this instalment.",
-    "One earner in the household is out of work since last month.",
-    "The co-owner left and the remaining owner is overstretched.",
-    "Hospital bills have used up the family's savings.",
-    "Off-season sales are far weaker than the borrower planned.",
-    "Premises were locked on two visits and nobody knew the opening date.",
-    "The largest buyer pays late, so working capital is tight.",
-    "Input costs rose and the borrower cannot pass them on.",
-    "Another bank has classified this customer's loan as overdue.",
-    "The landlord raised the rent beyond what the shop can carry.",
-    "A quarrel among relatives has split the running of the business.",
-    "A new competitor next door has taken many regular orders.",
-    "The statement shows many small cash withdrawals and new loans.",
-    "Calls to the borrower went unanswered for {n} weeks.",
+Made up for this package. Only the tone of a note follows from the loan; no
+result depends on the wording.
+"""
+
+POSITIVE = [
+    "Order register is full for the coming season, up {pct}% on plan.",
+    "Auditor's letter is clean and was sent without a reminder.",
+    "Solar panels now cover most of the workshop's power bill.",
+    "Borrower repaid {pct}% of the principal ahead of plan.",
+    "Harvest was sold forward at a good price.",
+    "Cold store is running at full load since spring.",
+    "Two apprentices finished training and now earn their own wages.",
+    "Fleet was renewed with a grant, repair costs are lower.",
+    "Cooperative has taken the member on to its board.",
+    "Online shop passed its first thousand parcels.",
+    "Insurance paid out in full after the storm.",
+    "Deposit account has been topped up every month.",
+    "Supplier raised the trade limit after a good year.",
 ]
 
-NEUTRAL = [
-    "Periodic review held, nothing new to record.",
-    "Employment details verified, no change.",
-    "Identity documents renewed on schedule.",
-    "Review call not yet answered, to be tried again.",
-    "Trading continues at the usual level.",
-    "The shop moved two streets away, turnover unaffected.",
-    "Yearly papers filed and complete.",
-    "Customer collected an account statement for the tax office.",
+NEGATIVE = [
+    "Cheques to two suppliers were returned this month.",
+    "Irrigation pump failed and the crop is down about {pct}%.",
+    "Tax office has frozen part of the current account.",
+    "Delivery van was written off and is not insured.",
+    "Guarantor wants to be released from the guarantee.",
+    "Borrower missed {n} appointments at the branch.",
+    "Export order was cancelled after the goods were packed.",
+    "Trading licence has lapsed and renewal is pending.",
+    "Stock report shows {pct}% of goods past their date.",
+    "Flood water stood in the store room for a week.",
+    "Books have not been closed for {n} months.",
+    "Main tenant has given notice.",
+    "Pledged gold was taken back and not replaced.",
+    "Three workers left over unpaid wages.",
+    "Court summons from a former partner was served.",
+    "Loom is idle for lack of yarn on credit.",
+    "Phone number on file is no longer in use.",
 ]
 
-POSITIVE = [
-    "Turnover is up about {pct}% over the quarter.",
-    "All old dues were settled before the due date.",
-    "Salary now arrives through the account every month.",
-    "A second counter was opened and sells well.",
-    "An overseas buyer placed a large repeat order.",
-    "The customer closed a loan held with another bank.",
-    "A promotion raises the borrower's pay from next month.",
-    "The new branch in the next town broke even early.",
-    "Cash reserves now cover several instalments.",
-    "A second salary has joined the household.",
-    "The main client renewed the supply contract for years.",
-    "Holiday sales beat every earlier season.",
-    "Machinery was bought from own funds.",
-    "Instalments are being paid ahead of schedule.",
-    "Demand in the area is strong and the owner is confident.",
-    "A public grant lowers the running costs this year.",
-    "The credit record improved and other banks make offers.",
-    "Word of mouth brings a steady flow of new customers.",
+NEUTRAL = [
+    "Annual visit done; photographs are on file.",
+    "Nominee details were updated on request.",
+    "Borrower asked how to change the instalment date.",
+    "Branch code changed after the merger of two offices.",
+    "Signature card was replaced.",
 ]

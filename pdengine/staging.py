@@ -9,18 +9,25 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: dict[tuple[str, str], str] = {}
+_objects: dict[tuple[str, str], Any] = {}
 _local_roots: dict[str, str] = {}
+_scratch = threading.local()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the session; a local one only for local runs."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.getCheckpointDir():
+        root = spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
@@ -58,10 +65,36 @@ def stage_artifact(spark: SparkSession, label: str, save: Callable[[str], None])
     return _staged[key]
 
 
+def staged_object(spark: SparkSession, label: str, build: Callable[[], Any]) -> Any:
+    """An object made from something staged under ``label``; it goes when that is released."""
+    key = (spark.sparkContext.applicationId, label)
+    if key not in _objects:
+        _objects[key] = build()
+    return _objects[key]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end, so results must have been written by then."""
+    path = stage_path(spark, f"scratch-{uuid.uuid4().hex}")
+    outer, _scratch.path = getattr(_scratch, "path", None), path
+    try:
+        yield
+    finally:
+        _scratch.path = outer
+        _delete(spark, path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write an intermediate table that several later steps read, and read it back."""
     spark = df.sparkSession
-    path = stage_path(spark, uuid.uuid4().hex)
+    inside = getattr(_scratch, "path", None)
+    path = f"{inside}/{uuid.uuid4().hex}" if inside else stage_path(spark, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -69,7 +102,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Delete everything this application staged."""
     app = spark.sparkContext.applicationId
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/pdengine/{app}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    for key in [k for k in _staged if k[0] == app]:
-        del _staged[key]
+    _delete(spark, f"{checkpoint_root(spark)}/pdengine/{app}")
+    for held in (_staged, _objects):
+        for key in [k for k in held if k[0] == app]:
+            del held[key]

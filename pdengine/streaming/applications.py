@@ -2,7 +2,7 @@
 
 Once the references are fixed an application is scored without looking at any
 other, so no state or watermark is needed: each micro-batch goes through the
-same plan as a table of applications.
+same plan as a table of applications. What a batch stages goes with the batch.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pdengine.plans.scoring import score_applications
 from pdengine.plans.training import RiskModel
+from pdengine.staging import scratch
 
 APPLICATION_SCHEMA = T.StructType([
     T.StructField("application_id", T.LongType()),
@@ -37,8 +38,9 @@ def score_stream(
     """Write scores per micro-batch; a batch that is run again replaces its own folder."""
 
     def score_batch(batch: DataFrame, number: int) -> None:
-        scored = score_applications(model, batch)
-        scored.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with scratch(batch.sparkSession):
+            scored = score_applications(model, batch)
+            scored.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = applications.writeStream.option("checkpointLocation", checkpoint).foreachBatch(score_batch)
     if available_now:

@@ -64,3 +64,12 @@ def test_equals_shapley_values_and_sums_to_the_margin():
                     expected += share * (margin(x, {*chosen, i}) - margin(x, set(chosen)))
             assert np.isclose(phi[i], expected)
         assert np.isclose(phi.sum() + trees.base, margin(x, {0, 1, 2}))
+
+
+def test_long_paths_use_the_same_polynomial(monkeypatch):
+    from pdengine.operators import tree_contributions
+
+    values = np.column_stack([np.linspace(0, 1, 20), np.arange(20) % 3, np.linspace(0, 6, 20)])
+    tabled = contributions_of(values, explained_trees(NODES))
+    monkeypatch.setattr(tree_contributions, "TABLED", 0)
+    assert np.allclose(contributions_of(values, explained_trees(NODES)), tabled)

@@ -159,8 +159,8 @@ def test_training_and_rescore_jobs(spark, folder, tmp_path):
 
 
 def test_memos_are_written_as_records(spark, folder, fitted, tmp_path):
-    book, model, features, _, _ = fitted
-    details = scoring.loan_details(model, features.where("borrower_id < 20"), book)
+    _, model, features, _, _ = fitted
+    details = scoring.loan_details(model, features.where("borrower_id < 20"))
     write_memos(memo_records(details, 1_700_000_000), str(tmp_path / "memos"))
     memos = spark.read.json(str(tmp_path / "memos"))
     assert memos.count() == details.count() > 0
@@ -168,3 +168,44 @@ def test_memos_are_written_as_records(spark, folder, fitted, tmp_path):
     assert first.memo_id == f"{first.borrower_id}_1700000000"
     assert first.generated_at == "2023-11-14 22:13:20 UTC"
     assert len(first.reason_codes) == fv.TOP_REASONS
+
+
+def test_unscored_loans_have_no_band(spark):
+    from pdengine.functions.bands import band
+
+    rows = spark.createDataFrame([(None,), (50.0,)], "s double").select(band(F.col("s"), F.lit(60.0), F.lit(40.0)).alias("b"))
+    assert [r.b for r in rows.collect()] == [None, "Elevated"]
+
+
+def test_shock_leaves_missing_status_missing(spark, fitted):
+    from pdengine.plans.stress import shock
+
+    rows = fitted[0].limit(3).withColumn("PAY_3", F.lit(None).cast("double"))
+    for magnitude in (0.0, 2.0):
+        assert shock(rows, "delinquency_shock", magnitude).where("PAY_3 IS NOT NULL").count() == 0
+
+
+def test_applications_come_with_reasons(spark, folder, fitted):
+    got = scoring.score_applications(fitted[1], applications(spark, folder))
+    assert got.where(F.size("reason_codes") != fv.TOP_REASONS).count() == 0 and got.count() > 0
+    assert got.where("round(pd_score, 1) <> pd_score").count() == 0
+
+
+def test_details_of_requested_loans(spark, fitted):
+    _, model, features, _, _ = fitted
+    ids = features.select("borrower_id").orderBy("borrower_id").limit(3).unionByName(spark.createDataFrame([(-1,), (-1,)], "borrower_id long"))
+    some = scoring.loan_details(model, features, ids)
+    assert some.count() == 3
+    assert some.exceptAll(scoring.loan_details(model, features)).count() == 0
+
+
+def test_batches_leave_no_folder_behind(spark, folder, fitted):
+    from pdengine.staging import checkpoint_root, scratch
+
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/pdengine/{spark.sparkContext.applicationId}")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = len(files.listStatus(root))
+    for _ in range(2):
+        with scratch(spark):
+            assert scoring.score_applications(fitted[1], applications(spark, folder)).count() > 0
+    assert len(files.listStatus(root)) == before

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pdengine.operators.binning import with_quantile_bin
 from pdengine.operators.metrics import ranking_metrics, recall_at_top
 from pdengine.operators.paging import page
-from pdengine.operators.prefix import exact_quantiles, rank_against_reference, value_counts
+from pdengine.operators.placed_reference import PlacedReference, place, rank_against_placed, rank_against_reference
+from pdengine.operators.prefix import exact_quantiles, value_counts
 
 BUCKETS = [2, 3, 16, 300]
 
@@ -120,3 +121,43 @@ def test_recall_with_a_large_tie_at_the_boundary(spark, skewed, share):
 
 def test_recall_without_positives(spark, skewed):
     assert recall_at_top(spark.createDataFrame(skewed.assign(label=0)), "score", "label").first().recall == 0.0
+
+
+def test_metrics_leave_unscored_rows_out(spark):
+    rows = [(1, 0.9, 1), (2, 0.8, 0), (3, 0.7, 1), (4, 0.1, 0)]
+    scored = spark.createDataFrame(rows, "borrower_id long, score double, label int")
+    more = spark.createDataFrame([*rows, (5, None, 1), (6, None, 0)], scored.schema)
+    one, two = ranking_metrics(scored, "score", "label").first(), ranking_metrics(more, "score", "label").first()
+    assert one[:-1] == two[:-1] and (one.auc, one.ks_statistic, two.n_unscored) == (0.75, 0.5, 2)
+    assert recall_at_top(scored, "score", "label").first() == recall_at_top(more, "score", "label").first()
+
+
+@pytest.mark.parametrize("offset", [0, 9, 14, 18])
+def test_pages_across_rows_without_a_value(spark, offset):
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else float(i % 6)) for i in range(20)], "k long, v double")
+    pages = [[r.k for r in page(rows, "v", "k", 5, offset, shallow=s, buckets=3).collect()] for s in (0, 100)]
+    ordered = sorted(range(20), key=lambda i: (i % 4 == 0, 0 if i % 4 == 0 else -(i % 6), i))
+    assert pages == [ordered[offset : offset + 5]] * 2
+
+
+def test_placed_reference_survives_its_folder(spark, skewed, tmp_path):
+    rows = spark.createDataFrame(skewed)
+    placed = place(value_counts(rows.where("train"), {"a": "score"}), 40)
+    placed.save(str(tmp_path / "placed"))
+    back = PlacedReference.load(spark, str(tmp_path / "placed"))
+    got = rank_against_placed(rows, {"a": "score"}, back).toPandas().sort_values("borrower_id")
+    assert np.allclose(got.a_rank.to_numpy(), naive_rank(skewed.score, skewed[skewed.train].score), atol=0)
+    few = rank_against_placed(rows.where("borrower_id < 3"), {"a": "score"}, back)
+    assert few.count() == 3
+
+
+def test_few_requests_read_few_buckets(spark, skewed, tmp_path):
+    """Scoring reads only the folders its values fall into, and sorts nothing else."""
+    rows = spark.createDataFrame(skewed)
+    place(value_counts(rows, {"a": "score"}), 40).save(str(tmp_path / "placed"))
+    back = PlacedReference.load(spark, str(tmp_path / "placed"))
+    asked = spark.createDataFrame([("a", back.values.first()["bucket"])], "kind string, bucket int")
+    hit = back.values.join(F.broadcast(asked), ["kind", "bucket"], "left_semi")
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert hit.count() < back.values.count()

@@ -41,11 +41,24 @@ def test_rejects_name_every_failed_rule(spark):
         got.setdefault(r.application_id, set()).add(r.reason)
     assert got == {
         2: {"loan_amount", "age", "tenure_months", "existing_emi", "credit_utilization_pct", "repayment_history"},
-        3: {"loan_amount", "age"},
+        3: {"loan_amount"},
     }
     assert requests.accepted(rows, requests.application_reasons()).count() == 1
 
 
+def test_fields_left_out_take_their_defaults(spark):
+    rows = spark.createDataFrame([(1, 9000.0, None, None, None, 10.0, 20.0, None, None, None)], APPLICATION)
+    assert requests.accepted(rows, requests.application_reasons()).count() == 1
+    row = requests.new_loan_rows(rows).first()
+    assert row.AGE == 35 and {row[c] for c in fv.PAY_COLS} == {-1.0}
+
+
+def test_what_ifs_without_answer_are_named(spark, loans):
+    asked = spark.createDataFrame([(1, 1, 10.0, 5, None, None), (2, 1, 61.0, 0, -1.0, -1.0), (3, 99, None, 10, None, None)], ASKED)
+    got = sorted(tuple(r) for r in requests.what_if_rejects(asked, loans).collect())
+    assert got == [(2, "new_emi"), (2, "new_principal"), (2, "new_rate_pct"), (2, "new_tenure_months"), (3, "borrower_id")]
+
+
 def test_new_loan_rows(spark):
     rows = spark.createDataFrame(
         [(1, 50000.0, 29, 24, None, 200.0, 130.0, "severe_delinquency", "", None)], APPLICATION
