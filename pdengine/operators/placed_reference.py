@@ -11,6 +11,8 @@ follows the requests.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -65,6 +67,18 @@ def place(references: DataFrame, buckets: int | None = None) -> PlacedReference:
     return PlacedReference(index, materialise(values.select("kind", "bucket", "value", upto.alias("upto"))), buckets)
 
 
+def reached(reference: PlacedReference, asked: DataFrame) -> DataFrame:
+    """Reference values in the buckets that ``asked(kind, bucket)`` names; a stored reference reads no other folder.
+
+    The names are at most one per kind and bucket, whatever is asked.
+    """
+    named: dict[str, list[int]] = {}
+    for r in asked.where(F.col("bucket").isNotNull()).select("kind", "bucket").distinct().collect():
+        named.setdefault(r["kind"], []).append(r["bucket"])
+    inside = [(F.col("kind") == k) & F.col("bucket").isin(sorted(b)) for k, b in sorted(named.items())]
+    return reference.values.where(reduce(or_, inside, F.lit(False)))
+
+
 def rank_against_placed(
     rows: DataFrame, kinds: dict[str, str], reference: PlacedReference, key: str = "borrower_id"
 ) -> DataFrame:
@@ -73,16 +87,14 @@ def rank_against_placed(
     ``kinds`` names the column of each kind. Keep ``rows`` narrow: they are
     read twice and shuffled once per kind.
     """
-    asked = (
+    asked = materialise(
         value_counts(rows, kinds, "hits")
         .join(F.broadcast(reference.index), "kind", "left")
         .withColumn("bucket", _bucket(F.col("value"), reference.buckets).cast("int"))
         .withColumn("base", F.element_at("bases", F.col("bucket") + 1))
         .select("kind", "bucket", "value", "hits", "base", "total")
     )
-    # At most one row per kind and bucket; only the folders of these buckets are read.
-    reached = F.broadcast(asked.select("kind", "bucket").distinct())
-    read = reference.values.join(reached, ["kind", "bucket"], "left_semi")
+    read = reached(reference, asked)
     one = asked.withColumns({"upto": F.lit(None).cast("long"), "given": F.lit(False)})
     two = read.select(
         "kind", "bucket", "value", *[F.lit(None).cast("long").alias(c) for c in ("hits", "base", "total")],
