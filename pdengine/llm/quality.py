@@ -51,14 +51,15 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         at = lambda i: _KIND[w.data[np.clip(i, w.start, w.end - 1)]]
         shape = ((at(w.start) * U(512) + at(w.start + 1)) * U(512) + at(w.end - 2)) * U(512) + at(w.end - 1)
-        hashes = np.concatenate([w.hash, mix(shape + U(7))])
-        feature = (hashes % U(WIDTH)).astype(np.int64)
-        keys, counts = np.unique(np.concatenate([w.text, w.text]) * WIDTH + feature, return_counts=True)
+        each = [
+            np.unique(w.text * WIDTH + (h % U(WIDTH)).astype(np.int64), return_counts=True) for h in (w.hash, mix(shape + U(7)))
+        ]
+    keys, counts = (np.concatenate(x) for x in zip(*each, strict=True))
     text, feature = keys // WIDTH, keys % WIDTH
     value = 1 + np.log(counts)
     # one more feature per text: how much of it is repetition, and how long it is
     total = np.maximum(w.per_text, 1)
-    distinct = np.bincount(np.unique(np.stack([w.text, (w.hash >> U(1)).astype(np.int64)]), axis=1)[0], minlength=w.texts)
+    distinct = np.bincount(each[0][0] // WIDTH, minlength=w.texts)
     level = np.round(12 * distinct / total).astype(np.int64) * 32 + np.log2(total).astype(np.int64)
     some = np.flatnonzero(w.per_text)
     text, feature = np.concatenate([text, some]), np.concatenate([feature, level[some]])
