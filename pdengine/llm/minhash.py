@@ -168,26 +168,26 @@ def near_duplicates(
     wanted = members.select("doc_id").distinct()
     sets = staged(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, s array<long>").dropDuplicates(["doc_id"]))
     placing = reps.select("doc_id", "bands").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    numbered = {
-        i: members.select("key", *[F.col(c).alias(f"{c}{i}") for c in members.columns if c not in ("key", "lo", "hi")])
-        for i in "12"
-    }
     alike = _alike("1", "2", bands * rows, percent)
-    links = None
-    for end in ("lo", "hi"):
-        one, two, other = numbered["1"], numbered["2"], F.col("doc_id1") != F.col("doc_id2")
-        if links is not None:
-            labels = staged(components(links))
-            one, two, other = _apart(one, "1", labels), _apart(two, "2", labels), F.col("comp1") != F.col("comp2")
-        two = two.join(ends.select("key", F.col(end).alias("doc_id2")), ["key", "doc_id2"], "left_semi")
+
+    def links_with(some: DataFrame, end: str, other: Column) -> DataFrame:
+        one, _ = _sides(some)
+        _, two = _sides(some.where(F.col("doc_id") == F.col(end)))
         pairs = one.join(two, "key").where(other & alike)
         pairs = pairs.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b"))
-        found = staged(_confirmed(pairs.distinct(), sets, percent))
-        links = found if links is None else links.union(found)
-    labels = staged(components(links))
-    links = links.union(staged(_rest(_apart(members, "", labels).drop("lo", "hi"), placing, sets, alike, percent)))
+        return staged(_confirmed(pairs.distinct(), sets, percent))
+
+    labels = _grown(None, links_with(members, "lo", F.col("doc_id1") != F.col("doc_id2")))
+    apart = staged(_apart(members, labels))
+    if not apart.isEmpty():
+        found = links_with(apart, "hi", F.col("comp1") != F.col("comp2"))
+        if not found.isEmpty():
+            labels = _grown(labels, found)
+            apart = staged(_apart(members, labels))
+        found = staged(_rest(apart, placing, sets, alike, percent))
+        if not found.isEmpty():
+            labels = _grown(labels, found)
 
-    labels = components(links)
     final = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "f1", "f2", "copies", F.coalesce("component_id", "rep").alias("component_id")
     )
@@ -203,6 +203,19 @@ def near_duplicates(
     )
 
 
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same rows twice for a join on ``key``, other columns numbered 1 and 2."""
+    one, two = (rows.select("key", *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "key"]) for i in "12")
+    return one, two
+
+
+def _grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links, from the components so far."""
+    if labels is not None:
+        links = links.union(labels.select("node", "component_id"))
+    return staged(components(links))
+
+
 def _rest(apart: DataFrame, placing: DataFrame, sets: DataFrame, alike: Column, percent: int) -> DataFrame:
     """Links between members of one bucket that lie in different components.
 
@@ -211,8 +224,7 @@ def _rest(apart: DataFrame, placing: DataFrame, sets: DataFrame, alike: Column,
     partner at all; only to these are the full sets, which are large, attached.
     Sets are compared inside the join, so nothing but links leaves it.
     """
-    rows = apart.join(placing, "doc_id")
-    one, two = (rows.select("key", *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "key"]) for i in "12")
+    one, two = _sides(apart.drop("lo", "hi").join(placing, "doc_id"))
     classes = [F.floor(F.log(F.col(f"n_shingles{i}").cast("double")) / math.log(100 / percent) + 1e-9) for i in "12"]
     one = one.withColumn("class", F.explode(F.array(classes[0], classes[0] + 1)))
     two = two.withColumn("class", classes[1])
@@ -240,9 +252,9 @@ def _rest(apart: DataFrame, placing: DataFrame, sets: DataFrame, alike: Column,
     )
 
 
-def _apart(members: DataFrame, i: str, labels: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component, each with its component."""
-    own = labels.select(F.col("node").alias(f"doc_id{i}"), F.col("component_id").alias("c"))
-    marked = members.join(own, f"doc_id{i}", "left").withColumn(f"comp{i}", F.coalesce("c", f"doc_id{i}")).drop("c")
-    mixed = marked.groupBy("key").agg(F.min(f"comp{i}").alias("lo"), F.max(f"comp{i}").alias("hi")).where("lo <> hi").select("key")
-    return marked.join(mixed, "key", "left_semi")
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that still hold more than one component, each with its component ``comp``."""
+    own = labels.select(F.col("node").alias("doc_id"), F.col("component_id").alias("c"))
+    marked = members.join(own, "doc_id", "left").withColumn("comp", F.coalesce("c", "doc_id")).drop("c")
+    mixed = marked.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    return marked.join(mixed.select("key"), "key", "left_semi")
