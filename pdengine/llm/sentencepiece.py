@@ -32,7 +32,7 @@ SPACE = "▁"
 _BASE = 0xD1342543DE82EF95
 _TEXT = 1 << 20
 #: Distinct words that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 _START, _UNKNOWN = -1, -2
 
 
@@ -102,6 +102,8 @@ class Model:
         keys = codes.hashes(ends - [len(t) for t in texts], ends)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], self.normal[order]
+        self.maybe = np.zeros(1 << 20, bool)  # most substrings are no pieces; this tells so without a search
+        self.maybe[keys >> U(44)] = True
         inside = {c for t in texts if len(t) > 1 for c in t}
         self.lone = np.array([ord(c) for c in "\n\t\r" if c not in inside], np.uint32)
         self.words_apart = not any(SPACE in t.lstrip(SPACE) for t in texts)
@@ -139,9 +141,12 @@ class Model:
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Piece of each hash, -1 for none."""
-        at = np.searchsorted(self.keys, hashes)
+        out = np.full(len(hashes), -1, np.int64)
+        some = np.flatnonzero(self.maybe[hashes >> U(44)])
+        at = np.searchsorted(self.keys, hashes[some])
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
+        out[some] = np.where(self.keys[at] == hashes[some], self.ids[at], -1)
+        return out
 
     def may_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """For BPE models: whether merging the characters of both gives just those two pieces."""
