@@ -554,3 +554,6 @@ SELECT borrower_id, round(CASE WHEN blend < (SELECT min(x) FROM curve) THEN (SEL
          WHEN x2 IS NULL OR blend = x THEN f ELSE f + (f2 - f) * (blend - x) / (x2 - x) END, 8) AS calibrated
 FROM scored ASOF LEFT JOIN curve ON blend >= x""",
 }
+
+# The stored feature book holds what the scan of the book gives.
+ORACLES["stored_feature_book"] = ORACLES["book_scan"]

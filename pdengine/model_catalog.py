@@ -41,6 +41,11 @@ def feature_book(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{_folder(spark, d)}/feature_book")
 
 
+def stored_feature_book(spark, d):
+    """The feature book that training wrote, read back; SQL cannot repeat its note components."""
+    return feature_book(spark, d).select("borrower_id", *fv.NUMERIC_FEATURES, *fv.CATEGORICAL_FEATURES)
+
+
 def _meta(spark, d):
     return loan_book(spark, d).select(*META_COLS)
 
@@ -174,6 +179,7 @@ MODELLED = {
     "write_splits": write_splits,
     "scored_book": scored_book,
     "isotonic_apply": isotonic_apply,
+    "stored_feature_book": stored_feature_book,
     "note_vectors": note_vectors,
     "note_pca": note_pca,
     "gbm_scores": gbm_scores,

