@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import gc
 import operator
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,19 +18,24 @@ __all__ = ["ascii_lower", "attach", "slices", "spread", "staged"]
 
 #: A key is hot when it holds more than this share of the rows; fewer than 1/share keys can be.
 HOT_SHARE = 1e-3
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Seconds of work after which the driver is asked to let go of finished shuffles.
+LONG = 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back; the shuffle files of its making go at once."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
-        return materialise(df)
-    finally:
-        conf.set(_CLEANUP, before)
+    """Write a table to the shared folder and read it back.
+
+    Shuffle files stay on disk until the driver's JVM notices that nothing
+    refers to their shuffle any more, which it does when it collects garbage.
+    After a long step it is asked to, else the shuffles of all steps add up.
+    """
+    began = time.monotonic()
+    out = materialise(df)
+    if time.monotonic() - began > LONG:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def ascii_lower(text: Column) -> Column:
