@@ -14,7 +14,8 @@ block, which are merged per query.
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components are neither queries nor candidates; vectors of different lengths
 never meet. Ties go to the smaller id. Rows that repeat an id are separate
-candidates, and queries of their own; a row without an id takes no part.
+candidates; queries that share an id share one list, the nearest to any of
+them. A row without an id takes no part.
 """
 
 from __future__ import annotations
