@@ -235,13 +235,33 @@ def _candidate_ranges(window: int, v: int):
     return group
 
 
-def _repeated_ranges(table: pa.Table) -> pa.Table:
-    """First and last repeated windows per document of a chunk."""
+def packed_places(places: np.ndarray) -> bytes:
+    """Ascending places as steps of one byte each; 255 stands for a step that goes on.
+
+    A pass finds every so-many-th window of a repeated passage, so ranges would cost 16 bytes each.
+    """
+    steps = np.diff(places, prepend=0)
+    more = steps // 255
+    out = np.full(int((more + 1).sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = steps % 255
+    return out.tobytes()
+
+
+def unpacked_places(raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+
+
+def _repeated_starts(table: pa.Table) -> pa.Table:
+    """Places of the repeated windows per document of a chunk."""
     (rows, lengths, sizes, flat), hit = _gathered(table)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     at = _candidates(np.split(flat, np.cumsum(sizes)[:-1]), offsets[:-1])[hit]
     doc = np.searchsorted(offsets, at, "right") - 1
-    return _ranges_table(rows, *merged(at, at, doc), offsets)
+    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    ends = np.concatenate([edges[1:], [len(doc)]]) if len(doc) else edges
+    starts = [packed_places(at[a:b] - offsets[doc[a]]) for a, b in zip(edges, ends, strict=True)]
+    return pa.Table.from_arrays([pa.array(rows[doc[edges]], pa.int64()), pa.array(starts, pa.binary())], names=["row", "starts"])
 
 
 def _cut(window: int):
@@ -249,12 +269,10 @@ def _cut(window: int):
         for whole in batches:
             for batch in slices(whole, "text", CHUNK):
                 out = []
-                for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                     raw = (text or "").encode()
-                    spans = np.concatenate([np.frombuffer(r, np.int64) for r in ranges or []] or [np.zeros(0, np.int64)]).reshape(-1, 2)
-                    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-                    hi = np.maximum.accumulate(spans[:, 1] + window - 1) if len(spans) else spans[:, 1]
-                    lo, hi, _ = merged(spans[:, 0], hi, np.zeros(len(spans), np.int64))
+                    at = np.sort(np.concatenate([unpacked_places(s) for s in starts or []] or [np.zeros(0, np.int64)]))
+                    lo, hi, _ = merged(at, at + window - 1, np.zeros(len(at), np.int64))
                     kept, at = [], 0
                     for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
                         kept.append(raw[at:a])
@@ -306,11 +324,12 @@ def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
         suffixes = candidates.mapInArrow(_suffix_task(window, bits, passes, turn), _ENTRIES)
         part = staged(
             suffixes.groupBy("bucket").applyInArrow(_sort_bucket(np.uint64), places)
-            .groupBy("chunk").applyInArrow(_repeated_ranges, "row long, ranges binary")
+            .groupBy("chunk").applyInArrow(_repeated_starts, "row long, starts binary")
         )
         found = part if found is None else found.unionByName(part)
-    spans = found.groupBy("row").agg(F.collect_set("ranges").alias("ranges"))
-    return texts.join(spans, "row", "left").select("doc_id", "text", "ranges").mapInArrow(
+    # at most one entry per pass: rows that agree in id and text have equal places
+    starts = found.groupBy("row").agg(F.collect_set("starts").alias("starts"))
+    return texts.join(starts, "row", "left").select("doc_id", "text", "starts").mapInArrow(
         _cut(window), f"doc_id {dict(texts.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     )
 

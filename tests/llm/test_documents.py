@@ -197,6 +197,12 @@ def test_repeats(docs, rows, window, share, monkeypatch):
     assert got == brute_repeats(rows, window)
 
 
+def test_places_survive_packing():
+    rnd = random.Random(3)
+    for places in ([], [0], [254], [255], [256, 510, 511], sorted(rnd.sample(range(100_000), 500))):
+        assert suffixes.unpacked_places(suffixes.packed_places(np.array(places, np.int64))).tolist() == places
+
+
 def test_repeats_of_nothing(empty):
     assert suffixes.remove_repeats(empty).collect() == []
 
