@@ -28,12 +28,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (five words, similarity 0.8)."""
-    copies = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
-    left = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """One document, that of the smallest id, of each group of near copies (five words, similarity 0.8).
+
+    Rows that share an id are documents of their own, unless they are equal in all columns.
+    """
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = named.withColumn("_row", F.col("doc_id").cast("long"))
+    else:
+        rows = numbered(named)
+    copies = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_row"))
+    left = rows.join(copies, "_row", "left_anti")
     return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Distinct rows with ``_row``, their number in the order of the id, then of the row's hash."""
+    keyed = staged(docs.withColumn("_key", mixing.row_key(docs)).dropDuplicates(["_key"]))
+    order = keyed.select(F.col("doc_id").cast("long").alias("_id"), "_key").orderBy("_id", "_key")
+    numbers = order.sparkSession.createDataFrame(order.rdd.zipWithIndex().map(lambda r: (r[0]["_key"], r[1])), "_key string, _row long")
+    return staged(keyed.join(numbers, "_key").drop("_key"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, each as often as its source's target asks."""
     return mixing.mixed(docs)

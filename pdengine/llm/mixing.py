@@ -93,10 +93,27 @@ def mix(
     included; ``position`` and ``again`` are the training times of its first
     and second use, null where it is not used.
     """
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sizes = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), place.alias("place")))
-    sources = staged(sources_with_targets(sizes, budget, most, weights))
+    sizes = staged(docs.select(
+        "doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), place.alias("place"),
+        F.lit("").alias("key"), F.lit(1).cast("long").alias("copies"),
+    ))
+    return _used(_placed(sizes, budget, most, weights), schedules).select(
+        "doc_id", "size", "source_size", "target", "taken", "position", "again"
+    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _placed(sizes: DataFrame, budget: float, most: float, weights) -> DataFrame:
+    """Add the facts of the source and ``before``, the words its source gives out before each row of ``sizes``.
+
+    A row stands for ``copies`` equal documents.
+    """
+    sizes = sizes.withColumn("words", F.col("size") * F.col("copies"))
+    sources = staged(sources_with_targets(sizes.select("source", F.col("words").alias("size")), budget, most, weights))
 
     rows = sources.agg(F.sum("n_docs").alias("n")).first()["n"] or 0
     digits = 0
@@ -105,17 +122,22 @@ def mix(
     cut = sizes.withColumn("bucket", F.substring("place", 1, digits) if digits else F.lit(""))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     cut = cut.withColumn("skey", key)
-    inside = Window.partitionBy("skey", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("place", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     lower = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bucket_sums = (
-        cut.groupBy("skey", "bucket").agg(F.sum("size").alias("n"))
+        cut.groupBy("skey", "bucket").agg(F.sum("words").alias("n"))
         .select("skey", "bucket", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("below"))
     )
     facts = sources.select(key.alias("skey"), "source_size", "kind", "target")
     offsets = bucket_sums.join(facts, "skey")
-    placed = cut.withColumn("in_bucket", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["skey", "bucket"])
+    placed = cut.withColumn("in_bucket", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(offsets, ["skey", "bucket"])
+
+    return placed.withColumn("before", F.col("below") + F.col("in_bucket"))
 
-    before = F.col("below") + F.col("in_bucket")
+
+def _used(placed: DataFrame, schedules) -> DataFrame:
+    """Add ``taken``, ``position`` and ``again`` of each document."""
+    before = F.col("before")
     goal = F.floor("target").cast("long")
     use = lambda seen: F.greatest(F.least(F.col("size"), goal - seen), F.lit(0))
     first, second = use(before), use(before + F.col("source_size"))
@@ -127,31 +149,53 @@ def mix(
             at = F.when(F.col("kind") == kind, training_time(share, knots)).otherwise(at)
         return F.when(words > 0, at)
 
-    return placed.select(
-        "doc_id", "size", "source_size", "target",
-        (first + second).alias("taken"),
-        time(before, first).alias("position"),
-        time(before + F.col("source_size"), second).alias("again"),
-    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return placed.withColumns({
+        "taken": first + second,
+        "position": time(before, first),
+        "again": time(before + F.col("source_size"), second),
+    })
+
+
+def row_key(docs: DataFrame) -> Column:
+    """Hash of all columns of a row, equal for equal rows only."""
+    return F.md5(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])).cast("binary"))
 
 
-def mixed(docs: DataFrame, **settings) -> DataFrame:
+def mixed(
+    docs: DataFrame, budget: float = 1.5, most: float = 2.0, weights=WEIGHTS, schedules=SCHEDULES
+) -> DataFrame:
     """The documents in training order: a row for each use of which at least half is taken.
 
     Every use but the last of each source is whole, so this rounds to documents.
-    Rows that share an id are placed together, as the first of them is.
+    Each row is decided by itself, also if it shares its id or has none: equal
+    rows are counted and used one after the other, ties follow the row's hash.
+    Rows without an id take the place of their hash instead of the id's.
     """
-    uses = mix(docs.select("doc_id", "text", "source"), **settings).dropDuplicates(["doc_id"])
+    keyed = docs.withColumn("_key", row_key(docs))
+    each = keyed.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), F.col("_key").alias("key"))
+    sizes = staged(
+        each.groupBy("key").agg(
+            F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"),
+            F.count(F.lit(1)).alias("copies"),
+        ).withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("key")).cast("binary")))
+    )
+    copies = _placed(sizes, budget, most, weights).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    uses = _used(copies.withColumn("before", F.col("before") + F.col("copy") * F.col("size")), schedules)
     left = F.col("taken") - F.col("size")
     whole = uses.select(
-        F.col("doc_id").alias("_id"),
+        F.col("key").alias("_key"),
+        F.col("copies").alias("_copies"),
         F.explode(F.array(
             F.when(F.least("taken", "size") * 2 >= F.col("size"), F.col("position")),
             F.when(left * 2 >= F.col("size"), F.col("again")),
         )).alias("_at"),
     ).where("_at is not null")
-    return (
-        docs.join(whole, F.col("doc_id").eqNullSafe(F.col("_id")))
-        .orderBy("_at", "doc_id")
-        .select(*docs.columns)
-    )
+    if sizes.where("copies > 1").isEmpty():
+        out = keyed.join(whole, "_key")
+    else:
+        whole = staged(whole)
+        several = sizes.where("copies > 1").select(F.col("key").alias("_key"))
+        out = keyed.join(whole.where("_copies = 1"), "_key").unionByName(
+            keyed.dropDuplicates(["_key"]).join(several, "_key", "left_semi").join(whole.where("_copies > 1"), "_key")
+        )
+    return out.orderBy("_at", "doc_id", "_key").select(*docs.columns)
