@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine.llm import (
-    embedding_dedup, licenses, line_dedup, minhash, mixing, neighbours, quality, sentencepiece, sql, suffixes,
-    token_counts,
+    embedding_dedup, language_model, licenses, line_dedup, merkle, minhash, mixing, neighbours, quality, sentencepiece, sql,
+    suffixes, token_counts, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,18 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("matches").alias("n_matches"), F.array_join(names, ",").alias("licences"), "matches")
 
 
+def op11_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.scores(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(_table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"), whitening.COMPONENTS)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -82,6 +94,9 @@ QUERIES: dict[str, Query] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "op11_lm_score": op11_lm_score,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
 SQL: dict[str, str] = {
     "op1_minhash_dedup": sql.near_duplicates(3, 85),
@@ -89,4 +104,6 @@ SQL: dict[str, str] = {
     "op4_nearest_vectors": sql.nearest(QUERY_EVERY, NEIGHBOURS),
     "op5_mix_sources": sql.mixing(1.5, 2.0, mixing.WEIGHTS, mixing.SCHEDULES),
     "op8_embedding_dedup": sql.near_vectors(SAME),
+    "op11_lm_score": sql.text_scores(language_model.FOLDS, language_model.HELD, language_model.STEPS),
+    "op12_merkle_manifest": sql.merkle(merkle.TAMPERED),
 }

@@ -147,3 +147,99 @@ SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.ve
        e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least_reached l ON l.a = e.vec_id
 """
+
+
+def _checksum(value: str) -> str:
+    """crc32 of a number's decimal text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))
+    ))"""
+
+
+def text_scores(folds: int, held: int, steps: int) -> str:
+    """Trigram scores with Witten-Bell smoothing, probabilities rounded to steps of a decade."""
+    rounded = lambda p: f"pow(10, -round(-log10({p}) * {steps}) / {steps})"
+    return f"""
+WITH tokens AS ({_TOKENS}),
+each AS (
+    SELECT doc_id, held_out, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
+        SELECT doc_id, list_append(w, chr(10)) AS w, coalesce({_checksum("doc_id")} % {folds} = {held}, false) AS held_out FROM tokens
+    )
+),
+grams AS (
+    SELECT *, coalesce(lag(w, 1) OVER o, '') AS v, coalesce(lag(w, 2) OVER o, '') AS u
+    FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+),
+taught AS (SELECT * FROM grams WHERE NOT held_out),
+one AS (SELECT w, count(*) AS c FROM taught GROUP BY w),
+two AS (SELECT v, w, count(*) AS c FROM taught GROUP BY v, w),
+three AS (SELECT u, v, w, count(*) AS c FROM taught GROUP BY u, v, w),
+left2 AS (SELECT v, sum(c) AS c, count(*) AS t FROM two GROUP BY v),
+left3 AS (SELECT u, v, sum(c) AS c, count(*) AS t FROM three GROUP BY u, v),
+corpus AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS k FROM one),
+found AS (
+    SELECT g.doc_id, g.held_out, n, k, coalesce(one.c, 0) AS c1,
+           coalesce({rounded("two.c / (left2.c + left2.t)")}, 0) AS a2, coalesce({rounded("left2.t / (left2.c + left2.t)")}, 1) AS l2,
+           coalesce({rounded("three.c / (left3.c + left3.t)")}, 0) AS a3, coalesce({rounded("left3.t / (left3.c + left3.t)")}, 1) AS l3
+    FROM grams g CROSS JOIN corpus
+    LEFT JOIN one USING (w) LEFT JOIN two USING (v, w) LEFT JOIN three USING (u, v, w)
+    LEFT JOIN left2 USING (v) LEFT JOIN left3 USING (u, v)
+),
+smooth AS (
+    SELECT *, CASE WHEN n = 0 THEN 1.0 ELSE
+        CASE WHEN c1 > 0 THEN {rounded("c1 / (n + k)")} ELSE 0 END + {rounded("k / (n + k)")} / (k + 1) END AS a1
+    FROM found
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c1 > 0) AS n_known, any_value(n) AS train_tokens,
+       fsum(log10((c1 + 0.5) / (n + 0.5 * (k + 1)))) AS base_score, fsum(log10(least(1.0, a3 + l3 * (a2 + l2 * a1)))) AS score
+FROM smooth GROUP BY doc_id, held_out
+"""
+
+
+def merkle(divisor: int) -> str:
+    """Leaves, trees by language, the tree of their roots, and the roots that changed leaves fold to, level by level."""
+    part = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR) END"
+    leaf = lambda n: "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", n, "text"))) + ")"
+    return f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, lang, {leaf("n_chars")} AS h,
+           CASE WHEN {_checksum("doc_id")} % {divisor} = 0 THEN {leaf("(n_chars + 1)")} ELSE {leaf("n_chars")} END AS other
+    FROM documents
+),
+placed AS (
+    SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS k,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+    FROM leaves
+),
+tree AS (
+    SELECT 0 AS lvl, k, pos, h, n FROM placed
+    UNION ALL
+    SELECT lvl + 1, k, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lvl, k, pos // 2, n
+),
+subroots AS (SELECT k, h FROM tree WHERE n = 1),
+top AS (
+    SELECT 0 AS lvl, k - 1 AS pos, h, (SELECT count(*) FROM subroots) AS n FROM subroots
+    UNION ALL
+    SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n
+),
+within AS (
+    SELECT k, pos AS leaf_pos, 0 AS lvl, pos, n, other AS now, '' AS sib FROM placed
+    UNION ALL
+    SELECT w.k, w.leaf_pos, w.lvl + 1, w.pos // 2, (w.n + 1) // 2,
+           sha256(CASE WHEN w.pos % 2 = 1 THEN t.h || w.now ELSE w.now || coalesce(t.h, '') END), w.sib || coalesce(t.h, '')
+    FROM within w LEFT JOIN tree t ON t.k = w.k AND t.lvl = w.lvl AND t.pos = xor(w.pos, 1)
+    WHERE w.n > 1
+),
+above AS (
+    SELECT k, leaf_pos, 0 AS lvl, k - 1 AS pos, (SELECT count(*) FROM subroots) AS n, now, sib FROM within WHERE n = 1
+    UNION ALL
+    SELECT a.k, a.leaf_pos, a.lvl + 1, a.pos // 2, (a.n + 1) // 2,
+           sha256(CASE WHEN a.pos % 2 = 1 THEN t.h || a.now ELSE a.now || coalesce(t.h, '') END), a.sib || coalesce(t.h, '')
+    FROM above a LEFT JOIN top t ON t.lvl = a.lvl AND t.pos = xor(a.pos, 1)
+    WHERE a.n > 1
+),
+root AS (SELECT h FROM top WHERE n = 1)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, root.h AS root, sha256(a.sib) AS proof_sha256, a.now AS folded_root, a.now = root.h AS verified
+FROM placed p JOIN subroots s USING (k) JOIN above a ON a.k = p.k AND a.leaf_pos = p.pos AND a.n = 1 CROSS JOIN root
+"""

@@ -12,5 +12,5 @@ def test_matches_sql(spark, folder, name):
 
 
 def test_one_query_per_operator():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(SQL) <= set(QUERIES)
