@@ -14,6 +14,7 @@ from pdengine.operators.calibration import apply_isotonic, fit_isotonic
 from pdengine.operators.boosting import with_probability
 from pdengine.operators.lookup import attach
 from pdengine.operators.note_vectors import as_vector, vector_pipeline, with_components
+from pdengine.operators.prefix import prefix_counts
 from pdengine.operators.tree_contributions import with_contributions
 from pdengine.plans import reports, scorecard, scoring
 from pdengine.plans.jobs import META_COLS, quality_report, training_job
@@ -78,11 +79,15 @@ def gbm_scores(spark, d):
 
 
 def cox_fit(spark, d):
+    """Coefficients, and the cumulative baseline hazard at every duration."""
     cox = model_of(spark, d).cox
-    rows = list(zip(cox.covariates, cox.beta)) + [
-        (f"hazard_at_{t:g}", h) for t, h in zip(cox.durations, cox.cumulative_hazard)
-    ]
-    return spark.createDataFrame(rows, "term string, value double")
+    terms = spark.createDataFrame(list(zip(cox.covariates, cox.beta)), "term string, value double")
+    placed = prefix_counts(cox.baseline, "duration", ["hazard"])
+    name = F.regexp_replace(F.col("duration").cast("string"), r"\.0$", "")
+    hazards = placed.select(
+        F.concat(F.lit("hazard_at_"), name).alias("term"), (F.col("less_hazard") + F.col("hazard")).alias("value")
+    )
+    return terms.unionByName(hazards)
 
 
 def isotonic_apply(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
@@ -62,6 +62,7 @@ class RiskModel:
         self.isotonic.write().overwrite().save(f"{path}/isotonic")
         self.references.save(f"{path}/references")
         self.modes.write.mode("overwrite").parquet(f"{path}/modes")
+        self.cox.baseline.write.mode("overwrite").parquet(f"{path}/baseline")
         write_document(spark, self.config(), f"{path}/config")
         self.path = path
 
@@ -75,7 +76,7 @@ class RiskModel:
             "cox_blend_weight": fv.COX_WEIGHT,
             "cox_horizon_duration": self.cox.horizon,
             "band_thresholds": {"high": self.high_cut, "elevated": self.elevated_cut},
-            "cox": asdict(self.cox),
+            "cox": self.cox.document(),
             "cox_scaler": self.cox_stats,
         }
 
@@ -85,7 +86,7 @@ class RiskModel:
         return cls(
             PipelineModel.load(f"{path}/text"),
             PipelineModel.load(f"{path}/trees"),
-            CoxModel(**config["cox"]),
+            CoxModel(**config["cox"], baseline=spark.read.parquet(f"{path}/baseline")),
             config["cox_scaler"],
             IsotonicRegressionModel.load(f"{path}/isotonic"),
             PlacedReference.load(spark, f"{path}/references"),

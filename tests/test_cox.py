@@ -81,3 +81,47 @@ def test_many_ties_are_integrated(at_risk, tied):
 def test_hazard_lookup():
     model = CoxModel(["a"], [1.0], [1.0, 2.0, 4.0], [0.1, 0.3, 0.6])
     assert [model.hazard_at(t) for t in (0.5, 1, 3, 9)] == [0.0, 0.1, 0.3, 0.6]
+
+
+def test_a_million_distinct_durations(spark):
+    """No table of durations on the driver: its share of the work is one row per part."""
+    from pdengine.operators import cox
+
+    n = 1_000_000
+    rows = spark.range(n, numPartitions=8).select(
+        (F.col("id") % 7 / 7 - 0.43).alias("a"), ((F.col("id") * 31) % 11 / 11 - 0.45).alias("b"),
+        (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) + F.col("id") / n).alias("duration"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) > 0).cast("int").alias("event"),
+    )
+    model = fit_cox(rows, ["a", "b"], max_steps=2)
+    assert model.baseline.count() == n and len(model.durations) <= 2 * 8
+    assert max(abs(b) for b in model.beta) < 0.02
+    assert model.hazard_at(model.durations[3]) == pytest.approx(model.cumulative_hazard[3])
+    few = cox.Sums.of(np.array([2.0, 2.0, 1.0]), np.array([1.0, 0, 1]), np.zeros((3, 1)), np.zeros(1))
+    assert few.t.tolist() == [2.0, 1.0] and few.values[:, 0].tolist() == [2, 1]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 20])
+def test_same_fit_on_any_number_of_parts(spark, sample, parts):
+    x, duration, event = sample
+    for rounded in (np.ceil(duration / 6), duration):
+        rows = frame(spark, (x, rounded, event))
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            model = fit_cox(rows, ["a", "b", "c"], penalizer=0.01)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        gradient = brute_force_gradient(x, rounded, event, np.array(model.beta), 0.01 * len(x))
+        assert np.abs(gradient).max() < 1e-3
+        w = np.exp(x @ np.array(model.beta))
+        table = {r.duration: r.hazard for r in model.baseline.collect()}
+        assert sorted(table) == sorted(set(rounded))
+        for t in list(table)[::97]:
+            assert table[t] == pytest.approx(event[rounded == t].sum() / w[rounded >= t].sum())
+        assert model.hazard_at(float(np.median(rounded))) == pytest.approx(sum(h for t, h in table.items() if t <= np.median(rounded)))
+
+
+def test_rows_without_duration_or_covariate_take_no_part(spark, sample):
+    rows = frame(spark, sample)
+    holes = rows.limit(5).withColumn("a", F.lit(None).cast("double")).union(rows.limit(5).withColumn("duration", F.lit(None).cast("double")))
+    assert np.allclose(fit_cox(rows.union(holes), ["a", "b"]).beta, fit_cox(rows, ["a", "b"]).beta)
