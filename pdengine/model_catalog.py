@@ -104,7 +104,7 @@ def shap_contributions(spark, d):
     rows = with_probability(feature_book(spark, d), model.trees).select(
         "borrower_id", "gbm_margin", "feature_values"
     )
-    return with_contributions(rows, model.nodes(spark)).select(
+    return with_contributions(rows, model.explainer(spark)).select(
         "borrower_id", "gbm_margin", "base_margin", F.posexplode("contributions").alias("position", "contribution")
     )
 

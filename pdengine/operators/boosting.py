@@ -2,51 +2,54 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine import fixed_values as fv
+from pdengine.operators.leafwise import Growth, boost, stored_model
+from pdengine.staging import stage_path
 
 INDEX_COLS = [f"{c}_index" for c in fv.CATEGORICAL_FEATURES]
 # Order of the assembled vector; the names are the model features in that order.
-MAX_BINS = 255
 ROWS_PER_TASK = 20_000
 VECTOR_COLS = fv.NUMERIC_FEATURES + INDEX_COLS + fv.TEXT_FEATURES
 
 
-def boosting_pipeline(
+def fit_trees(
+    rows: DataFrame,
     n_trees: int = 300,
     learning_rate: float = 0.05,
-    max_depth: int = 5,
+    leaves: int = 31,
     min_leaf: int = 30,
-    feature_share: str = "0.8",
+    feature_share: float = 0.8,
     seed: int = 42,
     label: str = "default",
-) -> Pipeline:
-    """Depth 5 gives up to 32 leaves. An unseen category gets an index of its own."""
-    return Pipeline(stages=[
+) -> PipelineModel:
+    """Leaf-wise trees as a pipeline that scores in the JVM. An unseen category gets an index of its own."""
+    spark, given = rows.sparkSession, tree_input(rows, label)
+    shaping = Pipeline(stages=[
         StringIndexer(
             inputCols=fv.CATEGORICAL_FEATURES, outputCols=INDEX_COLS,
             handleInvalid="keep", stringOrderType="alphabetAsc",
         ),
         VectorAssembler(inputCols=VECTOR_COLS, outputCol="features", handleInvalid="keep"),
-        GBTClassifier(
-            labelCol=label, featuresCol="features", maxIter=n_trees, stepSize=learning_rate,
-            maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=feature_share,
-            seed=seed, checkpointInterval=20, maxBins=MAX_BINS, cacheNodeIds=True, maxMemoryInMB=1024,
-        ),
-    ])
+    ]).fit(given)
+    places = {c: VECTOR_COLS.index(c) for c in INDEX_COLS}
+    categories = {places[c]: len(labels) + 1 for c, labels in zip(INDEX_COLS, shaping.stages[0].labelsArray, strict=True)}
+    shaped = shaping.transform(given).select(vector_to_array("features").alias("features"), F.col(label).cast("int").alias("label"))
+    fitted = boost(
+        shaped, len(VECTOR_COLS), Growth(leaves, min_leaf, categories=categories), n_trees, learning_rate, feature_share, seed
+    )
+    trees = stored_model(spark, fitted, len(VECTOR_COLS), stage_path(spark, uuid.uuid4().hex))
+    return PipelineModel(stages=[*shaping.stages, trees])
 
 
 def tree_input(rows: DataFrame, label: str = "default") -> DataFrame:
-    """Columns that the trees are fitted on, in as many partitions as the rows are worth.
-
-    Each level of each tree is a job over all partitions, so a few thousand
-    rows per task cost more in scheduling than in work.
-    """
+    """Columns that the trees are fitted on, in as many partitions as the rows are worth."""
     needed = rows.select(label, *fv.NUMERIC_FEATURES, *[F.col(c).cast("string").alias(c) for c in fv.CATEGORICAL_FEATURES], *fv.TEXT_FEATURES)
     return needed.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK)))
 

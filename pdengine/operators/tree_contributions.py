@@ -3,126 +3,174 @@
 With features outside a coalition averaged by how the training rows split, the
 value of a leaf factors over the distinct features of its path: a feature in
 the coalition gives 1 or 0 (does the loan follow the path?), one outside gives
-the share of rows that did. A path of d features has at most 2^d forms of
-Shapley values; those of short paths are tabulated once per leaf, those of long
-ones are worked out for the patterns that occur.
+the share of rows that did. A coalition of k of the other m - 1 features weighs
+k! (m - 1 - k)! / m!, which is the integral of t^k (1 - t)^(m - 1 - k) over [0, 1].
+So the sum over all coalitions is the integral of one product,
+
+    share of i = (follows_i - share_i) * integral of prod over j /= i of (follows_j t + share_j (1 - t)),
+
+a polynomial of degree m - 1, for which ceil(m / 2) Gauss points are exact. Paths
+of any length take as many products as they have points; nothing is tabulated
+by pattern.
+
+A model is packed into arrays, in groups of trees of bounded size, once; a task
+works through the groups and adds them up.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from math import factorial
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-# Paths of so many features have the weights of all their patterns tabulated once; longer ones on demand.
-TABLED = 8
-# The nodes are broadcast; this is the limit of what is sent to every executor.
-MAX_NODES = 2_000_000
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Leaves of a group of trees.
+GROUP_LEAVES = 50_000
+#: Loans times steps of paths that are held at a time.
+CELLS = 1 << 20
 
-def collect_nodes(nodes: DataFrame) -> pd.DataFrame:
-    """Model nodes on the driver; their number is fixed by the model's size, not by the loans."""
-    table = nodes.limit(MAX_NODES + 1).toPandas()
-    if len(table) > MAX_NODES:
-        raise ValueError("model too large to explain")
-    return table
 
+@dataclass
+class Paths:
+    """Paths of the leaves with m distinct features: per leaf and feature the tests, the share, and the value."""
 
-def _forms(follows: np.ndarray, shares: list[float]) -> np.ndarray:
-    """Shapley weights of one leaf, a row per pattern of followed features."""
-    m = len(shares)
-    form = np.zeros((len(follows), m))
-    for i in range(m):
-        # Polynomial in the coalition size: multiply one feature at a time.
-        by_size = np.zeros((len(follows), m))
-        by_size[:, 0] = 1.0
-        for j in range(m):
-            if j != i:
-                by_size[:, 1:] = by_size[:, 1:] * shares[j] + by_size[:, :-1] * follows[:, j : j + 1]
-                by_size[:, 0] *= shares[j]
-        sizes = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-        form[:, i] = (by_size @ sizes) * (follows[:, i] - shares[i])
-    return form
+    features: np.ndarray  # leaves x m
+    first: np.ndarray  # a test that the feature passes on the path: its number, doubled, plus 1 if it must go right
+    rest: list[tuple[int, int, int]]  # further tests of the same feature: leaf, place, test
+    shares: np.ndarray
+    values: np.ndarray
 
 
-def _patterns(codes: np.ndarray, m: int) -> np.ndarray:
-    return (codes[:, None] >> np.arange(m)) & 1
-
-
-@dataclass(frozen=True)
+@dataclass
 class ExplainedTrees:
-    """Split tests of all trees, and per leaf the features, tests and Shapley form of its path."""
-
-    tests: list[tuple]
-    leaves: list[tuple]
-    base: float
+    """Split tests of some trees and their leaves' paths by length."""
+
+    tests: list[tuple[int, float | list[float]]] = field(default_factory=list)
+    paths: dict[int, Paths] = field(default_factory=dict)
+    base: float = 0.0
+
+
+def _tree_paths(tree: pd.DataFrame, tests: list) -> tuple[list[tuple], float]:
+    """Leaves of a tree: path by feature, shares, value; tests are added to the list."""
+    rows = {r.id: r for r in tree.itertuples(index=False)}
+    out, base, stack = [], 0.0, [(0, [], 1.0)]
+    while stack:
+        number, path, reached = stack.pop()
+        node = rows[number]
+        if node.leftChild < 0:
+            value = node.prediction * node.weight
+            base += value * reached
+            by: dict[int, list] = {}
+            for f, test, share in path:
+                by.setdefault(f, []).append((test, share))
+            if by:
+                out.append((by, value))
+            continue
+        split = node.split
+        values = [float(v) for v in split["leftCategoriesOrThreshold"]]
+        tests.append((split["featureIndex"], values if split["numCategories"] >= 0 else values[0]))
+        for child, right in ((node.leftChild, 0), (node.rightChild, 1)):
+            share = rows[child].rawCount / node.rawCount
+            stack.append((child, path + [(split["featureIndex"], 2 * (len(tests) - 1) + right, share)], reached * share))
+    return out, base
 
 
 def explained_trees(nodes: pd.DataFrame) -> ExplainedTrees:
-    tests, leaves, base = [], [], 0.0
+    """Pack trees, given as a table of nodes."""
+    out = ExplainedTrees()
+    by_length: dict[int, list] = {}
     for _, tree in nodes.groupby("treeID"):
-        rows = {r.id: r for r in tree.itertuples(index=False)}
-        stack = [(0, [], 1.0)]
-        while stack:
-            number, path, reached = stack.pop()
-            node = rows[number]
-            if node.leftChild < 0:
-                value = node.prediction * node.weight
-                base += value * reached
-                features = sorted({f for f, _, _, _ in path})
-                if features:
-                    shares = [float(np.prod([s for f, _, _, s in path if f == g])) for g in features]
-                    sides = [[(test, left) for f, test, left, _ in path if f == g] for g in features]
-                    m = len(features)
-                    table = _forms(_patterns(np.arange(2**m), m), shares) * value if m <= TABLED else None
-                    leaves.append((features, sides, table, shares, value))
-                continue
-            feature = node.split["featureIndex"]
-            values = list(node.split["leftCategoriesOrThreshold"])
-            tests.append((feature, values if node.split["numCategories"] >= 0 else values[0]))
-            for child, left in ((node.leftChild, True), (node.rightChild, False)):
-                share = rows[child].rawCount / node.rawCount
-                stack.append((child, path + [(feature, len(tests) - 1, left, share)], reached * share))
-    return ExplainedTrees(tests, leaves, base)
+        leaves, base = _tree_paths(tree, out.tests)
+        out.base += base
+        for by, value in leaves:
+            by_length.setdefault(len(by), []).append((by, value))
+    for m, leaves in by_length.items():
+        order = [sorted(by) for by, _ in leaves]
+        out.paths[m] = Paths(
+            np.array(order, np.int32),
+            np.array([[by[f][0][0] for f in fs] for (by, _), fs in zip(leaves, order, strict=True)], np.int32),
+            [(i, j, test) for i, ((by, _), fs) in enumerate(zip(leaves, order, strict=True)) for j, f in enumerate(fs) for test, _ in by[f][1:]],
+            np.array([[float(np.prod([s for _, s in by[f]])) for f in fs] for (by, _), fs in zip(leaves, order, strict=True)]),
+            np.array([value for _, value in leaves]),
+        )
+    return out
 
 
-def contributions_of(values: np.ndarray, trees: ExplainedTrees) -> np.ndarray:
-    """One row of contributions per row of feature values; each split is tested once."""
-    goes_left = [
-        np.isin(values[:, f], split) if isinstance(split, list) else values[:, f] <= split
-        for f, split in trees.tests
-    ]
-    out = np.zeros_like(values)
-    for features, sides, table, shares, value in trees.leaves:
-        pattern = np.zeros(len(values), dtype=np.int64)
-        for j, tests in enumerate(sides):
-            follows = np.ones(len(values), dtype=bool)
-            for test, left in tests:
-                follows &= goes_left[test] if left else ~goes_left[test]
-            pattern |= follows.astype(np.int64) << j
-        if table is not None:
-            out[:, features] += table[pattern]
-        else:  # a long path: only the patterns that occur, by the same polynomial
-            seen, which = np.unique(pattern, return_inverse=True)
-            out[:, features] += (_forms(_patterns(seen, len(features)), shares) * value)[which]
+def _answers(values: np.ndarray, tests: list) -> np.ndarray:
+    """Rows: each test's outcome and its opposite, one after the other."""
+    out = np.empty((2 * len(tests), len(values)), bool)
+    for k, (f, split) in enumerate(tests):
+        left = np.isin(values[:, f], split) if isinstance(split, list) else values[:, f] <= split
+        out[2 * k], out[2 * k + 1] = left, ~left
     return out
 
 
-def with_contributions(rows: DataFrame, nodes: DataFrame, values_col: str = "feature_values") -> DataFrame:
+def contributions_of(values: np.ndarray, trees: ExplainedTrees) -> np.ndarray:
+    """One row of contributions per row of feature values."""
+    out = np.zeros((values.shape[1], len(values)))
+    if not trees.tests or not len(values):
+        return out.T
+    answers = _answers(values, trees.tests)
+    for m, paths in trees.paths.items():
+        points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+        points, weights = (points + 1) / 2, weights / 2
+        step = max(1, CELLS // (m * len(values)))
+        further = {}
+        for i, j, test in paths.rest:
+            further.setdefault(i // step, []).append((i % step, j, test))
+        for part, at in enumerate(range(0, len(paths.values), step)):
+            follows = answers[paths.first[at : at + step]]  # leaves x m x loans
+            for i, j, test in further.get(part, ()):
+                follows[i, j] &= answers[test]
+            share = paths.shares[at : at + step, :, None]
+            total = np.zeros(follows.shape)
+            for t, w in zip(points.tolist(), weights.tolist(), strict=True):
+                yes, no = t + share * (1 - t), share * (1 - t)
+                product = np.where(follows, yes, no).prod(axis=1, keepdims=True)
+                total += w * product * np.where(follows, 1 / yes, 1 / no)
+            total *= np.where(follows, 1 - share, -share) * paths.values[at : at + step, None, None]
+            np.add.at(out, paths.features[at : at + step].ravel(), total.reshape(-1, len(values)))
+    return out.T
+
+
+@dataclass
+class Explainer:
+    """A packed model on its way to tasks; make one per model and keep it."""
+
+    groups: list  # broadcast groups of trees
+    base: float
+
+    @classmethod
+    def of(cls, nodes: DataFrame) -> "Explainer":
+        """Pack the trees of a table of nodes group by group, so that the driver holds one group's nodes at a time."""
+        spark: SparkSession = nodes.sparkSession
+        sizes = nodes.where(F.col("leftChild") < 0).groupBy("treeID").count().orderBy("treeID").collect()  # a row per tree
+        groups, base, lot, held = [], 0.0, [], 0
+        for i, (tree, leaves) in enumerate(sizes):
+            lot.append(tree)
+            held += leaves
+            if held >= GROUP_LEAVES or i == len(sizes) - 1:
+                packed = explained_trees(nodes.where(F.col("treeID").between(lot[0], lot[-1])).toPandas())
+                base += packed.base
+                groups.append(spark.sparkContext.broadcast(packed))
+                lot, held = [], 0
+        return cls(groups, base)
+
+
+def with_contributions(rows: DataFrame, explainer: Explainer, values_col: str = "feature_values") -> DataFrame:
     """Add ``contributions`` (one per feature) and ``base_margin``; their sum is the margin.
 
     Only the feature array goes to Python; the other columns stay in the JVM.
     """
-    trees = explained_trees(collect_nodes(nodes))
-    model = rows.sparkSession.sparkContext.broadcast(trees)
+    groups = explainer.groups
 
     @F.pandas_udf("array<double>")
     def explain(values: pd.Series) -> pd.Series:
         if values.empty:
             return pd.Series([], dtype=object)
-        return pd.Series(list(contributions_of(np.stack(values.to_list()).astype(float), model.value)))
+        matrix = np.stack(values.to_list()).astype(float)
+        parts = [sum(contributions_of(matrix[i : i + 512], g.value) for g in groups) for i in range(0, len(matrix), 512)]
+        return pd.Series(list(np.concatenate(parts)))
 
-    return rows.withColumns({"contributions": explain(F.col(values_col)), "base_margin": F.lit(trees.base)})
+    return rows.withColumns({"contributions": explain(F.col(values_col)), "base_margin": F.lit(explainer.base)})

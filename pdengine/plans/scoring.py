@@ -87,7 +87,7 @@ def what_if(model: RiskModel, asked: DataFrame, feature_book: DataFrame) -> Data
 
 def with_reasons(model: RiskModel, scored: DataFrame, k: int = fv.TOP_REASONS) -> DataFrame:
     """Add ``contributions``, ``base_margin`` and ``reason_codes`` to rows that hold ``feature_values``."""
-    explained = with_contributions(scored, model.nodes(scored.sparkSession))
+    explained = with_contributions(scored, model.explainer(scored.sparkSession))
     terms = []
     for i, name in enumerate(fv.MODEL_FEATURES):
         amount = F.col("contributions")[i]

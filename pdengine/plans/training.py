@@ -10,26 +10,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.functions.bands import band
-from pdengine.operators.boosting import boosting_pipeline, feature_importance, tree_input, tree_nodes, with_probability
+from pdengine.operators.boosting import feature_importance, fit_trees, tree_nodes, with_probability
 from pdengine.operators.calibration import apply_isotonic, fit_isotonic
 from pdengine.operators.cox import CoxModel, fit_cox
 from pdengine.operators.note_vectors import NOTE_DIMS, note_pipeline, with_components
 from pdengine.operators.placed_reference import PlacedReference
 from pdengine.operators.scaling import column_stats, zscore
+from pdengine.operators.tree_contributions import Explainer
 from pdengine.plans import reports
 from pdengine.plans.fusion import band_cuts, rank_and_blend, reference_distribution
 from pdengine.plans.explore import category_modes
 from pdengine.sources.store import read_document, write_document
-from pdengine.staging import checkpoint_root, materialise
+from pdengine.staging import checkpoint_root, materialise, staged_object
 
 
 @dataclass(frozen=True)
 class TrainingConfig:
     n_trees: int = 300
     learning_rate: float = 0.05
-    max_depth: int = 5
+    leaves: int = 31
     min_leaf: int = 30
-    feature_share: str = "0.8"
+    feature_share: float = 0.8
     seed: int = 42
     cox_penalizer: float = 0.1
     note_dims: int = NOTE_DIMS
@@ -99,6 +100,10 @@ class RiskModel:
     def nodes(self, spark: SparkSession) -> DataFrame:
         return tree_nodes(spark, f"{self.path}/trees")
 
+    def explainer(self, spark: SparkSession) -> Explainer:
+        """The packed trees, made once per model and application."""
+        return staged_object(spark, f"explainer:{self.path}", lambda: Explainer.of(self.nodes(spark)))
+
     def importance(self, spark: SparkSession) -> DataFrame:
         return feature_importance(self.nodes(spark))
 
@@ -129,9 +134,9 @@ def train(book: DataFrame, config: TrainingConfig = TrainingConfig()) -> tuple[R
     features = materialise(with_components(book, text))
     train_rows = features.where(in_train)
 
-    trees = boosting_pipeline(
-        config.n_trees, config.learning_rate, config.max_depth, config.min_leaf, config.feature_share, config.seed
-    ).fit(tree_input(train_rows, config.label))
+    trees = fit_trees(
+        train_rows, config.n_trees, config.learning_rate, config.leaves, config.min_leaf, config.feature_share, config.seed, config.label
+    )
 
     stats = {k: float(v) for k, v in column_stats(train_rows, fv.COX_COVARIATES).first().asDict().items()}
     z_names = [f"z_{c}" for c in fv.COX_COVARIATES]

@@ -66,10 +66,42 @@ def test_equals_shapley_values_and_sums_to_the_margin():
         assert np.isclose(phi.sum() + trees.base, margin(x, {0, 1, 2}))
 
 
-def test_long_paths_use_the_same_polynomial(monkeypatch):
-    from pdengine.operators import tree_contributions
-
-    values = np.column_stack([np.linspace(0, 1, 20), np.arange(20) % 3, np.linspace(0, 6, 20)])
-    tabled = contributions_of(values, explained_trees(NODES))
-    monkeypatch.setattr(tree_contributions, "TABLED", 0)
-    assert np.allclose(contributions_of(values, explained_trees(NODES)), tabled)
+def test_long_paths_equal_coalitions():
+    """A path over nine features, by the definition; no table of its 2^9 patterns is made."""
+    m = 9
+    rows, share = [], []
+    for i in range(m):
+        left = 2 * i + 1
+        rows.append(node(0, 2 * i, 0.0, 1000 - 100 * i, left, left + 1, i, [0.5]))
+        rows.append(node(0, left, float(i), 100))
+        share.append(1 - 100 / (1000 - 100 * i))
+    rows.append(node(0, 2 * m, 5.0, 100))
+    trees = explained_trees(pd.DataFrame(rows))
+    table = {r["id"]: r for r in rows}
+    for x in (np.ones(m), np.zeros(m), np.arange(m) % 2 * 1.0):
+        got = contributions_of(x[None, :], trees)[0]
+        assert np.isclose(got.sum() + trees.base, expectation(table, 0, x, set(range(m))))
+        want = np.zeros(m)
+        known = {frozenset(c): expectation(table, 0, x, set(c)) for size in range(m + 1) for c in combinations(range(m), size)}
+        for i in (0, 4, 8):
+            for c, value in known.items():
+                if i not in c:
+                    want[i] += factorial(len(c)) * factorial(m - len(c) - 1) / factorial(m) * (known[c | {i}] - value)
+            assert np.isclose(got[i], want[i])
+
+
+def test_groups_of_trees_add_up(spark, monkeypatch):
+    from pdengine.operators import tree_contributions as tc
+
+    nodes = spark.createDataFrame(
+        [tuple(r.values()) for r in NODES.to_dict("records")],
+        "treeID int, id int, prediction double, rawCount long, leftChild int, rightChild int, weight double, "
+        "split struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>",
+    )
+    rows = spark.createDataFrame([([0.3, 1.0, 2.0],), ([0.9, 2.0, 5.0],)], "feature_values array<double>")
+    one = tc.Explainer.of(nodes)
+    monkeypatch.setattr(tc, "GROUP_LEAVES", 1)
+    two = tc.Explainer.of(nodes)
+    assert (len(one.groups), len(two.groups)) == (1, 2) and np.isclose(one.base, two.base)
+    got = [[r.contributions for r in tc.with_contributions(rows, e).collect()] for e in (one, two)]
+    assert np.allclose(got[0], got[1])
