@@ -20,6 +20,10 @@ import numpy as np
 
 U = np.uint64
 _ONE = U(1)
+#: Place of the r-th one of a byte, and how many ones a number of nine bits begins with, lowest bit first.
+_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
+_BIT = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.int8)
+_RUN = np.minimum.accumulate((np.arange(512)[:, None] >> np.arange(9)) & 1, axis=1).sum(axis=1).astype(np.int8)
 
 
 class Sequence:
@@ -33,8 +37,11 @@ class Sequence:
         self.low = np.frombuffer(buffer, U, lows, at + 24)
         self.high = np.frombuffer(buffer, U, highs, at + 24 + 8 * lows)
         self.end = at + 24 + 8 * (lows + highs)
-        self._ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)])
-        self._zeros = np.arange(len(self.high) + 1) * 64 - self._ones
+        self._bytes = np.frombuffer(self.high, np.uint8)
+        small = np.int32 if 8 * len(self._bytes) < 1 << 31 else np.int64
+        self._ones = np.zeros(len(self._bytes) + 1, small)
+        np.cumsum(np.bitwise_count(self._bytes), dtype=small, out=self._ones[1:])
+        self._zeros = np.arange(0, 8 * len(self._bytes) + 1, 8, dtype=small) - self._ones
         self._mask = U((1 << self.bits) - 1)
 
     @staticmethod
@@ -59,20 +66,28 @@ class Sequence:
         return np.array([n, most, bits], np.int64).tobytes() + low.tobytes() + high.tobytes()
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Places of the k-th ones or zeros of the high parts."""
+        """Places of the k-th ones or zeros of the high parts: a byte by the directory, a bit in it by a table."""
         before = self._ones if ones else self._zeros
-        word = np.searchsorted(before, k, "right") - 1
-        left, w = k - before[word], self.high[word]
-        if not ones:
-            w = ~w
-        at = np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            here = np.bitwise_count(w & U((1 << width) - 1)).astype(np.int64)
-            go = left >= here
-            left = left - here * go
-            w = np.where(go, w >> U(width), w)
-            at += width * go
-        return word * 64 + at
+        byte = np.searchsorted(before, k.astype(before.dtype), "right") - 1
+        held = self._bytes[byte] if ones else ~self._bytes[byte]
+        return byte * 8 + _BIT[held, k - before[byte]]
+
+    def _run(self, at: np.ndarray) -> np.ndarray:
+        """How many ones follow each place of the high parts, one after the other."""
+        here = at + 1
+        byte = here >> 3
+        wide = self._bytes[byte].astype(np.uint16) | (self._bytes[np.minimum(byte + 1, len(self._bytes) - 1)].astype(np.uint16) << np.uint16(8))
+        run = _RUN[(wide >> (here & 7).astype(np.uint16)) & np.uint16(511)].astype(np.int64)
+        long = np.flatnonzero(run == 9)
+        if len(long):  # more than the table sees: the next zero ends the run
+            zero = at[long] + 1 - self._ones_before(at[long] + 1)
+            run[long] = self._select(zero, False) - at[long] - 1
+        return run
+
+    def _ones_before(self, at: np.ndarray) -> np.ndarray:
+        byte = at >> 3
+        inside = self._bytes[byte] & ((1 << (at & 7)) - 1).astype(np.uint8)
+        return self._ones[byte] + np.bitwise_count(inside)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -94,14 +109,16 @@ class Sequence:
             return out
         v = x[some]
         high, want = v >> self.bits, v.astype(U) & self._mask
-        first = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
-        last = self._select(high, False) - high
-        low, end = first, last
-        while (low < end).any():  # binary search among the values of equal high part
-            mid = (low + end) >> 1
-            less = self._low(np.minimum(mid, self.n - 1)) < want
-            go = low < end
-            low, end = np.where(go & less, mid + 1, low), np.where(go & ~less, mid, end)
+        zero = np.where(high > 0, self._select(np.maximum(high - 1, 0), False), -1)  # the one before the values of this high part
+        first = zero - high + 1
+        last = first + self._run(zero)
+        low, end = first, last.copy()
+        open_ = np.flatnonzero(low < end)
+        while len(open_):  # binary search among the values of equal high part
+            mid = (low[open_] + end[open_]) >> 1
+            less = self._low(mid) < want[open_]
+            low[open_], end[open_] = np.where(less, mid + 1, low[open_]), np.where(less, end[open_], mid)
+            open_ = open_[low[open_] < end[open_]]
         hit = low < last
         hit[hit] = self._low(low[hit]) == want[hit]
         out[some[hit]] = low[hit]
