@@ -78,6 +78,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a part of a staged table that has served its purpose."""
+    _delete(spark, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables materialised inside are deleted at the end, so results must have been written by then."""
