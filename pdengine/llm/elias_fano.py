@@ -1,8 +1,8 @@
 """Monotone sequences in Elias-Fano form, and tries made of them, read in place.
 
 A sequence keeps the low bits of its values packed and their high parts in
-unary; the two directories needed for selecting ones and zeros are counted when
-a sequence is opened. All operations take whole arrays of positions or values.
+unary; two directories, of the ones up to each byte and up to each high part,
+are counted when a sequence is opened. All operations take whole arrays of positions or values.
 Nothing is decoded on opening: the words are views of the buffer, which may be
 a memory-mapped file.
 
@@ -20,10 +20,8 @@ import numpy as np
 
 U = np.uint64
 _ONE = U(1)
-#: Place of the r-th one of a byte, and how many ones a number of nine bits begins with, lowest bit first.
-_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
-_BIT = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.int8)
-_RUN = np.minimum.accumulate((np.arange(512)[:, None] >> np.arange(9)) & 1, axis=1).sum(axis=1).astype(np.int8)
+#: Place of the r-th one of a byte, lowest bit first.
+_BIT = np.argsort(1 - ((np.arange(256)[:, None] >> np.arange(8)) & 1), axis=1, kind="stable").astype(np.int8)
 
 
 class Sequence:
@@ -41,7 +39,8 @@ class Sequence:
         small = np.int32 if 8 * len(self._bytes) < 1 << 31 else np.int64
         self._ones = np.zeros(len(self._bytes) + 1, small)
         np.cumsum(np.bitwise_count(self._bytes), dtype=small, out=self._ones[1:])
-        self._zeros = np.arange(0, 8 * len(self._bytes) + 1, 8, dtype=small) - self._ones
+        zeros = np.flatnonzero(np.unpackbits(self._bytes, count=self.n + (self.most >> self.bits) + 1, bitorder="little") == 0)
+        self._upto = (zeros - np.arange(len(zeros))).astype(small)
         self._mask = U((1 << self.bits) - 1)
 
     @staticmethod
@@ -65,29 +64,10 @@ class Sequence:
             high[word[first]] = np.bitwise_or.reduceat(_ONE << (place & 63).astype(U), first)
         return np.array([n, most, bits], np.int64).tobytes() + low.tobytes() + high.tobytes()
 
-    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Places of the k-th ones or zeros of the high parts: a byte by the directory, a bit in it by a table."""
-        before = self._ones if ones else self._zeros
-        byte = np.searchsorted(before, k.astype(before.dtype), "right") - 1
-        held = self._bytes[byte] if ones else ~self._bytes[byte]
-        return byte * 8 + _BIT[held, k - before[byte]]
-
-    def _run(self, at: np.ndarray) -> np.ndarray:
-        """How many ones follow each place of the high parts, one after the other."""
-        here = at + 1
-        byte = here >> 3
-        wide = self._bytes[byte].astype(np.uint16) | (self._bytes[np.minimum(byte + 1, len(self._bytes) - 1)].astype(np.uint16) << np.uint16(8))
-        run = _RUN[(wide >> (here & 7).astype(np.uint16)) & np.uint16(511)].astype(np.int64)
-        long = np.flatnonzero(run == 9)
-        if len(long):  # more than the table sees: the next zero ends the run
-            zero = at[long] + 1 - self._ones_before(at[long] + 1)
-            run[long] = self._select(zero, False) - at[long] - 1
-        return run
-
-    def _ones_before(self, at: np.ndarray) -> np.ndarray:
-        byte = at >> 3
-        inside = self._bytes[byte] & ((1 << (at & 7)) - 1).astype(np.uint8)
-        return self._ones[byte] + np.bitwise_count(inside)
+    def _select(self, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th ones of the high parts: a byte by the directory, a bit in it by a table."""
+        byte = np.searchsorted(self._ones, k.astype(self._ones.dtype), "right") - 1
+        return byte * 8 + _BIT[self._bytes[byte], k - self._ones[byte]]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -98,7 +78,7 @@ class Sequence:
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """Values at places."""
-        high = (self._select(i, True) - i).astype(U)
+        high = (self._select(i) - i).astype(U)
         return ((high << U(self.bits)) | self._low(i)).astype(np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
@@ -109,10 +89,8 @@ class Sequence:
             return out
         v = x[some]
         high, want = v >> self.bits, v.astype(U) & self._mask
-        zero = np.where(high > 0, self._select(np.maximum(high - 1, 0), False), -1)  # the one before the values of this high part
-        first = zero - high + 1
-        last = first + self._run(zero)
-        low, end = first, last.copy()
+        first, last = np.where(high > 0, self._upto[np.maximum(high - 1, 0)], 0).astype(np.int64), self._upto[high]
+        low, end = first, last.astype(np.int64)
         open_ = np.flatnonzero(low < end)
         while len(open_):  # binary search among the values of equal high part
             mid = (low[open_] + end[open_]) >> 1

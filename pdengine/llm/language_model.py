@@ -4,10 +4,13 @@ Texts are cut into chunks of bounded size. What a chunk needs from the corpus
 it asks for once per distinct thing, packed in blocks by destination, so no
 word or word pair is asked for more than once a chunk however frequent it is:
 
-1. words: buckets of a checksum's range count each word and number it;
+1. words: buckets of a hash's range count each word and number it;
 2. pairs: shards by the preceding word hold its successors;
 3. triples: shards by the two preceding words hold theirs.
 
+Within a chunk words are told apart by 64-bit hashes (of n different words about
+n^2 / 2^65 pairs agree, 2e-10 for a whole chunk), beyond it by their bytes.
+
 Each shard merges the training counts of all chunks, builds its trie and
 answers every block from it. Probabilities are smoothed by Witten and Bell: a
 context seen ``C`` times with ``T`` different successors gives ``c / (C + T)`` to a
@@ -37,21 +40,25 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pdengine.llm.elias_fano import Trie, mapped
 from pdengine.llm.tables import staged
-from pdengine.llm.words import mix
+from pdengine.llm.words import mix, span_hashes, words as words_of
+from pdengine.staging import discard, stage_path
 
-#: A chunk is closed at so many words or bytes of text; a long text is read in runs of words. Both keep a chunk
-#: below 2**21 words, so that three ranks fit a key.
-CHUNK_WORDS, CHUNK_BYTES, RUN_WORDS = 1 << 20, 8 << 20, 1 << 19
+#: A chunk is closed at so many words; texts are read in runs of so many characters. Both keep a chunk below 2**21
+#: words, so that three ranks fit a key, and its columns within a core's cache.
+CHUNK_WORDS, RUN_CHARS = 1 << 18, 1 << 20
 #: Words per bucket and tokens per shard that tasks are sized for.
 BUCKET_WORDS, SHARD_TOKENS = 1 << 20, 1 << 20
 #: A context is split if it holds more than this share of the tokens, and more than a shard.
@@ -60,9 +67,9 @@ STEPS = 4096
 #: Text ids whose checksum leaves this remainder are held out.
 FOLDS, HELD = 5, 1
 #: The end of a text, which no word equals because it holds a blank.
-END = b"\n"
+END = "\n"
 U = np.uint64
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
 NORMAL, SPLIT = 0, 1
 
 
@@ -101,89 +108,146 @@ def plain(code: np.ndarray, absent: float) -> np.ndarray:
 # --- chunks
 
 
-def _text_words(text: str | None) -> Iterator[list[bytes]]:
-    """Words of a text in runs of bounded size, the end last."""
-    data, at = (text or "").encode(), 0
-    while at < len(data):
-        cut = _BLANK.search(data, at + CHUNK_BYTES) if at + CHUNK_BYTES < len(data) else None
-        end = cut.start() if cut else len(data)
-        words = data[at:end].lower().split()
-        for i in range(0, len(words), RUN_WORDS):
-            yield words[i : i + RUN_WORDS]
-        at = end
-    yield [END]
+@dataclass
+class _Run:
+    """Words of some texts, one after the other: their bytes and hashes."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> tuple["_Run", np.ndarray]:
+        """A run, and how many words each text has."""
+        w = words_of(pa.array(texts, pa.large_string()))
+        return cls(w.data, w.start, w.end, w.hash), w.per_text
+
+    @classmethod
+    def end_mark(cls) -> "_Run":
+        data, edge = np.frombuffer(END.encode(), np.uint8), np.array([0, 1])
+        return cls(data, edge[:1], edge[1:], span_hashes(data, edge[:1], edge[1:]))
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[bool], _Run]]:
+    """Runs of a batch's texts of bounded size: row of each text, words in it, whether it ends here, all its words.
+
+    A text longer than a run comes in several, cut at a blank.
+    """
+    rows, parts, ends, size = [], [], [], 0
+    for row, text in enumerate(batch.column("text")):
+        raw, at = text.as_py() or "", 0
+        while True:
+            cut = _BLANK.search(raw, at + RUN_CHARS) if len(raw) - at > RUN_CHARS else None
+            end = cut.start() if cut else len(raw)
+            rows.append(row)
+            parts.append(raw[at:end] if at or cut else raw)
+            ends.append(cut is None)
+            size += end - at
+            at = end
+            if size >= RUN_CHARS:
+                run, counts = _Run.of(parts)
+                yield rows, counts.tolist(), ends, run
+                rows, parts, ends, size = [], [], [], 0
+            if cut is None:
+                break
+    if rows:
+        run, counts = _Run.of(parts)
+        yield rows, counts.tolist(), ends, run
+
+
+_Slice = tuple[_Run, int, int]
 
 
 class _Chunk:
     """Pieces of texts until they fill a chunk."""
 
     def __init__(self):
-        self.words: list[bytes] = []
+        self.words: list[_Slice] = []
         self.pieces: list[tuple] = []  # row, id, held out, words before (two at most), words
         self.size = 0
 
-    def add(self, row: int, doc, held: bool, before: list[bytes], words: list[bytes]) -> None:
-        self.pieces.append((row, doc, held, len(before), len(words)))
+    def add(self, row: int, doc, held: bool, before: list[_Slice], words: list[_Slice]) -> None:
+        count = lambda some: sum(b - a for _, a, b in some)
+        self.pieces.append((row, doc, held, count(before), count(words)))
         self.words += before + words
-        self.size += sum(map(len, words))
-
-    def full(self) -> bool:
-        return len(self.words) >= CHUNK_WORDS or self.size >= CHUNK_BYTES
-
-    def row(self, number: int, doc_type: pa.DataType) -> pa.RecordBatch:
-        found = pa.array(self.words, pa.large_binary()).dictionary_encode()
-        words = found.dictionary.to_pylist()
-        sums = np.array([zlib.crc32(w) for w in words], np.int64)
-        order = np.argsort(sums, kind="stable")
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
-        code = rank[found.indices.to_numpy()]
+        self.size += count(before) + count(words)
+
+    def rows(self, number: int, doc_type: pa.DataType) -> pa.RecordBatch:
+        """Two rows: the distinct words with their training counts, and the texts as places among them."""
+        key, first, code = np.unique(np.concatenate([r.hash[a:b] for r, a, b in self.words]), return_index=True, return_inverse=True)
+        runs = {id(r): r for r, _, _ in self.words}
+        bases = dict(zip(runs, np.cumsum([0, *[len(r.data) for r in runs.values()]]).tolist(), strict=False))
+        data = np.concatenate([r.data for r in runs.values()])
+        start, end = (np.concatenate([getattr(r, n)[a:b] + bases[id(r)] for r, a, b in self.words])[first] for n in ("start", "end"))
+        lengths = end - start
+        raw = data[np.repeat(start - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
         rows, docs, held, before, sizes = zip(*self.pieces, strict=True)
         held, before, sizes = np.array(held), np.array(before), np.array(sizes)
         counted = np.repeat(~held, before + sizes) & (_within(before, sizes) >= 0)
-        text = [words[i] for i in order.tolist()]
-        lengths = np.array([len(w) for w in text])
-        values = [
-            pa.array([number]), pa.array([len(words)]), pa.array([int(sizes.sum())]),
-            pa.array([pack(sums[order], lengths, np.bincount(code[counted], minlength=len(words)), np.frombuffer(b"".join(text), np.uint8))], pa.binary()),
-            pa.array([pack(code, held, before, sizes)], pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.array(rows, pa.int64())),
-            pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), pa.array(docs, doc_type)),
-        ]
-        return pa.RecordBatch.from_arrays(values, names=["chunk", "n_words", "n_tokens", "words", "codes", "rows", "docs"])
+        asked = pack((key >> U(32)).astype(np.int64), lengths, np.bincount(code[counted], minlength=len(key)), raw)
+        list_of = lambda values, kind: pa.array([None, list(values)], pa.list_(kind))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([1, 0], pa.int32()), pa.array([number] * 2), pa.array([len(key), 0]), pa.array([0, int(sizes.sum())]),
+             pa.array([asked, pack(code, held, before, sizes)], pa.binary()), list_of(rows, pa.int64()), list_of(docs, doc_type)],
+            names=["words", "chunk", "n_words", "n_tokens", "codes", "rows", "docs"],
+        )
 
 
 def _within(before: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Place of each stored word in its piece, negative for those of the piece before."""
     whole = before + sizes
-    return np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole + before, whole)
+    return np.arange(whole.sum(), dtype=np.int32) - np.repeat(np.cumsum(whole) - whole + before, whole).astype(np.int32)
+
+
+def _last_two(words: list[_Slice]) -> list[_Slice]:
+    out, left = [], 2
+    for run, a, b in reversed(words):
+        n = min(left, b - a)
+        if n:
+            out.insert(0, (run, b - n, b))
+            left -= n
+    return out
 
 
 def _cut(batches):
     part = TaskContext.get().partitionId() << 40
-    chunk, made, row = _Chunk(), 0, 0
+    end = (_Run.end_mark(), 0, 1)
+    chunk, made, seen, before = _Chunk(), 0, 0, []
     for batch in batches:
-        docs = batch.column("doc_id")
-        held = batch.column("held_out").to_pylist()
-        for i, doc in enumerate(docs.to_pylist()):
-            before: list[bytes] = []
-            for words in _text_words(batch.column("text")[i].as_py()):
-                chunk.add(part + row, doc, held[i], before, words)
-                before = (before + words)[-2:]
-                if chunk.full():
-                    yield chunk.row(part + made, docs.type)
+        docs, held = batch.column("doc_id"), batch.column("held_out").to_pylist()
+        ids = docs.to_pylist()
+        for rows, counts, ends, run in _pieces(batch):
+            at = 0
+            for row, n, last in zip(rows, counts, ends, strict=True):
+                mine = [(run, at, at + n)] if n else []
+                at += n
+                if last or mine:
+                    chunk.add(part + seen + row, ids[row], held[row], before, [*mine, end] if last else mine)
+                before = [] if last else _last_two(before + mine)
+                if chunk.size >= CHUNK_WORDS:
+                    yield chunk.rows(part + made, docs.type)
                     chunk, made = _Chunk(), made + 1
-            row += 1
+        seen += batch.num_rows
     if chunk.pieces:
-        yield chunk.row(part + made, docs.type)
+        yield chunk.rows(part + made, docs.type)
 
 
-def chunks(docs: DataFrame, held_out: Column) -> DataFrame:
-    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return staged(rows.mapInArrow(
-        _cut, f"chunk long, n_words long, n_tokens long, words binary, codes binary, rows array<long>, docs array<{kind}>"
-    ))
+class Chunks:
+    """The texts as chunks, and what they ask of the vocabulary, which is deleted once it is answered."""
+
+    def __init__(self, docs: DataFrame, held_out: Column):
+        rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        self.spark, self.path = docs.sparkSession, stage_path(docs.sparkSession, uuid.uuid4().hex)
+        self.schema = f"chunk long, n_words long, n_tokens long, codes binary, rows array<long>, docs array<{kind}>"
+        cut = rows.mapInArrow(_cut, f"words int, {self.schema}")
+        cut.write.partitionBy("words").parquet(self.path)
+
+    def read(self, words: int) -> DataFrame:
+        """What is asked of the vocabulary (1) or the texts (0)."""
+        table = self.spark.read.schema(f"{self.schema}, words int").parquet(self.path)
+        return table.where(F.col("words") == words).drop("words")
 
 
 # --- exchange
@@ -226,7 +290,7 @@ def _batch(names: str, columns: list, types: list) -> pa.RecordBatch:
 def _ask_words(buckets: int):
     def task(batches):
         for batch in batches:
-            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("codes").to_pylist(), strict=True):
                 sums, lengths, counts, raw = unpack(packed)
                 bucket, raw = sums * buckets >> 32, raw.astype(np.uint8)
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -240,36 +304,40 @@ def _ask_words(buckets: int):
     return task
 
 
+def _strings(lengths: np.ndarray, raw: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.astype(np.uint8).tobytes())])
+
+
 def _number_words(buckets: int):
+    names = "chunk bucket answer seen tokens ends end_word"
+
     def task(batches):
         for (bucket,), run in _groups(batches, ["bucket"]):
-            place: dict[bytes, int] = {}
-            asked, total = [], np.zeros(1024, np.int64)
+            chunks, parts, counts = [], [], []
             for row in run:
-                lengths, counts, raw = unpack(row["block"])
-                text, ends = raw.astype(np.uint8).tobytes(), np.cumsum(lengths)
-                at = [place.setdefault(text[a:b], len(place)) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-                at = np.array(at, np.int32)
-                if len(place) > len(total):
-                    total = np.concatenate([total, np.zeros(max(len(total), len(place)), np.int64)])
-                total[at] += counts  # a chunk holds each word once
-                asked.append((row["chunk"], at))
-            n = len(place)
-            words = list(place)
-            order = sorted(range(n), key=lambda i: (-int(total[i]), words[i]))
-            number = np.empty(n, np.int64)
-            number[order] = np.arange(n) * buckets + bucket + 1
-            end = place.get(END)
-            yield _batch("chunk bucket answer seen tokens ends end_word", [[None], [bucket], [None], [int((total > 0).sum())], [int(total.sum())],
-                         [None if end is None else int(total[end])], [None if end is None else int(number[end])]], _WORD_TYPES)
-            hot = [int(number[i]) for i in order[: int(2 / HOT_SHARE)]], [int(total[i]) for i in order[: int(2 / HOT_SHARE)]]
-            least = HOT_SHARE * int(total.sum())
-            kept = [(w, c) for w, c in zip(*hot, strict=True) if c > least]  # hot in all is hot in its bucket
-            yield _batch("chunk bucket answer seen tokens ends end_word", [[None] * len(kept), [-1] * len(kept), [None] * len(kept), [None] * len(kept),
-                         [c for _, c in kept], [None] * len(kept), [w for w, _ in kept]], _WORD_TYPES)
-            none = [None] * len(asked)
-            answers = [pack(number[at], total[at]) for _, at in asked]
-            yield _batch("chunk bucket answer seen tokens ends end_word", [[c for c, _ in asked], [bucket] * len(asked), answers, none, none, none, none], _WORD_TYPES)
+                lengths, n, raw = unpack(row["block"])
+                chunks.append(row["chunk"])
+                parts.append(_strings(lengths, raw))
+                counts.append(n)
+            sizes = np.array([len(p) for p in parts])
+            found = pa.concat_arrays(parts).dictionary_encode()
+            del parts
+            at = found.indices.to_numpy()
+            total = np.bincount(at, np.concatenate(counts), len(found.dictionary)).astype(np.int64)
+            order = pc.sort_indices(pa.table({"n": total, "w": found.dictionary}), [("n", "descending"), ("w", "ascending")]).to_numpy()
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order)) * buckets + bucket + 1
+            end = pc.index(found.dictionary, pa.scalar(END, pa.large_string())).as_py()
+            yield _batch(names, [[None], [bucket], [None], [int((total > 0).sum())], [int(total.sum())],
+                                 [None if end < 0 else int(total[end])], [None if end < 0 else int(number[end])]], _WORD_TYPES)
+            hot = order[total[order] > HOT_SHARE * total.sum()]  # what is hot in all is hot in its bucket
+            none = [None] * len(hot)
+            yield _batch(names, [none, [-1] * len(hot), none, none, total[hot], none, number[hot]], _WORD_TYPES)
+            none = [None] * len(chunks)
+            edges = np.cumsum(sizes)[:-1]
+            answers = [pack(number[x], total[x]) for x in np.split(at, edges)]
+            yield _batch(names, [chunks, [bucket] * len(chunks), answers, none, none, none, none], _WORD_TYPES)
 
     return task
 
@@ -298,14 +366,16 @@ class Corpus:
         return own + plain(coded(np.array([self.seen / whole])), 0.0) * even
 
 
-def words(cut: DataFrame) -> tuple[DataFrame, Corpus]:
+def words(chunks: Chunks) -> tuple[DataFrame, Corpus]:
     """Numbers and counts of each chunk's words, and the corpus's totals."""
+    cut = chunks.read(1)
     asked = cut.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-asked // BUCKET_WORDS), min(asked // 10_000, int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    blocks = cut.select("chunk", "words").mapInArrow(_ask_words(buckets), "bucket long, chunk long, block binary")
+    blocks = cut.select("chunk", "codes").mapInArrow(_ask_words(buckets), "bucket long, chunk long, block binary")
     answers = staged(_dealt(blocks, "bucket", "chunk").mapInArrow(
         _number_words(buckets), "chunk long, bucket long, answer binary, seen long, tokens long, ends long, end_word long"
     ))
+    discard(chunks.spark, f"{chunks.path}/words=1")
     totals = answers.where("chunk is null and bucket >= 0").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "seen", "ends")], F.max("end_word").alias("end_word")
     ).first()
@@ -327,28 +397,43 @@ class Grams:
     def __init__(self, size: int, codes: bytes, number: np.ndarray, counts: np.ndarray, shards: int, hot: dict, tokens: int):
         code, held, before, sizes = unpack(codes)
         order = np.argsort(number)
-        rank = np.empty(len(number), np.int64)
-        rank[order] = np.arange(1, len(number) + 1)
+        rank = np.empty(len(number), np.int32)
+        rank[order] = np.arange(1, len(number) + 1, dtype=np.int32)
         self.number = np.concatenate([[0], number[order]])
         known = np.concatenate([[True], counts[order] > 0])
         token, place = rank[code], _within(before, sizes)
-        real = place >= 0
-        back = lambda k: np.where(place >= k - np.repeat(before, before + sizes), np.concatenate([np.zeros(k, np.int64), token[:-k]])[: len(token)], 0)[real]
+        begun = place + np.repeat(before, before + sizes).astype(np.int32)  # words of the piece stored before each
+        real = slice(None) if not before.any() else place >= 0
+
+        def back(k: int) -> np.ndarray:
+            out = np.zeros_like(token)
+            out[k:] = token[:-k]
+            out[begun < k] = 0
+            return out[real]
+
         w, v, u = token[real], back(1), back(2) if size == 3 else None
         self.counts = np.concatenate([[0], counts[order]])[w]
-        training = np.repeat(held == 0, sizes)
         k = len(self.number)
-        context = v if u is None else v * k + u
+        context = v.astype(np.int64) if u is None else v.astype(np.int64) * k + u
         usable = known[v] if u is None else known[v] & known[u]
-        keys, inverse = np.unique(np.where(usable, context * k + w, -1), return_inverse=True)
-        begun = keys // k
-        first = np.concatenate([[True], begun[1:] != begun[:-1]])
-        of = np.cumsum(first) - 1  # context of each distinct gram
-        self.contexts = begun[first]
-        self.entry_context, self.entry_word = of, keys % k
-        self.token_entry = inverse
+        whole = context * k + w
+        if not usable.all():
+            whole[~usable] = -1
+        order = np.argsort(whole)
+        keys = whole[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        self.token_entry = np.empty(len(keys), np.int32)
+        self.token_entry[order] = np.cumsum(new, dtype=np.int32) - 1
+        keys = keys[new]
+        above = keys // k
+        first = np.ones(len(keys), bool)
+        first[1:] = above[1:] != above[:-1]
+        self.contexts = above[first]
+        self.entry_context, self.entry_word = np.cumsum(first) - 1, (keys - above * k).astype(np.int32)
         self.entry_known = known[self.entry_word] & (keys >= 0)
-        self.entry_count = np.bincount(inverse, weights=training, minlength=len(keys)).astype(np.int64)
+        training = np.repeat(held == 0, sizes)
+        self.entry_count = np.bincount(self.token_entry if training.all() else self.token_entry[training], minlength=len(keys))
         self.v = self.number[self.contexts if u is None else self.contexts // k]
         self.u = None if u is None else self.number[self.contexts % k]
         self._deal(shards, hot, tokens)
@@ -630,8 +715,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def tries(docs: DataFrame, out: Column | None = None, shards: int | None = None) -> DataFrame:
     """``(size, kind, shard, block)``: the model's tries, one a row, to be stored or mapped (``elias_fano.opened``)."""
-    cut = chunks(docs, held_out() if out is None else out)
-    numbers, corpus = words(cut)
+    chunks = Chunks(docs, held_out() if out is None else out)
+    numbers, corpus = words(chunks)
+    cut = chunks.read(0)
     shards = shards or _shards(cut)
     pairs = staged(grams(cut, numbers, 2, shards, corpus.hot, corpus))
     made = [grams(cut, numbers, 2, shards, corpus.hot, corpus, "tries"), grams(cut, numbers, 3, shards, _hot_pairs(pairs, corpus), corpus, "tries")]
@@ -644,14 +730,15 @@ def scores(docs: DataFrame, out: Column | None = None, shards: int | None = None
 
     ``out`` says which texts are held out; by default that is decided from their ids.
     """
-    cut = chunks(docs, held_out() if out is None else out)
-    numbers, corpus = words(cut)
+    chunks = Chunks(docs, held_out() if out is None else out)
+    numbers, corpus = words(chunks)
+    cut = chunks.read(0)
     shards = shards or _shards(cut)
     pairs = staged(grams(cut, numbers, 2, shards, corpus.hot, corpus))
     hot_pairs = _hot_pairs(pairs, corpus)
     triples = staged(grams(cut, numbers, 3, shards, hot_pairs, corpus))
     kind = dict(docs.dtypes)["doc_id"]
-    arrow = docs.limit(0).select("doc_id").toArrow().schema.field(0).type
+    arrow = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = _to_chunks(cut, numbers, pairs.where("chunk is not null"), triples).mapInArrow(
         _score(shards, corpus.hot, hot_pairs, corpus, arrow),
         f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
