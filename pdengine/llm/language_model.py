@@ -58,9 +58,11 @@ from pdengine.staging import discard, stage_path
 
 #: A chunk is closed at so many words; texts are read in runs of so many characters. Both keep a chunk below 2**21
 #: words, so that three ranks fit a key, and its columns within a core's cache.
-CHUNK_WORDS, RUN_CHARS = 1 << 18, 1 << 20
+CHUNK_WORDS, RUN_CHARS = 1 << 19, 1 << 20
 #: Words per bucket and tokens per shard that tasks are sized for.
-BUCKET_WORDS, SHARD_TOKENS = 1 << 20, 1 << 20
+BUCKET_WORDS, SHARD_TOKENS = 1 << 20, 1 << 21
+#: Successors that are searched at a time.
+LOT = 1 << 17
 #: A context is split if it holds more than this share of the tokens, and more than a shard.
 HOT_SHARE = 1e-3
 STEPS = 4096
@@ -592,9 +594,11 @@ def trie_of(rows: list[np.ndarray], kind: int) -> bytes:
     return Trie.build(keys, coded(kinds / whole), coded(counts / np.repeat(whole, kinds)))
 
 
-def answer(trie: Trie, kind: int, block: bytes) -> bytes:
-    """What a trie says of a block's contexts and successors."""
-    contexts, sizes, w, _ = _spread(block)
+def answers(trie: Trie, kind: int, blocks: list[bytes]) -> list[bytes]:
+    """What a trie says of the contexts and successors of some blocks, which are searched together."""
+    parts = [_spread(block) for block in blocks]
+    contexts = [np.concatenate(c) for c in zip(*[p[0] for p in parts], strict=True)]
+    sizes, w = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
     runs, of = np.unique(contexts[0], return_inverse=True)
     node = trie.roots(runs)[of]
     if len(contexts) > 1:
@@ -605,9 +609,12 @@ def answer(trie: Trie, kind: int, block: bytes) -> bytes:
     own = np.where(place >= 0, last[np.maximum(place, 0)], 0) if len(last) else np.zeros(len(w), np.int64)
     if kind == SPLIT:
         pairs = above.reshape(-1, 2) if len(above) else np.zeros((1, 2), np.uint64)
-        return pack(np.where(node >= 0, pairs[here, 0], 0), own, np.where(node >= 0, pairs[here, 1], 0))
-    rest = np.where(node >= 0, above[here], 0) if len(above) else np.zeros(len(node), np.int64)
-    return pack(rest, own, np.zeros(len(rest), np.int64))
+        rest, seen = (np.where(node >= 0, pairs[here, k], 0) for k in (0, 1))
+    else:
+        rest = np.where(node >= 0, above[here], 0) if len(above) else np.zeros(len(node), np.int64)
+        seen = np.zeros(len(rest), np.int64)
+    each = np.cumsum([len(p[1]) for p in parts])[:-1], np.cumsum([len(p[2]) for p in parts])[:-1]
+    return [pack(*found) for found in zip(np.split(rest, each[0]), np.split(own, each[1]), np.split(seen, each[0]), strict=True)]
 
 
 def _shard(size: int, want: str, least: float):
@@ -623,8 +630,8 @@ def _shard(size: int, want: str, least: float):
                 held.append([np.repeat(c, sizes)[some] for c in contexts] + [w[some], counts[some]])
                 waiting += int(some.sum())
                 if want == "answers":
-                    asked.append((row["chunk"], row["block"]))
-                if waiting > 2 * SHARD_TOKENS:
+                    asked.append((row["chunk"], row["block"], len(w)))
+                if waiting > SHARD_TOKENS:
                     held = [_merged(held)]
                     waiting = 0
             rows = _merged(held)
@@ -639,13 +646,27 @@ def _shard(size: int, want: str, least: float):
                 continue
             trie = Trie(mapped(raw))
             del raw
-            n, none = len(asked), [None] * len(asked)
-            answers = [answer(trie, kind, block) for _, block in asked]
-            yield _batch("chunk kind shard block v w n", [[c for c, _ in asked], [kind] * n, [shard] * n, answers, none, none, none], _GRAM_TYPES)
+            for lot in _lots(asked):
+                n, none = len(lot), [None] * len(lot)
+                found = answers(trie, kind, [block for _, block, _ in lot])
+                yield _batch("chunk kind shard block v w n", [[c for c, _, _ in lot], [kind] * n, [shard] * n, found, none, none, none], _GRAM_TYPES)
 
     return task
 
 
+def _lots(asked: list[tuple]) -> Iterator[list[tuple]]:
+    """Blocks in groups that hold some LOT successors each."""
+    lot, held = [], 0
+    for block in asked:
+        lot.append(block)
+        held += block[2]
+        if held >= LOT:
+            yield lot
+            lot, held = [], 0
+    if lot:
+        yield lot
+
+
 _GRAM_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 _GRAM_SCHEMA = "chunk long, kind long, shard long, block binary, v long, w long, n long"
 
