@@ -42,6 +42,7 @@ class Sequence:
         zeros = np.flatnonzero(np.unpackbits(self._bytes, count=self.n + (self.most >> self.bits) + 1, bitorder="little") == 0)
         self._upto = (zeros - np.arange(len(zeros))).astype(small)
         self._mask = U((1 << self.bits) - 1)
+        self._asked, self._values = 0, None
 
     @staticmethod
     def build(values: np.ndarray) -> bytes:
@@ -77,7 +78,14 @@ class Sequence:
         return ((self.low[word] >> shift) | ((self.low[word + 1] << (U(63) - shift)) << _ONE)) & self._mask
 
     def at(self, i: np.ndarray) -> np.ndarray:
-        """Values at places."""
+        """Values at places. Once a good share of them has been asked for, all are decoded and kept while this is open."""
+        self._asked += len(i)
+        if self._values is None and 4 * self._asked > self.n:
+            bits = np.flatnonzero(np.unpackbits(self._bytes, bitorder="little"))
+            every = np.arange(self.n)
+            self._values = (((bits - every).astype(U) << U(self.bits)) | self._low(every)).astype(np.int64)
+        if self._values is not None:
+            return self._values[i]
         high = (self._select(i) - i).astype(U)
         return ((high << U(self.bits)) | self._low(i)).astype(np.int64)
 
@@ -153,7 +161,10 @@ class Trie:
         real = np.flatnonzero(nodes >= 0)
         if not len(real):
             return out
-        parent, inverse = np.unique(nodes[real], return_inverse=True)
+        asked = nodes[real]
+        new = np.ones(len(asked), bool)
+        new[1:] = asked[1:] != asked[:-1]  # successors of a node mostly stand together
+        parent, inverse = asked[new], np.cumsum(new) - 1
         pointers, sequence = self.pointers[level - 1], self.keys[level]
         first, end = pointers.at(parent), pointers.at(parent + 1)
         base = np.where(first > 0, sequence.at(np.maximum(first - 1, 0)) + 1, 0)
