@@ -6,8 +6,12 @@ sentences and the lists of names are shared with it.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
 from pdengine import fixed_values as fv
 from pdengine.catalog import DELINQUENCY_STEP, MEMO_EPOCH, UTILIZATION_STEP
+from pdengine.plans.fixed_model import BASE_HAZARD, HAZARD, TREES
 from pdengine.sources.note_templates import NEGATIVE, NEUTRAL, POSITIVE
 
 K = range(1, 7)
@@ -392,6 +396,8 @@ def _z(c: str) -> str:
 
 ORACLES = {
     "src_accounts": BASE + f' SELECT b AS borrower_id, {RAW}, "default" FROM accounts',
+    "account_rejects": BASE + """ SELECT CAST(b AS VARCHAR) AS id, 'LIMIT_BAL' AS column_name, 'n/a' AS cell FROM accounts WHERE b % 50 = 7
+        UNION ALL SELECT CAST(b AS VARCHAR), 'PAY_0', 'late' FROM accounts WHERE b % 60 = 3""",
     "book_scan": WITH_BOOK + f" SELECT borrower_id, {', '.join(fv.NUMERIC_FEATURES + fv.CATEGORICAL_FEATURES)} FROM book",
     "clean_recode": BASE + "," + RECODE + " SELECT b AS borrower_id, SEX, EDUCATION, MARRIAGE FROM cleaned",
     "feature_engineering": FEATURES + f" SELECT b AS borrower_id, {ENGINEERED} FROM features",
@@ -458,7 +464,7 @@ ORACLES = {
     "value_shares": SCORED + " " + SHARES,
     "category_modes": WITH_BOOK + f" SELECT {MODES}",
     "book_summary": SCORED + f""" SELECT total_exposure, round(total_exposure / 1e7, 1) AS total_exposure_crore,
-        total_borrowers, n_watch, n_elevated, n_high, segments, high_cut, elevated_cut FROM (
+        total_borrowers, n_watch, n_elevated, n_high, segments, high_cut, elevated_cut, {MEMO_EPOCH}::DOUBLE AS last_scored_at FROM (
         SELECT CAST(sum(CAST(exposure_at_risk AS DECIMAL(18,2))) AS DOUBLE) AS total_exposure, count(*) AS total_borrowers,
           count(*) FILTER (band = 'Watch') AS n_watch, count(*) FILTER (band = 'Elevated') AS n_elevated,
           count(*) FILTER (band = 'High') AS n_high, string_agg(DISTINCT segment, '|' ORDER BY segment) AS segments,
@@ -534,7 +540,13 @@ ORACLES = {
         UNION ALL SELECT 'cox_horizon_duration', CAST(max(duration)::DOUBLE AS VARCHAR) FROM book WHERE split = 'train'
         UNION ALL SELECT 'text_model', 'hashed tf-idf'
         UNION ALL SELECT 'segments', string_agg(DISTINCT segment, '|' ORDER BY segment) FROM book
-        UNION ALL SELECT 'total_borrowers', CAST(count(*) AS VARCHAR) FROM book""",
+        UNION ALL SELECT 'total_borrowers', CAST(count(*) AS VARCHAR) FROM book
+        UNION ALL SELECT 'last_scored_at', '1700000000.000'""",
+    "note_covariance": WITH_BOOK + """, n AS (SELECT count(*) AS n FROM embeddings), v AS (
+          SELECT borrower_id, CAST(embedding AS DOUBLE[]) AS e FROM book, n JOIN embeddings ON vec_id = borrower_id % n WHERE split = 'train'),
+        long AS (SELECT borrower_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS i FROM v)
+        SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_pop(a.x, b.x), 9) AS covariance
+        FROM long a JOIN long b ON a.borrower_id = b.borrower_id AND a.i <= b.i GROUP BY a.i, b.i""",
     "write_splits": WITH_BOOK + ' SELECT borrower_id, split, "default", LIMIT_BAL, rm_note FROM book',
     "scored_book": SCORED + """ SELECT segment, exposure_at_risk, rm_note, "default", loan_vintage_month,
         borrower_id, pd_score, split, band FROM scored""",
@@ -557,3 +569,170 @@ FROM scored ASOF LEFT JOIN curve ON blend >= x""",
 
 # The stored feature book holds what the scan of the book gives.
 ORACLES["stored_feature_book"] = ORACLES["book_scan"]
+
+
+# --- the model whose trees and hazards are given: scores, explanations by the definition, and everything over them
+
+
+def _side(feature: str, split) -> str:
+    return f"{feature} IN ({', '.join(map(_text, split))})" if isinstance(split, tuple) else f"{feature} <= {split}::DOUBLE"
+
+
+def _leaves(tree: int, spec, path=(), number=None):
+    """(leaf's column of its count, conditions) in the order left before right."""
+    if not isinstance(spec, tuple):
+        yield path
+        return
+    feature, split, left, right = spec
+    yield from _leaves(tree, left, (*path, _side(feature, split)))
+    yield from _leaves(tree, right, (*path, f"NOT ({_side(feature, split)})"))
+
+
+def _value(spec) -> str:
+    if not isinstance(spec, tuple):
+        return f"{spec}::DOUBLE"
+    feature, split, left, right = spec
+    return f"CASE WHEN {_side(feature, split)} THEN {_value(left)} ELSE {_value(right)} END"
+
+
+def _counted(spec, first: int) -> int:
+    """Number of leaves of a subtree; leaves are numbered from ``first``."""
+    return 1 if not isinstance(spec, tuple) else _counted(spec[2], first) + _counted(spec[3], first)
+
+
+def _expected(tree: int, spec, known: frozenset, first: int = 0) -> str:
+    """Mean of a tree over the train loans when only the features in ``known`` are the loan's own."""
+    if not isinstance(spec, tuple):
+        return f"{spec}::DOUBLE"
+    feature, split, left, right = spec
+    n = _counted(left, first)
+    one, two = _expected(tree, left, known, first), _expected(tree, right, known, first + n)
+    if feature in known:
+        return f"(CASE WHEN {_side(feature, split)} THEN {one} ELSE {two} END)"
+    sizes = ["(" + " + ".join(f"n{tree}_{i}" for i in range(a, b)) + ")" for a, b in ((first, first + n), (first + n, first + n + _counted(right, first)))]
+    return f"(({sizes[0]} * {one} + {sizes[1]} * {two}) / ({sizes[0]} + {sizes[1]})::DOUBLE)"
+
+
+def _tree_features(spec) -> set[str]:
+    return set() if not isinstance(spec, tuple) else {spec[0]} | _tree_features(spec[2]) | _tree_features(spec[3])
+
+
+def _shapley(feature: str) -> str:
+    """A feature's contribution: what it adds to coalitions of the others, weighed by their sizes."""
+    parts = []
+    for tree, spec in enumerate(TREES):
+        names = sorted(_tree_features(spec))
+        if feature not in names:
+            continue
+        others = [n for n in names if n != feature]
+        for size in range(len(others) + 1):
+            weight = factorial(size) * factorial(len(others) - size) / factorial(len(names))
+            for chosen in combinations(others, size):
+                with_it, without = frozenset({*chosen, feature}), frozenset(chosen)
+                parts.append(f"{weight}::DOUBLE * ({_expected(tree, spec, with_it)} - {_expected(tree, spec, without)})")
+    return " + ".join(parts)
+
+
+FIXED_FEATURES = sorted(set().union(*map(_tree_features, TREES)))
+FIXED_REACH = "reach AS (SELECT " + ", ".join(
+    f"count(*) FILTER (WHERE {' AND '.join(path)}) + 1 AS n{tree}_{i}"
+    for tree, spec in enumerate(TREES) for i, path in enumerate(_leaves(tree, spec))
+) + " FROM book WHERE split = 'train')"
+
+
+def _fixed_scores(source: str, name: str) -> str:
+    margin = " + ".join(f"({_value(spec)})" for spec in TREES)
+    eta = " + ".join(f"{w}::DOUBLE * {c}" for c, w in HAZARD.items())
+    return f"""
+{name} AS (
+  SELECT *, 1 / (1 + exp(-2 * margin)) AS frozen_gbm, 1 - exp(-{BASE_HAZARD}::DOUBLE * exp({eta})) AS frozen_cox
+  FROM (SELECT *, {margin} AS margin FROM {source}))"""
+
+
+def _fixed_calibrated(source: str, name: str) -> str:
+    """Ranks, blend and calibrated score of rows with both scores."""
+    return _ranks(source, f"{name}_ranked") + f""",
+{name} AS (
+  SELECT r.* EXCLUDE (pd_score), 100 * CASE WHEN blend < (SELECT min(x) FROM curve) THEN (SELECT f FROM curve ORDER BY x LIMIT 1)
+         WHEN x2 IS NULL OR blend = x THEN f ELSE f + (f2 - f) * (blend - x) / (x2 - x) END AS pd_score
+  FROM {name}_ranked r ASOF LEFT JOIN curve ON blend >= x)"""
+
+
+FIXED = (
+    WITH_BOOK + "," + _fixed_scores("book", "frozen") + "," + _ranks("frozen", "blended") + """,
+points AS (
+  SELECT blend AS x, sum("default") AS s, count(*) AS c, row_number() OVER (ORDER BY blend) AS i
+  FROM blended WHERE split = 'train' GROUP BY blend),
+sums AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(c) OVER (ORDER BY i) AS cc FROM points),
+blocks AS (
+  SELECT a.i AS i, b.i AS j, (b.cs - a.cs + a.s) / (b.cc - a.cc + a.c)::DOUBLE AS m FROM sums a JOIN sums b ON a.i <= b.i),
+mins AS (SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j DESC) AS m FROM blocks),
+fit AS (SELECT j AS i, max(m) AS f FROM mins GROUP BY j),
+curve AS (SELECT x, f, lead(x) OVER (ORDER BY x) AS x2, lead(f) OVER (ORDER BY x) AS f2 FROM points JOIN fit USING (i)),"""
+    + _fixed_calibrated("frozen", "fused") + "," + CUTS + "," + _banded("fused", "scored")
+)
+FIXED_TERMS = FIXED_REACH + """,
+terms AS (
+  SELECT b, rm_note, unnest([""" + ", ".join(map(_text, FIXED_FEATURES)) + """]) AS feature,
+         unnest([""" + ", ".join("NULL::DOUBLE" if f in fv.CATEGORICAL_FEATURES else f"{f}::DOUBLE" for f in FIXED_FEATURES) + """]) AS value,
+         unnest([""" + ", ".join(_shapley(f) for f in FIXED_FEATURES) + """]) AS amount,
+         unnest([""" + ", ".join(f if f in fv.CATEGORICAL_FEATURES else "NULL::VARCHAR" for f in FIXED_FEATURES) + """]) AS category
+  FROM book, reach),
+placed AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY abs(amount) DESC, feature) AS place FROM terms) WHERE place <= 4)"""
+FIXED_EXPLAINED = (
+    EXPLAINED.replace(SCORED, FIXED).replace(TERMS, FIXED_TERMS).replace("round(pd_score, 1) AS pd1", "round_even(pd_score * 10, 0) / 10 AS pd1")
+)
+FIXED_DETAIL = """ SELECT borrower_id, segment, round_even(exposure_at_risk * 100, 0) / 100 AS exposure_at_risk, pd1 AS pd_score, band, rm_note,
+        array_to_string(reasons, ' | ') AS reason_codes, act AS recommended_action FROM memos"""
+
+
+def _fixed_stress(scenario: str) -> str:
+    """Book-wide shock under the fixed model, as the stress answer's rows."""
+    moved = _stress(scenario).replace(SCORED, FIXED)
+    moved = moved.replace(_scores("shocked", "shocked_scores"), "shocked_segments AS (SELECT shocked.*, segment FROM shocked JOIN book USING (b)),"
+                          + _fixed_scores("shocked_segments", "shocked_scores"))
+    moved = moved.replace(_ranks("shocked_scores", "shocked_fused"), _fixed_calibrated("shocked_scores", "shocked_fused"))
+    items = ORACLES["stress_report"].removeprefix(_stress("utilization_shock"))
+    step = UTILIZATION_STEP if scenario == "utilization_shock" else DELINQUENCY_STEP
+    return moved + items.replace("'utilization_shock' AS scenario", f"'{scenario}' AS scenario").replace(f"{UTILIZATION_STEP}::DOUBLE AS magnitude", f"{step}::DOUBLE AS magnitude")
+
+
+ORACLES |= {
+    "fixed_gbm_scores": FIXED + " SELECT borrower_id, round(margin, 10) AS gbm_margin, round(frozen_gbm, 10) AS gbm_proba FROM frozen",
+    "fixed_contributions": FIXED + "," + FIXED_TERMS.replace("WHERE place <= 4", "") + ", base AS (SELECT "
+        + " + ".join(_expected(t, s, frozenset()) for t, s in enumerate(TREES)) + """ AS m FROM reach)
+        SELECT b AS borrower_id, round(m, 9) AS base_margin, feature, round(amount, 9) AS contribution
+        FROM placed, base WHERE abs(amount) > 1e-12""",
+    "fixed_rescore": FIXED + " SELECT borrower_id, segment, split, round(pd_score, 8) AS pd_score, band FROM scored",
+    "fixed_loan_detail": FIXED_EXPLAINED + FIXED_DETAIL,
+    "fixed_loan_requested": FIXED_EXPLAINED + FIXED_DETAIL + " WHERE borrower_id IN (SELECT o_custkey FROM orders)",
+    "fixed_memo_batch": FIXED_EXPLAINED + ORACLES["memo_records"].removeprefix(EXPLAINED),
+    "fixed_performance": METRICS.replace(SCORED, FIXED) + ORACLES["performance_report"].removeprefix(METRICS),
+    "fixed_stress_utilization": _fixed_stress("utilization_shock"),
+    "fixed_stress_delinquency": _fixed_stress("delinquency_shock"),
+    "fixed_applications": FIXED + "," + APPLICATIONS + f""", modes AS (SELECT {MODES}),
+        app_rows AS (SELECT application_id, loan_amount AS LIMIT_BAL, coalesce(nullif(fine.segment, ''), modes.segment) AS segment,
+          {", ".join(f"{CODE} AS PAY_{k}" for k in K)},
+          {", ".join(f"credit_utilization_pct / 100 * loan_amount AS BILL_AMT{k}" for k in K)},
+          {", ".join(f"existing_emi AS PAY_AMT{k}" for k in K)} FROM fine, modes),""" + _features("app_rows", "app_features") + ","
+        + _fixed_scores("app_features", "app_scores") + "," + _fixed_calibrated("app_scores", "app_fused") + "," + _banded("app_fused", "app_banded")
+        + f""" SELECT application_id, round_even(pd_score * 10, 0) / 10 AS pd_score, band, {ACTION} AS recommended_action FROM app_banded""",
+    "fixed_what_if": FIXED + WHAT_IF.removeprefix(WITH_BOOK) + ", changed_segments AS (SELECT changed.*, segment FROM changed JOIN book USING (b)),"
+        + _fixed_scores("changed_segments", "changed_scores") + "," + _fixed_calibrated("changed_scores", "changed_fused") + ","
+        + _banded("changed_fused", "after") + """ SELECT s.b AS request_id, s.borrower_id, round_even(s.pd_score * 10, 0) / 10 AS original_pd_score,
+          s.band AS original_band, round_even(a.pd_score * 10, 0) / 10 AS new_pd_score, a.band AS new_band,
+          round(a.applied_emi, 6) AS applied_emi, round(a.new_principal, 6) AS applied_principal,
+          round_even((a.pd_score - s.pd_score) * 10, 0) / 10 AS delta FROM scored s JOIN after a USING (b)""",
+    "watchlist_index_page": SCORED + """, w AS (SELECT borrower_id, segment, round(pd_score, 1) AS pd_score, band, exposure_at_risk
+          FROM scored WHERE segment = 'Credit Card'), n AS (SELECT count(*) AS total FROM w)
+        SELECT w.*, total FROM w, n ORDER BY exposure_at_risk DESC, borrower_id
+        LIMIT 40 OFFSET (SELECT greatest(total - 60, 0) FROM n)""",
+    "describe_sketched": WITH_BOOK + " " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
+            round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max,
+            {", ".join(f"round((SELECT v FROM (SELECT {c}::DOUBLE AS v, row_number() OVER (ORDER BY {c}) AS r, count(*) OVER () AS k FROM book) WHERE r = ceil(k * {q / 100})), 4) AS q{q}" for q in (25, 50, 75))}
+            FROM book"""
+        for c in DESCRIBED
+    ),
+}

@@ -29,9 +29,9 @@ from pdengine.plans import explore, reports, requests, scorecard
 from pdengine.plans.fusion import banded
 from pdengine.plans.memos import memo_records
 from pdengine.plans.stress import shock
-from pdengine.sources import samples
-from pdengine.sources.loan_book import accounts_of, derive_accounts, loan_book, table
-from pdengine.staging import stage
+from pdengine.sources import accounts, samples
+from pdengine.sources.loan_book import accounts_of, derive_accounts, loan_book, raw_accounts, table
+from pdengine.staging import stage, stage_artifact
 
 MEMO_EPOCH = 1_700_000_000
 UTILIZATION_STEP, DELINQUENCY_STEP = 20.0, 1.0
@@ -42,6 +42,17 @@ def src_accounts(spark: SparkSession, d: str) -> DataFrame:
     return derive_accounts(spark, d)
 
 
+def account_rejects(spark, d):
+    """Cells of a raw CSV that are no numbers; the file stands in for a delivery with some broken fields."""
+    raw = raw_accounts(*[table(spark, d, n) for n in ("customer", "orders", "lineitem")])
+    broken = raw.withColumns({
+        "LIMIT_BAL": F.when(F.col("ID") % 50 == 7, "n/a").otherwise(F.col("LIMIT_BAL").cast("string")),
+        "PAY_0": F.when(F.col("ID") % 60 == 3, "late").otherwise(F.col("PAY_0").cast("string")),
+    })
+    path = stage_artifact(spark, f"raw-csv:{d}", lambda p: broken.write.option("header", True).csv(p))
+    return accounts.account_rejects(spark, path).drop("file")
+
+
 def book_scan(spark, d):
     return loan_book(spark, d).select("borrower_id", *fv.NUMERIC_FEATURES, *fv.CATEGORICAL_FEATURES)
 
@@ -275,7 +286,8 @@ def category_modes(spark, d):
 
 
 def book_summary(spark, d):
-    summary = reports.book_summary(scorecard.scored_book(spark, d), scorecard.cuts(spark, d))
+    book, scored_at = scorecard.published_book(spark, d, MEMO_EPOCH)
+    summary = reports.book_summary(book, scorecard.cuts(spark, d), scored_at)
     return summary.withColumns({c: F.round(c, 4) for c in ("high_cut", "elevated_cut")})
 
 
@@ -427,13 +439,13 @@ def performance_report(spark, d):
 
 def settings_report(spark, d):
     horizon_value = horizon(spark, d).scalar()
-    return reports.settings_report(
-        scorecard.scored_book(spark, d), scorecard.cuts(spark, d), horizon_value, "hashed tf-idf"
-    )
+    book, scored_at = scorecard.published_book(spark, d, MEMO_EPOCH)
+    return reports.settings_report(book, scorecard.cuts(spark, d), horizon_value, "hashed tf-idf", scored_at)
 
 
 CHECKED = {
     "src_accounts": src_accounts,
+    "account_rejects": account_rejects,
     "book_scan": book_scan,
     "clean_recode": clean_recode,
     "feature_engineering": feature_engineering,

@@ -19,9 +19,7 @@ small data takes one job, and over large data as many as it has levels.
 from __future__ import annotations
 
 import heapq
-import json
 import struct
-import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,6 +31,7 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pdengine.operators.stored_models import metadata, write_metadata
 from pdengine.staging import materialise
 
 BINS = 256
@@ -518,17 +517,17 @@ _STORED = (
 
 def stored_model(spark: SparkSession, fitted: Boosted, width: int, path: str) -> GBTClassificationModel:
     """Write the trees as a model that Spark reads, so that scoring stays in the JVM, and read it."""
+    return stored_nodes(spark, list(node_rows(fitted)), width, path)
 
-    def about(kind: str, uid: str, **more) -> str:
-        return json.dumps({
-            "class": f"org.apache.spark.ml.{kind}", "timestamp": int(time.time() * 1000), "sparkVersion": spark.version,
-            "uid": uid, "paramMap": {}, "defaultParamMap": {"impurity": "variance"}, **more,
-        })
 
+def stored_nodes(spark: SparkSession, nodes: list[tuple], width: int, path: str) -> GBTClassificationModel:
+    """The same from rows of nodes: tree, and the node's fields in the order of ``_STORED``."""
+
+    about = lambda kind, uid, **more: metadata(spark, kind, uid, {}, {"impurity": "variance"}, **more)
     name = uuid.uuid4().hex[:12]
-    n = len(fitted.trees)
-    spark.createDataFrame([(about("classification.GBTClassificationModel", f"GBTClassifier_{name}", numFeatures=width, numTrees=n),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    n = 1 + max(t for t, _ in nodes)
+    write_metadata(spark, about("classification.GBTClassificationModel", f"GBTClassifier_{name}", numFeatures=width, numTrees=n), path)
     trees = [(t, about("regression.DecisionTreeRegressionModel", f"dtr_{name}_{t}"), 1.0) for t in range(n)]
     spark.createDataFrame(trees, "_1 int, _2 string, _3 double").coalesce(1).write.mode("overwrite").parquet(f"{path}/treesMetadata")
-    spark.createDataFrame(list(node_rows(fitted)), _STORED, verifySchema=False).coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
+    spark.createDataFrame(nodes, _STORED, verifySchema=False).coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
     return GBTClassificationModel.load(path)

@@ -19,9 +19,16 @@ def _per_score(scored: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def ranking_metrics(scored: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
+def placed_scores(scored: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
+    """Distinct scores with their positives and negatives, those below, and all; written once for all figures."""
+    return materialise(prefix_counts(_per_score(scored, score, label), "score", ["pos", "neg"], buckets=buckets))
+
+
+def ranking_metrics(
+    scored: DataFrame, score: str, label: str, buckets: int | None = None, placed: DataFrame | None = None
+) -> DataFrame:
     """One row ``(auc, gini, ks_statistic, n_rows, n_positive, n_unscored)``; ties count half."""
-    placed = prefix_counts(_per_score(scored, score, label), "score", ["pos", "neg"], buckets=buckets)
+    placed = placed_scores(scored, score, label, buckets) if placed is None else placed
     won = F.sum(F.col("pos") * (F.col("less_neg") + F.col("neg") / 2))
     gap = F.abs(
         F.col("less_neg") / F.nullif("all_neg", F.lit(0)) - F.col("less_pos") / F.nullif("all_pos", F.lit(0))
@@ -50,6 +57,7 @@ def recall_at_top(
     key: str = "borrower_id",
     share: float = 0.2,
     buckets: int | None = None,
+    placed: DataFrame | None = None,
 ) -> DataFrame:
     """Share of positives among the top ``share`` of rows, ties in key order.
 
@@ -57,14 +65,13 @@ def recall_at_top(
     may be very many, the first by key are found with prefix counts again.
     """
     scored = scored.where(F.col(score).isNotNull())
-    counts = scored.groupBy(F.col(score).alias("score")).agg(
-        F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
-    )
-    above_n = F.col("all_n") - F.col("less_n") - F.col("n")
+    placed = placed_scores(scored, score, label, buckets) if placed is None else placed
+    n, all_n = F.col("pos") + F.col("neg"), F.col("all_pos") + F.col("all_neg")
+    above_n = all_n - F.col("less_pos") - F.col("less_neg") - n
     boundary = materialise(
-        prefix_counts(counts, "score", ["pos", "n"], buckets=buckets)
-        .withColumn("k", F.greatest(F.lit(1), F.floor(F.col("all_n") * F.lit(share))))
-        .where((above_n < F.col("k")) & (F.col("k") <= above_n + F.col("n")))
+        placed
+        .withColumn("k", F.greatest(F.lit(1), F.floor(all_n * F.lit(share))))
+        .where((above_n < F.col("k")) & (F.col("k") <= above_n + n))
         .select(
             F.col("score").alias("cut"),
             "k",

@@ -6,20 +6,31 @@ index keeps the cuts and what lies below every bucket. Scoring then puts the
 distinct request values into the stored cuts, reads the buckets they fall into
 and takes the last reference value below them inside the bucket, so its cost
 follows the requests.
+
+A reference of at most ``PACKED`` distinct values is also packed, once, as
+sorted arrays with cumulative counts; whatever is ranked against it is placed
+by binary search in the task that holds it, without a shuffle.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pdengine.operators.prefix import _bucket, _cuts, bucket_count, skew_safe_lookup, value_counts
 from pdengine.staging import materialise
 
 
+#: Distinct values, 16 bytes each, up to which a reference is sent to the tasks.
+PACKED = 1 << 21
+
+
 @dataclass
 class PlacedReference:
     """``index(kind, _cuts, bases, total)``, one row per kind; ``values(kind, bucket, value, upto)``."""
@@ -27,6 +38,18 @@ class PlacedReference:
     index: DataFrame
     values: DataFrame
     buckets: int
+    _packed: Broadcast | None = field(default=None, repr=False)
+    _size: int | None = field(default=None, repr=False)
+
+    def packed(self) -> Broadcast | None:
+        """Per kind: sorted values, reference rows below each and above the last, all rows. None for larger references."""
+        if self._size is None:
+            self._size = self.values.count()
+            if self._size <= PACKED:
+                table = self.values.select("kind", "value", "upto").toPandas().sort_values(["kind", "value"])
+                kinds = {k: (t.value.to_numpy(), np.concatenate([[0], t.upto.to_numpy()])) for k, t in table.groupby("kind")}
+                self._packed = self.values.sparkSession.sparkContext.broadcast(kinds)
+        return self._packed
 
     def save(self, path: str) -> None:
         self.index.withColumn("buckets", F.lit(self.buckets)).write.mode("overwrite").parquet(f"{path}/index")
@@ -79,14 +102,30 @@ def reached(reference: PlacedReference, asked: DataFrame) -> DataFrame:
     return reference.values.where(reduce(or_, inside, F.lit(False)))
 
 
+def _rank(packed: Broadcast, kind: str, value: Column) -> Column:
+    """Rank of a value by binary search in a packed reference; null for null."""
+
+    @F.pandas_udf("double")
+    def place(values: pd.Series) -> pd.Series:
+        sorted_values, below = packed.value[kind]
+        last = below[-1] - 1
+        found = np.minimum(below[np.searchsorted(sorted_values, values.to_numpy(), "left")], last)
+        return pd.Series(found / last if last > 0 else np.zeros(len(values)))
+
+    return F.when(value.isNotNull(), place(value.cast("double")))
+
+
 def rank_against_placed(
     rows: DataFrame, kinds: dict[str, str], reference: PlacedReference, key: str = "borrower_id"
 ) -> DataFrame:
     """Add ``<kind>_rank``: the share of the reference strictly below the value, in [0, 1].
 
-    ``kinds`` names the column of each kind. Keep ``rows`` narrow: they are
-    read twice and shuffled once per kind.
+    ``kinds`` names the column of each kind. Ranking against a packed reference
+    adds columns and nothing else. For a larger one keep ``rows`` narrow: they
+    are read twice and shuffled once per kind.
     """
+    if (packed := reference.packed()) is not None:
+        return rows.withColumns({f"{kind}_rank": _rank(packed, kind, F.col(column)) for kind, column in kinds.items()})
     asked = materialise(
         value_counts(rows, kinds, "hits")
         .join(F.broadcast(reference.index), "kind", "left")

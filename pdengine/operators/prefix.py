@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MIN_BUCKETS = 16
-_COARSE_STEP = 64
 # A value is hot when it holds more than 1/HOT_FRACTION of all rows, so there
 # are fewer than HOT_FRACTION hot values however large the table is.
 HOT_FRACTION = 1000
@@ -28,27 +27,17 @@ def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
 
 
 def _cuts(order_col: str, buckets: int) -> Column:
-    """Cut values, fine ones and every 64th of them, so that a lookup scans two short lists."""
+    """Cut values, ascending."""
     shares = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, 20 * buckets)
-    return F.struct(
-        F.percentile_approx(order_col, shares, accuracy).alias("fine"),
-        F.percentile_approx(order_col, shares[_COARSE_STEP - 1 :: _COARSE_STEP] or shares[:1], accuracy).alias("coarse"),
-    )
-
-
-def _cuts_below(cuts: Column, value: Column) -> Column:
-    """Place of the value among sorted cuts: its first position once it is sorted in."""
-    return F.array_position(F.sort_array(F.array_append(cuts, value)), value) - 1
+    return F.percentile_approx(order_col, shares, max(10_000, 20 * buckets))
 
 
 def _bucket(value: Column, buckets: int) -> Column:
-    """Number of cuts below a value."""
-    fine = F.col("_cuts.fine")
-    if buckets <= 2 * _COARSE_STEP:
-        return _cuts_below(fine, value)
-    passed = (_cuts_below(F.col("_cuts.coarse"), value) * _COARSE_STEP).cast("int")
-    return passed + _cuts_below(F.slice(fine, passed + 1, F.lit(_COARSE_STEP)), value)
+    """Number of cuts below a value, by binary search in the array ``_cuts``."""
+    steps = [1 << i for i in reversed(range(max(1, (buckets - 1).bit_length())))]
+    cuts = F.col("_cuts")
+    further = lambda at, step: F.when(F.try_element_at(cuts, at + step) < value, at + step).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
 
 
 def prefix_counts(

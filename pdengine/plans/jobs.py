@@ -26,11 +26,28 @@ def quality_report(model: RiskModel, scored: DataFrame) -> DataFrame:
 
 
 def training_job(book: DataFrame, path: str, config: TrainingConfig = TrainingConfig()) -> RiskModel:
-    """Train on a labelled book and write model, feature book, scored book and metrics under ``path``."""
+    """Train on a labelled book and write model, feature book, scored book and metrics under ``path``.
+
+    The feature book is written once: training reads what is kept.
+    """
+    def keep(features: DataFrame) -> DataFrame:
+        features.write.mode("overwrite").parquet(f"{path}/feature_book")
+        return book.sparkSession.read.parquet(f"{path}/feature_book")
+
+    return write_job(book, path, *train(book, config, keep))
+
+
+def read_feature_book(spark: SparkSession, path: str) -> DataFrame:
+    """Model features, key and note of the feature book that a job left under ``path``."""
+    return store.read_book(spark, f"{path}/feature_book", store.FEATURE_BOOK_COLS)
+
+
+def write_job(book: DataFrame, path: str, model: RiskModel, features: DataFrame, scores: DataFrame) -> RiskModel:
+    """What a training leaves under ``path``, the feature book unless it is there."""
     spark = book.sparkSession
-    model, features, scores = train(book, config)
     model.save(spark, f"{path}/model")
-    store.write_feature_book(features, f"{path}/feature_book")
+    if not any(f"{path}/feature_book" in f for f in features.inputFiles()):
+        store.write_feature_book(features, f"{path}/feature_book")
     fresh = scores.select("borrower_id", "gbm_proba", "cox_risk", "blend", "pd_score", "band")
     scored = book.select(*META_COLS).join(fresh, "borrower_id")
     scored.write.mode("overwrite").partitionBy("split").parquet(f"{path}/scores")
@@ -43,14 +60,13 @@ def training_job(book: DataFrame, path: str, config: TrainingConfig = TrainingCo
 
 
 def rescore_job(spark: SparkSession, path: str, target: str, scored_at: float) -> DataFrame:
-    """Score the stored feature book again and write the joined book to ``target``.
+    """Score the stored feature book again and publish the joined book at ``target``.
 
-    Returns one row ``(scored_at, n_scored)``.
+    Until it is complete, and if the job fails, readers of ``target`` see the
+    book before. Returns one row ``(scored_at, n_scored)``.
     """
     model = RiskModel.load(spark, f"{path}/model")
     meta = store.read_book(spark, f"{path}/scored_book", META_COLS)
-    book = scoring.rescore_book(model, spark.read.parquet(f"{path}/feature_book"), meta)
-    store.write_scored_book(book, target)
-    return spark.read.parquet(target).agg(
-        F.lit(scored_at).alias("scored_at"), F.count(F.lit(1)).alias("n_scored")
-    )
+    book = scoring.rescore_book(model, read_feature_book(spark, path), meta)
+    done = store.publish_scored_book(book, target, scored_at)
+    return spark.createDataFrame([(done.published_at, done.n_rows)], "scored_at double, n_scored long")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.operators.paging import page
-from pdengine.operators.metrics import ranking_metrics, recall_at_top
+from pdengine.operators.metrics import placed_scores, ranking_metrics, recall_at_top
+from pdengine.staging import materialise
 
 
 def money_sum(amount: Column) -> Column:
@@ -57,8 +58,8 @@ def hash_sample(book: DataFrame, n: int, draw: Column) -> DataFrame:
     return book.withColumn("_draw", draw).orderBy("_draw", "borrower_id").limit(n).drop("_draw")
 
 
-def book_summary(book: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Headline figures in one pass over the book."""
+def book_summary(book: DataFrame, cuts: DataFrame, last_scored_at: float | None = None) -> DataFrame:
+    """Headline figures in one pass over the book, and when it was scored."""
     counts = [F.count(F.when(F.col("band") == b, 1)).alias(f"n_{b.lower()}") for b in fv.BANDS]
     totals = book.agg(
         money_sum(F.col("exposure_at_risk")).alias("total_exposure"),
@@ -74,6 +75,7 @@ def book_summary(book: DataFrame, cuts: DataFrame) -> DataFrame:
         F.concat_ws("|", "_segments").alias("segments"),
         cuts.select("high").scalar().alias("high_cut"),
         cuts.select("elevated").scalar().alias("elevated_cut"),
+        F.lit(last_scored_at).cast("double").alias("last_scored_at"),
     )
 
 
@@ -181,20 +183,25 @@ def performance_report(book: DataFrame, score: str = "pd_score", label: str = "d
         return frame.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
     none = F.lit("")
+    placed = placed_scores(test, score, label)
     quality = rows(
-        ranking_metrics(test, score, label), [(m, none, F.col(m)) for m in ("auc", "gini", "ks_statistic")]
+        ranking_metrics(test, score, label, placed=placed), [(m, none, F.col(m)) for m in ("auc", "gini", "ks_statistic")]
     )
-    recall = rows(recall_at_top(test, score, label), [("recall_at_top_20pct", none, F.col("recall"))])
-    sizes = book.agg(
-        F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),
-        F.count(F.when(F.col("split") == "test", 1)).alias("n_test"),
-        F.avg(F.when(F.col("split") == "test", F.col(label))).alias("test_default_rate"),
+    recall = rows(recall_at_top(test, score, label, placed=placed), [("recall_at_top_20pct", none, F.col("recall"))])
+    # one pass over the book: a row per split and band
+    counted = materialise(book.groupBy("split", "band").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(label).alias("positive"), F.count(label).alias("labelled")
+    ))
+    in_test = F.col("split") == "test"
+    sizes = counted.agg(
+        F.coalesce(F.sum(F.when(F.col("split") == "train", F.col("n"))), F.lit(0)).alias("n_train"),
+        F.coalesce(F.sum(F.when(in_test, F.col("n"))), F.lit(0)).alias("n_test"),
+        F.try_divide(F.sum(F.when(in_test, F.col("positive"))), F.sum(F.when(in_test, F.col("labelled")))).alias("test_default_rate"),
     )
     sizes = rows(sizes, [(m, none, F.col(m)) for m in ("n_train", "n_test", "test_default_rate")])
-    shares = test.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    total = shares.agg(F.sum("n")).scalar()
+    shares = counted.where(in_test)
     shares = rows(
-        shares.withColumn("_total", total),
+        shares.withColumn("_total", shares.agg(F.sum("n")).scalar()),
         [("band_distribution_test", F.col("band"), F.col("n") / F.col("_total"))],
     )
     return quality.unionByName(recall).unionByName(sizes).unionByName(shares)
@@ -205,7 +212,9 @@ def threshold_rows(spark: SparkSession, high: float, elevated: float) -> DataFra
     return spark.createDataFrame(rows, "metric string, detail string, value double")
 
 
-def settings_report(book: DataFrame, cuts: DataFrame, horizon: Column, text_model: str) -> DataFrame:
+def settings_report(
+    book: DataFrame, cuts: DataFrame, horizon: Column, text_model: str, last_scored_at: float | None = None
+) -> DataFrame:
     """Configuration and book size as ``(setting, value)`` rows."""
     facts = book.agg(
         F.count(F.lit(1)).alias("_n"), F.concat_ws("|", F.sort_array(F.collect_set("segment"))).alias("_segments")
@@ -220,6 +229,7 @@ def settings_report(book: DataFrame, cuts: DataFrame, horizon: Column, text_mode
         ("text_model", F.lit(text_model)),
         ("segments", F.col("_segments")),
         ("total_borrowers", F.col("_n").cast("string")),
+        ("last_scored_at", F.lit(last_scored_at).cast("decimal(20,3)").cast("string")),
     ]
     structs = [F.struct(F.lit(n).alias("setting"), v.alias("value")) for n, v in entries]
     return facts.select(F.explode(F.array(*structs)).alias("r")).select("r.*")

@@ -22,10 +22,10 @@ def _optional(name: str, rule: Column) -> Column:
 def application_reasons() -> Column:
     c = F.col
     return F.array_compact(F.array(
-        _needed("loan_amount", c("loan_amount") > 0),
+        _needed("loan_amount", (c("loan_amount") > 0) & (c("loan_amount") < float("inf"))),
         _optional("age", c("age").between(18, 100)),
         _optional("tenure_months", c("tenure_months").between(1, 360)),
-        _needed("existing_emi", c("existing_emi") >= 0),
+        _needed("existing_emi", (c("existing_emi") >= 0) & (c("existing_emi") < float("inf"))),
         _needed("credit_utilization_pct", c("credit_utilization_pct").between(0, 300)),
         _optional("repayment_history", c("repayment_history").isin(list(fv.REPAYMENT_CODES))),
     ))
@@ -36,8 +36,8 @@ def what_if_reasons() -> Column:
     return F.array_compact(F.array(
         _optional("new_rate_pct", c("new_rate_pct").between(0, 60)),
         _optional("new_tenure_months", c("new_tenure_months").between(1, 360)),
-        _optional("new_principal", c("new_principal") > 0),
-        _optional("new_emi", c("new_emi") >= 0),
+        _optional("new_principal", (c("new_principal") > 0) & (c("new_principal") < float("inf"))),
+        _optional("new_emi", (c("new_emi") >= 0) & (c("new_emi") < float("inf"))),
     ))
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pdengine.operators.placed_reference import PlacedReference
 from pdengine.operators.reasons import contribution, top_contributions
 from pdengine.plans.fusion import META_COLS, band_cuts, banded, rank_and_blend, reference_distribution
+from pdengine.sources import store
 from pdengine.sources.loan_book import loan_book
+from pdengine.sources.published import current
 from pdengine.staging import stage, stage_artifact
 
 BASE_HAZARD = 0.3
@@ -87,6 +89,14 @@ def scored_book(spark: SparkSession, folder: str) -> DataFrame:
     return stage(spark, f"scorecard-book:{folder}", build)
 
 
+def published_book(spark: SparkSession, folder: str, scored_at: float) -> tuple[DataFrame, float]:
+    """The scored book as its readers see it, and when it was scored: published once, read through its manifest."""
+    root = stage_artifact(
+        spark, f"scorecard-published:{folder}", lambda p: store.publish_scored_book(scored_book(spark, folder), p, scored_at)
+    )
+    return store.read_book(spark, root), current(spark, root).published_at
+
+
 def top_reasons(features: DataFrame, k: int = 4) -> DataFrame:
     """Add ``top``: the k strongest scorecard terms of each loan."""
     terms = F.array(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pdengine import fixed_values as fv
 from pdengine.functions.bands import action
-from pdengine.functions.features import exposure_at_risk, with_features
+from pdengine.functions.features import exposure_at_risk, round_to, with_features
 from pdengine.operators.boosting import with_probability
 from pdengine.operators.lookup import found
 from pdengine.operators.note_vectors import with_components
@@ -23,14 +23,18 @@ def score_rows(
 ) -> DataFrame:
     """Score feature rows, with ``keep`` columns and, if asked, ``reason_codes``.
 
-    The trees run once per row. Raw scores are written once; only key and
-    scores are ranked, what else was kept is joined to them on the key.
+    The trees run once per row. Against a packed reference all of it is one
+    map. Else raw scores are written once; only key and scores are ranked, what
+    else was kept is joined to them on the key.
     """
     raw = model.raw_scores(features)
     wide = [*(keep or []), *(["reason_codes"] if reasons else [])]
     if reasons:
         raw = with_reasons(model, raw)
-    raw = materialise(raw.select(key, *wide, "gbm_proba", "cox_risk"))
+    raw = raw.select(key, *wide, "gbm_proba", "cox_risk")
+    if model.references.packed() is not None:
+        return fuse(model, raw, key)
+    raw = materialise(raw)
     if not reasons:
         return fuse(model, raw, key)
     scored = fuse(model, raw.select(key, "gbm_proba", "cox_risk"), key)
@@ -54,7 +58,7 @@ def score_applications(model: RiskModel, applications: DataFrame) -> DataFrame:
     """Score, band, action and reasons of each valid application; ``requests.rejects`` names the others."""
     features = application_features(model, applications)
     return score_rows(model, features, "application_id", reasons=True).select(
-        "application_id", F.round("pd_score", 1).alias("pd_score"), "band",
+        "application_id", round_to(F.col("pd_score"), 1).alias("pd_score"), "band",
         action(F.col("band")).alias("recommended_action"), "reason_codes",
     )
 
@@ -82,7 +86,7 @@ def what_if(model: RiskModel, asked: DataFrame, feature_book: DataFrame) -> Data
         at("new", "applied_emi").alias("applied_emi"),
         at("new", "applied_principal").alias("applied_principal"),
     ).withColumn("delta", F.col("new_pd_score") - F.col("original_pd_score"))
-    return answers.withColumns({c: F.round(c, 1) for c in ("original_pd_score", "new_pd_score", "delta")})
+    return answers.withColumns({c: round_to(F.col(c), 1) for c in ("original_pd_score", "new_pd_score", "delta")})
 
 
 def with_reasons(model: RiskModel, scored: DataFrame, k: int = fv.TOP_REASONS) -> DataFrame:
@@ -110,7 +114,7 @@ def loan_details(model: RiskModel, feature_book: DataFrame, ids: DataFrame | Non
     rows = rows.withColumn("exposure_at_risk", exposure_at_risk())
     scored = score_rows(model, rows, "borrower_id", ["segment", "exposure_at_risk", "rm_note"], reasons=True)
     return scored.select(
-        "borrower_id", "segment", F.round("exposure_at_risk", 2).alias("exposure_at_risk"),
-        F.round("pd_score", 1).alias("pd_score"), "band", "rm_note", "reason_codes",
+        "borrower_id", "segment", round_to(F.col("exposure_at_risk"), 2).alias("exposure_at_risk"),
+        round_to(F.col("pd_score"), 1).alias("pd_score"), "band", "rm_note", "reason_codes",
         action(F.col("band")).alias("recommended_action"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -13,7 +14,7 @@ from pdengine.functions.bands import band
 from pdengine.operators.boosting import feature_importance, fit_trees, tree_nodes, with_probability
 from pdengine.operators.calibration import apply_isotonic, fit_isotonic
 from pdengine.operators.cox import CoxModel, fit_cox
-from pdengine.operators.note_vectors import NOTE_DIMS, note_pipeline, with_components
+from pdengine.operators.note_vectors import NOTE_DIMS, fit_notes, with_components
 from pdengine.operators.placed_reference import PlacedReference
 from pdengine.operators.scaling import column_stats, zscore
 from pdengine.operators.tree_contributions import Explainer
@@ -34,6 +35,7 @@ class TrainingConfig:
     seed: int = 42
     cox_penalizer: float = 0.1
     note_dims: int = NOTE_DIMS
+    learned_notes: bool = False
     label: str = "default"
 
 
@@ -120,18 +122,21 @@ def banded_by(model: RiskModel, scored: DataFrame) -> DataFrame:
     return scored.withColumn("band", cut)
 
 
-def train(book: DataFrame, config: TrainingConfig = TrainingConfig()) -> tuple[RiskModel, DataFrame, DataFrame]:
+def train(
+    book: DataFrame, config: TrainingConfig = TrainingConfig(), keep: Callable[[DataFrame], DataFrame] = materialise
+) -> tuple[RiskModel, DataFrame, DataFrame]:
     """Fit on the train split; returns the model, the feature book and the fused scores.
 
     ``book`` is read several times: pass a staged table. Each estimator is a
     boundary where Spark jobs run; what is written in between are the feature
-    book and one narrow row of scores per loan.
+    book, by ``keep``, which writes it and reads it back, and one narrow row of
+    scores per loan.
     """
     spark = book.sparkSession
     checkpoint_root(spark)
     in_train = F.col("split") == "train"
-    text = note_pipeline(config.note_dims).fit(book.where(in_train).select("rm_note"))
-    features = materialise(with_components(book, text))
+    text = fit_notes(book.where(in_train).select("rm_note"), config.note_dims, learned=config.learned_notes)
+    features = keep(with_components(book, text))
     train_rows = features.where(in_train)
 
     trees = fit_trees(
@@ -146,6 +151,12 @@ def train(book: DataFrame, config: TrainingConfig = TrainingConfig()) -> tuple[R
     cox = fit_cox(survival, z_names, penalizer=config.cox_penalizer)
 
     model = RiskModel(text, trees, cox, stats, None, None, None, float("nan"), float("nan"))
+    return model, features, calibrate(model, features, book)
+
+
+def calibrate(model: RiskModel, features: DataFrame, book: DataFrame) -> DataFrame:
+    """Give a model with trees and hazards its ranks, calibration and cuts from the train split; returns all scores."""
+    in_train = F.col("split") == "train"
     raw = materialise(
         model.raw_scores(features).select("borrower_id", "split", "default", "gbm_proba", "cox_risk")
     )
@@ -158,7 +169,7 @@ def train(book: DataFrame, config: TrainingConfig = TrainingConfig()) -> tuple[R
     )
     cuts = band_cuts(scored.where(in_train)).first()
     model.high_cut, model.elevated_cut = float(cuts.high), float(cuts.elevated)
-    return model, features, banded_by(model, scored)
+    return banded_by(model, scored)
 
 
 def evaluate(scored: DataFrame) -> DataFrame:

@@ -22,8 +22,30 @@ def normalise_accounts(raw: DataFrame) -> DataFrame:
     return renamed.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles})
 
 
+def _csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of CSV files as they stand."""
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in RAW_SCHEMA.fields])
+    return spark.read.schema(texts).option("header", True).csv(path)
+
+
 def read_accounts(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(RAW_SCHEMA)
+    """Accounts of raw files; CSV cells that are no numbers become NULL, ``account_rejects`` names them."""
     if file_format == "csv":
-        reader = reader.option("header", True)
-    return normalise_accounts(reader.format(file_format).load(path))
+        cells = _csv_cells(spark, path)
+        return normalise_accounts(cells.select(*[F.trim(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields]))
+    return normalise_accounts(spark.read.schema(RAW_SCHEMA).format(file_format).load(path))
+
+
+def account_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, column_name, cell, file)`` of every CSV cell that is neither empty nor a number of its column's type."""
+    cells = _csv_cells(spark, path).withColumn("_file", F.input_file_name())
+    bad = [
+        F.when(
+            (F.trim(f"`{f.name}`") != "") & F.trim(f"`{f.name}`").try_cast(f.dataType).isNull(),
+            F.struct(F.lit(f.name).alias("column_name"), F.col(f"`{f.name}`").alias("cell")),
+        )
+        for f in RAW_SCHEMA.fields
+    ]
+    return cells.select(F.col("ID").alias("id"), F.explode(F.array_compact(F.array(*bad))).alias("r"), F.col("_file").alias("file")).select(
+        "id", "r.column_name", "r.cell", "file"
+    )

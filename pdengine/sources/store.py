@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine import fixed_values as fv
+from pdengine.sources.published import Version, folder_of, publish
 
 SCORED_BOOK_COLS = [
     "segment", "exposure_at_risk", "rm_note", "default", "loan_vintage_month",
@@ -30,11 +31,19 @@ def write_scored_book(scored: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def publish_scored_book(scored: DataFrame, root: str, scored_at: float) -> Version:
+    """Replace a scored book as a whole; readers of the old one are not disturbed."""
+    return publish(scored, root, scored_at, write_scored_book)
+
+
+FEATURE_BOOK_COLS = [*fv.MODEL_FEATURES, "borrower_id", "rm_note"]
+
+
 def write_feature_book(
     features: DataFrame, path: str, table: str | None = None, buckets: int | None = None
 ) -> None:
     """Model features by loan; bucketed by loan, later joins on the key need no shuffle."""
-    wanted = features.select(*fv.MODEL_FEATURES, "borrower_id", "rm_note")
+    wanted = features.select(*FEATURE_BOOK_COLS)
     writer = wanted.write.mode("overwrite")
     if table and buckets:
         writer.option("path", path).bucketBy(buckets, "borrower_id").sortBy("borrower_id").saveAsTable(table)
@@ -43,7 +52,8 @@ def write_feature_book(
 
 
 def read_book(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    book = spark.read.parquet(path)
+    """A stored book; the current version of a published one."""
+    book = spark.read.parquet(folder_of(spark, path))
     return book.select(*columns) if columns else book
 
 

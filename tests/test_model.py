@@ -211,6 +211,50 @@ def test_batches_leave_no_folder_behind(spark, folder, fitted):
     assert len(files.listStatus(root)) == before
 
 
+def test_small_tables_are_scored_in_one_map(spark, folder, fitted):
+    model = fitted[1]
+    assert model.references.packed() is not None
+    scored = scoring.score_applications(model, applications(spark, folder))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "") and "Join" not in plan
+
+
+def test_large_references_give_the_same_scores(spark, folder, fitted, monkeypatch):
+    from pdengine.operators import placed_reference
+
+    path = fitted[4]
+    packed = {r.application_id: (r.pd_score, r.band) for r in scoring.score_applications(fitted[1], applications(spark, folder)).collect()}
+    monkeypatch.setattr(placed_reference, "PACKED", 0)
+    model = RiskModel.load(spark, path)
+    assert model.references.packed() is None
+    joined = {r.application_id: (r.pd_score, r.band) for r in scoring.score_applications(model, applications(spark, folder)).collect()}
+    assert joined == packed and packed
+
+
+def test_a_model_is_packed_once(spark, folder, fitted):
+    model = fitted[1]
+    assert model.explainer(spark) is model.explainer(spark)
+    first = model.references.packed()
+    scoring.score_applications(model, applications(spark, folder)).count()
+    assert model.references.packed() is first
+
+
+def test_rescores_are_published(spark, folder, tmp_path):
+    from pdengine.sources import published
+
+    path, target = str(tmp_path / "job"), str(tmp_path / "book")
+    training_job(loan_book(spark, folder), path, TrainingConfig(n_trees=1, min_leaf=5))
+    rescore_job(spark, path, target, 1.5)
+    rescore_job(spark, path, target, 2.5)
+    assert published.current(spark, target).published_at == 2.5
+    assert store.read_book(spark, target).count() == loan_book(spark, folder).count()
+
+
+def test_reports_of_a_model_that_learns_its_notes(spark, folder):
+    model, features, scores = train(loan_book(spark, folder), TrainingConfig(n_trees=2, min_leaf=5, learned_notes=True))
+    assert scores.where("pd_score is null").count() == 0 and features.where("nlp_emb_0 <> 0").count() > 0
+
+
 def test_queries_use_the_whole_model():
     from pdengine.model_catalog import QUERY_CONFIG
 

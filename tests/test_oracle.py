@@ -17,8 +17,10 @@ def con(folder):
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_matches_sql(spark, folder, con, name):
+def test_matches_sql(spark, folder, con, name, written_plans):
+    written_plans.clear()
     result = queries()[name](spark, folder)
+    assert written_plans == []
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert differences(result, con, SQL[name]) == ""

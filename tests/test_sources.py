@@ -5,7 +5,7 @@ from pdengine.functions.hashing import hash_uniform
 from pdengine.plans import reports
 from pdengine.plans.explore import describe
 from pdengine.sources import store
-from pdengine.sources.accounts import RAW_SCHEMA, read_accounts
+from pdengine.sources.accounts import RAW_SCHEMA, account_rejects, read_accounts
 from pdengine.sources.loan_book import _latest_orders, loan_book, raw_accounts, table
 from pdengine.staging import materialise, release, stage
 
@@ -21,6 +21,21 @@ def test_csv_accounts(spark, tmp_path):
     assert (row.borrower_id, row.LIMIT_BAL, row.PAY_1, row.default) == (7, None, 0, 1)
 
 
+def test_malformed_cells_are_named(spark, tmp_path):
+    lines = [
+        ["7", "NaN", "1", "2", "0", "33", *["0"] * 6, *["1.5"] * 12, "1"],
+        ["8", "n/a", "1", "2", "0", "33", "late", *["0"] * 5, *["1.5"] * 11, "1,5", "1"],
+        ["9", "", " 2 ", "x"],
+        ["ten", *["1"] * 24],
+    ]
+    quoted = [",".join(f'"{c}"' if "," in c else c for c in line) for line in lines]
+    (tmp_path / "a.csv").write_text("\n".join([",".join(RAW_SCHEMA.names), *quoted]))
+    got = sorted(tuple(r)[:3] for r in account_rejects(spark, str(tmp_path / "a.csv")).collect())
+    assert got == [("8", "LIMIT_BAL", "n/a"), ("8", "PAY_0", "late"), ("8", "PAY_AMT6", "1,5"), ("9", "EDUCATION", "x"), ("ten", "ID", "ten")]
+    rows = {r.borrower_id: r for r in read_accounts(spark, str(tmp_path / "a.csv"), "csv").collect()}
+    assert (rows[8].LIMIT_BAL, rows[8].PAY_1, rows[8].PAY_2, rows[9].SEX, rows[9].default, rows[None].AGE) == (None, None, 0, 2, None, 1)
+
+
 def test_accounts_round_trip_through_parquet(spark, folder, tmp_path):
     raw = raw_accounts(*[table(spark, folder, n) for n in ("customer", "orders", "lineitem")])
     raw.write.parquet(str(tmp_path / "raw"))
