@@ -432,11 +432,11 @@ class Grams:
             return out[real]
 
         w, v, u = token[real], back(1), back(2) if size == 3 else None
-        self.counts = np.concatenate([[0], counts[order]])[w]
-        k = len(self.number)
-        context = v.astype(np.int64) if u is None else v.astype(np.int64) * k + u
+        self.words, self.word_counts = w, np.concatenate([[0], counts[order]])
+        self.bits = bits = len(self.number).bit_length()
+        context = v.astype(np.int64) if u is None else (v.astype(np.int64) << bits) | u
         usable = known[v] if u is None else known[v] & known[u]
-        whole = context * k + w
+        whole = (context << bits) | w
         if not usable.all():
             whole[~usable] = -1
         order = np.argsort(whole)
@@ -446,16 +446,22 @@ class Grams:
         self.token_entry = np.empty(len(keys), np.int32)
         self.token_entry[order] = np.cumsum(new, dtype=np.int32) - 1
         keys = keys[new]
-        above = keys // k
+        unknown = len(keys) > 0 and keys[0] < 0  # all grams with unknown contexts, which stand first
+        above = keys >> bits
         first = np.ones(len(keys), bool)
         first[1:] = above[1:] != above[:-1]
         self.contexts = above[first]
-        self.entry_context, self.entry_word = np.cumsum(first) - 1, (keys - above * k).astype(np.int32)
-        self.entry_known = known[self.entry_word] & (keys >= 0)
+        self.entry_context, self.entry_word = np.cumsum(first) - 1, (keys & ((1 << bits) - 1)).astype(np.int32)
+        low = self.contexts & ((1 << bits) - 1)
+        if unknown:
+            self.entry_word[0] = low[0] = 0
+        self.entry_known = known[self.entry_word]
+        if unknown:
+            self.entry_known[0] = False
         training = np.repeat(held == 0, sizes)
         self.entry_count = np.bincount(self.token_entry if training.all() else self.token_entry[training], minlength=len(keys))
-        self.v = self.number[self.contexts if u is None else self.contexts // k]
-        self.u = None if u is None else self.number[self.contexts % k]
+        self.v = self.number[low if u is None else np.maximum(self.contexts >> bits, 0)]
+        self.u = None if u is None else self.number[low]
         self._deal(shards, hot, tokens)
 
     def _deal(self, shards: int, hot: dict, tokens: int) -> None:
@@ -463,33 +469,48 @@ class Grams:
         n = len(self.contexts)
         with np.errstate(over="ignore"):
             own = mix(self.v.astype(U) + U(1)) if self.u is None else mix(mix(self.v.astype(U) + U(1)) + self.u.astype(U))
-            by_word = mix(self.number[self.entry_word].astype(U) ^ U(0x5851F42D4C957F2D))
         ways = np.ones(n, np.int64)
-        if hot and shards > 1:
-            pairs = list(zip(self.v.tolist(), self.v.tolist() if self.u is None else self.u.tolist(), strict=True))
-            for i, p in enumerate(pairs):
-                c = hot.get(p[0] if self.u is None else p)
-                if c is not None and c * shards > tokens:
-                    ways[i] = min(shards, -(-c * shards // tokens))
+        if hot and shards > 1 and n:
+            self._split(ways, hot, shards, tokens)
         if n and self.contexts[0] < 0:  # contexts with unknown words are asked for nowhere
             ways[0] = 0
         self.ways = ways
         self.from_way = np.cumsum(ways) - ways
         way_context = np.repeat(np.arange(n), ways)
-        turn = np.arange(len(way_context)) - self.from_way[way_context]
-        shard = ((own[way_context] + turn.astype(U)) % U(shards)).astype(np.int64) if len(way_context) else np.zeros(0, np.int64)
+        shard = (((own >> U(32)) * U(shards)) >> U(32)).astype(np.int64)[way_context]
+        split = ways[way_context] > 1
+        if split.any():
+            turn = np.arange(len(way_context)) - self.from_way[way_context]
+            shard = np.where(split, (shard + turn) % shards, shard)
         self.way_context = way_context
-        self.way_to = np.where(ways[way_context] > 1, SPLIT, NORMAL) * shards + shard
+        self.way_to = np.where(split, SPLIT, NORMAL) * shards + shard
         self.way_order = _order(self.way_to)
         self.entries = np.flatnonzero(self.entry_known)
         c = self.entry_context[self.entries]
-        way = self.from_way[c] + (by_word[self.entries] % ways[c].astype(U)).astype(np.int64) if len(c) else c
+        way = self.from_way[c]
+        several = np.flatnonzero(ways[c] > 1)
+        if len(several):
+            w = self.number[self.entry_word[self.entries[several]]].astype(U)
+            way[several] += (mix(w ^ U(0x5851F42D4C957F2D)) % ways[c[several]].astype(U)).astype(np.int64)
         self.entry_way = way
         place = np.empty(len(way_context), np.int64)
         place[self.way_order] = np.arange(len(way_context))
         self.entry_order = _order(place[way])
         self.shards = shards
 
+    def _split(self, ways: np.ndarray, hot: dict, shards: int, tokens: int) -> None:
+        """How many shards each of the hot contexts among these is split over."""
+        many = [(p if isinstance(p, tuple) else (p,), -(-c * shards // tokens)) for p, c in hot.items() if c * shards > tokens]
+        if not many:
+            return
+        ids, over = np.array([p for p, _ in many], np.int64), np.array([w for _, w in many])
+        rank = np.minimum(np.searchsorted(self.number, ids), len(self.number) - 1)
+        here = (self.number[rank] == ids).all(axis=1)
+        key = rank[:, 0] if self.u is None else (rank[:, 0] << self.bits) | rank[:, 1]
+        at = np.minimum(np.searchsorted(self.contexts, key), len(self.contexts) - 1)
+        here &= self.contexts[at] == key
+        ways[at[here]] = np.minimum(shards, over[here])
+
     def blocks(self) -> Iterator[tuple[int, int, bytes]]:
         """``(kind, shard, block)`` of every destination."""
         to = self.way_to[self.way_order]
@@ -733,14 +754,18 @@ def _score(shards: int, hot_words: dict, hot_pairs: dict, corpus: Corpus, doc_ty
                 g = Grams(size, row["codes"], number, counts, shards, hot, corpus.tokens)
                 parts.append(g.probabilities(answers))
             (two, two_rest), (three, three_rest) = parts
-            p = three + three_rest * (two + two_rest * corpus.alone(g.counts))
+            p = three + three_rest * (two + two_rest * corpus.alone(g.word_counts)[g.words])
             _, held, _, sizes = unpack(row["codes"])
             ends = np.cumsum(sizes)
-            sums = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.longdouble)])
-            total = lambda x: (sums(x)[ends] - sums(x)[ends - sizes]).astype(np.float64)
+
+            def total(x: np.ndarray, kind=np.longdouble) -> np.ndarray:
+                upto = np.concatenate([[0], np.cumsum(x, dtype=kind)])
+                return upto[ends] - upto[ends - sizes]
+
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row["rows"], pa.int64()), pa.array(row["docs"], doc_type), pa.array(held == 1), pa.array(sizes),
-                 pa.array(total(g.counts > 0).astype(np.int64)), pa.array(total(corpus.base(g.counts))), pa.array(total(np.log10(np.minimum(p, 1.0))))],
+                 pa.array(total((g.word_counts > 0)[g.words], np.int64)), pa.array(total(corpus.base(g.word_counts)[g.words]).astype(np.float64)),
+                 pa.array(total(np.log10(np.minimum(p, 1.0))).astype(np.float64))],
                 names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
