@@ -1,10 +1,13 @@
 """Lines that many documents share, by levelled sorted runs of line hashes (operator 2).
 
-A run holds the hashes of the lines of one or more batches, sorted, each with
-the number of documents that have the line. A new batch is merge-anti-joined
-with the runs, so lines already known to be common are not counted again, and
-adds a run of its own. Runs of one level are compacted into one of the next
-once there are ``fan`` of them. Everything here is DataFrame functions.
+A run holds the hashes of the lines of one or more batches, each with the
+number of documents that have the line, as a table dealt and sorted by hash
+into the same number of buckets as all others. The lines of a new batch are
+counted first, one row per line, and merge-anti-joined with the runs, so lines
+already known to be common are not added again; what is left is a run of its
+own. Runs of one level are merged into one of the next once there are ``fan`` of
+them. Bucket by bucket all runs are in the same order, so joins and merges
+neither shuffle nor sort them. Everything here is DataFrame functions.
 
 Defined results: a null text is one empty line; a text that loses all lines
 becomes empty. Rows that share id and text are one document. Columns of the
@@ -13,49 +16,81 @@ input named as a result column are replaced by it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pdengine.llm.tables import ascii_lower, attach, staged
+from pdengine.staging import stage_path
 
 BLANK = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
+#: 128 bits of a document's id and text.
+ROW = ["row", "row2"]
+#: Lines of a batch, about; small tables are cut into ``BATCHES`` all the same.
+BATCH_LINES, BATCHES = 1 << 28, 4
 
 
 class LineRuns:
     """Runs by level; ``min_docs`` documents make a line common."""
 
-    def __init__(self, min_docs: int = 10, fan: int = 3):
-        self.min_docs, self.fan = min_docs, fan
-        self.levels: list[list[DataFrame]] = []
+    def __init__(self, spark: SparkSession, min_docs: int = 10, fan: int = 3):
+        self.spark, self.min_docs, self.fan = spark, min_docs, fan
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+        # a bucket is one sorted file, and scans of it may say so
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch of ``h1, h2, row``; all lines of a document must be in one batch."""
+        """Add a batch of ``h1, h2, row, row2``; all lines of a document must be in one batch."""
+        self._push(0, self.unknown(lines.groupBy(*KEY).agg(F.count_distinct(*ROW).alias("n"))))
+
+    def unknown(self, counted: DataFrame) -> DataFrame:
+        """Lines, a row each, that no run knows to be common."""
         for runs in self.levels:
             for run in runs:
-                known = run.where(F.col("n") >= self.min_docs).select(*KEY)
-                lines = lines.join(known.hint("merge"), KEY, "left_anti")
-        self._push(0, lines.groupBy(*KEY).agg(F.count_distinct("row").alias("n")))
+                known = self.spark.table(run).where(F.col("n") >= self.min_docs).select(*KEY)
+                counted = counted.join(known.hint("merge"), KEY, "left_anti")
+        return counted
+
+    def _written(self, run: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        dealt = run.repartition(self.buckets, *KEY).sortWithinPartitions(*KEY)
+        writer = dealt.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet")
+        writer.option("path", stage_path(self.spark, name)).saveAsTable(name)
+        return name
 
     def _push(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
         runs = self.levels[level]
-        runs.append(staged(run.sortWithinPartitions(*KEY)))
+        runs.append(self._written(run))
         if len(runs) >= self.fan:
             self.levels[level] = []
-            self._push(level + 1, _merged(runs))
+            self._push(level + 1, self.merged(runs))
+            self._drop(runs)
+
+    def merged(self, runs: list[str]) -> DataFrame:
+        """Sorted runs merged into one, the counts of equal lines added up."""
+        out = self.spark.table(runs[0])
+        for run in runs[1:]:
+            more = self.spark.table(run).select(*KEY, F.col("n").alias("more"))
+            both = out.join(more.hint("merge"), KEY, "full_outer")
+            out = both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+        return out
 
     def common(self) -> DataFrame:
-        """Lines of ``min_docs`` documents or more: ``h1, h2, n``."""
+        """Lines of ``min_docs`` documents or more: ``h1, h2, n``. The runs are given up."""
         runs = [r for level in self.levels for r in level]
-        return staged(_merged(runs).where(F.col("n") >= self.min_docs).sortWithinPartitions(*KEY))
-
+        found = staged(self.merged(runs).where(F.col("n") >= self.min_docs))
+        self._drop(runs)
+        self.levels = []
+        return found
 
-def _merged(runs: list[DataFrame]) -> DataFrame:
-    both = runs[0]
-    for r in runs[1:]:
-        both = both.unionByName(r)
-    return both.groupBy(*KEY).agg(F.sum("n").alias("n"))
+    def _drop(self, runs: list[str]) -> None:
+        """Take tables out of the catalog; their files stay with what the application staged."""
+        for run in runs:
+            self.spark.sql(f"DROP TABLE {run}")
 
 
 def _hash(line: Column, min_points: int) -> Column:
@@ -66,7 +101,7 @@ def _hash(line: Column, min_points: int) -> Column:
 
 
 def drop_common_lines(
-    docs: DataFrame, min_docs: int = 10, min_points: int = 1, batches: int = 4, fan: int = 3
+    docs: DataFrame, min_docs: int = 10, min_points: int = 1, batches: int | None = None, fan: int = 3
 ) -> DataFrame:
     """``docs`` with ``text`` less all lines found in ``min_docs`` documents, plus ``n_lines`` and ``n_dropped``.
 
@@ -74,29 +109,27 @@ def drop_common_lines(
     keys of fewer than ``min_points`` code points always stay.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.xxhash64(F.col("doc_id"), text)
+    row = [F.xxhash64(F.col("doc_id"), text).alias("row"), F.xxhash64(F.lit("second"), F.col("doc_id"), text).alias("row2")]
     keys = F.transform(F.split(ascii_lower(text), "\n"), lambda x: _hash(x, min_points))
-    lines = (
-        docs.select(row.alias("row"), F.posexplode(keys).alias("pos", "h"))
-        .where("h is not null")
-        .select("row", "pos", "h.h1", "h.h2", F.pmod("row", F.lit(batches)).alias("batch"))
+    lines = staged(
+        docs.select(*row, F.posexplode(keys).alias("pos", "h")).where("h is not null").select(*ROW, "pos", "h.h1", "h.h2")
     )
-    lines = staged(lines)
-    runs = LineRuns(min_docs, fan)
+    batches = batches or max(BATCHES, -(-lines.count() // BATCH_LINES))
+    runs = LineRuns(docs.sparkSession, min_docs, fan)
     for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("row", *KEY))
+        runs.add(lines.where(F.pmod("row", F.lit(batches)) == b).select(*ROW, *KEY))
     gone = (
-        attach(lines.select("row", "pos", *KEY), runs.common(), KEY, "n", ["n"])
+        attach(lines.select(*ROW, "pos", *KEY), runs.common(), KEY, "n", ["n"])
         .where("n is not null")
-        .groupBy("row")
+        .groupBy(*ROW)
         .agg(F.collect_set("pos").alias("gone"))
     )
     split = F.split(F.col("_text"), "\n")
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone"), lambda i: split[i])
     kept = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(stay, "\n"))
     return (
-        docs.select(F.struct("*").alias("_doc"), text.alias("_text"), row.alias("row"))
-        .join(gone, "row", "left")
+        docs.select(F.struct("*").alias("_doc"), text.alias("_text"), *row)
+        .join(gone, ROW, "left")
         .select(
             *[kept.alias("text") if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
             F.size(split).cast("long").alias("n_lines"),
