@@ -16,12 +16,13 @@ bytes at that step.
    passes, so that a pass moves a bounded share of the input, and a task holds
    one bucket. Neighbours with equal keys are repeated.
 
-Ranks and sort keys are 64-bit fingerprints of the strings (of which stage 1
-moves 32 bits and the bucket), so buckets are in fingerprint order, which
-serves equality as well as lexicographic order does. What is removed is decided
-by two independent fingerprints of 64 bits each; bytes are not compared. Among n
-distinct candidate windows about n^2 / 2^129 pairs agree in both by chance
-(1.5e-19 at n = 1e10); on one alone 3 pairs did. Documents travel in chunks
+Ranks and sort keys are fingerprints of the strings, two sums modulo a prime of
+31 bits each (of which stage 1 moves 32 bits and the bucket), so buckets are in
+fingerprint order, which serves equality as well as lexicographic order does.
+What is removed is decided by two independent fingerprints, 124 bits; bytes are
+not compared. Two different windows of 200 bytes agree in all four sums for at
+most one choice of bases in 2^93, and unless they are chosen against the bases
+about n^2 / 2^125 pairs among n windows do (2e-18 at n = 1e10). Documents travel in chunks
 of about a megabyte; within a chunk equal strings are merged before the
 shuffle, so a string that fills a third of the corpus costs a row per chunk.
 
@@ -40,12 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pdengine.llm.tables import slices, staged
-from pdengine.llm.words import U, _BASE, _BYTES, _powers, buffers, mix
+from pdengine.llm.words import U, buffers, mix
 
 #: Bytes of a chunk, and strings of a bucket, about.
 CHUNK, BUCKET = 1 << 20, 1 << 20
 #: A pass sorts at most one candidate for so many bytes of text.
 PASS_SHARE = 16
+#: 128 bits of a document's id and text.
+ROW = ["row", "row2"]
 #: Perfect difference sets, which hold every difference once.
 _PERFECT = {133: (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110), 13: (0, 1, 3, 9)}
 
@@ -58,27 +61,57 @@ def difference_cover(v: int) -> np.ndarray:
     return np.array(sorted({i % v for i in range(r + 1)} | {k * r % v for k in range(v // r + 2)}))
 
 
-#: Base and byte values of two independent fingerprints.
-_BASES = (_BASE, 0xD1342543DE82EF95)
-_VALUES = (_BYTES, mix(_BYTES ^ U(0xA0761D6478BD642F)))
+#: Modulus of the fingerprints' sums, a prime: modulo 2**64 texts that differ in a regular way can agree for any base.
+_PRIME = (1 << 31) - 1
+_P, _31 = U(_PRIME), U(31)
+#: Two fingerprints of two sums each: bases and byte values.
+_DRAWN = np.random.default_rng(20_250_101)
+_BASES = _DRAWN.integers(1 << 20, _PRIME, (2, 2)).tolist()
+_VALUES = _DRAWN.integers(1, _PRIME, (2, 2, 256), dtype=np.uint64)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**63 modulo the prime."""
+    x = (x & _P) + (x >> _31)
+    x = (x & _P) + (x >> _31)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, U)
+    filled = 1
+    while filled < n:
+        more = min(filled, n - filled)
+        out[filled : filled + more] = _reduced(out[:more] * U(pow(base, filled, _PRIME)))
+        filled += more
+    return out
 
 
 class Sums:
-    """Fingerprints of substrings of fixed length from prefix sums; ``kind`` 0 or 1 chooses which."""
+    """Fingerprints of substrings of fixed length from prefix sums; ``kind`` 0 or 1 chooses which.
 
-    powers = [(_powers(b, CHUNK + 1), _powers(pow(b, -1, 1 << 64), CHUNK + 1)) for b in _BASES]
+    A fingerprint puts two sums modulo the prime side by side. Two different
+    strings of length n agree in a sum for at most n of all bases.
+    """
+
+    powers = [[(_powers(b, CHUNK + 1), _powers(pow(b, -1, _PRIME), CHUNK + 1)) for b in pair] for pair in _BASES]
 
     def __init__(self, data: np.ndarray, kind: int = 0):
         n = len(data)
-        if n >= len(Sums.powers[kind][0]):
-            Sums.powers[kind] = tuple(_powers(b, 2 * n) for b in (_BASES[kind], pow(_BASES[kind], -1, 1 << 64)))
-        self.kind, self.sums = kind, np.zeros(n + 1, U)
-        with np.errstate(over="ignore"):
-            np.cumsum(_VALUES[kind][data] * Sums.powers[kind][0][:n], out=self.sums[1:])
+        if n >= len(Sums.powers[kind][0][0]):
+            Sums.powers[kind] = [tuple(_powers(b, 2 * n) for b in (base, pow(base, -1, _PRIME))) for base in _BASES[kind]]
+        self.kind, self.sums = kind, []
+        for (up, _), values in zip(Sums.powers[kind], _VALUES[kind], strict=True):
+            sums = np.zeros(n + 1, U)
+            np.cumsum(_reduced(values[data] * up[:n]), out=sums[1:])  # below 2**63 for texts of 4 GB
+            self.sums.append(sums)
 
     def at(self, position: np.ndarray, length: int) -> np.ndarray:
+        out = np.zeros(len(position), U)
+        for (_, down), sums in zip(Sums.powers[self.kind], self.sums, strict=True):
+            out = (out << _31) | _reduced(_reduced(sums[position + length] - sums[position]) * down[position])
         with np.errstate(over="ignore"):
-            return mix((self.sums[position + length] - self.sums[position]) * Sums.powers[self.kind][1][position])
+            return mix(out)
 
 
 def sample_positions(lengths: np.ndarray, window: int, v: int) -> np.ndarray:
@@ -173,7 +206,7 @@ def _cover_task(window: int, v: int, bits: int):
             lengths = np.diff(offsets)
             at = sample_positions(lengths, window, v)
             keys = Sums(data).at(at, window - v + 1)
-            about = _packed(batch.column("row").to_numpy(), lengths)
+            about = _packed(batch.column("row").to_numpy(), batch.column("row2").to_numpy(), lengths)
             yield _entries(chunk, keys, None, np.arange(len(at)), bits, np.uint32, about)
 
     return task
@@ -196,7 +229,7 @@ def _suffix_task(window: int, bits: int, passes: int, turn: int):
             keys = Sums(data).at(at, window)
             mine = np.flatnonzero(keys % U(passes) == turn) if passes > 1 else np.arange(len(at))
             sizes = np.array([len(r) for r in ranges], np.int64)
-            about = _packed(batch.column("row").to_numpy(), np.diff(offsets), sizes, np.concatenate(ranges))
+            about = _packed(batch.column("row").to_numpy(), batch.column("row2").to_numpy(), np.diff(offsets), sizes, np.concatenate(ranges))
             second = Sums(data, 1).at(at[mine], window)
             yield _entries(chunk, keys[mine], second, mine, bits, np.uint64, about)
 
@@ -241,13 +274,13 @@ def _gathered(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return _unpacked(about), np.unique(np.concatenate([np.frombuffer(r["places"], np.uint32) for r in rows])).astype(np.int64)
 
 
-def _ranges_table(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, offsets: np.ndarray) -> pa.Table:
+def _ranges_table(rows: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, offsets: np.ndarray) -> pa.Table:
     edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     ends = np.concatenate([edges[1:], [len(doc)]]) if len(doc) else edges
     each = np.stack([lo - offsets[doc], hi - offsets[doc]], axis=1) if len(doc) else np.zeros((0, 2), np.int64)
     return pa.Table.from_arrays(
-        [pa.array(rows[doc[edges]], pa.int64()), pa.array([each[a:b].astype(np.int64).tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary())],
-        names=["row", "ranges"],
+        [*[pa.array(r[doc[edges]], pa.int64()) for r in rows], pa.array([each[a:b].astype(np.int64).tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary())],
+        names=["row", "row2", "ranges"],
     )
 
 
@@ -255,7 +288,7 @@ def _candidate_ranges(window: int, v: int):
     """First and last candidate windows per document of a chunk, from the samples whose rank is repeated."""
 
     def group(table: pa.Table) -> pa.Table:
-        (rows, lengths), hit = _gathered(table)
+        (*rows, lengths), hit = _gathered(table)
         at = sample_positions(lengths, window, v)[hit]
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         doc = np.searchsorted(offsets, at, "right") - 1
@@ -285,14 +318,14 @@ def unpacked_places(raw: bytes) -> np.ndarray:
 
 def _repeated_starts(table: pa.Table) -> pa.Table:
     """Places of the repeated windows per document of a chunk."""
-    (rows, lengths, sizes, flat), hit = _gathered(table)
+    (*rows, lengths, sizes, flat), hit = _gathered(table)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     at = _candidates(np.split(flat, np.cumsum(sizes)[:-1]), offsets[:-1])[hit]
     doc = np.searchsorted(offsets, at, "right") - 1
     edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     ends = np.concatenate([edges[1:], [len(doc)]]) if len(doc) else edges
     starts = [packed_places(at[a:b] - offsets[doc[a]]) for a, b in zip(edges, ends, strict=True)]
-    return pa.Table.from_arrays([pa.array(rows[doc[edges]], pa.int64()), pa.array(starts, pa.binary())], names=["row", "starts"])
+    return pa.Table.from_arrays([*[pa.array(r[doc[edges]], pa.int64()) for r in rows], pa.array(starts, pa.binary())], names=["row", "row2", "starts"])
 
 
 def _cut(window: int):
@@ -333,20 +366,23 @@ def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
     """
     v = max(1, window * 2 // 3)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id"), text).alias("row"))
+    texts = docs.select(
+        "doc_id", text.alias("text"), F.xxhash64(F.col("doc_id"), text).alias("row"),
+        F.xxhash64(F.lit("second"), F.col("doc_id"), text).alias("row2"),
+    )
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
 
-    long_enough = texts.where(F.octet_length("text") >= window).select("row", "text")
+    long_enough = texts.where(F.octet_length("text") >= window).select("row", "row2", "text")
     density = len(difference_cover(v)) / v
     bits = _bits(total * density)
     cover = long_enough.mapInArrow(_cover_task(window, v, bits), _ENTRIES)
     places = "chunk long, places binary, about binary"
     ranges = staged(
         cover.groupBy("bucket").applyInArrow(_sort_bucket(np.uint32), places)
-        .groupBy("chunk").applyInArrow(_candidate_ranges(window, v), "row long, ranges binary")
+        .groupBy("chunk").applyInArrow(_candidate_ranges(window, v), "row long, row2 long, ranges binary")
     )
     # rows that agree in id and text have equal ranges
-    candidates = staged(long_enough.join(ranges.groupBy("row").agg(F.first("ranges").alias("ranges")), "row").select("row", "text", "ranges"))
+    candidates = staged(long_enough.join(ranges.groupBy(*ROW).agg(F.first("ranges").alias("ranges")), ROW).select(*ROW, "text", "ranges"))
     counted = candidates.mapInArrow(_count, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
     passes = max(1, math.ceil(counted * PASS_SHARE / max(total, 1)))
     bits = _bits(counted / passes)
@@ -355,12 +391,12 @@ def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
         suffixes = candidates.mapInArrow(_suffix_task(window, bits, passes, turn), _ENTRIES)
         part = staged(
             suffixes.groupBy("bucket").applyInArrow(_sort_bucket(np.uint64), places)
-            .groupBy("chunk").applyInArrow(_repeated_starts, "row long, starts binary")
+            .groupBy("chunk").applyInArrow(_repeated_starts, "row long, row2 long, starts binary")
         )
         found = part if found is None else found.unionByName(part)
     # at most one entry per pass: rows that agree in id and text have equal places
-    starts = found.groupBy("row").agg(F.collect_set("starts").alias("starts"))
-    return texts.join(starts, "row", "left").select("doc_id", "text", "starts").mapInArrow(
+    starts = found.groupBy(*ROW).agg(F.collect_set("starts").alias("starts"))
+    return texts.join(starts, ROW, "left").select("doc_id", "text", "starts").mapInArrow(
         _cut(window), f"doc_id {dict(texts.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     )
 

@@ -23,7 +23,7 @@ def test_colliding_keys_are_told_apart(monkeypatch):
     texts[3], texts[11] = texts[3] + passage, passage + texts[11]
     ranges = [np.array([0, len(t) - window], np.int64).tobytes() for t in texts]
     parts = [
-        pa.RecordBatch.from_pydict({"row": list(range(a, a + 10)), "text": texts[a : a + 10], "ranges": ranges[a : a + 10]})
+        pa.RecordBatch.from_pydict({"row": list(range(a, a + 10)), "row2": [0] * 10, "text": texts[a : a + 10], "ranges": ranges[a : a + 10]})
         for a in (0, 10)
     ]
     entries = pa.Table.from_batches(list(suffixes._suffix_task(window, 0, 1, 0)(iter(parts))))
@@ -42,3 +42,42 @@ def test_colliding_keys_are_told_apart(monkeypatch):
         if count[w] > 1:
             want.setdefault(d, []).append(i)
     assert want.keys() >= {3, 11} and got == want
+
+
+def thue_morse(n):
+    """Two texts whose sums of powers modulo 2**64 agree for every odd base, from 1,024 letters on."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_texts_are_told_apart(spark):
+    from pdengine.llm import minhash, sentencepiece
+    from pdengine.llm.registry import PIECE_BPE
+
+    import sentencepiece as library
+
+    for n in (1024, 4096):
+        a, b = thue_morse(n)
+        docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+        assert [r.kept for r in minhash.near_duplicates(docs).collect()] == [True, True]
+        pieces = sorted(sentencepiece.encoded(docs, PIECE_BPE).collect())
+        assert [list(r.ids) for r in pieces] == library.SentencePieceProcessor(model_file=PIECE_BPE).encode([a, b])
+        assert all(r.round_trip for r in pieces)
+    a, b = thue_morse(1024)
+    rows = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert [r.n_removed for r in suffixes.remove_repeats(rows, 1024).collect()] == [0, 0]
+    for kind in (0, 1):
+        sums = suffixes.Sums(np.frombuffer((a + b).encode(), np.uint8), kind)
+        one, two = sums.at(np.array([0, 1024]), 1024)
+        assert one != two
+
+
+def test_fingerprints_follow_the_bytes_alone():
+    rnd = np.random.default_rng(3)
+    text = rnd.integers(0, 256, 400, dtype=np.uint8)
+    data = np.concatenate([rnd.integers(0, 256, 1_200_000, dtype=np.uint8), text, rnd.integers(0, 256, 77, dtype=np.uint8), text])
+    for kind in (0, 1):
+        sums = suffixes.Sums(data, kind)
+        at = np.arange(1_200_000, 1_200_201)
+        assert (sums.at(at, 200) == sums.at(at + 477, 200)).all()
+        assert len(np.unique(sums.at(np.arange(100_000), 200))) == 100_000
