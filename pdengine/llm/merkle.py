@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pdengine.llm.tables import attach, staged
+from pdengine.llm.tables import attach, numbered, staged
 
 #: Levels of the tree in one row of the retained table, which has 2**LEVELS leaves.
 LEVELS = 12
@@ -307,21 +307,6 @@ def paths(blocks: DataFrame, levels: int) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows with ``_place``, their position in the order of the columns, by a range sort."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = staged(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = sorted(tuple(r) for r in out.groupBy(part.alias("p")).count().collect())  # one row per partition
-    before, firsts = 0, []
-    for p, n in sizes:
-        firsts.append((p, before))
-        before += n
-    first = rows.sparkSession.createDataFrame(firsts, "_part long, _first long")
-    place = F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return out.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn("_place", place).drop("_part", "_first", "_at")
-
-
 def leaf(fields: dict[str, Column]) -> Column:
     """Digest of a document: every field with its length in bytes before it, ``-`` where it is null."""
     return F.sha2(F.concat(*[

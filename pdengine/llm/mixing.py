@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pdengine.llm.tables import staged
+from pdengine.llm.tables import numbered, running, staged
 
 WEIGHTS = (3, 1, 2)
 #: Weight over training time, as (time, weight) from 0 to 1, for the sources of each weight above.
@@ -55,33 +55,20 @@ def training_time(share: Column, knots: tuple[tuple[float, float], ...]) -> Colu
 
 def sources_with_targets(sizes: DataFrame, budget: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
     """``source, n_docs, source_size, kind, weight, target`` of each source, kinds in code point order."""
-    spark = sizes.sparkSession
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    ordered = per_source.orderBy(F.col("source").asc_nulls_last())
-    numbered = spark.createDataFrame(
-        ordered.rdd.zipWithIndex().map(lambda r: (r[0]["source"], r[0]["source_size"], r[0]["n_docs"], r[1])),
-        "source string, source_size long, n_docs long, place long",
-    )
     kind = F.pmod("place", F.lit(len(weights))).cast("int")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), kind + 1)
-    table = staged(numbered.withColumns({"kind": kind, "weight": weight}))
-    cap = F.lit(most) * F.col("source_size")
-    total = table.agg(F.sum("source_size").alias("n")).first()["n"] or 0
-    level = None
-    while total:  # each round fills at least one more source, or is the last
-        full = F.lit(False) if level is None else F.lit(level) * F.col("weight") >= cap
-        left = table.agg(
-            F.coalesce(F.sum(F.when(full, cap)), F.lit(0.0)).alias("given"),
-            F.sum(F.when(~full, F.col("weight"))).alias("weight"),
-        ).first()
-        if not left["weight"]:
-            break
-        new = (budget * total - left["given"]) / left["weight"]
-        if level is not None and new <= level:
-            break
-        level = new
-    target = F.lit(0.0) if level is None else F.least(cap, F.lit(level) * F.col("weight"))
-    return table.withColumn("target", target.cast("double"))
+    cap = F.lit(float(most)) * F.col("source_size")
+    ordered = numbered(per_source, F.col("source").asc_nulls_last()).withColumnRenamed("_place", "place")
+    table = staged(ordered.withColumns({"kind": kind, "weight": weight}).withColumn("cap", cap))
+    # Sources fill up in the order of cap / weight. If those before one are full and it and the rest are not, the
+    # rest share what is left; the highest such level is the one at which all are served.
+    total, weights_sum = table.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.sum("weight")).first()
+    if not total:
+        return table.drop("cap").withColumn("target", F.lit(0.0))
+    filling = running(table.withColumn("ratio", F.col("cap") / F.col("weight")), ["ratio", "place"], {"given": F.col("cap"), "passed": F.col("weight")})
+    level = filling.agg(F.max((budget * total - F.col("given")) / (weights_sum - F.col("passed"))).alias("v")).first()["v"]
+    return table.withColumn("target", F.least("cap", F.lit(level) * F.col("weight"))).drop("cap")
 
 
 def mix(
@@ -89,11 +76,13 @@ def mix(
 ) -> DataFrame:
     """``doc_id, size, source_size, target, taken, position, again``, sorted by position.
 
+    Rows without an id stand in the order of the hash of all their columns.
+
     ``taken`` counts the words the mix takes from the document, repeats
     included; ``position`` and ``again`` are the training times of its first
     and second use, null where it is not used.
     """
-    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), row_key(docs)).cast("binary"))
     sizes = staged(docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), place.alias("place"),
         F.lit("").alias("key"), F.lit(1).cast("long").alias("copies"),
@@ -158,7 +147,7 @@ def _used(placed: DataFrame, schedules) -> DataFrame:
 
 def row_key(docs: DataFrame) -> Column:
     """Hash of all columns of a row, equal for equal rows only."""
-    return F.md5(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])).cast("binary"))
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])).cast("binary"))
 
 
 def mixed(
@@ -171,8 +160,8 @@ def mixed(
     rows are counted and used one after the other, ties follow the row's hash.
     Rows without an id take the place of their hash instead of the id's.
     """
-    keyed = docs.withColumn("_key", row_key(docs))
-    each = keyed.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), F.col("_key").alias("key"))
+    each = docs.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), row_key(docs).alias("key"))
+    keyed = docs.select(F.struct("*").alias("_doc"), row_key(docs).alias("_key"))  # so no column can clash with ours
     sizes = staged(
         each.groupBy("key").agg(
             F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"),
@@ -198,4 +187,4 @@ def mixed(
         out = keyed.join(whole.where("_copies = 1"), "_key").unionByName(
             keyed.dropDuplicates(["_key"]).join(several, "_key", "left_semi").join(whole.where("_copies > 1"), "_key")
         )
-    return out.orderBy("_at", "doc_id", "_key").select(*docs.columns)
+    return out.orderBy("_at", "_doc.doc_id", "_key").select(*[F.col(f"_doc.`{c}`") for c in docs.columns])

@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pdengine.staging import materialise
 
-__all__ = ["ascii_lower", "attach", "slices", "spread", "staged"]
+__all__ = ["ascii_lower", "attach", "numbered", "running", "slices", "spread", "staged"]
 
 #: A key is hot when it holds more than this share of the rows; fewer than 1/share keys can be.
 HOT_SHARE = 1e-3
@@ -52,6 +52,44 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def _ranged(rows: DataFrame, order: tuple[str | Column, ...]) -> DataFrame:
+    """Rows range-sorted and written, with ``_part`` and ``_at``, their place in it."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    out = staged(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", at))
+    return out.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+
+
+def _before(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Per part of a range sort, ``_b_<name>``: the sums over all parts before it; one row per part passes the driver."""
+    types = {n: rows.select(c.alias("c")).schema["c"].dataType.simpleString() for n, c in sums.items()}
+    found = sorted(rows.groupBy("_part").agg(*[F.sum(c).cast(types[n]).alias(n) for n, c in sums.items()]).collect(), key=lambda r: r["_part"])
+    total = dict.fromkeys(sums, 0)
+    before = []
+    for r in found:
+        before.append((r["_part"], *[float(v) if types[n] == "double" else v for n, v in total.items()]))
+        total = {n: total[n] + (r[n] or 0) for n in sums}
+    return rows.sparkSession.createDataFrame(before, "_part long, " + ", ".join(f"_b_{n} {t}" for n, t in types.items()))
+
+
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """Rows with ``_place``, their position from 0 in the order of the columns, by a range sort."""
+    out = _ranged(rows, order)
+    first = _before(out, {"n": F.lit(1).cast("long")})
+    return out.join(F.broadcast(first), "_part").withColumn("_place", F.col("_b_n") + F.col("_at")).drop("_part", "_at", "_b_n")
+
+
+def running(rows: DataFrame, order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """Rows with, per name, the sum of its column over all rows before in the order, by a range sort."""
+    out = _ranged(rows, tuple(order))
+    above = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = out.withColumns({f"_i_{n}": F.sum(c).over(above) for n, c in sums.items()})
+    joined = inside.join(F.broadcast(_before(out, sums)), "_part")
+    return joined.withColumns({n: F.col(f"_b_{n}") + F.coalesce(f"_i_{n}", F.lit(0)) for n in sums}).drop(
+        "_part", "_at", *[f"_{k}_{n}" for n in sums for k in "bi"]
+    )
+
+
 def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], size: str, out: list[str]) -> DataFrame:
     """Left join of ``lookup`` (one row per key) that no hot key can overload.
 
