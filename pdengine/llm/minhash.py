@@ -13,8 +13,10 @@ are merged first; in each bucket every member is compared with one hub, and
 only members that still lie in different components are compared with more.
 
 Defined results: null or empty text has no shingles, links with nothing and is
-its own component. Rows that share an id count as one node; a row without an
-id links with nothing and gets a null component. Extra columns are ignored.
+its own component. Rows that share an id are one node: each row's text is
+linked, and what any of them links with belongs to the component of all. A row
+without an id links with nothing and gets a null component. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pdengine.llm.components import components
-from pdengine.llm.tables import attach, slices, staged
+from pdengine.llm.tables import attach, numbered, slices, staged
 from pdengine.llm.words import U, mix, shingles, words
 
 #: Bands and rows: a pair at the threshold of 0.85 escapes all bands once in 2.5 million.
@@ -152,6 +154,23 @@ def near_duplicates(
     Jaccard similarity of at least ``percent`` / 100.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _of_unique(texts, size, percent, bands, rows)
+    # Every row gets a number of its own, ascending with the id; rows of one id are linked afterwards.
+    given = staged(numbered(texts.where("doc_id is not null").withColumn("h", F.md5(F.col("text").cast("binary"))), "doc_id", "h").drop("h"))
+    found = staged(_of_unique(given.select(F.col("_place").alias("doc_id"), "text"), size, percent, bands, rows))
+    each = given.select(F.col("_place").alias("row"), F.col("doc_id").alias("id")).join(found.withColumnRenamed("doc_id", "row"), "row")
+    least = each.groupBy("id").agg(F.min("component_id").alias("b"))
+    labels = staged(components(each.join(least, "id").select(F.col("component_id").alias("a"), "b").distinct()))
+    names = given.select(F.col("_place").alias("component_id"), F.col("doc_id").alias("least"))
+    whole = each.join(labels.select(F.col("node").alias("component_id"), F.col("component_id").alias("root")), "component_id", "left")
+    whole = whole.withColumn("component_id", F.coalesce("root", "component_id")).join(names, "component_id")
+    named = whole.select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+    return named.unionByName(_of_unique(texts.where("doc_id is null"), size, percent, bands, rows))
+
+
+def _of_unique(texts: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``near_duplicates`` of a table without repeated ids, apart from null ones."""
     described = staged(texts.mapInArrow(
         _describe(bands, rows, size), "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>, bands array<long>"
     ))
