@@ -110,14 +110,13 @@ def test_words_match_the_pattern():
     assert got == [WORD.findall(lower(t or "")) for t in texts]
 
 
-def test_long_words_hash_alike(monkeypatch):
+def test_long_words_hash_alike():
     from pdengine.llm import words as module
 
-    column = pa.array(["a" * 500 + " b", "c " + "a" * 500])
-    whole = module.words(column).hash
-    monkeypatch.setattr(module, "_SLICE", 64)
-    cut = module.words(column).hash
-    assert (whole == cut).all() and whole[0] == whole[3]
+    for n in (1, 7, 8, 9, 63, 64, 65, module._CHAINED - 1, module._CHAINED, module._CHAINED + 1, 5000):
+        one, two = "é" * (n // 2) + "a" * (n % 2), "a" * n
+        h = module.words(pa.array([f"{two} b", f"c {two}", one, f" {one}", two[1:] + "b", two + "\x00"])).hash
+        assert h[0] == h[3] and h[4] == h[5] and len(set(h.tolist())) == len({two, "b", "c", one, two[1:] + "b", two + "\x00"})
 
 
 def test_components(spark):
