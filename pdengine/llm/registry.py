@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine.llm import (
@@ -13,9 +14,8 @@ from pdengine.llm import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Folder of the public vocabulary files; every operator takes a path.
-VOCABULARIES = "/opt/tokenizers"
-WORD_BPE, PIECE_BPE = f"{VOCABULARIES}/word_bpe_49k.json", f"{VOCABULARIES}/piece_bpe_32k.model"
+#: Public vocabulary files; every operator takes a path.
+WORD_BPE, PIECE_BPE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "piece_bpe_32k.model"))
 QUERY_EVERY, NEIGHBOURS, SAME = 50, 5, 0.98
 MIN_DOCS, MIN_POINTS = 10, 1
 REPEAT_BYTES = 200

@@ -21,18 +21,22 @@ it is false for texts that hold the model's own mark for blanks, U+2581.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pdengine.llm.tables import slices
-from pdengine.llm.words import U, _powers, mix
+from pdengine.llm.words import U, mix
 
 SPACE = "▁"
 _BASE = 0xD1342543DE82EF95
 _TEXT = 1 << 20
-#: Distinct words that a worker remembers.
-REMEMBERED = 1_500_000
+#: Bytes that a worker's memory of words, and that of pairs of pieces, may take before they are forgotten.
+REMEMBERED, PAIRS = 48 << 20, 16 << 20
+#: Code points up to which sums of powers tell words apart; longer ones get a digest.
+_SHORT = 64
 _START, _UNKNOWN = -1, -2
 
 
@@ -155,11 +159,15 @@ class Model:
         at = np.searchsorted(self.known, asked)
         new = np.ones(len(asked), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != asked
         if new.any():
+            if 9 * len(self.known) > PAIRS:
+                self.known, self.allowed = np.zeros(0, np.int64), np.zeros(0, bool)
+                new = np.ones(len(asked), bool)
             keys = np.unique(asked[new])
-            self.known = np.concatenate([self.known, keys])
-            self.allowed = np.concatenate([self.allowed, self._merges_to(keys // (n + 2) - 2, keys % (n + 2) - 2)])
-            order = np.argsort(self.known, kind="stable")
-            self.known, self.allowed = self.known[order], self.allowed[order]
+            place = np.searchsorted(self.known, keys)
+            self.known = np.insert(self.known, place, keys)
+            step = 1 << 14  # pairs whose characters are held side by side at a time
+            allowed = [self._merges_to(k // (n + 2) - 2, k % (n + 2) - 2) for k in np.array_split(keys, -(-len(keys) // step))]
+            self.allowed = np.insert(self.allowed, place, np.concatenate(allowed))
             at = np.searchsorted(self.known, asked)
         return self.allowed[at]
 
@@ -203,8 +211,22 @@ class Model:
         return (sym[:, 0] == first) & (sym[:, 1] == second) & (sym[:, 2] == -1)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, U)
+    filled = 1
+    while filled < n:
+        more = min(filled, n - filled)
+        out[filled : filled + more] = out[:more] * U(pow(base, filled, 1 << 64))
+        filled += more
+    return out
+
+
 class Codes:
-    """Code points of a text and hashes of its substrings from prefix sums."""
+    """Code points of a text and hashes of its short substrings from prefix sums.
+
+    Sums of powers modulo 2**64 can be equal for long strings that differ in a
+    regular way, whatever the base; ``words`` therefore digests long ones.
+    """
 
     up = _powers(_BASE, _TEXT)
     down = _powers(pow(_BASE, -1, 1 << 64), _TEXT)
@@ -223,6 +245,15 @@ class Codes:
             return mix((self.sums[end] - self.sums[start]) * Codes.down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+    def words(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of words of any length."""
+        out = self.hashes(start, end)
+        for i in np.flatnonzero(end - start > _SHORT).tolist():
+            raw = self.code[start[i] : end[i]].tobytes()
+            out[i] = U(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little"))
+        return out
+
+
 class Codec:
     """Encodes and decodes batches of texts; remembers the ids of words met before."""
 
@@ -253,7 +284,7 @@ class Codec:
         cut[1:] |= lone
         border = np.flatnonzero(cut)
         start, end = border[:-1], border[1:]
-        key, first, word = np.unique(codes.hashes(start, end), return_index=True, return_inverse=True)
+        key, first, word = np.unique(codes.words(start, end), return_index=True, return_inverse=True)
         self._learn(codes, key, start[first], end[first])
         at = np.searchsorted(self.seen, key)[word]
         sizes = self.size[at]
@@ -263,7 +294,7 @@ class Codec:
         return ids, first_id[words_before]
 
     def _learn(self, codes: Codes, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        if len(self.seen) > REMEMBERED:
+        if 24 * len(self.seen) + 4 * len(self.flat) > REMEMBERED:
             self._forget()
         if len(self.seen):
             at = np.minimum(np.searchsorted(self.seen, key), len(self.seen) - 1)
@@ -273,9 +304,9 @@ class Codec:
             return
         ids, sizes = self._viterbi(codes, start, end)
         at = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        seen = np.concatenate([self.seen, key])
-        order = np.argsort(seen, kind="stable")
-        self.seen, self.at, self.size = seen[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
+        place = np.searchsorted(self.seen, key)  # keys ascend, so they are put in where they belong
+        self.seen = np.insert(self.seen, place, key)
+        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, sizes)
         self.flat = np.concatenate([self.flat, ids])
 
     def _viterbi(self, codes: Codes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
