@@ -253,3 +253,18 @@ def test_pipeline_of_odd_rows(spark, folder):
             out = stage(spark, table, folder)
             assert i == 4 or out.columns == docs.columns
             out.collect()
+
+
+def test_one_odd_character_does_not_turn_the_shortcut_off():
+    counter = token_counts.Counter(WORD_BPE)
+    text = "it’s a plain text — with “quotes” and one 😀 among many ordinary words <|endoftext|> here"
+    words, odd = counter.pretokens(text)
+    assert odd == ["it’s", "—", "“quotes”", "😀", "<|endoftext|>"] and len(words) == 11
+    want = [len(counter.library.encode(t, add_special_tokens=False).ids) for t in (text, "á ́b ç\td", "Σ ΑΣ. İx\ny\x1cz\x85w")]
+    assert counter([text, "á ́b ç\td", "Σ ΑΣ. İx\ny\x1cz\x85w"]) == want
+    asked = []
+    encode = counter.library.encode_batch
+    counter.odd.clear()
+    counter.library = type("L", (), {"encode_batch": staticmethod(lambda t, **k: asked.extend(t) or encode(t, **k)), "encode": counter.library.encode})
+    counter([text] * 50)
+    assert sorted(asked) == sorted(odd)
