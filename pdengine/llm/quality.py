@@ -111,12 +111,16 @@ def _fit(batches):
     table = pa.Table.from_batches(list(batches))
     if not table.num_rows:
         return
-    table = table.sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    table = table.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
     grade = table["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grade)) < 2:
         return
-    text, feature, value = features(table["text"])
-    weights, cuts = fit_ordinal(text, feature, value, grade, GRADES)
+    parts, seen = [], 0
+    for batch in (b for whole in table.select(["text"]).to_batches() for b in slices(whole, "text")):
+        text, feature, value = features(batch.column("text"))
+        parts.append(((text + seen).astype(np.int32), feature.astype(np.int32), value))
+        seen += batch.num_rows
+    weights, cuts = fit_ordinal(*map(np.concatenate, zip(*parts, strict=True)), grade, GRADES)
     yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "cuts": [json.dumps(cuts.tolist())]})
 
 
@@ -135,17 +139,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[bytes
     return (bytes(models[0]["weights"]), json.loads(models[0]["cuts"])) if models else None
 
 
-def _score(weights: np.ndarray, cuts: np.ndarray):
-    def task(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                text, feature, value = features(batch.column("text"))
-                s = np.bincount(text, value * weights[feature], minlength=batch.num_rows)
-                tail = _logistic(s[:, None] - cuts[None, :])
-                extra = [pa.array(tail.sum(axis=1)), pa.array(tail[:, -1])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "expected_grade", "p_good"])
+def _scorer(weights: np.ndarray, cuts: np.ndarray):
+    """Grades of texts; only the texts go to Python, and only grades come back."""
 
-    return task
+    @F.arrow_udf("struct<expected_grade: double, p_good: double>")
+    def score(texts: pa.Array) -> pa.Array:
+        grades, good = [np.zeros(0)], [np.zeros(0)]
+        for batch in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+            text, feature, value = features(batch.column("text"))
+            s = np.bincount(text, value * weights[feature], minlength=batch.num_rows)
+            tail = _logistic(s[:, None] - cuts[None, :])
+            grades.append(tail.sum(axis=1))
+            good.append(tail[:, -1])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (grades, good)], names=["expected_grade", "p_good"])
+
+    return score
 
 
 def graded(docs: DataFrame, model: tuple[bytes, list[float]] | None, cut: float = 0.5, keep_text: bool = True) -> DataFrame:
@@ -153,12 +161,15 @@ def graded(docs: DataFrame, model: tuple[bytes, list[float]] | None, cut: float
 
     Columns of those names in ``docs`` are replaced.
     """
-    rows = docs.drop("expected_grade", "p_good", "kept")
+    names = [c for c in docs.columns if c not in ("expected_grade", "p_good", "kept")]
     if model is None:
-        out = rows.withColumns({"expected_grade": F.lit(None).cast("double"), "p_good": F.lit(None).cast("double"), "kept": F.lit(True)})
+        score = F.struct(F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("p_good"))
+        kept = F.lit(True)
     else:
-        weights, cuts = np.frombuffer(model[0], np.float32), np.array(model[1])
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        out = rows.mapInArrow(_score(weights, cuts), f"{schema}, expected_grade double, p_good double")
-        out = out.withColumn("kept", F.col("p_good") >= cut)
-    return out if keep_text else out.drop("text")
+        score = _scorer(np.frombuffer(model[0], np.float32), np.array(model[1]))(F.col("text").cast("string"))
+        kept = F.col("_graded.p_good") >= cut
+    out = docs.select(F.struct("*").alias("_doc"), score.alias("_graded"))  # so no column can clash with ours
+    return out.select(
+        *[F.col(f"_doc.`{c}`") for c in names if keep_text or c != "text"],
+        "_graded.expected_grade", "_graded.p_good", kept.alias("kept"),
+    )
