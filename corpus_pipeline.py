@@ -12,11 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pdengine.llm import line_dedup, minhash, mixing, quality, registry, sentencepiece
-from pdengine.llm.tables import staged
+from pdengine.llm.tables import numbered, staged
+
+
+#: Bytes of the batches that go to Python: a worker holds a few of them, and two workers share an executor with its heap.
+BATCH_BYTES = 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not now or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model doesn't reject."""
+    _small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.graded(docs, model).where("kept").select(*docs.columns)
 
@@ -32,22 +45,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share an id are documents of their own, unless they are equal in all columns.
     """
+    _small_batches(spark)
     named = docs.where("doc_id is not null")
+    row = F.struct("*").alias("_doc")  # so no column can clash with ours
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = named.withColumn("_row", F.col("doc_id").cast("long"))
+        rows = named.select(F.col("doc_id").cast("long").alias("_row"), row)
     else:
-        rows = numbered(named)
-    copies = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_row"))
-    left = rows.join(copies, "_row", "left_anti")
-    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """Distinct rows with ``_row``, their number in the order of the id, then of the row's hash."""
-    keyed = staged(docs.withColumn("_key", mixing.row_key(docs)).dropDuplicates(["_key"]))
-    order = keyed.select(F.col("doc_id").cast("long").alias("_id"), "_key").orderBy("_id", "_key")
-    numbers = order.sparkSession.createDataFrame(order.rdd.zipWithIndex().map(lambda r: (r[0]["_key"], r[1])), "_key string, _row long")
-    return staged(keyed.join(numbers, "_key").drop("_key"))
+        keyed = named.select(F.col("doc_id").cast("long").alias("_id"), mixing.row_key(named).alias("_key"), row)
+        rows = numbered(staged(keyed.dropDuplicates(["_key"])), "_id", "_key").withColumnRenamed("_place", "_row")
+    texts = rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))
+    copies = minhash.near_duplicates(texts).where("not kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(copies, "_row", "left_anti").select("_doc.*").unionByName(docs.where("doc_id is null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +65,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids instead of texts."""
+    _small_batches(spark)
     return sentencepiece.encoded(docs, registry.PIECE_BPE)
 
 
