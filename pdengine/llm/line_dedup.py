@@ -27,16 +27,16 @@ BLANK = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
 #: 128 bits of a document's id and text.
 ROW = ["row", "row2"]
-#: Lines of a batch, about; small tables are cut into ``BATCHES`` all the same.
-BATCH_LINES, BATCHES = 1 << 28, 4
+#: Lines of a batch, about; small tables are cut into ``BATCHES`` all the same. Lines of a batch in a bucket, at most:
+#: every bucket of a run is a file.
+BATCH_LINES, BATCHES, BUCKET_LINES = 1 << 28, 4, 1 << 18
 
 
 class LineRuns:
     """Runs by level; ``min_docs`` documents make a line common."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = 10, fan: int = 3):
-        self.spark, self.min_docs, self.fan = spark, min_docs, fan
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, min_docs: int = 10, fan: int = 3, buckets: int = 8):
+        self.spark, self.min_docs, self.fan, self.buckets = spark, min_docs, fan, buckets
         self.levels: list[list[str]] = []
         # a bucket is one sorted file, and scans of it may say so
         spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
@@ -114,8 +114,9 @@ def drop_common_lines(
     lines = staged(
         docs.select(*row, F.posexplode(keys).alias("pos", "h")).where("h is not null").select(*ROW, "pos", "h.h1", "h.h2")
     )
-    batches = batches or max(BATCHES, -(-lines.count() // BATCH_LINES))
-    runs = LineRuns(docs.sparkSession, min_docs, fan)
+    n = lines.count()
+    batches = batches or max(BATCHES, -(-n // BATCH_LINES))
+    runs = LineRuns(docs.sparkSession, min_docs, fan, max(1, -(-n // (batches * BUCKET_LINES))))
     for b in range(batches):
         runs.add(lines.where(F.pmod("row", F.lit(batches)) == b).select(*ROW, *KEY))
     gone = (
