@@ -16,13 +16,14 @@ bytes at that step.
    passes, so that a pass moves a bounded share of the input, and a task holds
    one bucket. Neighbours with equal keys are repeated.
 
-Ranks and sort keys are fingerprints of the strings, two sums modulo a prime of
-31 bits each (of which stage 1 moves 32 bits and the bucket), so buckets are in
-fingerprint order, which serves equality as well as lexicographic order does.
-What is removed is decided by two independent fingerprints, 124 bits; bytes are
-not compared. Two different windows of 200 bytes agree in all four sums for at
-most one choice of bases in 2^93, and unless they are chosen against the bases
-about n^2 / 2^125 pairs among n windows do (2e-18 at n = 1e10). Documents travel in chunks
+Ranks and sort keys are fingerprints of the strings, sums modulo 2**64 (of
+which stage 1 moves 32 bits and the bucket), so buckets are in fingerprint
+order, which serves equality as well as lexicographic order does. Equal strings
+always have equal keys; that different ones have different keys is not relied
+on: what is removed has to agree in a second fingerprint too, two sums modulo a
+prime of 31 bits. Bytes are not compared. Two different windows of 200 bytes
+agree in it for at most one choice of bases in 2^46, whatever they are, and by
+chance about n^2 / 2^127 pairs among n windows agree in all (6e-19 at n = 1e10). Documents travel in chunks
 of about a megabyte; within a chunk equal strings are merged before the
 shuffle, so a string that fills a third of the corpus costs a row per chunk.
 
@@ -61,56 +62,65 @@ def difference_cover(v: int) -> np.ndarray:
     return np.array(sorted({i % v for i in range(r + 1)} | {k * r % v for k in range(v // r + 2)}))
 
 
-#: Modulus of the fingerprints' sums, a prime: modulo 2**64 texts that differ in a regular way can agree for any base.
+#: Modulus of the deciding sums, a prime: modulo 2**64 texts that differ in a regular way can agree for any base.
 _PRIME = (1 << 31) - 1
 _P, _31 = U(_PRIME), U(31)
-#: Two fingerprints of two sums each: bases and byte values.
+#: Bases and byte values: of the sort key, one sum modulo 2**64; of the second fingerprint, two modulo the prime.
 _DRAWN = np.random.default_rng(20_250_101)
-_BASES = _DRAWN.integers(1 << 20, _PRIME, (2, 2)).tolist()
-_VALUES = _DRAWN.integers(1, _PRIME, (2, 2, 256), dtype=np.uint64)
+_KEY_BASE, _KEY_VALUES = 0x9E3779B97F4A7C15, _DRAWN.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_BASES = _DRAWN.integers(1 << 20, _PRIME, 2).tolist()
+_VALUES = _DRAWN.integers(1, _PRIME, (2, 256), dtype=np.uint64)
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """Numbers below 2**63 modulo the prime."""
-    x = (x & _P) + (x >> _31)
-    x = (x & _P) + (x >> _31)
-    return np.where(x >= _P, x - _P, x)
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Smaller numbers that are equal modulo the prime: below 2**33 from 64 bits, at most 2**31 + 3 from 33."""
+    return (x & _P) + (x >> _31)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _powers(base: int, n: int, prime: bool) -> np.ndarray:
     out = np.ones(n, U)
     filled = 1
     while filled < n:
         more = min(filled, n - filled)
-        out[filled : filled + more] = _reduced(out[:more] * U(pow(base, filled, _PRIME)))
+        new = out[:more] * U(pow(base, filled, _PRIME if prime else 1 << 64))
+        out[filled : filled + more] = new % _P if prime else new
         filled += more
     return out
 
 
 class Sums:
-    """Fingerprints of substrings of fixed length from prefix sums; ``kind`` 0 or 1 chooses which.
+    """Fingerprints of substrings of fixed length from prefix sums.
 
-    A fingerprint puts two sums modulo the prime side by side. Two different
-    strings of length n agree in a sum for at most n of all bases.
+    Kind 0 is one sum modulo 2**64, quick and good enough for sorting; kind 1
+    decides: two sums modulo the prime side by side. Two different strings of
+    length n agree in each of these for at most n of all bases.
     """
 
-    powers = [[(_powers(b, CHUNK + 1), _powers(pow(b, -1, _PRIME), CHUNK + 1)) for b in pair] for pair in _BASES]
+    powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def __init__(self, data: np.ndarray, kind: int = 0):
-        n = len(data)
-        if n >= len(Sums.powers[kind][0][0]):
-            Sums.powers[kind] = [tuple(_powers(b, 2 * n) for b in (base, pow(base, -1, _PRIME))) for base in _BASES[kind]]
+        n, bases = len(data), _BASES if kind else [_KEY_BASE]
+        if kind not in Sums.powers or n >= len(Sums.powers[kind][0][0]):
+            room, modulus = max(CHUNK + 1, 2 * n), _PRIME if kind else 1 << 64
+            Sums.powers[kind] = [tuple(_powers(b, room, kind == 1) for b in (base, pow(base, -1, modulus))) for base in bases]
         self.kind, self.sums = kind, []
-        for (up, _), values in zip(Sums.powers[kind], _VALUES[kind], strict=True):
-            sums = np.zeros(n + 1, U)
-            np.cumsum(_reduced(values[data] * up[:n]), out=sums[1:])  # below 2**63 for texts of 4 GB
-            self.sums.append(sums)
+        with np.errstate(over="ignore"):
+            for (up, _), values in zip(Sums.powers[kind], _VALUES if kind else [_KEY_VALUES], strict=True):
+                terms = values[data] * up[:n]
+                sums = np.zeros(n + 1, U)
+                np.cumsum(_folded(terms) if kind else terms, out=sums[1:])  # folded ones stay below 2**64 for 2 GB of text
+                self.sums.append(sums)
 
     def at(self, position: np.ndarray, length: int) -> np.ndarray:
-        out = np.zeros(len(position), U)
-        for (_, down), sums in zip(Sums.powers[self.kind], self.sums, strict=True):
-            out = (out << _31) | _reduced(_reduced(sums[position + length] - sums[position]) * down[position])
         with np.errstate(over="ignore"):
+            if not self.kind:
+                sums = self.sums[0]
+                return mix((sums[position + length] - sums[position]) * Sums.powers[0][0][1][position])
+            out = np.zeros(len(position), U)
+            for (_, down), sums in zip(Sums.powers[1], self.sums, strict=True):
+                rest = _folded(_folded(sums[position + length] - sums[position]))
+                found = _folded(_folded(rest * down[position]))
+                out = (out << _31) | np.where(found >= _P, found - _P, found)
             return mix(out)
 
 
