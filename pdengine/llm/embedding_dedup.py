@@ -6,7 +6,8 @@ leading principal dimensions, put in the order of the grid cells of width eps
 there, and cut into blocks, intervals of that order. Two blocks are joined only
 if their boxes in the leading dimensions come within eps; the join halves the
 longer interval again and again, skips pairs of intervals whose boxes are
-farther apart, and compares the short ones that remain.
+farther apart, and compares the short ones that remain. Equal vectors of a
+label are merged before and stand in the join once, with their number.
 
 The principal dimensions are fitted on a bounded sample (``SAMPLE`` vectors
 with the smallest hash of the id). Any rotation gives the same links, a good
@@ -16,8 +17,8 @@ of its group within the task.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without label or id, link with nothing. Vectors of
-different lengths never link. Rows that repeat an id are vectors of their own
-in ``n_links`` and one node in ``component_id``.
+different lengths never link; equal ones of a label always do. Rows that repeat
+an id are vectors of their own in ``n_links`` and one node in ``component_id``.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pdengine.llm.components import components
-from pdengine.llm.tables import staged
+from pdengine.llm.tables import attach, staged
 from pdengine.llm.vectors import cosines, matrix, unit
 
 SAMPLE = 8192
 #: Leading dimensions of the grid, vectors of a block, and of an interval that isn't halved further.
 LEADING, BLOCK, LEAF = 6, 512, 64
 _SLACK = 1e-9
+#: 128 bits of a label and vector.
+KEY = ["h1", "h2"]
 
 
 def _basis(batches):
@@ -86,6 +89,8 @@ def _cut(eps: float):
             return pa.RecordBatch.from_pydict({
                 "label": pa.array([key[0]], pa.string()), "dim": pa.array([key[1]], pa.int32()),
                 "ids": [np.array([r["vec_id"] for r in waiting], np.int64).tobytes()],
+                "copies": [np.array([r["copies"] for r in waiting], np.int64).tobytes()],
+                "keys": [np.array([(r["h1"], r["h2"]) for r in waiting], np.int64).tobytes()],
                 "vectors": [b"".join(r["vector"] for r in waiting)], "spots": [spots.tobytes()],
                 "lo": pa.array([lo.tolist()], pa.list_(pa.float64())), "hi": pa.array([hi.tolist()], pa.list_(pa.float64())),
                 "first": pa.array([int(np.floor(lo[0] / eps))], pa.int32()), "last": pa.array([int(np.floor(hi[0] / eps))], pa.int32()),
@@ -134,14 +139,14 @@ def interval_join(va: np.ndarray, sa: np.ndarray, vb: np.ndarray, sb: np.ndarray
             stack += [(a0, a1, b0, mid, False), (a0, a1, mid, b1, False)]
 
 
-def links_of(va, sa, ia, vb, sb, ib, eps: float, least: float, same: bool):
-    """Links per vector on both sides, and the smallest id each is tied to by the links found."""
+def links_of(va, sa, ia, ca, vb, sb, ib, cb, eps: float, least: float, same: bool):
+    """Links per vector on both sides, each counting the copies of what it leads to, and the smallest id each is tied to."""
     na, nb = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
     found = []
     for a, b, linked, own in interval_join(va, sa, vb, sb, eps, least, same):
-        na[a] += linked.sum(axis=1)
+        na[a] += linked @ cb[b]
         if not own:
-            (na if same else nb)[b] += linked.sum(axis=0)
+            (na if same else nb)[b] += ca[a] @ linked
         found.append((a, b, linked))
     ta, tb = ia.copy(), (ib.copy() if not same else None)
     if same:
@@ -168,6 +173,7 @@ def _join(eps: float, least: float):
                     np.frombuffer(r[f"vectors{n}"], np.float64).reshape(-1, dim),
                     np.frombuffer(r[f"spots{n}"], np.float64).reshape(-1, LEADING),
                     np.frombuffer(r[f"ids{n}"], np.int64),
+                    np.frombuffer(r[f"copies{n}"], np.int64),
                 )
                 one = side("1")
                 two = one if same else side("2")
@@ -186,9 +192,11 @@ def _join(eps: float, least: float):
 def _rows(batches):
     for batch in batches:
         for r in batch.to_pylist():
-            ids = np.frombuffer(r["ids"], np.int64)
+            ids, copies = (np.frombuffer(r[c], np.int64) for c in ("ids", "copies"))
+            keys = np.frombuffer(r["keys"], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), r["block"])), pa.array(np.arange(len(ids))), pa.array(ids)], names=["block", "at", "vec_id"]
+                [pa.array(np.full(len(ids), r["block"])), *[pa.array(x) for x in (np.arange(len(ids)), ids, copies, keys[:, 0], keys[:, 1])]],
+                names=["block", "at", "rep", "m", "h1", "h2"],
             )
 
 
@@ -204,15 +212,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     fitted = sample.repartition(1).mapInArrow(_basis, "dim int, axes binary").collect()
     axes = (fitted[0]["dim"], np.frombuffer(fitted[0]["axes"], np.float64).reshape(fitted[0]["dim"], -1)) if fitted else None
 
+    usable = F.col("good") & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
+    same = ["label", "dim", "vector"]
     placed = staged(rows.mapInArrow(
         _cells(eps, axes), "vec_id long, label string, good boolean, dim int, vector binary, cells array<int>, spot array<double>"
+    ).withColumns({"h1": F.when(usable, F.xxhash64(*same)), "h2": F.when(usable, F.xxhash64(F.lit("second"), *same))}))
+    # one row per different vector of a label
+    groups = staged(placed.where(usable).groupBy(*KEY).agg(
+        F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"),
+        *[F.first(c).alias(c) for c in ("label", "dim", "vector", "cells", "spot")],
     ))
-    usable = F.col("good") & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
     order = ["label", "dim", *[F.col("cells")[i] for i in range(LEADING)], "vec_id"]
     blocks = staged(
-        placed.where(usable).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-        .select("vec_id", "label", "dim", "vector", "spot")
-        .mapInArrow(_cut(eps), "label string, dim int, ids binary, vectors binary, spots binary, lo array<double>, hi array<double>, first int, last int")
+        groups.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+        .select("vec_id", "copies", *KEY, "label", "dim", "vector", "spot")
+        .mapInArrow(_cut(eps), "label string, dim int, ids binary, copies binary, keys binary, vectors binary, spots binary, lo array<double>, hi array<double>, first int, last int")
         .withColumn("block", F.monotonically_increasing_id())
     )
     boxes = blocks.select("block", "label", "dim", "lo", "hi", "first", "last")
@@ -227,18 +241,26 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         (F.col("block1") <= F.col("block2")) & (gap <= eps * eps + _SLACK)
         & (F.col("cell") == F.greatest(F.col("first1"), F.col("first2") - 1))  # a pair comes in its first common cell only
     ).select(F.col("block1").alias("a"), F.col("block2").alias("b"))
-    side = lambda i, key: blocks.select(F.col("block").alias(key), *[F.col(c).alias(f"{c}{i}") for c in ("vectors", "spots", "ids")])
+    side = lambda i, key: blocks.select(F.col("block").alias(key), *[F.col(c).alias(f"{c}{i}") for c in ("vectors", "spots", "ids", "copies")])
     met = (
         pairs.join(side("1", "a").join(blocks.select(F.col("block").alias("a"), "dim"), "a"), "a").join(side("2", "b"), "b")
         .repartition(tasks, F.xxhash64("a", "b"))
-        .select("a", "b", "dim", "vectors1", "spots1", "ids1", "vectors2", "spots2", "ids2")
+        .select("a", "b", "dim", *[f"{c}{i}" for i in "12" for c in ("vectors", "spots", "ids", "copies")])
     )
     found = staged(met.mapInArrow(_join(eps, least), "block long, at long, vec_id long, n long, tied long"))
 
-    labels = components(found.select(F.col("vec_id").alias("a"), F.col("tied").alias("b")))
-    counts = found.groupBy("block", "at").agg(F.sum("n").alias("n_links"))
-    inside = blocks.select("block", "ids").mapInArrow(_rows, "block long, at long, vec_id long")
-    linked = inside.join(counts, ["block", "at"], "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    # an id with several vectors is one node: it is tied to the smallest id of each
+    shared = placed.where(usable).groupBy("vec_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("vec_id")
+    ties = placed.join(shared, "vec_id", "left_semi").where(usable).select("vec_id", *KEY).join(groups.select(*KEY, F.col("vec_id").alias("b")), KEY)
+    labels = components(found.select(F.col("vec_id").alias("a"), F.col("tied").alias("b")).union(ties.select(F.col("vec_id").alias("a"), "b")))
+    counts = found.groupBy("block", "at").agg(F.sum("n").alias("n"))
+    inside = blocks.select("block", "ids", "copies", "keys").mapInArrow(_rows, "block long, at long, rep long, m long, h1 long, h2 long")
+    whole = staged(
+        inside.join(counts, ["block", "at"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+            *KEY, "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")
+        )
+    )
+    linked = attach(placed.where(usable).select("vec_id", *KEY), whole, KEY, "m", ["n_links", "component_id"])
     alone = placed.where(~usable | usable.isNull()).select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     return linked.select("vec_id", "n_links", "component_id").unionByName(alone).select(
         "vec_id",
