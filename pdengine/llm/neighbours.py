@@ -8,8 +8,8 @@ scalar; the scalar also bounds the error of the estimate. A query reranks only
 vectors whose estimate plus bound reaches its k-th best exact cosine so far.
 
 The index holds every vector, in blocks of bounded size. Queries travel to all
-blocks in groups of bounded size; every task returns k rows per query and
-block, which are merged per query.
+blocks in groups of bounded size, a block only once for ``VISITS`` groups; every
+task returns k rows per query and block, which are merged per query.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components are neither queries nor candidates; vectors of different lengths
@@ -31,6 +31,8 @@ from pdengine.llm.vectors import cosines, matrix, unit
 
 #: Vectors of an index block and queries of a group: a task holds one of each.
 BLOCK, GROUP = 4096, 256
+#: Groups that visit a block before it is sent again.
+VISITS = 64
 #: Partial results that are merged per query before the last step.
 SHARDS = 1024
 #: Standard deviations of the estimate's error that the bound allows for.
@@ -124,19 +126,24 @@ _BLOCK_SCHEMA = "dim int, ids binary, vectors binary, codes binary, scalars bina
 
 
 def _search(k: int):
+    """Rows sorted by block and slice, the block itself first, then the groups of queries that visit it."""
+
     def task(batches):
+        as_array = lambda raw, kind: np.frombuffer(raw, kind)
+        held = None
         for batch in batches:
             found = []
             for r in batch.to_pylist():
-                before = len(found)
-                as_array = lambda raw, kind: np.frombuffer(raw, kind)
-                ids, query_ids, dim = as_array(r["ids"], np.int64), as_array(r["query_ids"], np.int64), r["dim"]
-                found += nearest(
-                    query_ids, as_array(r["queries"], np.float64).reshape(-1, dim), ids,
-                    as_array(r["vectors"], np.float64).reshape(-1, dim),
-                    as_array(r["codes"], np.uint8).reshape(len(ids), -1), as_array(r["scalars"], np.float64), k,
-                )
-                found[before:] = [(r["block"] % SHARDS, *f) for f in found[before:]]
+                dim = r["dim"]
+                if r["queries"] is None:
+                    ids = as_array(r["ids"], np.int64)
+                    held = (
+                        ids, as_array(r["vectors"], np.float64).reshape(-1, dim),
+                        as_array(r["codes"], np.uint8).reshape(len(ids), -1), as_array(r["scalars"], np.float64),
+                    )
+                else:
+                    query_ids, queries = as_array(r["ids"], np.int64), as_array(r["queries"], np.float64).reshape(-1, dim)
+                    found += [(r["block"] % SHARDS, *f) for f in nearest(query_ids, queries, *held, k)]
             columns = list(zip(*found, strict=True)) or [(), (), (), ()]
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -166,13 +173,21 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
         .select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
         .withColumn("group", F.monotonically_increasing_id())
     )
-    # every group visits every block of its length: a stated query set against all rows, in blocks
-    visits = groups.select("dim", "group").join(index.select("dim", "block"), "dim")
+    # Every group visits every block of its length: a stated query set against all rows, in blocks. A block travels
+    # once for so many visits, its groups travel to it.
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = visits.join(groups.drop("dim"), "group").join(index.drop("dim"), "block").repartition(tasks, "block", "group")
-    found = met.select("block", "dim", "query_ids", "queries", "ids", "vectors", "codes", "scalars").mapInArrow(
-        _search(k), "shard int, query_id long, vec_id long, score double"
+    slices = max(1, -(-groups.count() // VISITS), min(-(-tasks // parts), groups.count()))
+    null = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
+    cut = groups.withColumn("slice", F.pmod(F.xxhash64("group"), F.lit(slices)).cast("int"))
+    visits = cut.join(index.select("dim", "block"), "dim").select(
+        "block", "slice", "dim", F.col("query_ids").alias("ids"), "queries", *null("vectors", "codes", "scalars")
+    )
+    blocks = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(
+        "block", "slice", "dim", "ids", *null("queries"), "vectors", "codes", "scalars"
     )
+    met = blocks.unionByName(visits).repartition(tasks, "block", "slice")
+    met = met.sortWithinPartitions("block", "slice", F.col("queries").isNotNull())
+    found = met.mapInArrow(_search(k), "shard int, query_id long, vec_id long, score double")
     # merged in two steps, so that no list grows with the number of blocks
     first = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k)
     some = found.groupBy("query_id", "shard").agg(first.alias("some"))
