@@ -2,12 +2,15 @@
 
 A staged table cuts lineage the way a checkpoint does, but stays columnar, so
 later reads keep column pruning and filter pushdown, and it survives the loss
-of executors because nothing of it lives on them.
+of executors because nothing of it lives on them. A label that ends in a folder
+stands for the files that lie there now: once they change, what was staged
+from them is made again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import threading
 import uuid
@@ -45,8 +48,22 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/pdengine/{spark.sparkContext.applicationId}/{digest}"
 
 
+def _marked(spark: SparkSession, label: str) -> str:
+    """The label with a mark of the files in the folder it ends in: their names, sizes and times."""
+    found = re.search(r"(?:[a-z][a-z0-9+.-]+://|/).*$", label)
+    if not found:
+        return label
+    folder = spark._jvm.org.apache.hadoop.fs.Path(found.group())
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return label
+    listed = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(folder))
+    return f"{label}@{hashlib.sha1(repr(listed).encode()).hexdigest()[:12]}"
+
+
 def stage(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the table staged under ``label``; write it from ``build()`` the first time."""
+    label = _marked(spark, label)
     key = (spark.sparkContext.applicationId, label)
     if key not in _staged:
         path = stage_path(spark, label)
@@ -57,6 +74,7 @@ def stage(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> Da
 
 def stage_artifact(spark: SparkSession, label: str, save: Callable[[str], None]) -> str:
     """Folder of a saved model; ``save(path)`` runs the first time only."""
+    label = _marked(spark, label)
     key = (spark.sparkContext.applicationId, label)
     if key not in _staged:
         path = stage_path(spark, label)

@@ -109,3 +109,21 @@ def test_sketches_of_days_merge_into_those_of_all(values):
 def test_one_scan_feeds_all_columns(values):
     plan = sketches.sketched(values, ["x", "y"], ["day"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("RepartitionByExpression") + plan.count("Repartition ") == 2
+
+
+def test_staged_tables_follow_their_sources(spark, tmp_path):
+    from pdengine.staging import stage, stage_artifact
+
+    folder = str(tmp_path / "tables")
+    spark.range(3).write.parquet(f"{folder}/t.parquet")
+    made = []
+
+    def staged():
+        return stage(spark, f"numbers:{folder}", lambda: made.append(1) or spark.read.parquet(f"{folder}/t.parquet")).count()
+
+    assert (staged(), staged(), len(made)) == (3, 3, 1)
+    one = stage_artifact(spark, f"copy:{folder}", lambda p: spark.range(1).write.parquet(p))
+    spark.range(9).write.mode("overwrite").parquet(f"{folder}/t.parquet")
+    assert (staged(), staged(), len(made)) == (9, 9, 2)
+    assert stage_artifact(spark, f"copy:{folder}", lambda p: spark.range(1).write.parquet(p)) != one
+    assert stage(spark, "no folder in this label", lambda: spark.range(2)).count() == 2
