@@ -385,12 +385,13 @@ class _Grower:
 
     def finish_small(self, wanted: list[int]) -> set[int]:
         """Whole subtrees of small leaves, one task each; the numbers of all their nodes."""
-        sent = self.blocks.mapInArrow(_send(self.trees, self.tree, wanted), "leaf int, bins binary, gh binary")
+        send, finish = _send(self.trees, self.tree, wanted), _finish(self.width, self.features, self.rules)
         if len(wanted) == 1:
-            sent = sent.coalesce(1)
+            grown = self.blocks.coalesce(1).mapInArrow(lambda batches: finish(send(batches)), _GROWN)
         else:
-            sent = sent.repartition(len(wanted), "leaf").sortWithinPartitions("leaf")
-        rows = sent.mapInArrow(_finish(self.width, self.features, self.rules), _GROWN).collect()  # below 2 * leaves rows a leaf
+            sent = self.blocks.mapInArrow(send, "leaf int, bins binary, gh binary")
+            grown = sent.repartition(len(wanted), "leaf").sortWithinPartitions("leaf").mapInArrow(finish, _GROWN)
+        rows = grown.collect()  # below 2 * leaves rows a leaf
         numbers: dict[int, list[int]] = {}
         for r in rows:
             if r["leaf"] not in numbers:

@@ -123,13 +123,13 @@ def contributions_of(values: np.ndarray, trees: ExplainedTrees) -> np.ndarray:
             follows = answers[paths.first[at : at + step]]  # leaves x m x loans
             for i, j, test in further.get(part, ()):
                 follows[i, j] &= answers[test]
-            share = paths.shares[at : at + step, :, None]
-            total = np.zeros(follows.shape)
-            for t, w in zip(points.tolist(), weights.tolist(), strict=True):
-                yes, no = t + share * (1 - t), share * (1 - t)
-                product = np.where(follows, yes, no).prod(axis=1, keepdims=True)
-                total += w * product * np.where(follows, 1 / yes, 1 / no)
-            total *= np.where(follows, 1 - share, -share) * paths.values[at : at + step, None, None]
+            share = np.maximum(paths.shares[at : at + step, :, None], 1e-12)  # leaves x m x points below
+            yes, no = points + share * (1 - points), share * (1 - points)
+            # the product over a path at each point, then each feature's own factor taken out of it
+            lost = np.log(no).sum(axis=1)[:, :, None] + np.log(yes / no).transpose(0, 2, 1) @ follows.astype(np.float64)
+            product = np.exp(lost) * weights[:, None]
+            total = np.where(follows, ((1 - share) / yes) @ product, (-share / no) @ product)
+            total *= paths.values[at : at + step, None, None]
             np.add.at(out, paths.features[at : at + step].ravel(), total.reshape(-1, len(values)))
     return out.T
 
