@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Leaves of a group of trees.
 GROUP_LEAVES = 50_000
 #: Loans times steps of paths that are held at a time.
-CELLS = 1 << 20
+CELLS = 1 << 17
 
 
 @dataclass
@@ -130,7 +130,10 @@ def contributions_of(values: np.ndarray, trees: ExplainedTrees) -> np.ndarray:
             product = np.exp(lost) * weights[:, None]
             total = np.where(follows, ((1 - share) / yes) @ product, (-share / no) @ product)
             total *= paths.values[at : at + step, None, None]
-            np.add.at(out, paths.features[at : at + step].ravel(), total.reshape(-1, len(values)))
+            of = paths.features[at : at + step].ravel()
+            where = np.zeros((len(out), len(of)))
+            where[of, np.arange(len(of))] = 1.0
+            out += where @ total.reshape(-1, len(values))
     return out.T
 
 
