@@ -6,10 +6,11 @@ the number of rows; the best split of a leaf is read off it. Of two sibling
 leaves only the smaller one is counted, the other is their parent's histogram
 minus it. Categories are ordered by their mean gradient and cut like numbers.
 
-Large leaves are counted over all blocks in one aggregate per round and
-searched feature by feature on executors; the driver gets one candidate per
-leaf and feature. The rows of a leaf of at most ``LOCAL_ROWS`` go to one task, which
-splits it and its descendants on, best first, as far as the tree could need.
+Large leaves are counted over all blocks, one job per round, and added up, where
+many tasks counted, slice by slice on executors; the driver gets one histogram per counted leaf, whose
+size does not depend on the rows, and reads the splits off it. The rows of a leaf
+of at most ``LOCAL_ROWS`` go to one task, which splits it and its descendants on,
+best first, as far as the tree could need.
 The driver keeps the queue: it plays best-first over all splits known so far
 and asks for what is below those that would be split. The tree is the one that
 splitting strictly one leaf after the other gives, but a tree of 31 leaves over
@@ -21,13 +22,12 @@ from __future__ import annotations
 import heapq
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,8 +38,14 @@ BINS = 256
 BLOCK_ROWS = 16_384
 #: A leaf of so many rows or fewer is finished by one task.
 LOCAL_ROWS = 1 << 18
-#: Trees after which the blocks are written with their margins brought up to date.
+#: Trees after which the blocks, whose margins follow every tree, are written and read back, which cuts their lineage.
 REFRESH = 25
+#: Rows that a task works through, once all cores have enough.
+TASK_ROWS = 8 * BLOCK_ROWS
+#: Features whose bins are added up together.
+SLICE = 8
+#: Histograms of single tasks that the driver adds up itself; more are added up by executors first.
+DIRECT = 128
 #: Rows that smooth a category's mean gradient before categories are ordered.
 CATEGORY_SMOOTHING = 10.0
 _LEAST_GAIN = 1e-10
@@ -75,10 +81,13 @@ def gradients(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def histogram(bins: np.ndarray, features: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Sums per feature and bin (g, h, rows); ``bins`` has a row per feature."""
-    index = (np.arange(len(features), dtype=np.int64)[:, None] * BINS + bins[features]).ravel()
-    size = len(features) * BINS
-    times = lambda w: np.bincount(index, np.broadcast_to(w, (len(features), len(w))).ravel(), size)
-    return np.stack([times(g), times(h), np.bincount(index, minlength=size).astype(float)], axis=1).reshape(len(features), BINS, 3)
+    out = np.empty((len(features), BINS, 3))
+    for i, f in enumerate(features):
+        index = bins[f].astype(np.intp)
+        out[i, :, 0] = np.bincount(index, g, BINS)
+        out[i, :, 1] = np.bincount(index, h, BINS)
+        out[i, :, 2] = np.bincount(index, minlength=BINS)
+    return out
 
 
 def _scan(sums: np.ndarray, rules: Growth) -> tuple[np.ndarray, np.ndarray]:
@@ -252,11 +261,9 @@ def _margin(bins: np.ndarray, margin: np.ndarray, trees: list[Scored]) -> np.nda
 
 
 def _refreshed(trees: list[Scored]):
-    def task(batches):
-        for batch in batches:
-            for block in batch.column("block").to_pylist():
-                bins, label, margin = _unpack(block)
-                yield pa.RecordBatch.from_arrays([pa.array([_pack(bins, label, _margin(bins, margin, trees))], pa.binary())], names=["block"])
+    def task(block: bytes) -> bytes:
+        bins, label, margin = _unpack(block)
+        return _pack(bins, label, _margin(bins, margin, trees))
 
     return task
 
@@ -264,108 +271,80 @@ def _refreshed(trees: list[Scored]):
 # --- growing over blocks
 
 
-def _read(batches, trees: list[Scored], tree: Tree) -> Iterator[tuple]:
-    for batch in batches:
-        for block in batch.column("block").to_pylist():
-            bins, label, margin = _unpack(block)
-            yield bins, *gradients(_margin(bins, margin, trees), label), tree.place(bins)
+def _read(blocks: Iterable[bytes], tree: Tree) -> Iterator[tuple]:
+    for block in blocks:
+        bins, label, margin = _unpack(block)
+        yield bins, *gradients(margin, label), tree.place(bins)
 
 
-def _count(trees: list[Scored], tree: Tree, wanted: list[int], features: np.ndarray):
-    """Histograms of leaves over a task's blocks, a row per leaf, feature and bin that has rows."""
+def _count(tree: Tree, wanted: list[int], features: np.ndarray):
+    """Histograms of leaves over a task's blocks: by leaf and slice of the features, the task's number and the sums."""
 
-    def task(batches):
+    def task(part: int, blocks: Iterable[bytes]) -> Iterator[tuple]:
         held = {n: np.zeros((len(features), BINS, 3)) for n in wanted}
-        for bins, g, h, at in _read(batches, trees, tree):
+        for bins, g, h, at in _read(blocks, tree):
             for n, hist in held.items():
                 rows = np.flatnonzero(at == n)
-                hist += histogram(bins[:, rows], features, g[rows], h[rows])
+                whole = len(rows) == len(at)
+                hist += histogram(bins, features, g, h) if whole else histogram(bins[:, rows], features, g[rows], h[rows])
         for n, hist in held.items():
-            i, b = np.nonzero(hist[..., 2])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(i), n), pa.int32()), pa.array(features[i], pa.int32()), pa.array(b, pa.int32()), *[pa.array(hist[i, b, k]) for k in range(3)]],
-                names=["leaf", "feature", "bin", "g", "h", "n"],
-            )
+            for at in range(0, len(features), SLICE):
+                yield (n, at), (part, hist[at : at + SLICE])
 
     return task
 
 
-def _search(rules: Growth):
-    """Best split of one leaf and feature from its summed bins."""
-
-    def task(table: pa.Table) -> pa.Table:
-        hist = np.zeros((1, BINS, 3))
-        hist[0, table.column("bin").to_numpy()] = np.column_stack([table.column(c).to_numpy() for c in ("g", "h", "n")])
-        feature = table.column("feature")[0].as_py()
-        gain, _, left = best_splits(hist, np.array([feature]), rules)[0]
-        whole, part = hist[0].sum(axis=0), hist[0, left].sum(axis=0)
-        return pa.table({
-            "leaf": pa.array([table.column("leaf")[0].as_py()], pa.int32()), "feature": pa.array([feature], pa.int32()),
-            "gain": pa.array([gain]), "bins": pa.array([np.packbits(left).tobytes()], pa.binary()),
-            "whole": pa.array([whole.tolist()]), "part": pa.array([part.tolist()]),
-        })
-
-    return task
+def _summed(parts: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
+    """One sum, added up in the order of the tasks, so that reruns agree."""
+    return sum(hist for _, hist in sorted(parts, key=lambda p: p[0]))
 
 
-def _send(trees: list[Scored], tree: Tree, wanted: list[int]):
-    """Rows of small leaves, packed by leaf."""
+def _send(tree: Tree, wanted: list[int], features: np.ndarray):
+    """Rows of small leaves by leaf: the features that the tree sees, gradients and curvatures."""
 
-    def task(batches):
-        for bins, g, h, at in _read(batches, trees, tree):
+    def task(part: int, blocks: Iterable[bytes]) -> Iterator[tuple]:
+        for i, (bins, g, h, at) in enumerate(_read(blocks, tree)):
+            seen = bins[features]
             for n in wanted:
                 rows = np.flatnonzero(at == n)
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([n], pa.int32()), pa.array([bins[:, rows].tobytes()], pa.binary()), pa.array([np.stack([g[rows], h[rows]]).tobytes()], pa.binary())],
-                        names=["leaf", "bins", "gh"],
-                    )
+                    yield n, ((part, i), seen[:, rows], np.stack([g[rows], h[rows]]))
 
     return task
 
 
-def _finish(width: int, features: np.ndarray, rules: Growth):
-    """Grow below each leaf from its rows; sorted by leaf, one after the other."""
-
-    def done(leaf: int, parts: list) -> pa.RecordBatch:
-        bins = np.concatenate([np.frombuffer(b, np.uint8).reshape(width, -1) for b, _ in parts], axis=1)
-        gh = np.concatenate([np.frombuffer(x, np.float64).reshape(2, -1) for _, x in parts], axis=1)
-        tree = grow_here(bins, gh[0], gh[1], features, rules)
-        rows = [
-            (leaf, *n.sums, n.gain, n.feature, b"" if n.bins is None else np.packbits(n.bins).tobytes(), n.left, n.right) for n in tree.nodes
-        ]
-        types = [pa.int32(), *[pa.float64()] * 4, pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_GROWN.replace(",", "").split()[::2])
-
-    def task(batches):
-        leaf, parts = None, []
-        for batch in batches:
-            for n, b, x in zip(*[batch.column(c).to_pylist() for c in ("leaf", "bins", "gh")], strict=True):
-                if n != leaf and parts:
-                    yield done(leaf, parts)
-                    parts = []
-                leaf = n
-                parts.append((b, x))
-        if parts:
-            yield done(leaf, parts)
+def _finish(features: np.ndarray, rules: Growth):
+    """Grow below each leaf of a task from its rows, one leaf after the other."""
+    places = {int(f): i for i, f in enumerate(features)}
+    here = Growth(rules.leaves, rules.min_rows, rules.min_curvature, {places[f]: c for f, c in rules.categories.items() if f in places})
+
+    def task(sent: Iterable[tuple]) -> Iterator[tuple[int, Tree]]:
+        held: dict[int, list] = {}
+        for leaf, part in sent:
+            held.setdefault(leaf, []).append(part)
+        while held:
+            leaf, parts = held.popitem()
+            parts.sort(key=lambda p: p[0])
+            bins, (g, h) = np.concatenate([p[1] for p in parts], axis=1), np.concatenate([p[2] for p in parts], axis=1)
+            tree = grow_here(bins, g, h, np.arange(len(features)), here)
+            for node in tree.nodes:
+                if node.left:
+                    node.feature = int(features[node.feature])
+            yield leaf, tree
 
     return task
 
 
-_GROWN = "leaf int, g double, h double, n double, gain double, feature int, bins binary, left int, right int"
-
-
-def _unpacked(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-
-
 class _Grower:
-    """One tree over the blocks: the nodes found so far, and the histograms of its large ones."""
+    """One tree over the blocks: the nodes found so far, and the histograms of its large ones.
+
+    A histogram has a fixed size, whatever the rows; the driver holds one for each large node.
+    """
 
-    def __init__(self, blocks: DataFrame, trees: list[Scored], n: int, width: int, features: np.ndarray, rules: Growth, local: int):
-        self.blocks, self.trees, self.width, self.features, self.rules, self.local = blocks, trees, width, features, rules, local
+    def __init__(self, blocks: RDD, n: int, features: np.ndarray, rules: Growth, local: int):
+        self.blocks, self.features, self.rules, self.local = blocks, features, rules, local
         self.tree = Tree((0.0, 0.0, float(n)))
-        self.counted: list[DataFrame] = []
+        self.counted: dict[int, np.ndarray] = {}
 
     def run(self) -> Tree:
         nodes, searched, wanted = self.tree.nodes, set(), [0]
@@ -375,9 +354,15 @@ class _Grower:
             large = [c for c in wanted if nodes[c].sums[2] > self.local]
             if large:
                 self.search_large(large, parent)
+                searched |= set(large)
+                taken = self.tree.best_first(self.rules.leaves)
+                parent = {c: t for t in taken for c in (nodes[t].left, nodes[t].right)}
+                wanted = [c for c in parent if c not in searched and nodes[c].sums[2] >= 2 * self.rules.min_rows]
+                if any(nodes[c].sums[2] > self.local for c in wanted):
+                    continue  # small leaves wait for one another and go to their tasks together
+                small = wanted
             if small:
-                searched |= self.finish_small(small)
-            searched |= set(wanted)
+                searched |= self.finish_small(small) | set(small)
             taken = self.tree.best_first(self.rules.leaves)
             parent = {c: t for t in taken for c in (nodes[t].left, nodes[t].right)}
             wanted = [c for c in parent if c not in searched and nodes[c].sums[2] >= 2 * self.rules.min_rows]
@@ -385,71 +370,57 @@ class _Grower:
 
     def finish_small(self, wanted: list[int]) -> set[int]:
         """Whole subtrees of small leaves, one task each; the numbers of all their nodes."""
-        send, finish = _send(self.trees, self.tree, wanted), _finish(self.width, self.features, self.rules)
+        send, finish = _send(self.tree, wanted, self.features), _finish(self.features, self.rules)
         if len(wanted) == 1:
-            grown = self.blocks.coalesce(1).mapInArrow(lambda batches: finish(send(batches)), _GROWN)
+            n = wanted[0]
+            sent = self.blocks.mapPartitionsWithIndex(send).coalesce(1)
         else:
-            sent = self.blocks.mapInArrow(send, "leaf int, bins binary, gh binary")
-            grown = sent.repartition(len(wanted), "leaf").sortWithinPartitions("leaf").mapInArrow(finish, _GROWN)
-        rows = grown.collect()  # below 2 * leaves rows a leaf
-        numbers: dict[int, list[int]] = {}
-        for r in rows:
-            if r["leaf"] not in numbers:
-                numbers[r["leaf"]] = [r["leaf"]]
-            else:
-                numbers[r["leaf"]].append(len(self.tree.nodes))
-                self.tree.nodes.append(Node((0.0, 0.0, 0.0)))
-        places = {leaf: iter(n) for leaf, n in numbers.items()}
-        for r in rows:
-            node, of = self.tree.nodes[next(places[r["leaf"]])], numbers[r["leaf"]]
-            node.sums = (r["g"], r["h"], r["n"])
-            if r["left"]:
-                node.gain, node.feature, node.bins = r["gain"], r["feature"], _unpacked(r["bins"])
-                node.left, node.right = of[r["left"]], of[r["right"]]
-        return {n for of in numbers.values() for n in of}
+            place = {n: i for i, n in enumerate(wanted)}
+            sent = self.blocks.mapPartitionsWithIndex(send).partitionBy(len(wanted), place.__getitem__)
+        out: set[int] = set()
+        for leaf, grown in sorted(sent.mapPartitions(finish).collect(), key=lambda found: found[0]):  # below 2 * leaves nodes a leaf
+            numbers = [leaf, *range(len(self.tree.nodes), len(self.tree.nodes) + len(grown.nodes) - 1)]
+            for node in grown.nodes:
+                if node.left:
+                    node.left, node.right = numbers[node.left], numbers[node.right]
+            self.tree.nodes[leaf] = grown.nodes[0]
+            self.tree.nodes += grown.nodes[1:]
+            out |= set(numbers)
+        return out
 
     def search_large(self, wanted: list[int], parent: dict[int, int]) -> None:
         """Best splits of large leaves. The smaller child of a parent is counted, the larger one is what it leaves."""
-        nodes, sums = self.tree.nodes, ["g", "h", "n"]
+        nodes = self.tree.nodes
         families = {}
         for c in wanted:
             if c:
                 both = (nodes[parent[c]].left, nodes[parent[c]].right)
                 families[parent[c]] = tuple(sorted(both, key=lambda k: nodes[k].sums[2]))
         count = [s for s, _ in families.values()] or [0]
-        now = (
-            self.blocks.mapInArrow(_count(self.trees, self.tree, count, self.features), "leaf int, feature int, bin int, g double, h double, n double")
-            .groupBy("leaf", "feature", "bin").agg(*[F.sum(c).alias(c) for c in sums])
-        )
-        if families:
-            now = materialise(now)
-            pairs = F.broadcast(now.sparkSession.createDataFrame([(p, s, b) for p, (s, b) in families.items()], "leaf int, small int, big int"))
-            small = now.select(F.col("leaf").alias("small"), "feature", "bin", *[F.col(c).alias(f"s{c}") for c in sums])
-            known = reduce(DataFrame.union, self.counted).join(pairs, "leaf")
-            other = known.join(small, ["small", "feature", "bin"], "left").select(
-                F.col("big").alias("leaf"), "feature", "bin", *[(F.col(c) - F.coalesce(F.col(f"s{c}"), F.lit(0.0))).alias(c) for c in sums]
-            )
-            now = now.union(other.where("n > 0.5"))
-        now = materialise(now)
-        self.counted.append(now)
-        found = now.where(F.col("leaf").isin(wanted)).groupBy("leaf", "feature").applyInArrow(
-            _search(self.rules), "leaf int, feature int, gain double, bins binary, whole array<double>, part array<double>"
-        ).collect()  # a row per leaf and feature
-        by: dict[int, list] = {}
-        for r in found:
-            by.setdefault(r["leaf"], []).append((r["gain"], r["feature"], r))
-        for number, candidates in sorted(by.items()):
-            nodes[number].sums = tuple(candidates[0][2]["whole"])
-            best = best_of(candidates)
+        parts, slices = self.blocks.getNumPartitions(), len(count) * -(-len(self.features) // SLICE)
+        sums = self.blocks.mapPartitionsWithIndex(_count(self.tree, count, self.features))
+        if parts * len(count) > DIRECT:
+            sums = sums.groupByKey(min(slices, parts)).mapValues(lambda held: (0, _summed(held)))
+        now: dict[tuple, list] = {}
+        for key, part in sums.collect():
+            now.setdefault(key, []).append(part)
+        for n in count:
+            self.counted[n] = np.concatenate([_summed(now[n, at]) for at in range(0, len(self.features), SLICE)])
+        for p, (s, b) in families.items():
+            self.counted[b] = self.counted.pop(p) - self.counted[s]
+        for number in wanted:
+            hist = self.counted[number]
+            nodes[number].sums = tuple(hist[0].sum(axis=0).tolist())
+            best = best_of(best_splits(hist, self.features, self.rules))
             if best:
-                nodes[number].gain, nodes[number].feature, nodes[number].bins = best[0], best[1], _unpacked(best[2]["bins"])
-                part = np.array(best[2]["part"])
+                nodes[number].gain, nodes[number].feature, nodes[number].bins = best
+                part = hist[int(np.searchsorted(self.features, best[1]))][best[2]].sum(axis=0)
                 self.tree.split(number, tuple(part.tolist()), tuple((np.array(nodes[number].sums) - part).tolist()))
 
 
-def grow(blocks: DataFrame, trees: list[Scored], n: int, width: int, features: np.ndarray, rules: Growth, local: int = LOCAL_ROWS) -> Tree:
-    """The next tree over the blocks, given the trees that their margins lack."""
-    return _Grower(blocks, trees, n, width, features, rules, local).run()
+def grow(blocks: RDD, n: int, features: np.ndarray, rules: Growth, local: int = LOCAL_ROWS) -> Tree:
+    """The next tree over the blocks, whose margins have all trees before it."""
+    return _Grower(blocks, n, features, rules, local).run()
 
 
 @dataclass
@@ -462,31 +433,44 @@ class Boosted:
     categories: dict[int, int]
 
 
+def _held(blocks: DataFrame, parts: int) -> RDD:
+    """Blocks dealt out evenly and kept between jobs."""
+    numbered = blocks.rdd.map(lambda row: bytes(row[0])).zipWithIndex().map(lambda found: (found[1], found[0]))
+    return numbered.partitionBy(parts, lambda i: i % parts).values().persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def boost(
     rows: DataFrame, width: int, rules: Growth, n_trees: int, rate: float, share: float, seed: int, local: int = LOCAL_ROWS,
 ) -> Boosted:
     """Fit on ``rows(features array<double>, label)``; each tree sees a share of the features, drawn for it."""
+    spark = rows.sparkSession
     n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n:
         raise ValueError("no rows to fit trees on")
     mean = min(max(positive / n, 1e-6), 1 - 1e-6)
     start = float(np.log(mean / (1 - mean)))
     ends = cuts(rows, width, rules.categories)
-    blocks = materialise(rows.select("features", "label").mapInArrow(_binned(ends, start), "block binary")).persist(StorageLevel.MEMORY_AND_DISK)
-    draw, out, pending = np.random.default_rng(seed), [], []
+    binned = materialise(rows.select("features", "label").mapInArrow(_binned(ends, start), "block binary"))
+    parts = max(1, min(-(-n // BLOCK_ROWS), max(spark.sparkContext.defaultParallelism, n // TASK_ROWS)))
+    blocks = _held(binned, parts)
+    draw, out, old = np.random.default_rng(seed), [], None
     try:
-        for _ in range(n_trees):
+        for i in range(n_trees):
             features = np.sort(draw.choice(width, max(1, int(share * width)), replace=False))
-            tree = grow(blocks, pending, n, width, features, rules, local)
+            tree = grow(blocks, n, features, rules, local)
+            if old:
+                old.unpersist()  # what follows it has been read, and so is kept, by now
             values = np.array([-rate * node.sums[0] / max(node.sums[1], 1e-300) for node in tree.nodes])
             out.append((tree, values))
-            pending.append(out[-1])
-            if len(pending) == REFRESH:
-                fresh = materialise(blocks.mapInArrow(_refreshed(pending), "block binary")).persist(StorageLevel.MEMORY_AND_DISK)
-                blocks.unpersist()
-                blocks, pending = fresh, []
+            old, blocks = blocks, blocks.map(_refreshed(out[-1:])).persist(StorageLevel.MEMORY_AND_DISK)
+            if i % REFRESH == REFRESH - 1 and i + 1 < n_trees:
+                written = materialise(spark.createDataFrame(blocks.map(lambda block: (block,)), "block binary"))
+                old.unpersist()
+                old, blocks = blocks, _held(written, parts)
     finally:
         blocks.unpersist()
+        if old:
+            old.unpersist()
     return Boosted(start, out, ends, rules.categories)
 
 

@@ -99,3 +99,26 @@ def test_loss_falls_and_odd_data_is_fitted(spark, rows):
     assert lw.boost(one_sided, 2, lw.Growth(min_rows=5), 2, 0.1, 1.0, 1).start > 10
     with pytest.raises(ValueError, match="no rows"):
         lw.boost(same.limit(0), 2, lw.Growth(), 1, 0.1, 1.0, 1)
+
+
+def test_a_round_over_large_leaves_is_one_job(spark, rows, monkeypatch):
+    """Also where executors add the histograms up first; nothing is written between rounds."""
+    shape = lambda t: [(n.feature, n.left, n.right, round(n.sums[2])) for n in t.nodes]
+    monkeypatch.setattr(lw, "BLOCK_ROWS", 500)
+    found, rounds, here = [], [], spark.sparkContext
+    search = lw._Grower.search_large
+    monkeypatch.setattr(lw._Grower, "search_large", lambda self, *given: (rounds.append(1), search(self, *given))[1])
+    for direct in (lw.DIRECT, 0):
+        monkeypatch.setattr(lw, "DIRECT", direct)
+        here.setJobGroup(f"fit-{direct}-3", "")
+        few = len(lw.boost(rows, 3, RULES, 3, 0.1, 1.0, 1, local=0).trees)
+        jobs, done = len(here.statusTracker().getJobIdsForGroup(f"fit-{direct}-3")), len(rounds)
+        rounds.clear()
+        here.setJobGroup(f"fit-{direct}-6", "")
+        fitted = lw.boost(rows, 3, RULES, 6, 0.1, 1.0, 1, local=0)
+        more = len(here.statusTracker().getJobIdsForGroup(f"fit-{direct}-6"))
+        assert few == 3 and more - jobs == len(rounds) - done
+        rounds.clear()
+        found.append([shape(t) for t, _ in fitted.trees])
+    here.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1]
