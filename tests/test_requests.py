@@ -135,3 +135,15 @@ def test_watchlist_arguments(spark):
     for bad in ({"limit": 0}, {"limit": 501}, {"offset": -1}):
         with pytest.raises(ValueError):
             watchlist_page(book, **bad)
+
+
+def test_applications_of_one_file_are_scored_by_many_tasks(spark, monkeypatch):
+    from pdengine.plans import scoring
+
+    seen = []
+    answers = spark.createDataFrame([], "application_id long, pd_score double, band string, reason_codes array<string>")
+    monkeypatch.setattr(scoring, "ROWS_PER_TASK", 2, raising=False)
+    monkeypatch.setattr(scoring, "application_features", lambda model, rows: (seen.append(rows), rows)[1])
+    monkeypatch.setattr(scoring, "score_rows", lambda *given, **more: answers)
+    scoring.score_applications(None, spark.range(5).toDF("application_id").coalesce(1))
+    assert seen[0].rdd.getNumPartitions() == 3 and sorted(r[0] for r in seen[0].collect()) == [0, 1, 2, 3, 4]
