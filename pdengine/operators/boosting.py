@@ -40,7 +40,11 @@ def fit_trees(
     ]).fit(given)
     places = {c: VECTOR_COLS.index(c) for c in INDEX_COLS}
     categories = {places[c]: len(labels) + 1 for c, labels in zip(INDEX_COLS, shaping.stages[0].labelsArray, strict=True)}
-    shaped = shaping.transform(given).select(vector_to_array("features").alias("features"), F.col(label).cast("int").alias("label"))
+    # the assembled vector's entries as plain columns, so that one of them is read without assembling all
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+    shaped = shaping.stages[0].transform(given).select(
+        F.array(*[number(c) for c in VECTOR_COLS]).alias("features"), F.col(label).cast("int").alias("label")
+    )
     fitted = boost(
         shaped, len(VECTOR_COLS), Growth(leaves, min_leaf, categories=categories), n_trees, learning_rate, feature_share, seed
     )

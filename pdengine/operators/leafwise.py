@@ -8,7 +8,9 @@ minus it. Categories are ordered by their mean gradient and cut like numbers.
 
 Large leaves are counted over all blocks, one job per round, and added up, where
 many tasks counted, slice by slice on executors; the driver gets one histogram per counted leaf, whose
-size does not depend on the rows, and reads the splits off it. The rows of a leaf
+size does not depend on the rows, and reads the splits off it. Trees that follow one another mostly
+agree near the root, so a round also counts what lies below the splits that earlier trees had in the
+same place; where the split turns out to be another, those counts are dropped. The rows of a leaf
 of at most ``LOCAL_ROWS`` go to one task, which splits it and its descendants on,
 best first, as far as the tree could need.
 The driver keeps the queue: it plays best-first over all splits known so far
@@ -23,7 +25,7 @@ import heapq
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,14 @@ BINS = 256
 BLOCK_ROWS = 16_384
 #: A leaf of so many rows or fewer is finished by one task.
 LOCAL_ROWS = 1 << 18
-#: Trees after which the blocks, whose margins follow every tree, are written and read back, which cuts their lineage.
+#: Trees after which the blocks take over their margins; until then each pass places its rows in them.
+FOLLOW = 5
+#: Trees after which the blocks are written and read back, which cuts their lineage.
 REFRESH = 25
+#: Trees for which a split is remembered.
+REMEMBERED = 50
+#: Rows of a leaf up to which the sums of all its features are taken at once.
+TOGETHER = 2048
 #: Rows that a task works through, once all cores have enough.
 TASK_ROWS = 8 * BLOCK_ROWS
 #: Features whose bins are added up together.
@@ -79,42 +87,73 @@ def gradients(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nda
     return p - label, p * (1 - p)
 
 
-def histogram(bins: np.ndarray, features: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Sums per feature and bin (g, h, rows); ``bins`` has a row per feature."""
-    out = np.empty((len(features), BINS, 3))
+def histogram(bins: np.ndarray, features: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Sums per feature and bin (g, h, rows); ``bins`` has a row per feature. With ``rows`` of these columns only."""
+    if rows is not None:
+        g, h = g[rows], h[rows]
+    width, n = len(features), len(g)
+    out = np.empty((width, BINS, 3))
+    if n <= TOGETHER:
+        seen = bins[features] if rows is None else bins[features[:, None], rows]
+        index = (seen + BINS * np.arange(width, dtype=np.intp)[:, None]).ravel()
+        for k, weights in enumerate((g, h, None)):
+            spread = None if weights is None else np.broadcast_to(weights, (width, n)).ravel()
+            out[:, :, k] = np.bincount(index, spread, width * BINS).reshape(width, BINS)
+        return out
     for i, f in enumerate(features):
-        index = bins[f].astype(np.intp)
+        index = (bins[f] if rows is None else bins[f].take(rows)).astype(np.intp)
         out[i, :, 0] = np.bincount(index, g, BINS)
         out[i, :, 1] = np.bincount(index, h, BINS)
         out[i, :, 2] = np.bincount(index, minlength=BINS)
     return out
 
 
-def _scan(sums: np.ndarray, rules: Growth) -> tuple[np.ndarray, np.ndarray]:
+def _scan(sums: np.ndarray, rules: Growth) -> np.ndarray:
     """Gain of cutting behind each bin of every feature (rows), -inf where the rules forbid it."""
-    left = np.cumsum(sums, axis=1)
-    whole = left[:, -1:, :]
-    right = whole - left
-    fine = (left[..., 2] >= rules.min_rows - 0.5) & (right[..., 2] >= rules.min_rows - 0.5)
-    fine &= (left[..., 1] >= rules.min_curvature) & (right[..., 1] >= rules.min_curvature)
-    part = lambda s: s[..., 0] ** 2 / np.maximum(s[..., 1], 1e-300)
-    return np.where(fine, part(left) + part(right) - part(whole), -np.inf), left
+    left = [np.cumsum(sums[..., k], axis=1) for k in range(3)]
+    whole = [s[:, -1:] for s in left]
+    right = [w - s for w, s in zip(whole, left, strict=True)]
+    fine = (left[2] >= rules.min_rows - 0.5) & (right[2] >= rules.min_rows - 0.5)
+    fine &= (left[1] >= rules.min_curvature) & (right[1] >= rules.min_curvature)
+    part = lambda s: s[0] ** 2 / np.maximum(s[1], 1e-300)
+    return np.where(fine, part(left) + part(right) - part(whole), -np.inf)
+
+
+def _cut_features(hist: np.ndarray, features: np.ndarray, rules: Growth) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Per feature the best gain and its bin, and the order of the categories of those that have some."""
+    orders = {}
+    for i in np.flatnonzero(np.isin(features, list(rules.categories))).tolist():
+        mean = hist[i, :, 0] / (hist[i, :, 1] + CATEGORY_SMOOTHING)
+        orders[i] = np.lexsort((np.arange(BINS), np.where(hist[i, :, 2] > 0, mean, np.inf)))
+    if orders:
+        hist = hist.copy()
+        for i, order in orders.items():
+            hist[i] = hist[i, order]
+    gain = _scan(hist, rules)
+    at = np.argmax(gain, axis=1)
+    return gain[np.arange(len(at)), at], at, orders
+
+
+def _goes_left(i: int, at: np.ndarray, orders: dict[int, np.ndarray]) -> np.ndarray:
+    left = np.zeros(BINS, bool)
+    left[orders[i][: at[i] + 1] if i in orders else slice(at[i] + 1)] = True
+    return left
 
 
 def best_splits(hist: np.ndarray, features: np.ndarray, rules: Growth) -> list[tuple[float, int, np.ndarray]]:
     """Per feature: gain, feature, which bins go left."""
-    order = np.broadcast_to(np.arange(BINS), hist.shape[:2]).copy()
-    for i in np.flatnonzero(np.isin(features, list(rules.categories))):
-        mean = hist[i, :, 0] / (hist[i, :, 1] + CATEGORY_SMOOTHING)
-        order[i] = np.lexsort((np.arange(BINS), np.where(hist[i, :, 2] > 0, mean, np.inf)))
-    gain, _ = _scan(np.take_along_axis(hist, order[:, :, None], axis=1), rules)
-    at = np.argmax(gain, axis=1)
-    out = []
-    for i, f in enumerate(features.tolist()):
-        left = np.zeros(BINS, bool)
-        left[order[i, : at[i] + 1]] = True
-        out.append((float(gain[i, at[i]]), f, left))
-    return out
+    gain, at, orders = _cut_features(hist, features, rules)
+    return [(float(gain[i]), f, _goes_left(i, at, orders)) for i, f in enumerate(features.tolist())]
+
+
+def best_split(hist: np.ndarray, features: np.ndarray, rules: Growth) -> tuple[float, int, np.ndarray] | None:
+    """``best_of`` all ``best_splits``."""
+    gain, at, orders = _cut_features(hist, features, rules)
+    top = gain.max()
+    if not top > _LEAST_GAIN:
+        return None
+    f = int(features[gain == top].min())
+    return float(top), f, _goes_left(int(np.flatnonzero(features == f)[0]), at, orders)
 
 
 def best_of(candidates: list[tuple[float, int, np.ndarray]]) -> tuple[float, int, np.ndarray] | None:
@@ -149,6 +188,15 @@ class Tree:
             stack += [(node.left, rows[goes]), (node.right, rows[~goes])]
         return at
 
+    def below(self, number: int) -> np.ndarray:
+        """Of each node, whether it is this one or lies below it."""
+        found, stack = np.zeros(len(self.nodes), bool), [number]
+        while stack:
+            found[at := stack.pop()] = True
+            if self.nodes[at].left:
+                stack += [self.nodes[at].left, self.nodes[at].right]
+        return found
+
     def best_first(self, leaves: int) -> list[int]:
         """Nodes that a tree of so many leaves splits, as far as splits are known."""
         queue = [(-self.nodes[0].gain, 0)] if self.nodes[0].left else []
@@ -188,7 +236,7 @@ def grow_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarr
     queue: list[tuple[float, int]] = []
 
     def consider(number: int, hist: np.ndarray) -> None:
-        found = best_of(best_splits(hist, features, rules)) if tree.nodes[number].sums[2] >= 2 * rules.min_rows - 0.5 else None
+        found = best_split(hist, features, rules) if tree.nodes[number].sums[2] >= 2 * rules.min_rows - 0.5 else None
         if found:
             node = tree.nodes[number]
             node.gain, node.feature, node.bins = found
@@ -205,7 +253,7 @@ def grow_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarr
         goes = node.bins[bins[node.feature, rows]]
         sides = rows[goes], rows[~goes]
         small = 0 if len(sides[0]) <= len(sides[1]) else 1
-        counted = histogram(bins[:, sides[small]], features, g[sides[small]], h[sides[small]])
+        counted = histogram(bins, features, g, h, sides[small])
         both = (counted, hist - counted) if small == 0 else (hist - counted, counted)
         numbers = tree.split(number, *(tuple(b[0].sum(axis=0).tolist()) for b in both))
         for child, side, b in zip(numbers, sides, both, strict=True):
@@ -271,22 +319,22 @@ def _refreshed(trees: list[Scored]):
 # --- growing over blocks
 
 
-def _read(blocks: Iterable[bytes], tree: Tree) -> Iterator[tuple]:
+def _read(blocks: Iterable[bytes], tree: Tree, fresh: list[Scored]) -> Iterator[tuple]:
     for block in blocks:
         bins, label, margin = _unpack(block)
-        yield bins, *gradients(margin, label), tree.place(bins)
+        yield bins, *gradients(_margin(bins, margin, fresh), label), tree.place(bins)
 
 
-def _count(tree: Tree, wanted: list[int], features: np.ndarray):
-    """Histograms of leaves over a task's blocks: by leaf and slice of the features, the task's number and the sums."""
+def _count(tree: Tree, wanted: list[int], features: np.ndarray, fresh: list[Scored]):
+    """Histograms of nodes over a task's blocks: by node and slice of the features, the task's number and the sums."""
+    below = {n: tree.below(n) for n in wanted}
 
     def task(part: int, blocks: Iterable[bytes]) -> Iterator[tuple]:
         held = {n: np.zeros((len(features), BINS, 3)) for n in wanted}
-        for bins, g, h, at in _read(blocks, tree):
+        for bins, g, h, at in _read(blocks, tree, fresh):
             for n, hist in held.items():
-                rows = np.flatnonzero(at == n)
-                whole = len(rows) == len(at)
-                hist += histogram(bins, features, g, h) if whole else histogram(bins[:, rows], features, g[rows], h[rows])
+                rows = np.flatnonzero(below[n][at])
+                hist += histogram(bins, features, g, h, rows if len(rows) < len(at) else None)
         for n, hist in held.items():
             for at in range(0, len(features), SLICE):
                 yield (n, at), (part, hist[at : at + SLICE])
@@ -299,16 +347,16 @@ def _summed(parts: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
     return sum(hist for _, hist in sorted(parts, key=lambda p: p[0]))
 
 
-def _send(tree: Tree, wanted: list[int], features: np.ndarray):
+def _send(tree: Tree, wanted: list[int], features: np.ndarray, fresh: list[Scored]):
     """Rows of small leaves by leaf: the features that the tree sees, gradients and curvatures."""
 
     def task(part: int, blocks: Iterable[bytes]) -> Iterator[tuple]:
-        for i, (bins, g, h, at) in enumerate(_read(blocks, tree)):
+        for i, (bins, g, h, at) in enumerate(_read(blocks, tree, fresh)):
             seen = bins[features]
             for n in wanted:
                 rows = np.flatnonzero(at == n)
-                if len(rows):
-                    yield n, ((part, i), seen[:, rows], np.stack([g[rows], h[rows]]))
+                if len(rows):  # take keeps the bins of a feature together, which indexing would not
+                    yield n, ((part, i), seen.take(rows, axis=1), np.stack([g[rows], h[rows]]))
 
     return task
 
@@ -335,15 +383,52 @@ def _finish(features: np.ndarray, rules: Growth):
     return task
 
 
+class Memory:
+    """Splits that large nodes had in earlier trees, by the splits above them: feature, then gain, bins, rows on both sides, tree."""
+
+    def __init__(self):
+        self.trees = 0
+        self.held: dict[tuple, dict[int, tuple]] = {}
+
+    def add(self, tree: Tree, local: int) -> None:
+        self.trees += 1
+        stack = [(0, ())]
+        while stack:
+            number, path = stack.pop()
+            node = tree.nodes[number]
+            if node.left and node.sums[2] > local:
+                rows = [int(round(tree.nodes[c].sums[2])) for c in (node.left, node.right)]
+                self.held.setdefault(path, {})[node.feature] = (node.gain, node.bins, rows, self.trees)
+                split = (node.feature, node.bins.tobytes())
+                stack += [(node.left, (*path, (*split, True))), (node.right, (*path, (*split, False)))]
+        if self.trees % REMEMBERED == 0:
+            kept = {p: {f: v for f, v in found.items() if v[3] > self.trees - REMEMBERED} for p, found in self.held.items()}
+            self.held = {p: found for p, found in kept.items() if found}
+
+    def likely(self, path: tuple, features: np.ndarray) -> tuple[int, np.ndarray, list[int]] | None:
+        """The split of the largest gain that is open to a tree with these features."""
+        known = self.held.get(path, {})
+        here = [f for f in known if f in features]
+        if not here:
+            return None
+        f = max(here, key=lambda f: known[f][0])
+        return f, *known[f][1:3]
+
+
 class _Grower:
     """One tree over the blocks: the nodes found so far, and the histograms of its large ones.
 
     A histogram has a fixed size, whatever the rows; the driver holds one for each large node.
     """
 
-    def __init__(self, blocks: RDD, n: int, features: np.ndarray, rules: Growth, local: int):
+    def __init__(
+        self, blocks: RDD, n: int, features: np.ndarray, rules: Growth, local: int,
+        fresh: list[Scored] | None = None, memory: Memory | None = None,
+    ):
         self.blocks, self.features, self.rules, self.local = blocks, features, rules, local
+        self.fresh, self.memory = fresh or [], memory or Memory()
         self.tree = Tree((0.0, 0.0, float(n)))
+        self.paths: dict[int, tuple] = {0: ()}
         self.counted: dict[int, np.ndarray] = {}
 
     def run(self) -> Tree:
@@ -353,8 +438,7 @@ class _Grower:
             small = [c for c in wanted if nodes[c].sums[2] <= self.local]
             large = [c for c in wanted if nodes[c].sums[2] > self.local]
             if large:
-                self.search_large(large, parent)
-                searched |= set(large)
+                searched |= self.search_large(large, parent)
                 taken = self.tree.best_first(self.rules.leaves)
                 parent = {c: t for t in taken for c in (nodes[t].left, nodes[t].right)}
                 wanted = [c for c in parent if c not in searched and nodes[c].sums[2] >= 2 * self.rules.min_rows]
@@ -366,14 +450,15 @@ class _Grower:
             taken = self.tree.best_first(self.rules.leaves)
             parent = {c: t for t in taken for c in (nodes[t].left, nodes[t].right)}
             wanted = [c for c in parent if c not in searched and nodes[c].sums[2] >= 2 * self.rules.min_rows]
+        self.memory.add(self.tree, self.local)
         return self.tree.pruned(self.rules.leaves)
 
     def finish_small(self, wanted: list[int]) -> set[int]:
         """Whole subtrees of small leaves, one task each; the numbers of all their nodes."""
-        send, finish = _send(self.tree, wanted, self.features), _finish(self.features, self.rules)
+        send, finish = _send(self.tree, wanted, self.features, self.fresh), _finish(self.features, self.rules)
         if len(wanted) == 1:
-            n = wanted[0]
-            sent = self.blocks.mapPartitionsWithIndex(send).coalesce(1)
+            sent = self.blocks.mapPartitionsWithIndex(send)
+            sent = sent.coalesce(1) if self.blocks.getNumPartitions() > 1 else sent
         else:
             place = {n: i for i, n in enumerate(wanted)}
             sent = self.blocks.mapPartitionsWithIndex(send).partitionBy(len(wanted), place.__getitem__)
@@ -388,39 +473,92 @@ class _Grower:
             out |= set(numbers)
         return out
 
-    def search_large(self, wanted: list[int], parent: dict[int, int]) -> None:
-        """Best splits of large leaves. The smaller child of a parent is counted, the larger one is what it leaves."""
+    def guess(self, wanted: list[int], families: dict[int, tuple[int, int]]) -> Tree:
+        """The tree with what earlier trees split below the wanted leaves; adds the guessed nodes' children, the smaller first."""
+        guessed = Tree(self.tree.nodes[0].sums)
+        guessed.nodes = [replace(node) for node in self.tree.nodes]
+        queue = [(n, self.paths[n]) for n in wanted]
+        splits = 0
+        while queue and splits < self.rules.leaves - 1:
+            n, path = queue.pop(0)
+            likely = self.memory.likely(path, self.features)
+            if likely and max(likely[2]) > self.local:
+                node, (feature, bins, rows) = guessed.nodes[n], likely
+                node.feature, node.bins = feature, bins
+                children = guessed.split(n, *((0.0, 0.0, float(r)) for r in rows))
+                families[n] = tuple(sorted(children, key=lambda c: guessed.nodes[c].sums[2]))
+                splits += 1
+                for c, goes in zip(children, (True, False), strict=True):
+                    if guessed.nodes[c].sums[2] > self.local:
+                        queue.append((c, (*path, (feature, bins.tobytes(), goes))))
+        return guessed
+
+    def search_large(self, wanted: list[int], parent: dict[int, int]) -> set[int]:
+        """Best splits of large leaves, and of those below them as far as these were guessed; the leaves that were searched.
+
+        The smaller child of a parent is counted, the larger one is what it leaves.
+        """
         nodes = self.tree.nodes
-        families = {}
+        families: dict[int, tuple[int, int]] = {}
         for c in wanted:
             if c:
                 both = (nodes[parent[c]].left, nodes[parent[c]].right)
                 families[parent[c]] = tuple(sorted(both, key=lambda k: nodes[k].sums[2]))
-        count = [s for s, _ in families.values()] or [0]
+        known = list(families)
+        guessed = self.guess(wanted, families)
+        count = [s for s, _ in families.values()]
+        if not known:
+            count = [0, *count]
         parts, slices = self.blocks.getNumPartitions(), len(count) * -(-len(self.features) // SLICE)
-        sums = self.blocks.mapPartitionsWithIndex(_count(self.tree, count, self.features))
+        sums = self.blocks.mapPartitionsWithIndex(_count(guessed, count, self.features, self.fresh))
         if parts * len(count) > DIRECT:
             sums = sums.groupByKey(min(slices, parts)).mapValues(lambda held: (0, _summed(held)))
         now: dict[tuple, list] = {}
         for key, part in sums.collect():
             now.setdefault(key, []).append(part)
-        for n in count:
-            self.counted[n] = np.concatenate([_summed(now[n, at]) for at in range(0, len(self.features), SLICE)])
-        for p, (s, b) in families.items():
-            self.counted[b] = self.counted.pop(p) - self.counted[s]
-        for number in wanted:
-            hist = self.counted[number]
-            nodes[number].sums = tuple(hist[0].sum(axis=0).tolist())
-            best = best_of(best_splits(hist, self.features, self.rules))
-            if best:
-                nodes[number].gain, nodes[number].feature, nodes[number].bins = best
-                part = hist[int(np.searchsorted(self.features, best[1]))][best[2]].sum(axis=0)
-                self.tree.split(number, tuple(part.tolist()), tuple((np.array(nodes[number].sums) - part).tolist()))
-
-
-def grow(blocks: RDD, n: int, features: np.ndarray, rules: Growth, local: int = LOCAL_ROWS) -> Tree:
-    """The next tree over the blocks, whose margins have all trees before it."""
-    return _Grower(blocks, n, features, rules, local).run()
+        found = {n: np.concatenate([_summed(now[n, at]) for at in range(0, len(self.features), SLICE)]) for n in count}
+        hists = {0: found[0]} if not known else {}
+        for p in known:
+            s, b = families[p]
+            hists[s], hists[b] = found[s], self.counted.pop(p) - found[s]
+        searched: set[int] = set()
+        # a small sibling of a wanted leaf is counted for the subtraction only
+        queue = [(number, number, hists[number]) for number in wanted]
+        while queue:
+            number, at, hist = queue.pop()
+            searched.add(number)
+            self.settle(number, hist)
+            node, plan = nodes[number], guessed.nodes[at]
+            if not node.left:
+                continue
+            if at not in families or plan.feature != node.feature or not np.array_equal(plan.bins, node.bins):
+                self.counted[number] = hist
+                continue
+            s = families[at][0]
+            for child, c in ((node.left, plan.left), (node.right, plan.right)):
+                if nodes[child].sums[2] > self.local:
+                    queue.append((child, c, found[s] if c == s else hist - found[s]))
+        return searched
+
+    def settle(self, number: int, hist: np.ndarray) -> None:
+        """Read a node's best split off its histogram."""
+        node = self.tree.nodes[number]
+        node.sums = tuple(hist[0].sum(axis=0).tolist())
+        best = best_split(hist, self.features, self.rules)
+        if best:
+            node.gain, node.feature, node.bins = best
+            part = hist[int(np.searchsorted(self.features, best[1]))][best[2]].sum(axis=0)
+            children = self.tree.split(number, tuple(part.tolist()), tuple((np.array(node.sums) - part).tolist()))
+            for child, goes in zip(children, (True, False), strict=True):
+                self.paths[child] = (*self.paths[number], (node.feature, node.bins.tobytes(), goes))
+
+
+def grow(
+    blocks: RDD, n: int, features: np.ndarray, rules: Growth, local: int = LOCAL_ROWS,
+    fresh: list[Scored] | None = None, memory: Memory | None = None,
+) -> Tree:
+    """The next tree over the blocks, whose margins have all trees before it but the ``fresh`` ones."""
+    return _Grower(blocks, n, features, rules, local, fresh, memory).run()
 
 
 @dataclass
@@ -454,16 +592,21 @@ def boost(
     parts = max(1, min(-(-n // BLOCK_ROWS), max(spark.sparkContext.defaultParallelism, n // TASK_ROWS)))
     blocks = _held(binned, parts)
     draw, out, old = np.random.default_rng(seed), [], None
+    memory, placed = Memory(), 0  # trees that the blocks' margins have
     try:
         for i in range(n_trees):
             features = np.sort(draw.choice(width, max(1, int(share * width)), replace=False))
-            tree = grow(blocks, n, features, rules, local)
+            tree = grow(blocks, n, features, rules, local, out[placed:], memory)
             if old:
                 old.unpersist()  # what follows it has been read, and so is kept, by now
+                old = None
             values = np.array([-rate * node.sums[0] / max(node.sums[1], 1e-300) for node in tree.nodes])
             out.append((tree, values))
-            old, blocks = blocks, blocks.map(_refreshed(out[-1:])).persist(StorageLevel.MEMORY_AND_DISK)
-            if i % REFRESH == REFRESH - 1 and i + 1 < n_trees:
+            if i + 1 == n_trees or i + 1 - placed < FOLLOW and i % REFRESH != REFRESH - 1:
+                continue
+            old, blocks = blocks, blocks.map(_refreshed(out[placed:])).persist(StorageLevel.MEMORY_AND_DISK)
+            placed = i + 1
+            if i % REFRESH == REFRESH - 1:
                 written = materialise(spark.createDataFrame(blocks.map(lambda block: (block,)), "block binary"))
                 old.unpersist()
                 old, blocks = blocks, _held(written, parts)

@@ -122,3 +122,45 @@ def test_a_round_over_large_leaves_is_one_job(spark, rows, monkeypatch):
         found.append([shape(t) for t, _ in fitted.trees])
     here.setLocalProperty("spark.jobGroup.id", None)
     assert found[0] == found[1]
+
+
+def test_best_split_is_the_best_of_all_features(sample):
+    x, y = sample
+    bins = np.stack([np.clip(np.nan_to_num(c, nan=3) * 30 + 100, 0, 255) for c in x.T]).astype(np.uint8)
+    bins[1] = x[:, 1]
+    bins = np.concatenate([bins, bins[:1]])  # a feature that ties with another
+    g, h = lw.gradients(np.zeros(len(y)), y.astype(float))
+    features = np.arange(4)
+    for rows in (np.arange(0, 2000, 3), np.flatnonzero(x[:, 1] == 2), np.arange(1900), np.arange(10)):
+        hist = lw.histogram(bins, features, g, h, rows)
+        for few in (0, len(rows)):  # both ways of adding up
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(lw, "TOGETHER", few)
+                assert np.array_equal(hist, lw.histogram(bins[:, rows], features, g[rows], h[rows]))
+                assert np.array_equal(hist, lw.histogram(bins, features, g, h, rows))
+        expected, found = lw.best_of(lw.best_splits(hist, features, RULES)), lw.best_split(hist, features, RULES)
+        assert (expected is None) == (found is None)
+        if found:
+            assert found[:2] == expected[:2] and np.array_equal(found[2], expected[2])
+
+
+def test_splits_of_earlier_trees_save_rounds(rows, monkeypatch):
+    """The nodes below an expected split are counted in the round of the node itself; a wrong guess changes no tree."""
+    shape = lambda t: [(n.feature, n.left, n.right, n.sums, n.bins.tobytes() if n.left else b"") for n in t.nodes]
+    rounds, search, likely = [], lw._Grower.search_large, lw.Memory.likely
+    monkeypatch.setattr(lw._Grower, "search_large", lambda self, *given: (rounds.append(1), search(self, *given))[1])
+
+    def fit(guess, share):
+        monkeypatch.setattr(lw.Memory, "likely", guess)
+        rounds.clear()
+        fitted = lw.boost(rows, 3, RULES, 7, 0.02, share, 1, local=150)
+        return [shape(t) for t, _ in fitted.trees], len(rounds)
+
+    def wrong(self, path, features):
+        found = likely(self, path, features)
+        return found and (found[0], ~found[1], found[2])
+
+    for share in (1.0, 0.7):
+        plain, many = fit(lambda *_: None, share)
+        assert fit(wrong, share) == (plain, many)
+        assert fit(likely, share) == (plain, few := fit(likely, share)[1]) and few < many
