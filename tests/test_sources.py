@@ -1,3 +1,5 @@
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from pdengine import fixed_values as fv
@@ -97,3 +99,22 @@ def test_rollup_totals(spark):
     book = spark.createDataFrame([("SME", "High", 1.5), ("SME", "Watch", 2.25)], "segment string, band string, exposure_at_risk double")
     rows = {(r.segment, r.band): (r.n_loans, r.exposure) for r in reports.segment_band_rollup(book).collect()}
     assert rows["ALL", "ALL"] == (2, 3.75) and rows["SME", "ALL"] == (2, 3.75)
+
+
+def test_single_cycles_travel_narrow(spark):
+    """Six rows of an account meet before they are summed up as wide as it is; the account is the same."""
+    customer = spark.createDataFrame([(1, 3), (2, 4)], "c_custkey long, c_nationkey int")
+    orders = spark.createDataFrame([(c * 10 + k, c, date(1995, 1, 1 + k)) for c, n in ((1, 7), (2, 5)) for k in range(n)], "o_orderkey long, o_custkey long, o_orderdate date")
+    lines = spark.createDataFrame(
+        [(10 + k, 100.0 * k, 0.0, "F" if k % 2 else "O", "R" if k == 6 else "N") for k in range(1, 7)],
+        "l_orderkey long, l_extendedprice double, l_discount double, l_linestatus string, l_returnflag string",
+    )
+    found = raw_accounts(customer, orders, lines)
+    steps = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    summed = [i for i, line in enumerate(steps) if "max(CASE WHEN (cycle" in line]
+    dealt = [i for i, line in enumerate(steps) if "REPARTITION_BY_COL" in line]
+    assert summed and dealt and max(summed) < dealt[0]
+    row = found.collect()
+    assert len(row) == 1 and row[0].ID == 1 and row[0].PAY_0 == 0 and row[0].PAY_2 == -1
+    assert [row[0][f"BILL_AMT{k}"] for k in range(1, 7)] == [600.0, 500.0, 400.0, 300.0, 200.0, 100.0]
+    assert [row[0][f"PAY_AMT{k}"] for k in range(1, 7)] == [0.0, 500.0, 0.0, 300.0, 0.0, 100.0]
