@@ -146,9 +146,9 @@ def best_splits(hist: np.ndarray, features: np.ndarray, rules: Growth) -> list[t
     return [(float(gain[i]), f, _goes_left(i, at, orders)) for i, f in enumerate(features.tolist())]
 
 
-def best_split(hist: np.ndarray, features: np.ndarray, rules: Growth) -> tuple[float, int, np.ndarray] | None:
-    """``best_of`` all ``best_splits``."""
-    gain, at, orders = _cut_features(hist, features, rules)
+def best_split(hist: np.ndarray, features: np.ndarray, rules: Growth, cut: tuple | None = None) -> tuple[float, int, np.ndarray] | None:
+    """``best_of`` all ``best_splits``; ``cut`` is what ``_cut_features`` finds, if that is known."""
+    gain, at, orders = cut or _cut_features(hist, features, rules)
     top = gain.max()
     if not top > _LEAST_GAIN:
         return None
@@ -384,31 +384,34 @@ def _finish(features: np.ndarray, rules: Growth):
 
 
 class Memory:
-    """Splits that large nodes had in earlier trees, by the splits above them: feature, then gain, bins, rows on both sides, tree."""
+    """The best split of every feature that large nodes had in earlier trees, by the splits above the node.
+
+    Held are gain, bins that go left, rows on both sides, and the tree.
+    """
 
     def __init__(self):
         self.trees = 0
         self.held: dict[tuple, dict[int, tuple]] = {}
 
-    def add(self, tree: Tree, local: int) -> None:
+    def note(self, path: tuple, hist: np.ndarray, features: np.ndarray, cut: tuple) -> None:
+        """What a node's histogram says of each feature; ``cut`` is what ``_cut_features`` finds in it."""
+        gain, at, orders = cut
+        n, held = hist[0, :, 2].sum(), self.held.setdefault(path, {})
+        for i in np.flatnonzero(gain > _LEAST_GAIN).tolist():
+            bins = _goes_left(i, at, orders)
+            left = float(hist[i, bins, 2].sum())
+            held[int(features[i])] = (float(gain[i]), bins, (left, float(n - left)), self.trees)
+
+    def next_tree(self) -> None:
         self.trees += 1
-        stack = [(0, ())]
-        while stack:
-            number, path = stack.pop()
-            node = tree.nodes[number]
-            if node.left and node.sums[2] > local:
-                rows = [int(round(tree.nodes[c].sums[2])) for c in (node.left, node.right)]
-                self.held.setdefault(path, {})[node.feature] = (node.gain, node.bins, rows, self.trees)
-                split = (node.feature, node.bins.tobytes())
-                stack += [(node.left, (*path, (*split, True))), (node.right, (*path, (*split, False)))]
         if self.trees % REMEMBERED == 0:
-            kept = {p: {f: v for f, v in found.items() if v[3] > self.trees - REMEMBERED} for p, found in self.held.items()}
+            kept = {p: {f: v for f, v in found.items() if v[3] >= self.trees - REMEMBERED} for p, found in self.held.items()}
             self.held = {p: found for p, found in kept.items() if found}
 
-    def likely(self, path: tuple, features: np.ndarray) -> tuple[int, np.ndarray, list[int]] | None:
+    def likely(self, path: tuple, features: np.ndarray) -> tuple[int, np.ndarray, tuple[float, float]] | None:
         """The split of the largest gain that is open to a tree with these features."""
         known = self.held.get(path, {})
-        here = [f for f in known if f in features]
+        here = [f for f in features.tolist() if f in known]
         if not here:
             return None
         f = max(here, key=lambda f: known[f][0])
@@ -450,7 +453,7 @@ class _Grower:
             taken = self.tree.best_first(self.rules.leaves)
             parent = {c: t for t in taken for c in (nodes[t].left, nodes[t].right)}
             wanted = [c for c in parent if c not in searched and nodes[c].sums[2] >= 2 * self.rules.min_rows]
-        self.memory.add(self.tree, self.local)
+        self.memory.next_tree()
         return self.tree.pruned(self.rules.leaves)
 
     def finish_small(self, wanted: list[int]) -> set[int]:
@@ -544,7 +547,9 @@ class _Grower:
         """Read a node's best split off its histogram."""
         node = self.tree.nodes[number]
         node.sums = tuple(hist[0].sum(axis=0).tolist())
-        best = best_split(hist, self.features, self.rules)
+        cut = _cut_features(hist, self.features, self.rules)
+        self.memory.note(self.paths[number], hist, self.features, cut)
+        best = best_split(hist, self.features, self.rules, cut)
         if best:
             node.gain, node.feature, node.bins = best
             part = hist[int(np.searchsorted(self.features, best[1]))][best[2]].sum(axis=0)
