@@ -12,8 +12,7 @@ size does not depend on the rows, and reads the splits off it. Trees that follow
 agree near the root, so a round also counts what lies below the splits that earlier trees had in the
 same place; where the split turns out to be another, those counts are dropped. The rows of a leaf
 of at most ``LOCAL_ROWS`` go to one task, which splits it and its descendants on,
-best first, as far as the tree could need. Where several leaves are finished, splits of less gain
-than a tree is likely to take are left out; if the tree turns out to need them, the leaves are finished again in full.
+best first, as far as the tree could need.
 The driver keeps the queue: it plays best-first over all splits known so far
 and asks for what is below those that would be split. The tree is the one that
 splitting strictly one leaf after the other gives, but a tree of 31 leaves over
@@ -40,9 +39,7 @@ from pdengine.staging import materialise
 BINS = 256
 BLOCK_ROWS = 16_384
 #: A leaf of so many rows or fewer is finished by one task.
-LOCAL_ROWS = 1 << 19
-#: Share of the least gain that the tree before took, below which a small leaf's task doesn't split on at first.
-HELD_BACK = 0.7
+LOCAL_ROWS = 1 << 18
 #: Trees after which the blocks take over their margins; until then each pass places its rows in them.
 FOLLOW = 5
 #: Trees after which the blocks are written and read back, which cuts their lineage.
@@ -53,6 +50,8 @@ REMEMBERED = 50
 TOGETHER = 2048
 #: Rows that a task works through, once all cores have enough.
 TASK_ROWS = 8 * BLOCK_ROWS
+#: Rows that a task is worth starting for: with fewer, not all cores are used.
+LEAST_TASK_ROWS = 6 * BLOCK_ROWS
 #: Features whose bins are added up together.
 SLICE = 8
 #: Histograms of single tasks that the driver adds up itself; more are added up by executors first.
@@ -232,8 +231,8 @@ class Tree:
         return out
 
 
-def grow_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray, rules: Growth, least: float = 0.0) -> Tree:
-    """A tree over rows that one task holds, split best first until it has all its leaves or gains fall below ``least``."""
+def grow_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray, rules: Growth) -> Tree:
+    """A tree over rows that one task holds, split best first until it has all its leaves."""
     whole = histogram(bins, features, g, h)
     tree = Tree(tuple(whole[0].sum(axis=0).tolist()))
     queue: list[tuple[float, int]] = []
@@ -243,8 +242,7 @@ def grow_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarr
         if found:
             node = tree.nodes[number]
             node.gain, node.feature, node.bins = found
-            if node.gain >= least:
-                heapq.heappush(queue, (-node.gain, number))
+            heapq.heappush(queue, (-node.gain, number))
 
     held = {0: (np.arange(bins.shape[1]), whole)}
     consider(0, whole)
@@ -273,7 +271,9 @@ def cuts(rows: DataFrame, width: int, categories: dict[int, int]) -> list[np.nda
     """Upper ends of the bins of every numeric feature: its quantiles, a bin for each value where they are few."""
     shares = [i / (BINS - 1) for i in range(1, BINS - 1)]
     numeric = [i for i in range(width) if i not in categories]
-    entries = rows.select(F.posexplode("features").alias("feature", "value")).where(F.col("feature").isin(numeric) & F.col("value").isNotNull() & ~F.isnan("value"))
+    entries = rows.select(F.posexplode("features").alias("feature", "value")).where(
+        F.col("feature").isin(numeric) & F.col("value").isNotNull() & ~F.isnan("value")
+    )
     # a group for each feature, so that not one task merges the summaries of all
     found = dict(entries.groupBy("feature").agg(F.percentile_approx("value", shares, 20_000)).collect())
     return [np.unique(np.array(found.get(i, []), float)) if i in numeric else np.arange(min(categories[i], BINS) - 1.0) for i in range(width)]
@@ -366,7 +366,7 @@ def _send(tree: Tree, wanted: list[int], features: np.ndarray, fresh: list[Score
     return task
 
 
-def _finish(features: np.ndarray, rules: Growth, least: float):
+def _finish(features: np.ndarray, rules: Growth):
     """Grow below each leaf of a task from its rows, one leaf after the other."""
     places = {int(f): i for i, f in enumerate(features)}
     here = Growth(rules.leaves, rules.min_rows, rules.min_curvature, {places[f]: c for f, c in rules.categories.items() if f in places})
@@ -379,7 +379,7 @@ def _finish(features: np.ndarray, rules: Growth, least: float):
             leaf, parts = held.popitem()
             parts.sort(key=lambda p: p[0])
             bins, (g, h) = np.concatenate([p[1] for p in parts], axis=1), np.concatenate([p[2] for p in parts], axis=1)
-            tree = grow_here(bins, g, h, np.arange(len(features)), here, least)
+            tree = grow_here(bins, g, h, np.arange(len(features)), here)
             for node in tree.nodes:
                 if node.left:
                     node.feature = int(features[node.feature])
@@ -396,7 +396,6 @@ class Memory:
 
     def __init__(self):
         self.trees = 0
-        self.least = 0.0  # gain below which a tree is not expected to split
         self.held: dict[tuple, dict[int, tuple]] = {}
 
     def note(self, path: tuple, hist: np.ndarray, features: np.ndarray, cut: tuple) -> None:
@@ -408,9 +407,8 @@ class Memory:
             left = float(hist[i, bins, 2].sum())
             held[int(features[i])] = (float(gain[i]), bins, (left, float(n - left)), self.trees)
 
-    def next_tree(self, least: float) -> None:
+    def next_tree(self) -> None:
         self.trees += 1
-        self.least = HELD_BACK * least
         if self.trees % REMEMBERED == 0:
             kept = {p: {f: v for f, v in found.items() if v[3] >= self.trees - REMEMBERED} for p, found in self.held.items()}
             self.held = {p: found for p, found in kept.items() if found}
@@ -443,8 +441,7 @@ class _Grower:
 
     def run(self) -> Tree:
         nodes, searched, wanted = self.tree.nodes, set(), [0]
-        parent, short = {}, []  # leaves whose subtrees may lack splits of less gain than ``least``
-        least = self.memory.least
+        parent = {}
         while wanted:
             small = [c for c in wanted if nodes[c].sums[2] <= self.local]
             large = [c for c in wanted if nodes[c].sums[2] > self.local]
@@ -457,27 +454,16 @@ class _Grower:
                     continue  # small leaves wait for one another and go to their tasks together
                 small = wanted
             if small:
-                whole = small == [0]  # the tree itself, which ends with its last leaf
-                short += [] if whole else small
-                searched |= self.finish_small(small, 0.0 if whole else least) | set(small)
+                searched |= self.finish_small(small) | set(small)
             taken = self.tree.best_first(self.rules.leaves)
             parent = {c: t for t in taken for c in (nodes[t].left, nodes[t].right)}
             wanted = [c for c in parent if c not in searched and nodes[c].sums[2] >= 2 * self.rules.min_rows]
-            if not wanted and least and short and self.least_gain(taken) < least:
-                for leaf in short:
-                    nodes[leaf] = Node(nodes[leaf].sums)
-                wanted, least, short = short, 0.0, []
-                searched -= set(wanted)
-        self.memory.next_tree(self.least_gain(taken))
+        self.memory.next_tree()
         return self.tree.pruned(self.rules.leaves)
 
-    def least_gain(self, taken: list[int]) -> float:
-        """The least gain of the splits taken, 0 for a tree that could take more."""
-        return min((self.tree.nodes[t].gain for t in taken), default=0.0) if len(taken) == self.rules.leaves - 1 else 0.0
-
-    def finish_small(self, wanted: list[int], least: float) -> set[int]:
-        """Subtrees of small leaves down to a gain, one task each; the numbers of all their nodes."""
-        send, finish = _send(self.tree, wanted, self.features, self.fresh), _finish(self.features, self.rules, least)
+    def finish_small(self, wanted: list[int]) -> set[int]:
+        """Whole subtrees of small leaves, one task each; the numbers of all their nodes."""
+        send, finish = _send(self.tree, wanted, self.features, self.fresh), _finish(self.features, self.rules)
         if len(wanted) == 1:
             sent = self.blocks.mapPartitionsWithIndex(send)
             sent = sent.coalesce(1) if self.blocks.getNumPartitions() > 1 else sent
@@ -601,6 +587,11 @@ def _held(blocks: DataFrame, parts: int) -> RDD:
     return numbered.partitionBy(parts, lambda i: i % parts).values().persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def task_count(n: int, cores: int) -> int:
+    """Tasks that a pass over so many rows is dealt to."""
+    return max(1, min(-(-n // BLOCK_ROWS), max(min(cores, n // LEAST_TASK_ROWS), n // TASK_ROWS)))
+
+
 def boost(
     rows: DataFrame, width: int, rules: Growth, n_trees: int, rate: float, share: float, seed: int, local: int = LOCAL_ROWS,
 ) -> Boosted:
@@ -613,7 +604,7 @@ def boost(
     start = float(np.log(mean / (1 - mean)))
     ends = cuts(rows, width, rules.categories)
     binned = materialise(rows.select("features", "label").mapInArrow(_binned(ends, start), "block binary"))
-    parts = max(1, min(-(-n // BLOCK_ROWS), max(spark.sparkContext.defaultParallelism, n // TASK_ROWS)))
+    parts = task_count(n, spark.sparkContext.defaultParallelism)
     blocks = _held(binned, parts)
     draw, out, old = np.random.default_rng(seed), [], None
     memory, placed = Memory(), 0  # trees that the blocks' margins have

@@ -166,25 +166,6 @@ def test_splits_of_earlier_trees_save_rounds(rows, monkeypatch):
         assert fit(likely, share) == (plain, few := fit(likely, share)[1]) and few < many
 
 
-def test_splits_of_little_gain_are_left_out_unless_the_tree_needs_them(rows, monkeypatch):
-    """Leaves are not all grown to the size of the whole tree; a bound that is too high changes no tree."""
-    shape = lambda t: [(n.feature, n.left, n.right, n.sums, n.bins.tobytes() if n.left else b"") for n in t.nodes]
-    jobs, grown, finish = [], [], lw._Grower.finish_small
-    monkeypatch.setattr(lw._Grower, "finish_small", lambda self, *given: (jobs.append(1), grown.append(found := finish(self, *given)), found)[-1])
-
-    def fit(share):
-        monkeypatch.setattr(lw, "HELD_BACK", share)
-        jobs.clear(), grown.clear()
-        fitted = lw.boost(rows, 3, RULES, 6, 0.02, 1.0, 1, local=1200)
-        return [shape(t) for t, _ in fitted.trees], len(jobs), sum(map(len, grown))
-
-    whole, few, nodes = fit(0.0)
-    kept = fit(0.7)
-    assert kept[:2] == (whole, few) and kept[2] < nodes
-    high = fit(100.0)
-    assert high[0] == whole and high[1] > few
-
-
 def test_quantiles_are_merged_feature_by_feature(spark, monkeypatch):
     """One summary for each group, not one task that merges those of all features; missing values take no part."""
     calls, plain = [], F.percentile_approx
@@ -194,3 +175,16 @@ def test_quantiles_are_merged_feature_by_feature(spark, monkeypatch):
     assert len(calls) == 1
     assert ends[0].tolist() == [0, 1, 2, 3, 4, 5, 6] and ends[2].tolist() == [0, 1] and ends[3].tolist() == []
     assert len(ends[1]) == 254 and np.abs(ends[1] - np.quantile(np.arange(0, 900, 3), np.arange(1, 255) / 255)).max() <= 6
+
+
+def test_tasks_are_as_many_as_the_rows_are_worth(rows, monkeypatch):
+    """A start of a task costs as much as counting some rows; the trees are the same over any number of tasks."""
+    assert [lw.task_count(n, 12) for n in (1, 100_000, 628_289, 1_300_000, 40_000_000)] == [1, 1, 6, 12, 305]
+    shape = lambda t: [(n.feature, n.left, n.right, round(n.sums[2])) for n in t.nodes]
+    monkeypatch.setattr(lw, "BLOCK_ROWS", 300)
+    found, held, parts = [], lw._held, []
+    monkeypatch.setattr(lw, "_held", lambda blocks, n: (parts.append(n), held(blocks, n))[1])
+    for least in (300, 1000, 1 << 20):
+        monkeypatch.setattr(lw, "LEAST_TASK_ROWS", least)
+        found.append([shape(t) for t, _ in lw.boost(rows, 3, RULES, 3, 0.1, 1.0, 1, local=400).trees])
+    assert parts == [6, 2, 1] and found[0] == found[1] == found[2]
