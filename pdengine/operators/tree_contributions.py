@@ -10,8 +10,11 @@ So the sum over all coalitions is the integral of one product,
     share of i = (follows_i - share_i) * integral of prod over j /= i of (follows_j t + share_j (1 - t)),
 
 a polynomial of degree m - 1, for which ceil(m / 2) Gauss points are exact. Paths
-of any length take as many products as they have points; nothing is tabulated
-by pattern.
+of any length take as many products as they have points.
+
+What a path gives its features depends only on which of them follow it. So where
+a path has fewer such patterns than there are loans at hand, the integral is
+taken once per pattern and looked up; for longer paths it is taken per loan.
 
 A model is packed into arrays, in groups of trees of bounded size, once; a task
 works through the groups and adds them up.
@@ -29,6 +32,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 GROUP_LEAVES = 50_000
 #: Loans times steps of paths that are held at a time.
 CELLS = 1 << 17
+#: Loans that are worked through together, and the answers to tests held for them.
+LOANS = 5000
+ANSWERS = 1 << 26
 
 
 @dataclass
@@ -98,45 +104,79 @@ def explained_trees(nodes: pd.DataFrame) -> ExplainedTrees:
 
 
 def _answers(values: np.ndarray, tests: list) -> np.ndarray:
-    """Rows: each test's outcome and its opposite, one after the other."""
-    out = np.empty((2 * len(tests), len(values)), bool)
+    """Rows: whether each test sends the loans left."""
+    out = np.empty((len(tests), len(values)), bool)
     for k, (f, split) in enumerate(tests):
-        left = np.isin(values[:, f], split) if isinstance(split, list) else values[:, f] <= split
-        out[2 * k], out[2 * k + 1] = left, ~left
+        out[k] = np.isin(values[:, f], split) if isinstance(split, list) else values[:, f] <= split
     return out
 
 
+def _passed(answers: np.ndarray, test) -> np.ndarray:
+    """Outcome of tests numbered as on paths: doubled, plus 1 if they must go right."""
+    return answers[test >> 1] ^ ((np.asarray(test) & 1) == 1)[..., None]
+
+
+def _points(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss points and weights on [0, 1] that are exact for paths of m features."""
+    points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+    return (points + 1) / 2, weights / 2
+
+
+def _integrals(gauss: tuple[np.ndarray, np.ndarray], shares: np.ndarray, values: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """What leaves (first axis) give the m features of their paths (second axis), for patterns or loans that follow them."""
+    points, weights = gauss
+    share = np.maximum(shares[:, :, None], 1e-12)  # leaves x m x points below
+    yes, no = points + share * (1 - points), share * (1 - points)
+    # the product over a path at each point, then each feature's own factor taken out of it
+    lost = np.log(no).sum(axis=1)[:, :, None] + np.log(yes / no).transpose(0, 2, 1) @ follows.astype(np.float64)
+    product = np.exp(lost) * weights[:, None]
+    total = np.where(follows, ((1 - share) / yes) @ product, (-share / no) @ product)
+    total *= values[:, None, None]
+    return total
+
+
 def contributions_of(values: np.ndarray, trees: ExplainedTrees) -> np.ndarray:
     """One row of contributions per row of feature values."""
-    out = np.zeros((values.shape[1], len(values)))
-    if not trees.tests or not len(values):
+    n = len(values)
+    out = np.zeros((values.shape[1], n))
+    if not trees.tests or not n:
         return out.T
     answers = _answers(values, trees.tests)
     for m, paths in trees.paths.items():
-        points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
-        points, weights = (points + 1) / 2, weights / 2
-        step = max(1, CELLS // (m * len(values)))
+        step, gauss = max(1, CELLS // (m * n)), _points(m)
+        tabulated = 2 ** (m + 1) <= n
+        patterns = (np.arange(2**m) >> np.arange(m)[:, None] & 1).astype(bool) if tabulated else None
         further = {}
         for i, j, test in paths.rest:
             further.setdefault(i // step, []).append((i % step, j, test))
         for part, at in enumerate(range(0, len(paths.values), step)):
-            follows = answers[paths.first[at : at + step]]  # leaves x m x loans
+            here = slice(at, at + step)
+            follows = _passed(answers, paths.first[here])  # leaves x m x loans
             for i, j, test in further.get(part, ()):
-                follows[i, j] &= answers[test]
-            share = np.maximum(paths.shares[at : at + step, :, None], 1e-12)  # leaves x m x points below
-            yes, no = points + share * (1 - points), share * (1 - points)
-            # the product over a path at each point, then each feature's own factor taken out of it
-            lost = np.log(no).sum(axis=1)[:, :, None] + np.log(yes / no).transpose(0, 2, 1) @ follows.astype(np.float64)
-            product = np.exp(lost) * weights[:, None]
-            total = np.where(follows, ((1 - share) / yes) @ product, (-share / no) @ product)
-            total *= paths.values[at : at + step, None, None]
-            of = paths.features[at : at + step].ravel()
-            where = np.zeros((len(out), len(of)))
-            where[of, np.arange(len(of))] = 1.0
-            out += where @ total.reshape(-1, len(values))
+                follows[i, j] &= _passed(answers, test)
+            of = paths.features[here]
+            if tabulated:
+                table = _integrals(gauss, paths.shares[here], paths.values[here], patterns)
+                pattern = follows[:, 0].astype(np.uint16)  # tabulated paths are far shorter than 16
+                for j in range(1, m):
+                    pattern |= follows[:, j].astype(np.uint16) << np.uint16(j)
+                for i, features in enumerate(of.tolist()):
+                    which = pattern[i].astype(np.intp)
+                    for j, f in enumerate(features):
+                        out[f] += table[i, j].take(which)
+                continue
+            total = _integrals(gauss, paths.shares[here], paths.values[here], follows)
+            where = np.zeros((len(out), of.size))
+            where[of.ravel(), np.arange(of.size)] = 1.0
+            out += where @ total.reshape(-1, n)
     return out.T
 
 
+def loans_together(tests: int) -> int:
+    """Loans whose answers to so many tests are held at a time."""
+    return max(1, min(LOANS, ANSWERS // max(tests, 1)))
+
+
 @dataclass
 class Explainer:
     """A packed model on its way to tasks; make one per model and keep it."""
@@ -173,7 +213,8 @@ def with_contributions(rows: DataFrame, explainer: Explainer, values_col: str =
         if values.empty:
             return pd.Series([], dtype=object)
         matrix = np.stack(values.to_list()).astype(float)
-        parts = [sum(contributions_of(matrix[i : i + 512], g.value) for g in groups) for i in range(0, len(matrix), 512)]
-        return pd.Series(list(np.concatenate(parts)))
+        parts = -(-len(matrix) // loans_together(max((len(g.value.tests) for g in groups), default=0)))
+        done = [sum(contributions_of(part, g.value) for g in groups) for part in np.array_split(matrix, parts)]
+        return pd.Series(list(np.concatenate(done)))
 
     return rows.withColumns({"contributions": explain(F.col(values_col)), "base_margin": F.lit(explainer.base)})

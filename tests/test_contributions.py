@@ -6,6 +6,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 
+from pdengine.operators import tree_contributions
 from pdengine.operators.tree_contributions import contributions_of, explained_trees
 
 
@@ -105,3 +106,19 @@ def test_groups_of_trees_add_up(spark, monkeypatch):
     assert (len(one.groups), len(two.groups)) == (1, 2) and np.isclose(one.base, two.base)
     got = [[r.contributions for r in tc.with_contributions(rows, e).collect()] for e in (one, two)]
     assert np.allclose(got[0], got[1])
+
+
+def test_integrals_are_taken_per_pattern_where_loans_outnumber_them(monkeypatch):
+    rng = np.random.default_rng(5)
+    values = np.column_stack([rng.random(3000), rng.integers(0, 3, 3000), rng.random(3000) * 6])
+    trees = explained_trees(NODES)
+    alone = np.concatenate([contributions_of(values[i : i + 1], trees) for i in range(len(values))])
+    taken, integrals = [], tree_contributions._integrals
+
+    def counted(*given):
+        taken.append(given[-1].shape[-1])
+        return integrals(*given)
+
+    monkeypatch.setattr(tree_contributions, "_integrals", counted)
+    assert np.allclose(contributions_of(values, trees), alone, rtol=0, atol=1e-12)
+    assert max(taken) <= 4  # paths of two features have four patterns
