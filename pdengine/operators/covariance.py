@@ -70,8 +70,9 @@ def _of_parts(batches):
 
 def covariance(rows: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, mean and covariance (divisor n) of an array column of one length; rows with null entries take no part."""
-    full = F.col(column).isNotNull() & ~F.exists(F.col(column), lambda x: x.isNull() | F.isnan(x))
-    source = rows.where(full).select(F.col(column).cast("array<double>").alias("v"))
+    # null where an entry is null and none is NaN; compiled, unlike a function of every entry
+    full = ~F.array_contains("v", F.lit(float("nan")))
+    source = rows.select(F.col(column).cast("array<double>").alias("v")).where(full)
     parts = source.mapInArrow(_of_rows, _SCHEMA)
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while count > 1:  # neighbours merge in rounds, so that no task holds more than FAN matrices' rows at a time

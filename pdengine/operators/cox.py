@@ -26,6 +26,8 @@ from pdengine.staging import materialise
 _TAIL = 10_000
 #: Groups of so many tied events or fewer are expanded term by term, all at once.
 _FEW = 64
+#: Rows of a duration, on average, from which they are summed up together.
+_LONG = 64
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(16)
 
 
@@ -142,12 +144,28 @@ class Sums:
     def of(cls, t: np.ndarray, event: np.ndarray, x: np.ndarray, beta: np.ndarray) -> "Sums":
         """Sums of rows whose equal durations are next to each other."""
         n, p = x.shape
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if n else np.zeros(0, np.int64)
+        if len(first) * _LONG < n:
+            return cls.of_runs(t, event, x, np.exp(x @ beta), first)
         w = np.exp(x @ beta)[:, None]
         one = np.concatenate([np.ones((n, 1)), w, x * w, (x[:, :, None] * x[:, None, :]).reshape(n, -1) * w], axis=1)
         rows = np.concatenate([one, one * event[:, None], x * event[:, None]], axis=1)
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if n else np.zeros(0, np.int64)
         return cls(p, t[first], np.add.reduceat(rows, first, axis=0) if n else np.zeros((0, cls.width(p))))
 
+    @classmethod
+    def of_runs(cls, t: np.ndarray, event: np.ndarray, x: np.ndarray, w: np.ndarray, first: np.ndarray) -> "Sums":
+        """The same where rows of one duration are many: a product of matrices for each, nothing as wide as the sums per row."""
+        n, p = x.shape
+        values = np.zeros((len(first), cls.width(p)))
+        k = 2 + p + p * p
+        for i, (start, end) in enumerate(zip(first, [*first[1:], n], strict=True)):
+            of, some = x[start:end], event[start:end] > 0
+            for at, rows, weight in ((0, of, w[start:end]), (k, of[some], w[start:end][some])):
+                weighted = rows * weight[:, None]
+                values[i, at : at + k] = np.concatenate([[len(rows), weight.sum()], weighted.sum(axis=0), (rows.T @ weighted).ravel()])
+            values[i, 2 * k :] = of[some].sum(axis=0)
+        return cls(p, t[first], values)
+
     def __getitem__(self, i) -> "Sums":
         return Sums(self.p, self.t[i], self.values[i])
 

@@ -164,6 +164,12 @@ def best_of(candidates: list[tuple[float, int, np.ndarray]]) -> tuple[float, int
     return min(good, key=lambda c: (-c[0], c[1])) if good else None
 
 
+def _sent_left(seen: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Whether rows whose bins are ``seen`` go left; one comparison where the bins up to some end do."""
+    n = int(np.count_nonzero(left))
+    return seen < n if n < BINS and left[:n].all() else left.take(seen)
+
+
 class Tree:
     """Nodes by number; node 0 is the root."""
 
@@ -177,18 +183,25 @@ class Tree:
         return node.left, node.right
 
     def place(self, bins: np.ndarray) -> np.ndarray:
-        """Leaf of each row of binned features."""
-        at = np.zeros(bins.shape[1], np.int32)
-        stack = [(0, np.arange(bins.shape[1]))]
-        while stack:
-            number, rows = stack.pop()
+        """Leaf of each row of binned features; every split is compared for all rows at once, children before parents."""
+        kind = np.min_scalar_type(len(self.nodes))
+        reached: dict[int, np.ndarray] = {}
+        for number in self.from_leaves():
             node = self.nodes[number]
-            if not node.left or not len(rows):
-                at[rows] = number
-                continue
-            goes = node.bins[bins[node.feature, rows]]
-            stack += [(node.left, rows[goes]), (node.right, rows[~goes])]
-        return at
+            left, right = (reached.pop(c) if self.nodes[c].left else kind.type(c) for c in (node.left, node.right))
+            goes = np.negative(_sent_left(bins[node.feature], node.bins).astype(kind))  # all bits set where a row goes left
+            reached[number] = right ^ ((left ^ right) & goes)
+        return reached.get(0, np.zeros(bins.shape[1], kind))
+
+    def from_leaves(self) -> list[int]:
+        """Nodes with a split, children before parents."""
+        out, stack = [], [0]
+        while stack:
+            node = self.nodes[number := stack.pop()]
+            if node.left:
+                out.append(number)
+                stack += [node.left, node.right]
+        return out[::-1]
 
     def below(self, number: int) -> np.ndarray:
         """Of each node, whether it is this one or lies below it."""

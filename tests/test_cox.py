@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pdengine.operators.cox import CoxModel, fit_cox, tied_sums, _TAIL, _tie_terms
+from pdengine.operators import cox as cox_module
+from pdengine.operators.cox import CoxModel, Sums, fit_cox, tied_sums, _TAIL, _tie_terms
 
 
 def brute_force_gradient(x, duration, event, beta, ridge):
@@ -125,3 +126,17 @@ def test_rows_without_duration_or_covariate_take_no_part(spark, sample):
     rows = frame(spark, sample)
     holes = rows.limit(5).withColumn("a", F.lit(None).cast("double")).union(rows.limit(5).withColumn("duration", F.lit(None).cast("double")))
     assert np.allclose(fit_cox(rows.union(holes), ["a", "b"]).beta, fit_cox(rows, ["a", "b"]).beta)
+
+
+def test_long_runs_of_one_duration_are_summed_up_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, event, beta = rng.normal(size=(3000, 4)), (rng.random(3000) < 0.3).astype(float), np.array([0.3, -0.2, 0.1, 0.5])
+    t = np.sort(rng.integers(1, 7, 3000))[::-1].astype(float)
+    event[t == 3] = 0
+    together, runs = Sums.of(t, event, x, beta), []
+    monkeypatch.setattr(cox_module, "_LONG", 3001)  # as if no duration had rows enough
+    of_runs = Sums.of_runs
+    monkeypatch.setattr(Sums, "of_runs", lambda *given: runs.append(1) or of_runs(*given))
+    alone = Sums.of(t, event, x, beta)
+    assert not runs
+    assert np.array_equal(together.t, alone.t) and np.allclose(together.values, alone.values, rtol=1e-11, atol=1e-9)

@@ -188,3 +188,36 @@ def test_tasks_are_as_many_as_the_rows_are_worth(rows, monkeypatch):
         monkeypatch.setattr(lw, "LEAST_TASK_ROWS", least)
         found.append([shape(t) for t, _ in lw.boost(rows, 3, RULES, 3, 0.1, 1.0, 1, local=400).trees])
     assert parts == [6, 2, 1] and found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("splits", [0, 1, 30, 300])
+def test_rows_reach_the_leaf_that_their_bins_lead_to(splits):
+    rng = np.random.default_rng(splits)
+    bins = rng.integers(0, lw.BINS, (4, 500)).astype(np.uint8)
+    tree = lw.Tree((0.0, 0.0, 500.0))
+    for _ in range(splits):
+        leaf = int(rng.choice([i for i, n in enumerate(tree.nodes) if not n.left]))
+        node = tree.nodes[leaf]
+        node.feature = int(rng.integers(4))
+        node.bins = np.arange(lw.BINS) < rng.integers(0, 257) if rng.random() < 0.7 else rng.random(lw.BINS) < 0.5
+        tree.split(leaf, (0.0, 0.0, 0.0), (0.0, 0.0, 0.0))
+    placed, expected = tree.place(bins), []
+    for row in bins.T:
+        at = 0
+        while tree.nodes[at].left:
+            at = tree.nodes[at].left if tree.nodes[at].bins[row[tree.nodes[at].feature]] else tree.nodes[at].right
+        expected.append(at)
+    assert placed.tolist() == expected
+
+
+def test_placing_rows_gathers_no_row_for_a_cut_of_a_number():
+    tree = lw.Tree((0.0, 0.0, 3.0))
+    tree.nodes[0].feature, tree.nodes[0].bins = 0, np.arange(lw.BINS) <= 7
+    tree.split(0, (0.0, 0.0, 2.0), (0.0, 0.0, 1.0))
+
+    class Row(np.ndarray):
+        def __getitem__(self, key):
+            assert not isinstance(key, tuple)  # one feature at a time, all its rows
+            return super().__getitem__(key)
+
+    assert tree.place(np.array([[3, 8, 7]], np.uint8).view(Row)).tolist() == [1, 2, 1]

@@ -21,6 +21,23 @@ def test_covariance_on_any_partitioning(spark, parts):
     assert np.allclose(cov, np.cov(x.T, bias=True), rtol=1e-9, atol=1e-9)
 
 
+def test_rows_with_null_or_nan_entries_take_no_part_and_are_told_without_a_function_per_entry(spark):
+    nan = float("nan")
+    given = [([1.0, 2.0],), ([3.0, 5.0],), ([nan, 1.0],), ([None, 1.0],), ([None, nan],), ([None],), (None,), ([0.0, 4.0],)]
+    plans, select = [], type(spark.range(1)).mapInArrow
+
+    def seen(self, *args, **more):
+        plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return select(self, *args, **more)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.range(1)), "mapInArrow", seen)
+        n, mean, cov = covariance(spark.createDataFrame(given, "v array<float>").coalesce(1), "v")
+    x = np.array([[1, 2], [3, 5], [0, 4]], float)
+    assert n == 3 and np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x.T, bias=True))
+    assert not any("lambda" in p for p in plans)
+
+
 def test_moments_merge_in_any_order():
     rng = np.random.default_rng(3)
     parts = [rng.standard_normal((k, 3)) + 100 for k in (1, 5, 40, 2)]
