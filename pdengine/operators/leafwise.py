@@ -2,17 +2,19 @@
 
 Features are put into at most 256 bins once and kept in blocks of rows. A leaf's
 histogram holds, per feature and bin, the sums of gradients and curvatures and
-the number of rows; the best split of a leaf is read off it. Of two sibling
-leaves only the smaller one is counted, the other is their parent's histogram
-minus it. Categories are ordered by their mean gradient and cut like numbers.
+the number of rows; the best split of a leaf is read off it. Below a parent whose
+histogram is known all parts but the largest are counted, that one is what they
+leave. Categories are ordered by their mean gradient and cut like numbers.
 
-Large leaves are counted over all blocks, one job per round, and added up, where
-many tasks counted, slice by slice on executors; the driver gets one histogram per counted leaf, whose
+Leaves are counted over all blocks, one job per round, and added up, where
+many tasks counted, slice by slice on executors; the driver gets one histogram per counted part, whose
 size does not depend on the rows, and reads the splits off it. Trees that follow one another mostly
-agree near the root, so a round also counts what lies below the splits that earlier trees had in the
-same place; where the split turns out to be another, those counts are dropped. The rows of a leaf
-of at most ``LOCAL_ROWS`` go to one task, which splits it and its descendants on,
-best first, as far as the tree could need.
+agree near the root, so a round parts the rows as earlier trees would have split them in the same place,
+each row in one part, and adds the parts up to their parents; where the split turns out to be another,
+its parts are only added up. Gradients are rounded to a unit in which sums over all rows are exact, so
+it does not matter in which order and from which parts they were added up.
+Once the leaves to be split have few rows (``LOCAL_ROWS``, ``LATE``), these go to tasks by leaf;
+a task splits a leaf and its descendants on, best first, until the splits known elsewhere fill the tree.
 The driver keeps the queue: it plays best-first over all splits known so far
 and asks for what is below those that would be split. The tree is the one that
 splitting strictly one leaf after the other gives, but a tree of 31 leaves over
@@ -37,25 +39,32 @@ from pdengine.operators.stored_models import metadata, write_metadata
 from pdengine.staging import materialise
 
 BINS = 256
-BLOCK_ROWS = 16_384
-#: A leaf of so many rows or fewer is finished by one task.
+BLOCK_ROWS = 32_768
+#: Leaves of so many rows or fewer may be finished by one task.
 LOCAL_ROWS = 1 << 18
+#: Where a task reads more rows than that, leaves are finished so once they have one in so many of these
+#: together: moving more rows than that takes longer than another round.
+LATE = 4
 #: Trees after which the blocks take over their margins; until then each pass places its rows in them.
-FOLLOW = 5
+FOLLOW = 4
 #: Trees after which the blocks are written and read back, which cuts their lineage.
 REFRESH = 25
 #: Trees for which a split is remembered.
 REMEMBERED = 50
 #: Rows of a leaf up to which the sums of all its features are taken at once.
 TOGETHER = 2048
-#: Rows that a task works through, once all cores have enough.
-TASK_ROWS = 8 * BLOCK_ROWS
+#: Rows up to which a task works through its core's whole share, as starting another costs some 0.1 s.
+SHARE_ROWS = 1 << 20
+#: Rows that a task works through, once the shares are larger than that.
+TASK_ROWS = 1 << 17
 #: Rows that a task is worth starting for: with fewer, not all cores are used.
-LEAST_TASK_ROWS = 6 * BLOCK_ROWS
+LEAST_TASK_ROWS = 98_304
 #: Features whose bins are added up together.
 SLICE = 8
 #: Histograms of single tasks that the driver adds up itself; more are added up by executors first.
 DIRECT = 128
+#: Leaves are expected to be split as before where they have one in so many of all rows.
+GUESSED_SHARE = 1000
 #: Rows that smooth a category's mean gradient before categories are ordered.
 CATEGORY_SMOOTHING = 10.0
 _LEAST_GAIN = 1e-10
@@ -83,10 +92,16 @@ class Node:
     right: int = 0
 
 
-def gradients(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivative of the log loss."""
+def gradients(margin: np.ndarray, label: np.ndarray, unit: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivative of the log loss, whole numbers of a unit if one is given."""
     p = 1 / (1 + np.exp(-margin))
-    return p - label, p * (1 - p)
+    g, h = p - label, p * (1 - p)
+    return (np.rint(g / unit) * unit, np.rint(h / unit) * unit) if unit else (g, h)
+
+
+def exact_unit(n: int) -> float:
+    """The power of two of which sums over ``n`` rows, none above 1, are exact: float32 has no finer one near 1 up to 2^29 rows."""
+    return 2.0 ** (max(n, 1).bit_length() - 53)
 
 
 def histogram(bins: np.ndarray, features: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
@@ -203,14 +218,26 @@ class Tree:
                 stack += [node.left, node.right]
         return out[::-1]
 
-    def below(self, number: int) -> np.ndarray:
-        """Of each node, whether it is this one or lies below it."""
-        found, stack = np.zeros(len(self.nodes), bool), [number]
+    def leaves_below(self, number: int) -> list[int]:
+        """Leaves that this node's rows end in."""
+        out, stack = [], [number]
+        while stack:
+            node = self.nodes[at := stack.pop()]
+            if node.left:
+                stack += [node.right, node.left]
+            else:
+                out.append(at)
+        return out
+
+    def reach(self) -> dict[int, float]:
+        """Of each node with a split the least gain on the way to it: the tree takes the nodes of the largest."""
+        out, stack = {}, [(0, np.inf)]
         while stack:
-            found[at := stack.pop()] = True
+            at, least = stack.pop()
             if self.nodes[at].left:
-                stack += [self.nodes[at].left, self.nodes[at].right]
-        return found
+                out[at] = min(least, self.nodes[at].gain)
+                stack += [(c, out[at]) for c in (self.nodes[at].left, self.nodes[at].right)]
+        return out
 
     def best_first(self, leaves: int) -> list[int]:
         """Nodes that a tree of so many leaves splits, as far as splits are known."""
@@ -244,11 +271,20 @@ class Tree:
         return out
 
 
-def grow_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray, rules: Growth) -> Tree:
-    """A tree over rows that one task holds, split best first until it has all its leaves."""
+def grow_here(
+    bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray, rules: Growth,
+    least: float = np.inf, rivals: np.ndarray | None = None,
+) -> Tree:
+    """A tree over rows that one task holds, split best first until it has all its leaves.
+
+    Of a leaf of a larger tree ``least`` is the least gain on the way to it, and ``rivals`` are those
+    of all splits known elsewhere, ascending: once they fill the tree, nothing more of the leaf is taken.
+    """
+    rivals = np.zeros(0) if rivals is None else rivals
     whole = histogram(bins, features, g, h)
     tree = Tree(tuple(whole[0].sum(axis=0).tolist()))
     queue: list[tuple[float, int]] = []
+    reached = {0: least}
 
     def consider(number: int, hist: np.ndarray) -> None:
         found = best_split(hist, features, rules) if tree.nodes[number].sums[2] >= 2 * rules.min_rows - 0.5 else None
@@ -259,12 +295,15 @@ def grow_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarr
 
     held = {0: (np.arange(bins.shape[1]), whole)}
     consider(0, whole)
-    for _ in range(rules.leaves - 1):
+    for done in range(rules.leaves - 1):
         if not queue:
             break
         _, number = heapq.heappop(queue)
-        rows, hist = held.pop(number)
         node = tree.nodes[number]
+        reach = min(reached[number], node.gain)
+        if done + len(rivals) - np.searchsorted(rivals, reach, "right") >= rules.leaves - 1:
+            break
+        rows, hist = held.pop(number)
         goes = node.bins[bins[node.feature, rows]]
         sides = rows[goes], rows[~goes]
         small = 0 if len(sides[0]) <= len(sides[1]) else 1
@@ -272,7 +311,7 @@ def grow_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarr
         both = (counted, hist - counted) if small == 0 else (hist - counted, counted)
         numbers = tree.split(number, *(tuple(b[0].sum(axis=0).tolist()) for b in both))
         for child, side, b in zip(numbers, sides, both, strict=True):
-            held[child] = (side, b)
+            held[child], reached[child] = (side, b), reach
             consider(child, b)
     return tree
 
@@ -337,25 +376,48 @@ def _refreshed(trees: list[Scored]):
 # --- growing over blocks
 
 
-def _read(blocks: Iterable[bytes], tree: Tree, fresh: list[Scored]) -> Iterator[tuple]:
+def _read(blocks: Iterable[bytes], tree: Tree, number: np.ndarray, fresh: list[Scored], unit: float) -> Iterator[tuple]:
+    """Of each block the bins, the rows that end in a leaf with a number, these leaves' numbers, gradients and curvatures."""
     for block in blocks:
         bins, label, margin = _unpack(block)
-        yield bins, *gradients(_margin(bins, margin, fresh), label), tree.place(bins)
-
-
-def _count(tree: Tree, wanted: list[int], features: np.ndarray, fresh: list[Scored]):
-    """Histograms of nodes over a task's blocks: by node and slice of the features, the task's number and the sums."""
-    below = {n: tree.below(n) for n in wanted}
+        leaf = number[tree.place(bins)]
+        rows = np.flatnonzero(leaf >= 0)
+        if len(rows):
+            yield bins, rows, leaf[rows], *gradients(_margin(bins, margin, fresh)[rows], label[rows], unit)
+
+
+def _numbered(tree: Tree, wanted: list[int]) -> tuple[Tree, np.ndarray]:
+    """The tree without splits that no wanted leaf lies below, and by node the place of the wanted ones, -1 of others."""
+    number = np.full(len(tree.nodes), -1, np.intp)
+    number[wanted] = np.arange(len(wanted))
+    out, leads = Tree(tree.nodes[0].sums), number >= 0
+    out.nodes = [replace(node) for node in tree.nodes]
+    for n in tree.from_leaves():
+        node = out.nodes[n]
+        if not leads[n] and not leads[node.left] and not leads[node.right]:
+            node.left = node.right = 0
+        leads[n] |= leads[node.left] | leads[node.right] if node.left else False
+    return out, number
+
+
+def _count(tree: Tree, wanted: list[int], features: np.ndarray, fresh: list[Scored], unit: float):
+    """Histograms of leaves over a task's blocks, all in one pass: by leaf and slice of the features, the task's number and the sums."""
+    many = len(wanted)
+    tree, number = _numbered(tree, wanted)
 
     def task(part: int, blocks: Iterable[bytes]) -> Iterator[tuple]:
-        held = {n: np.zeros((len(features), BINS, 3)) for n in wanted}
-        for bins, g, h, at in _read(blocks, tree, fresh):
-            for n, hist in held.items():
-                rows = np.flatnonzero(below[n][at])
-                hist += histogram(bins, features, g, h, rows if len(rows) < len(at) else None)
-        for n, hist in held.items():
+        held = np.zeros((len(features), 3, many * BINS))
+        for bins, rows, leaf, g, h in _read(blocks, tree, number, fresh, unit):
+            first, some = leaf * BINS, len(rows) < bins.shape[1]
+            for sums, f in zip(held, features, strict=True):
+                index = first + (bins[f].take(rows) if some else bins[f])
+                sums[0] += np.bincount(index, g, many * BINS)
+                sums[1] += np.bincount(index, h, many * BINS)
+                sums[2] += np.bincount(index, minlength=many * BINS)
+        by_leaf = held.reshape(len(features), 3, many, BINS).transpose(2, 0, 3, 1)
+        for n, hist in zip(wanted, by_leaf, strict=True):
             for at in range(0, len(features), SLICE):
-                yield (n, at), (part, hist[at : at + SLICE])
+                yield (n, at), (part, np.ascontiguousarray(hist[at : at + SLICE]))
 
     return task
 
@@ -365,22 +427,22 @@ def _summed(parts: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
     return sum(hist for _, hist in sorted(parts, key=lambda p: p[0]))
 
 
-def _send(tree: Tree, wanted: list[int], features: np.ndarray, fresh: list[Scored]):
+def _send(tree: Tree, wanted: list[int], features: np.ndarray, fresh: list[Scored], unit: float):
     """Rows of small leaves by leaf: the features that the tree sees, gradients and curvatures."""
+    tree, number = _numbered(tree, wanted)
 
     def task(part: int, blocks: Iterable[bytes]) -> Iterator[tuple]:
-        for i, (bins, g, h, at) in enumerate(_read(blocks, tree, fresh)):
-            seen = bins[features]
-            for n in wanted:
-                rows = np.flatnonzero(at == n)
-                if len(rows):  # take keeps the bins of a feature together, which indexing would not
-                    yield n, ((part, i), seen.take(rows, axis=1), np.stack([g[rows], h[rows]]))
+        for i, (bins, rows, leaf, g, h) in enumerate(_read(blocks, tree, number, fresh, unit)):
+            seen = bins[features].take(rows, axis=1)
+            for k in np.unique(leaf).tolist():
+                mine = np.flatnonzero(leaf == k)  # take keeps the bins of a feature together, which indexing would not
+                yield wanted[k], ((part, i), seen.take(mine, axis=1), np.stack([g[mine], h[mine]]))
 
     return task
 
 
-def _finish(features: np.ndarray, rules: Growth):
-    """Grow below each leaf of a task from its rows, one leaf after the other."""
+def _finish(features: np.ndarray, rules: Growth, least: dict[int, float], rivals: np.ndarray):
+    """Grow below each leaf of a task from its rows, one leaf after the other, as far as its ``least`` gain and ``rivals`` allow."""
     places = {int(f): i for i, f in enumerate(features)}
     here = Growth(rules.leaves, rules.min_rows, rules.min_curvature, {places[f]: c for f, c in rules.categories.items() if f in places})
 
@@ -392,7 +454,7 @@ def _finish(features: np.ndarray, rules: Growth):
             leaf, parts = held.popitem()
             parts.sort(key=lambda p: p[0])
             bins, (g, h) = np.concatenate([p[1] for p in parts], axis=1), np.concatenate([p[2] for p in parts], axis=1)
-            tree = grow_here(bins, g, h, np.arange(len(features)), here)
+            tree = grow_here(bins, g, h, np.arange(len(features)), here, least[leaf], rivals)
             for node in tree.nodes:
                 if node.left:
                     node.feature = int(features[node.feature])
@@ -401,20 +463,28 @@ def _finish(features: np.ndarray, rules: Growth):
     return task
 
 
+def _features_of(path: tuple) -> tuple:
+    return tuple((feature, goes) for feature, _, goes in path)
+
+
 class Memory:
     """The best split of every feature that large nodes had in earlier trees, by the splits above the node.
 
-    Held are gain, bins that go left, rows on both sides, and the tree.
+    Held are gain, bins that go left, rows on both sides, and the tree. Nodes below splits of the same
+    features are alike wherever these cut, so what the last of them had serves all of them.
     """
 
     def __init__(self):
         self.trees = 0
         self.held: dict[tuple, dict[int, tuple]] = {}
 
+    def known(self, path: tuple) -> dict[int, tuple]:
+        return self.held.get(_features_of(path), {})
+
     def note(self, path: tuple, hist: np.ndarray, features: np.ndarray, cut: tuple) -> None:
         """What a node's histogram says of each feature; ``cut`` is what ``_cut_features`` finds in it."""
         gain, at, orders = cut
-        n, held = hist[0, :, 2].sum(), self.held.setdefault(path, {})
+        n, held = hist[0, :, 2].sum(), self.held.setdefault(_features_of(path), {})
         for i in np.flatnonzero(gain > _LEAST_GAIN).tolist():
             bins = _goes_left(i, at, orders)
             left = float(hist[i, bins, 2].sum())
@@ -428,7 +498,7 @@ class Memory:
 
     def likely(self, path: tuple, features: np.ndarray) -> tuple[int, np.ndarray, tuple[float, float]] | None:
         """The split of the largest gain that is open to a tree with these features."""
-        known = self.held.get(path, {})
+        known = self.known(path)
         here = [f for f in features.tolist() if f in known]
         if not here:
             return None
@@ -437,9 +507,9 @@ class Memory:
 
 
 class _Grower:
-    """One tree over the blocks: the nodes found so far, and the histograms of its large ones.
+    """One tree over the blocks: the nodes found so far, and the histograms of those whose children were not searched.
 
-    A histogram has a fixed size, whatever the rows; the driver holds one for each large node.
+    A histogram has a fixed size, whatever the rows; the driver holds one for each such node.
     """
 
     def __init__(
@@ -448,6 +518,8 @@ class _Grower:
     ):
         self.blocks, self.features, self.rules, self.local = blocks, features, rules, local
         self.fresh, self.memory = fresh or [], memory or Memory()
+        self.here = n if n <= local * blocks.getNumPartitions() else local // LATE  # rows that go to tasks by leaf
+        self.unit = exact_unit(n) if n > local else 0.0  # rows of one task are added up in one order
         self.tree = Tree((0.0, 0.0, float(n)))
         self.paths: dict[int, tuple] = {0: ()}
         self.counted: dict[int, np.ndarray] = {}
@@ -456,33 +528,32 @@ class _Grower:
         nodes, searched, wanted = self.tree.nodes, set(), [0]
         parent = {}
         while wanted:
-            small = [c for c in wanted if nodes[c].sums[2] <= self.local]
-            large = [c for c in wanted if nodes[c].sums[2] > self.local]
-            if large:
-                searched |= self.search_large(large, parent)
-                taken = self.tree.best_first(self.rules.leaves)
-                parent = {c: t for t in taken for c in (nodes[t].left, nodes[t].right)}
-                wanted = [c for c in parent if c not in searched and nodes[c].sums[2] >= 2 * self.rules.min_rows]
-                if any(nodes[c].sums[2] > self.local for c in wanted):
-                    continue  # small leaves wait for one another and go to their tasks together
-                small = wanted
-            if small:
-                searched |= self.finish_small(small) | set(small)
+            rows = [nodes[c].sums[2] for c in wanted]
+            if max(rows) <= self.local and sum(rows) <= self.here:
+                searched |= self.finish_small(wanted, parent) | set(wanted)
+            else:
+                searched |= self.search_large(wanted, parent)
             taken = self.tree.best_first(self.rules.leaves)
             parent = {c: t for t in taken for c in (nodes[t].left, nodes[t].right)}
             wanted = [c for c in parent if c not in searched and nodes[c].sums[2] >= 2 * self.rules.min_rows]
         self.memory.next_tree()
         return self.tree.pruned(self.rules.leaves)
 
-    def finish_small(self, wanted: list[int]) -> set[int]:
-        """Whole subtrees of small leaves, one task each; the numbers of all their nodes."""
-        send, finish = _send(self.tree, wanted, self.features, self.fresh), _finish(self.features, self.rules)
-        if len(wanted) == 1:
-            sent = self.blocks.mapPartitionsWithIndex(send)
-            sent = sent.coalesce(1) if self.blocks.getNumPartitions() > 1 else sent
+    def finish_small(self, wanted: list[int], parent: dict[int, int]) -> set[int]:
+        """Subtrees of small leaves, each by one task; the numbers of all their nodes."""
+        reach = self.tree.reach()
+        least = {n: reach[parent[n]] if n in parent else np.inf for n in wanted}
+        finish = _finish(self.features, self.rules, least, np.sort(np.array(list(reach.values()))))
+        send = self.blocks.mapPartitionsWithIndex(_send(self.tree, wanted, self.features, self.fresh, self.unit))
+        parts = min(len(wanted), self.blocks.getNumPartitions())
+        if parts == 1:
+            sent = send.coalesce(1) if self.blocks.getNumPartitions() > 1 else send
         else:
-            place = {n: i for i, n in enumerate(wanted)}
-            sent = self.blocks.mapPartitionsWithIndex(send).partitionBy(len(wanted), place.__getitem__)
+            place, load = {}, [0.0] * parts
+            for n in sorted(wanted, key=lambda n: -self.tree.nodes[n].sums[2]):
+                place[n] = min(range(parts), key=load.__getitem__)
+                load[place[n]] += self.tree.nodes[n].sums[2]
+            sent = send.partitionBy(parts, place.__getitem__)
         out: set[int] = set()
         for leaf, grown in sorted(sent.mapPartitions(finish).collect(), key=lambda found: found[0]):  # below 2 * leaves nodes a leaf
             numbers = [leaf, *range(len(self.tree.nodes), len(self.tree.nodes) + len(grown.nodes) - 1)]
@@ -494,71 +565,77 @@ class _Grower:
             out |= set(numbers)
         return out
 
-    def guess(self, wanted: list[int], families: dict[int, tuple[int, int]]) -> Tree:
-        """The tree with what earlier trees split below the wanted leaves; adds the guessed nodes' children, the smaller first."""
+    def guess(self, wanted: list[int]) -> Tree:
+        """The tree with what earlier trees split below the wanted leaves, as far as it would be taken."""
         guessed = Tree(self.tree.nodes[0].sums)
         guessed.nodes = [replace(node) for node in self.tree.nodes]
-        queue = [(n, self.paths[n]) for n in wanted]
+        paths = {n: self.paths[n] for n in wanted}
+        queue: list[tuple[float, int]] = []
+
+        def consider(n: int) -> None:
+            if n in paths:
+                likely = self.memory.likely(paths[n], self.features)
+                if likely and sum(likely[2]) * GUESSED_SHARE >= self.tree.nodes[0].sums[2]:
+                    node, (feature, bins, rows) = guessed.nodes[n], likely
+                    node.gain, node.feature, node.bins = self.memory.known(paths[n])[feature][0], feature, bins
+                    heapq.heappush(queue, (-node.gain, n))
+            elif guessed.nodes[n].left:
+                heapq.heappush(queue, (-guessed.nodes[n].gain, n))
+
+        consider(0)
         splits = 0
         while queue and splits < self.rules.leaves - 1:
-            n, path = queue.pop(0)
-            likely = self.memory.likely(path, self.features)
-            if likely and max(likely[2]) > self.local:
-                node, (feature, bins, rows) = guessed.nodes[n], likely
-                node.feature, node.bins = feature, bins
-                children = guessed.split(n, *((0.0, 0.0, float(r)) for r in rows))
-                families[n] = tuple(sorted(children, key=lambda c: guessed.nodes[c].sums[2]))
-                splits += 1
-                for c, goes in zip(children, (True, False), strict=True):
-                    if guessed.nodes[c].sums[2] > self.local:
-                        queue.append((c, (*path, (feature, bins.tobytes(), goes))))
+            _, n = heapq.heappop(queue)
+            splits += 1
+            node = guessed.nodes[n]
+            if n in paths:
+                path, rows = paths[n], self.memory.known(paths[n])[node.feature][2]
+                for c, goes in zip(guessed.split(n, *((0.0, 0.0, r) for r in rows)), (True, False), strict=True):
+                    paths[c] = (*path, (node.feature, node.bins.tobytes(), goes))
+            for c in (node.left, node.right):
+                consider(c)
         return guessed
 
     def search_large(self, wanted: list[int], parent: dict[int, int]) -> set[int]:
-        """Best splits of large leaves, and of those below them as far as these were guessed; the leaves that were searched.
+        """Best splits of leaves, and of those below them as far as these were guessed; the leaves that were searched.
 
-        The smaller child of a parent is counted, the larger one is what it leaves.
+        Counted are the guessed tree's leaves; below a parent whose histogram is known the largest is what the others leave.
         """
         nodes = self.tree.nodes
-        families: dict[int, tuple[int, int]] = {}
-        for c in wanted:
-            if c:
-                both = (nodes[parent[c]].left, nodes[parent[c]].right)
-                families[parent[c]] = tuple(sorted(both, key=lambda k: nodes[k].sums[2]))
-        known = list(families)
-        guessed = self.guess(wanted, families)
-        count = [s for s, _ in families.values()]
-        if not known:
-            count = [0, *count]
+        guessed = self.guess(wanted)
+        tops = list(dict.fromkeys(parent[c] for c in wanted if c)) or [0]
+        below = {p: guessed.leaves_below(p) for p in tops}
+        largest = {p: max(below[p], key=lambda c: guessed.nodes[c].sums[2]) for p in tops if p in self.counted}
+        count = [c for p in tops for c in below[p] if c != largest.get(p)]
         parts, slices = self.blocks.getNumPartitions(), len(count) * -(-len(self.features) // SLICE)
-        sums = self.blocks.mapPartitionsWithIndex(_count(guessed, count, self.features, self.fresh))
+        sums = self.blocks.mapPartitionsWithIndex(_count(guessed, count, self.features, self.fresh, self.unit))
         if parts * len(count) > DIRECT:
             sums = sums.groupByKey(min(slices, parts)).mapValues(lambda held: (0, _summed(held)))
         now: dict[tuple, list] = {}
         for key, part in sums.collect():
             now.setdefault(key, []).append(part)
-        found = {n: np.concatenate([_summed(now[n, at]) for at in range(0, len(self.features), SLICE)]) for n in count}
-        hists = {0: found[0]} if not known else {}
-        for p in known:
-            s, b = families[p]
-            hists[s], hists[b] = found[s], self.counted.pop(p) - found[s]
+        hists = {n: np.concatenate([_summed(now[n, at]) for at in range(0, len(self.features), SLICE)]) for n in count}
+        for p, c in largest.items():
+            hists[c] = self.counted.pop(p) - sum(hists[k] for k in below[p] if k != c)
+        for n in guessed.from_leaves():
+            node = guessed.nodes[n]
+            if node.left in hists and node.right in hists:
+                hists[n] = hists[node.left] + hists[node.right]
         searched: set[int] = set()
-        # a small sibling of a wanted leaf is counted for the subtraction only
-        queue = [(number, number, hists[number]) for number in wanted]
+        queue = [(number, number) for number in wanted]
         while queue:
-            number, at, hist = queue.pop()
+            number, at = queue.pop()
             searched.add(number)
-            self.settle(number, hist)
+            self.settle(number, hists[at])
             node, plan = nodes[number], guessed.nodes[at]
             if not node.left:
                 continue
-            if at not in families or plan.feature != node.feature or not np.array_equal(plan.bins, node.bins):
-                self.counted[number] = hist
+            if not plan.left or plan.feature != node.feature or not np.array_equal(plan.bins, node.bins):
+                self.counted[number] = hists[at]
                 continue
-            s = families[at][0]
             for child, c in ((node.left, plan.left), (node.right, plan.right)):
-                if nodes[child].sums[2] > self.local:
-                    queue.append((child, c, found[s] if c == s else hist - found[s]))
+                if nodes[child].sums[2] >= 2 * self.rules.min_rows:
+                    queue.append((child, c))
         return searched
 
     def settle(self, number: int, hist: np.ndarray) -> None:
@@ -594,15 +671,34 @@ class Boosted:
     categories: dict[int, int]
 
 
+def _joined(blocks: Iterable[bytes]) -> Iterator[bytes]:
+    """Small blocks, such as batches leave them, put together up to the size of a block."""
+
+    def one(found: list[tuple]) -> bytes:
+        return _pack(np.concatenate([f[0] for f in found], axis=1), *(np.concatenate([f[k] for f in found]) for k in (1, 2)))
+
+    held, n = [], 0
+    for block in blocks:
+        found = _unpack(block)
+        if held and n + len(found[1]) > BLOCK_ROWS:
+            yield one(held)
+            held, n = [], 0
+        held.append(found)
+        n += len(found[1])
+    if held:
+        yield one(held)
+
+
 def _held(blocks: DataFrame, parts: int) -> RDD:
     """Blocks dealt out evenly and kept between jobs."""
     numbered = blocks.rdd.map(lambda row: bytes(row[0])).zipWithIndex().map(lambda found: (found[1], found[0]))
-    return numbered.partitionBy(parts, lambda i: i % parts).values().persist(StorageLevel.MEMORY_AND_DISK)
+    return numbered.partitionBy(parts, lambda i: i % parts).values().mapPartitions(_joined).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def task_count(n: int, cores: int) -> int:
     """Tasks that a pass over so many rows is dealt to."""
-    return max(1, min(-(-n // BLOCK_ROWS), max(min(cores, n // LEAST_TASK_ROWS), n // TASK_ROWS)))
+    more = n // TASK_ROWS if n > cores * SHARE_ROWS else 0
+    return max(1, min(-(-n // BLOCK_ROWS), max(min(cores, n // LEAST_TASK_ROWS), more)))
 
 
 def boost(

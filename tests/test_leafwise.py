@@ -221,3 +221,57 @@ def test_placing_rows_gathers_no_row_for_a_cut_of_a_number():
             return super().__getitem__(key)
 
     assert tree.place(np.array([[3, 8, 7]], np.uint8).view(Row)).tolist() == [1, 2, 1]
+
+
+def test_leaves_are_counted_in_one_pass_over_their_rows(sample):
+    """All histograms of a round come from one look at each row, which is in one of them."""
+    x, y = sample
+    bins = np.stack([np.clip(np.nan_to_num(c, nan=3) * 30 + 100, 0, 255) for c in x.T]).astype(np.uint8)
+    margin, label = np.zeros(len(y)), y.astype(float)
+    unit = lw.exact_unit(len(y))
+    g, h = lw.gradients(margin, label, unit)
+    tree = lw.grow_here(bins, g, h, np.arange(3), RULES)
+    leaves = tree.leaves_below(0)
+    wanted = leaves[1:]  # the first is what they leave
+    blocks = [lw._pack(bins[:, i : i + 300], label[i : i + 300], margin[i : i + 300]) for i in range(0, len(y), 300)]
+    joined = list(lw._joined(blocks))
+    assert len(joined) == 1 and all(np.array_equal(a, b) for a, b in zip(lw._unpack(joined[0]), (bins, label, margin), strict=True))
+    at, features = tree.place(bins), np.array([0, 2])
+    for given in (blocks, joined):
+        found = dict(lw._count(tree, wanted, features, [], unit)(5, given))
+        assert sorted(n for n, _ in found) == sorted(wanted)
+        for (n, _), (part, hist) in found.items():
+            m = at == n
+            assert part == 5 and np.array_equal(hist, lw.histogram(bins[:, m], features, g[m], h[m]))
+        whole = lw.histogram(bins, features, g, h) - sum(hist for _, hist in found.values())
+        assert np.array_equal(whole, lw.histogram(bins, features, g, h, np.flatnonzero(at == leaves[0])))  # sums are exact
+
+
+def test_trees_do_not_depend_on_the_order_of_adding_up(rows, monkeypatch):
+    found = []
+    monkeypatch.setattr(lw, "BLOCK_ROWS", 300)
+    for least in (300, 1 << 20):
+        monkeypatch.setattr(lw, "LEAST_TASK_ROWS", least)
+        fitted = lw.boost(rows, 3, RULES, 6, 0.1, 0.7, 1, local=300)
+        found.append([([(n.feature, n.left, n.right, n.sums, n.gain) for n in t.nodes], v.tolist()) for t, v in fitted.trees])
+    assert found[0] == found[1]
+
+
+def test_a_leaf_is_not_split_beyond_what_the_tree_can_take(sample):
+    x, y = sample
+    bins = np.stack([np.clip(np.nan_to_num(c, nan=3) * 30 + 100, 0, 255) for c in x.T]).astype(np.uint8)
+    g, h = lw.gradients(np.zeros(len(y)), y.astype(float))
+    rules = lw.Growth(leaves=12, min_rows=10)
+    whole = lw.grow_here(bins, g, h, np.arange(3), rules)
+    reach = whole.reach()
+    order = whole.best_first(12)
+    assert [reach[n] for n in order] == sorted(reach.values(), reverse=True)
+    rivals = np.sort([reach[order[0]] + 1] * 4 + [reach[order[6]] * 1.0000001] * 3 + [0.0] * 9)
+    part = lw.grow_here(bins, g, h, np.arange(3), rules, np.inf, rivals)
+    assert len(part.best_first(12)) == 6  # four and three are ahead of the seventh, and so eleven are full
+    assert [part.nodes[n].gain for n in part.best_first(12)] == [whole.nodes[n].gain for n in order[:6]]
+
+
+def test_a_core_works_through_its_share_in_one_task():
+    assert [lw.task_count(3_769_625, cores) for cores in (8, 12)] == [8, 12]
+    assert lw.task_count(13 << 20, 12) == 13 << 3
